@@ -27,7 +27,10 @@ class Query:
 _REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, *, sql: str | None, operators: tuple[str, ...] = (), bench: bool = False):
+def register(name: str, *, sql: str | None, operators: tuple[str, ...] = (), bench: bool = False,
+             oracle_unused: str | None = None):
+    """``oracle_unused``: SQL kept for reference where DuckDB's regex dialect
+    cannot reproduce the Spark semantics (not used by the correctness gate)."""
     def deco(fn: Callable[[Tables], DataFrame]):
         if name in _REGISTRY:
             raise ValueError(f"duplicate query {name}")
