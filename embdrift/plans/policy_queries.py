@@ -1 +1,150 @@
-"""Queries registered in this domain."""
+"""Policy queries: as-of, range count, throttle, rollback, latency, overlap, admission, links."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from embdrift import config
+from embdrift.operators import drift as D
+from embdrift.operators import policy as P
+from embdrift.plans.catalog import register
+from embdrift.sources import fixtures as FX
+
+_DJ = "dj AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE trigger = 'DRIFT_ALERT' GROUP BY queued_at)"
+_ASOF = f"""WITH {_DJ},
+lastj AS (SELECT a.window_id, dj.job_id AS last_job, dj.queued_at AS last_train_time
+          FROM alerts a ASOF LEFT JOIN dj ON a.now >= dj.queued_at),
+today AS (SELECT a.window_id, count(j.job_id) AS trains_today FROM alerts a
+          LEFT JOIN training_jobs j ON j.trigger = 'DRIFT_ALERT' AND j.queued_at >= date_trunc('day', a.now)
+                                   AND j.queued_at < a.now
+          GROUP BY a.window_id)"""
+
+
+@register("asof_last_drift_job", operators=("J7",), sql=FX.with_fixtures(
+    _ASOF + " SELECT window_id, last_job, last_train_time FROM lastj", "alerts", "training_jobs"))
+def asof_last_drift_job(t):
+    dj = FX.training_jobs(t).filter(F.col("trigger") == "DRIFT_ALERT")
+    r = P.asof_last(FX.alerts(t), dj, "window_id", "now", "queued_at", "job_id", out="last_job", out_ts="last_train_time")
+    return r.select("window_id", "last_job", "last_train_time")
+
+
+@register("trains_since_midnight", operators=("J8",), sql=FX.with_fixtures(
+    _ASOF + " SELECT window_id, trains_today FROM today", "alerts", "training_jobs"))
+def trains_since_midnight(t):
+    dj = FX.training_jobs(t).filter(F.col("trigger") == "DRIFT_ALERT")
+    r = P.count_since_midnight(FX.alerts(t), dj, "window_id", "now", "queued_at", out="trains_today")
+    return r.select("window_id", F.coalesce("trains_today", F.lit(0)).cast("long").alias("trains_today"))
+
+
+@register("throttle_alerts", operators=("ST8", "J7", "J8"), sql=FX.with_fixtures(_ASOF + """,
+x AS (SELECT a.*, l.last_train_time, d.trains_today, coalesce(a.linguistic_drift, 0.0) AS ling
+      FROM alerts a JOIN lastj l USING (window_id) JOIN today d USING (window_id)),
+y AS (SELECT window_id, embedding_drift >= 0.08 AS eh, ling >= 0.6 AS lh,
+             CASE WHEN document_count < 100 THEN 'insufficient_documents'
+                  WHEN NOT (embedding_drift >= 0.08) AND NOT (ling >= 0.6) THEN 'below_drift_thresholds'
+                  WHEN last_train_time IS NOT NULL AND last_train_time >= now - INTERVAL 6 HOUR THEN 'cooldown_active'
+                  WHEN trains_today >= 3 THEN 'daily_cap_reached'
+                  ELSE 'accepted' END AS reason FROM x)
+SELECT window_id, reason, reason = 'accepted' AS accepted,
+       CASE WHEN reason <> 'accepted' THEN NULL WHEN eh AND lh THEN 'dual_signal_high'
+            WHEN eh THEN 'embedding_drift' ELSE 'linguistic_drift' END AS priority FROM y""",
+    "alerts", "training_jobs"), bench=True)
+def throttle_alerts(t):
+    r = P.throttle_alerts(FX.alerts(t), FX.training_jobs(t))
+    return r.select("window_id", "reason", "accepted", "priority")
+
+
+# Test policy for the sparse request log (FIXTURES F5): 1 day frame, 5 requests, 20 %.
+ROLLBACK_TEST = config.RollbackPolicy(error_rate_threshold=0.2, window_seconds=86400, min_requests=5)
+
+
+def _activations(metrics):
+    first = metrics.groupBy("model_version").agg(F.min("observed_at").alias("activated_at"))
+    w = Window.orderBy("activated_at", "model_version")  # one row per version: tiny
+    return first.select(F.col("model_version").alias("version"), "activated_at",
+                        F.lag("model_version").over(w).alias("previous_version"))
+
+
+@register("rollback_decisions", operators=("ST7", "W5", "A14", "W4"), sql=FX.with_fixtures("""
+WITH act AS (SELECT model_version, lag(model_version) OVER (ORDER BY first_seen, model_version) AS previous_version
+             FROM (SELECT model_version, min(observed_at) AS first_seen FROM request_metrics GROUP BY 1)),
+m AS (SELECT *, count(*) OVER w AS request_count,
+             sum(CASE WHEN status_code >= 500 THEN 1 ELSE 0 END) OVER w AS errors
+      FROM request_metrics
+      WINDOW w AS (PARTITION BY model_version ORDER BY observed_at RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))
+SELECT request_id, model_version, request_count,
+       round(CASE WHEN request_count < 5 THEN 0.0 ELSE errors / request_count END, 6) AS error_rate,
+       CASE WHEN request_count < 5 THEN 'insufficient_requests'
+            WHEN errors / request_count <= 0.2 THEN 'error_rate_ok'
+            WHEN previous_version IS NULL OR previous_version = model_version THEN 'no_previous_model'
+            ELSE 'error_rate_exceeded' END AS reason
+FROM m JOIN act USING (model_version)""", "request_metrics"))
+def rollback_decisions(t):
+    m = FX.request_metrics(t)
+    r = P.rollback_decisions(m, _activations(m), ROLLBACK_TEST)
+    return r.select("request_id", "model_version", "request_count", F.round("error_rate", 6).alias("error_rate"), "reason")
+
+
+@register("latency_report", operators=("A13",), sql=FX.with_fixtures("""
+SELECT model_version, count(*) AS requests,
+       round(quantile_disc(latency_ms, 0.5), 3) AS p50_ms, round(quantile_disc(latency_ms, 0.95), 3) AS p95_ms,
+       round(quantile_disc(latency_ms, 0.99), 3) AS p99_ms, round(avg(latency_ms), 3) AS mean_ms,
+       round(min(latency_ms), 3) AS min_ms, round(max(latency_ms), 3) AS max_ms, count(*) < 100 AS p99_is_max
+FROM request_metrics GROUP BY model_version""", "request_metrics"))
+def latency_report(t):
+    from embdrift.operators.reports import latency_report as lr
+    return lr(FX.request_metrics(t), ["model_version"], "latency_ms")
+
+
+def _hour_windows(t):
+    e = t.events
+    h = F.date_trunc("hour", "ts")
+    return e.groupBy(h.alias("window_start")).agg(F.count("*").alias("document_count")).select(
+        F.unix_seconds("window_start").alias("window_id"), "window_start",
+        (F.col("window_start") + F.expr("INTERVAL 1 HOUR")).alias("window_end"), "document_count")
+
+
+@register("linguistic_overlap", operators=("J6",), sql=FX.with_fixtures("""
+WITH hw AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_id, date_trunc('hour', ts) AS ws,
+                   date_trunc('hour', ts) + INTERVAL 1 HOUR AS we FROM events GROUP BY 1, 2, 3)
+SELECT hw.window_id,
+       (SELECT composite_score FROM linguistic_windows l WHERE l.window_end >= hw.ws AND l.window_start <= hw.we
+        ORDER BY l.window_end DESC, l.window_start DESC, l.composite_score DESC LIMIT 1) AS linguistic_drift
+FROM hw""", "linguistic_windows"))
+def linguistic_overlap(t):
+    r = P.latest_overlapping(_hour_windows(t), FX.linguistic_windows(t))
+    return r.select("window_id", "linguistic_drift")
+
+
+@register("admit_training", operators=("G5",), sql=FX.with_fixtures("""
+WITH act AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
+dj AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE trigger = 'DRIFT_ALERT' GROUP BY 1),
+x AS (SELECT a.window_id, a.now, act.job_id AS active_job, dj.queued_at AS recent_ts,
+             a.window_id IN (SELECT window_id FROM training_jobs WHERE trigger = 'DRIFT_ALERT') AS dup
+      FROM alerts a ASOF LEFT JOIN act ON a.now >= act.queued_at ASOF LEFT JOIN dj ON a.now >= dj.queued_at)
+SELECT window_id,
+       CASE WHEN dup THEN 'window_has_job' WHEN active_job IS NOT NULL THEN 'training_in_progress'
+            WHEN recent_ts IS NOT NULL AND recent_ts >= now - INTERVAL 10 MINUTE THEN 'cooldown_active'
+            ELSE 'accepted' END AS reason
+FROM x""", "alerts", "training_jobs"))
+def admit_training(t):
+    return P.admit_training(FX.alerts(t), FX.training_jobs(t)).select("window_id", "reason")
+
+
+@register("link_signals", operators=("J14",), sql=FX.with_fixtures("""
+WITH act AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
+sig AS (SELECT epoch(window_start)::BIGINT AS window_id, window_end FROM linguistic_windows)
+SELECT s.window_id, act.job_id AS training_job_id, 1.0 AS signal_weight
+FROM sig s ASOF JOIN act ON s.window_end >= act.queued_at""", "linguistic_windows", "training_jobs"))
+def link_signals(t):
+    sig = FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
+    return P.link_signals(sig, FX.training_jobs(t)).select("window_id", "training_job_id", "signal_weight")
+
+
+@register("attach_latest_breach", operators=("J13",), sql=None)
+def attach_latest_breach(t):
+    rep = D.drift_report(FX.embedding_arrivals_shifted(t)).withColumn(
+        "window_id", F.unix_seconds("window_start"))
+    sig = FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
+    return P.attach_latest_breach(sig, rep).select("window_id", "drift_window_id", "drift_window_start")
