@@ -1 +1,173 @@
-"""Queries registered in this domain."""
+"""Governance queries: retention, constraint audit, registry fold, activations, listings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from embdrift import config
+from embdrift.functions import text as TX
+from embdrift.operators import governance as G
+from embdrift.operators import ingest as I
+from embdrift.plans.catalog import register
+from embdrift.sources import fixtures as FX
+
+NOW = "2024-02-15 00:00:00"
+
+
+def _retention_tables(t):
+    return {
+        "embeddings": (FX.embedding_arrivals(t), "created_at", config.RETENTION_EMBEDDINGS_DAYS),
+        "linguistic_windows": (FX.linguistic_windows(t), "window_end", config.RETENTION_WINDOWS_DAYS),
+        "training_jobs": (FX.training_jobs(t), "queued_at", config.RETENTION_JOBS_DAYS),
+    }
+
+
+@register("retention_counts", operators=("G1",), sql=FX.with_fixtures(f"""
+SELECT 'embeddings' AS table_name, 90 AS max_age_days,
+       CAST(sum(CASE WHEN created_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS BIGINT) AS deleted,
+       CAST(sum(CASE WHEN created_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS BIGINT) AS kept
+FROM embedding_arrivals
+UNION ALL
+SELECT 'linguistic_windows', 30,
+       CAST(sum(CASE WHEN window_end < TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(sum(CASE WHEN window_end >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN 1 ELSE 0 END) AS BIGINT)
+FROM linguistic_windows
+UNION ALL
+SELECT 'training_jobs', 365,
+       CAST(sum(CASE WHEN queued_at < TIMESTAMP '{NOW}' - INTERVAL 365 DAY THEN 1 ELSE 0 END) AS BIGINT),
+       CAST(sum(CASE WHEN queued_at >= TIMESTAMP '{NOW}' - INTERVAL 365 DAY THEN 1 ELSE 0 END) AS BIGINT)
+FROM training_jobs""", "embedding_arrivals", "linguistic_windows", "training_jobs"))
+def retention_counts(t):
+    return G.retention_counts(_retention_tables(t), NOW)
+
+
+_KEY_SQL = ("sha256(concat_ws(':', source, external_id, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || "
+            "CASE WHEN epoch_us(occurred_at) % 1000000 = 0 THEN '' ELSE '.' || "
+            "lpad(CAST(epoch_us(occurred_at) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'))")
+
+
+@register("constraint_audit", operators=("G2",), sql=FX.with_fixtures(f"""
+WITH k AS (SELECT *, {_KEY_SQL} AS idempotency_key, sha256(text) AS content_hash FROM incoming_docs),
+st AS (SELECT registry, version, arg_max(status, ts * 10 + seq) AS status FROM
+         (SELECT registry, version, status, epoch(ts)::BIGINT AS ts, seq FROM model_events) GROUP BY ALL)
+SELECT 'documents' AS table_name, 'digest_format' AS rule,
+       CAST(sum(CASE WHEN NOT regexp_full_match(idempotency_key, '[0-9a-f]{{64}}')
+                       OR NOT regexp_full_match(content_hash, '[0-9a-f]{{64}}') THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM k
+UNION ALL SELECT 'documents', 'non_empty_text', CAST(sum(CASE WHEN length(text) = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM k
+UNION ALL SELECT 'documents', 'unique_idempotency_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+          FROM (SELECT count(*) AS n FROM k GROUP BY idempotency_key)
+UNION ALL SELECT 'documents', 'unique_source_external_id', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+          FROM (SELECT count(*) AS n FROM k GROUP BY source, external_id)
+UNION ALL SELECT 'embeddings', 'vector_width', CAST(sum(CASE WHEN len(vector) <> 64 THEN 1 ELSE 0 END) AS BIGINT)
+          FROM embedding_arrivals
+UNION ALL SELECT 'embeddings', 'unique_document', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+          FROM (SELECT count(*) AS n FROM embedding_arrivals GROUP BY document_id)
+UNION ALL SELECT 'embeddings', 'document_exists', count(*)
+          FROM embedding_arrivals e WHERE e.document_id NOT IN (SELECT id FROM docs)
+UNION ALL SELECT 'linguistic_windows', 'score_range',
+          CAST(sum(CASE WHEN composite_score < 0 OR composite_score > 1 THEN 1 ELSE 0 END) AS BIGINT) FROM linguistic_windows
+UNION ALL SELECT 'linguistic_windows', 'end_after_start',
+          CAST(sum(CASE WHEN window_end <= window_start THEN 1 ELSE 0 END) AS BIGINT) FROM linguistic_windows
+UNION ALL SELECT 'model_versions', 'one_active_per_registry', CAST(coalesce(sum(n - 1), 0) AS BIGINT)
+          FROM (SELECT count(*) AS n FROM st WHERE status = 'ACTIVE' GROUP BY registry)""",
+    "incoming_docs", "embedding_arrivals", "linguistic_windows", "model_events"))
+def constraint_audit(t):
+    k = I.with_keys(FX.incoming_docs(t))
+    hexd = "^[0-9a-f]{64}$"
+    docs_rules = G.audit_rules(k, "documents", {
+        "digest_format": ~F.col("idempotency_key").rlike(hexd) | ~F.col("content_hash").rlike(hexd),
+        "non_empty_text": F.length("text") == 0})
+    e = FX.embedding_arrivals(t)
+    lw = FX.linguistic_windows(t)
+    raw_state = FX.model_events(t).groupBy("registry", "version").agg(
+        F.max_by("status", F.struct("ts", "seq")).alias("status"))
+    parts = [
+        docs_rules,
+        G.audit_unique(k, "documents", ["idempotency_key"], "unique_idempotency_key"),
+        G.audit_unique(k, "documents", ["source", "external_id"], "unique_source_external_id"),
+        G.audit_rules(e, "embeddings", {"vector_width": F.size("vector") != 64}),
+        G.audit_unique(e, "embeddings", ["document_id"], "unique_document"),
+        G.audit_fk(e, FX.docs(t), "document_id", "id", "embeddings", "document_exists"),
+        G.audit_rules(lw, "linguistic_windows", {
+            "score_range": (F.col("composite_score") < 0) | (F.col("composite_score") > 1),
+            "end_after_start": F.col("window_end") <= F.col("window_start")}),
+        G.audit_unique(raw_state.filter(F.col("status") == "ACTIVE"), "model_versions", ["registry"],
+                       "one_active_per_registry"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("registry_state", operators=("G3",), sql=FX.with_fixtures("""
+WITH cur AS (SELECT registry, version, status, ts AS status_ts FROM model_events
+             QUALIFY row_number() OVER (PARTITION BY registry, version ORDER BY ts DESC, seq DESC) = 1),
+act AS (SELECT registry, arg_max(version, epoch(status_ts)::VARCHAR || '|' || version) AS a FROM (
+          SELECT * FROM cur WHERE status = 'ACTIVE'
+          QUALIFY row_number() OVER (PARTITION BY registry ORDER BY status_ts DESC, version DESC) = 1) GROUP BY registry)
+SELECT cur.registry, cur.version,
+       CASE WHEN cur.status = 'ACTIVE' AND cur.version <> act.a THEN 'PASSED' ELSE cur.status END AS status
+FROM cur LEFT JOIN act USING (registry)""", "model_events"))
+def registry_state(t):
+    return G.registry_state(FX.model_events(t)).select("registry", "version", "status")
+
+
+@register("activation_history", operators=("W4",), sql=FX.with_fixtures("""
+SELECT registry, version, ts AS activated_at,
+       CASE WHEN lag(version) OVER w <> version THEN lag(version) OVER w END AS previous_version
+FROM model_events WHERE status = 'ACTIVE'
+WINDOW w AS (PARTITION BY registry ORDER BY ts, version)""", "model_events"))
+def activation_history(t):
+    return G.activation_history(FX.model_events(t)).select("registry", "version", "activated_at", "previous_version")
+
+
+def _requests(t):
+    ev = FX.model_events(t)
+    return ev.filter(F.col("status") == "PASSED").select(
+        "registry", "version", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+
+
+@register("activation_events", operators=("G4",), sql=FX.with_fixtures("""
+WITH req AS (SELECT registry, version, ts + INTERVAL 1 DAY AS ts FROM model_events WHERE status = 'PASSED'),
+acts AS (SELECT registry, ats, max(version) AS prev_version FROM (
+           SELECT registry, version, ts AS ats FROM model_events WHERE status = 'ACTIVE'
+           UNION ALL SELECT registry, version, ts FROM req) GROUP BY registry, ats),
+p AS (SELECT r.registry, r.version, r.ts, a.prev_version FROM req r
+      ASOF LEFT JOIN acts a ON r.registry = a.registry AND r.ts > a.ats)
+SELECT registry, version, 'ACTIVE' AS status, ts FROM p
+UNION ALL
+SELECT registry, prev_version, 'PASSED', ts FROM p WHERE prev_version IS NOT NULL AND prev_version <> version""",
+    "model_events"))
+def activation_events(t):
+    return G.activation_events(_requests(t), FX.model_events(t)).select("registry", "version", "status", "ts")
+
+
+@register("latest_jobs", operators=("T1",), sql=FX.with_fixtures("""
+SELECT job_id, queued_at, status FROM training_jobs ORDER BY queued_at DESC, job_id DESC LIMIT 20""", "training_jobs"))
+def latest_jobs(t):
+    return G.latest(FX.training_jobs(t), "queued_at", 20, tie="job_id").select("job_id", "queued_at", "status")
+
+
+@register("linguistic_summary", operators=("T3",), sql=FX.with_fixtures("""
+SELECT count(*) AS window_count, arg_max(window_start, window_end) AS latest_window_start,
+       max(window_end) AS latest_window_end, arg_max(composite_score, window_end) AS latest_composite_score
+FROM linguistic_windows""", "linguistic_windows"))
+def linguistic_summary(t):
+    return G.linguistic_summary(FX.linguistic_windows(t))
+
+
+@register("job_lookup", operators=("T4",), sql=FX.with_fixtures("""
+SELECT job_id, trigger, status, queued_at FROM training_jobs WHERE job_id = 7""", "training_jobs"))
+def job_lookup(t):
+    return G.lookup(FX.training_jobs(t), "job_id", 7).select("job_id", "trigger", "status", "queued_at")
+
+
+@register("totals", operators=("A4",), sql=FX.with_fixtures("""
+SELECT (SELECT count(*) FROM documents) AS total_documents, (SELECT count(*) FROM embeddings) AS total_embeddings,
+       (SELECT count(*) FROM linguistic_windows) AS linguistic_windows""", "linguistic_windows"))
+def totals(t):
+    lw = FX.linguistic_windows(t)
+    return lw.agg(F.count("*").alias("linguistic_windows")).select(
+        t.documents.select(F.count("*")).scalar().alias("total_documents"),
+        t.embeddings.select(F.count("*")).scalar().alias("total_embeddings"), "linguistic_windows")
