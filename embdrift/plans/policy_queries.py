@@ -148,3 +148,26 @@ def attach_latest_breach(t):
         "window_id", F.unix_seconds("window_start"))
     sig = FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
     return P.attach_latest_breach(sig, rep).select("window_id", "drift_window_id", "drift_window_start")
+
+
+@register("drift_alert_payloads", operators=("S4", "ST8", "P2"), sql=FX.with_fixtures(_ASOF + """,
+x AS (SELECT a.*, l.last_train_time, d.trains_today, coalesce(a.linguistic_drift, 0.0) AS ling
+      FROM alerts a JOIN lastj l USING (window_id) JOIN today d USING (window_id)),
+y AS (SELECT *, embedding_drift >= 0.08 AS eh, ling >= 0.6 AS lh,
+             CASE WHEN document_count < 100 THEN 'insufficient_documents'
+                  WHEN NOT (embedding_drift >= 0.08) AND NOT (ling >= 0.6) THEN 'below_drift_thresholds'
+                  WHEN last_train_time IS NOT NULL AND last_train_time >= now - INTERVAL 6 HOUR THEN 'cooldown_active'
+                  WHEN trains_today >= 3 THEN 'daily_cap_reached'
+                  ELSE 'accepted' END AS reason FROM x)
+SELECT 'FIVE_MIN' AS key,
+       '{"window_id":"' || CAST(window_id AS VARCHAR) || '","window_size":"FIVE_MIN","drift_score":' ||
+       CAST(embedding_drift AS VARCHAR) ||
+       CASE WHEN linguistic_drift IS NULL THEN '' ELSE ',"linguistic_drift_score":' || CAST(linguistic_drift AS VARCHAR) END ||
+       ',"threshold":0.08,"priority":"' ||
+       CASE WHEN eh AND lh THEN 'dual_signal_high' WHEN eh THEN 'embedding_drift' ELSE 'linguistic_drift' END ||
+       '","timestamp":"' || strftime(now, '%Y-%m-%dT%H:%M:%S') || '+00:00"}' AS value
+FROM y WHERE reason = 'accepted'""", "alerts", "training_jobs"))
+def drift_alert_payloads(t):
+    from embdrift.sources.io import drift_alert_payloads as payloads
+    r = P.throttle_alerts(FX.alerts(t), FX.training_jobs(t)).filter("accepted")
+    return payloads(r.withColumnRenamed("embedding_drift", "drift_score"))
