@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Java and RE2 both accept, so Spark and the DuckDB oracle split identically.
 PY_WHITESPACE = (r"[\t\n\x{0b}\x{0c}\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+NON_WHITESPACE = "[^" + PY_WHITESPACE[1:]
+
 # Token and proper-noun patterns of the text-drift analyzer.
 TOKEN_PATTERN = r"[A-Za-z][A-Za-z0-9_-]{2,}"
 ENTITY_PATTERN = r"\b(?:[A-Z][A-Za-z0-9_-]{2,})(?:\s+(?:[A-Z][A-Za-z0-9_-]{2,}))*\b"

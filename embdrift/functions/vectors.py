@@ -21,17 +21,31 @@ def norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """Divide by the L2 norm; a zero vector is divided by 1 (stays zero)."""
+    """Divide by the L2 norm; a zero vector is divided by 1 (stays zero).
+
+    The norm is the accumulator of one ``aggregate`` and the division runs in
+    its finish lambda, so the norm is computed once per row (not per element).
+    """
     v = _c(v)
-    n = norm(v)
-    divisor = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(v, lambda x: x / divisor)
+
+    def finish(acc):
+        n = F.sqrt(acc)
+        d = F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return F.transform(v, lambda x: x / d)
+
+    return F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x, finish)
 
 
 def cosine_similarity(a, b) -> Column:
     """NULL when either side has zero norm (the reference yields NaN)."""
-    na, nb = norm(a), norm(b)
-    return F.when((na == 0) | (nb == 0), F.lit(None).cast("double")).otherwise(dot(a, b) / (na * nb))
+    def finish(acc):
+        return F.when((acc["p"] == 0) | (acc["q"] == 0), F.lit(None).cast("double")).otherwise(
+            acc["d"] / (F.sqrt(acc["p"]) * F.sqrt(acc["q"])))
+    z = F.zip_with(_c(a), _c(b), lambda x, y: F.struct((x * y).alias("d"), (x * x).alias("p"), (y * y).alias("q")))
+    zero = F.struct(F.lit(0.0).cast("double").alias("d"), F.lit(0.0).cast("double").alias("p"),
+                    F.lit(0.0).cast("double").alias("q"))
+    return F.aggregate(z, zero, lambda acc, e: F.struct((acc["d"] + e["d"]).alias("d"), (acc["p"] + e["p"]).alias("p"),
+                                                         (acc["q"] + e["q"]).alias("q")), finish)
 
 
 def cosine_distance(a, b) -> Column:
@@ -40,8 +54,9 @@ def cosine_distance(a, b) -> Column:
 
 
 def drift_score(a, b) -> Column:
-    """P10: min(cosine distance, 1)."""
-    return F.least(cosine_distance(a, b), F.lit(1.0))
+    """P10: min(cosine distance, 1); NULL stays NULL (``least`` would skip it)."""
+    d = cosine_distance(a, b)
+    return F.when(d > 1.0, F.lit(1.0)).otherwise(d)
 
 
 def clamp01(c) -> Column:

@@ -31,21 +31,67 @@ G = ("wid",)
 
 
 def non_blank(sides: DataFrame, text_col: str = "text") -> DataFrame:
-    """Blank texts are dropped before any profile is built."""
-    return sides.filter(TX.strip_ws(text_col) != "")
+    """Blank texts are dropped before any profile is built (a non-whitespace
+    character anywhere; no full-text strip)."""
+    return sides.filter(F.col(text_col).rlike(TX.NON_WHITESPACE))
+
+
+class Sides:
+    """Which documents form the baseline and the window of each comparison ``wid``.
+
+    ``split``: ``docs`` carry (wid, side) already (one resolved window, L1/L2).
+    ``prev``: ``docs`` carry their own tumbling window id; each window is
+    compared with the window before it (L3).  Text is tokenised once per
+    document; only the aggregated rows are copied to the two sides
+    (``expand``), so the texts are never duplicated.
+    """
+
+    def __init__(self, docs: DataFrame, mode: str = "split", min_baseline: int = 0, min_window: int = 0):
+        self.docs = non_blank(docs)
+        self.mode = mode
+        self.keys = ["wid", "side"] if mode == "split" else ["wid"]
+        self.valid = None
+        if mode == "prev":
+            n = self.docs.groupBy("wid").agg(F.count("*").alias("n"))
+            per = self.expand_raw(n).groupBy("wid").agg(
+                F.sum(F.when(F.col("side") == BASELINE, F.col("n")).otherwise(0)).alias("nb"),
+                F.sum(F.when(F.col("side") == WINDOW, F.col("n")).otherwise(0)).alias("nw"))
+            self.valid = per.filter((F.col("nb") >= min_baseline) & (F.col("nw") >= min_window)).select("wid")
+
+    def expand_raw(self, df: DataFrame) -> DataFrame:
+        if self.mode == "split":
+            return df
+        # One branch, rows copied by explode (a union would evaluate the input twice).
+        c = df.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+        return (c.withColumn("wid", F.col("wid") + F.col("_copy"))
+                 .withColumn("side", F.when(F.col("_copy") == 0, F.lit(WINDOW)).otherwise(F.lit(BASELINE)))
+                 .drop("_copy"))
+
+    def expand(self, df: DataFrame) -> DataFrame:
+        out = self.expand_raw(df)
+        return out.join(self.valid, "wid", "left_semi") if self.valid is not None else out
+
+    def doc_sides(self) -> DataFrame:
+        """(wid, side, doc_id) membership rows."""
+        return self.expand(self.docs.select(*self.keys, "doc_id"))
+
+    def doc_counts(self) -> DataFrame:
+        """(wid, side, n_docs)."""
+        c = self.docs.groupBy(*self.keys).agg(F.count("*").alias("n_docs"))
+        return self.expand(c)
 
 
 # ------------------------------------------------------------------ A5
-def term_counts(sides: DataFrame) -> DataFrame:
+def term_counts(sides: Sides) -> DataFrame:
     """A5 vocabulary: (wid, side, term, n) from P17 tokens."""
-    t = sides.select("wid", "side", F.explode(TX.tokens("text")).alias("term"))
-    return t.groupBy("wid", "side", "term").agg(F.count("*").alias("n"))
+    t = sides.docs.select(*sides.keys, F.explode(TX.tokens("text")).alias("term"))
+    return sides.expand(t.groupBy(*sides.keys, "term").agg(F.count("*").alias("n")))
 
 
-def entity_counts(sides: DataFrame) -> DataFrame:
+def entity_counts(sides: Sides) -> DataFrame:
     """A5 entities: (wid, side, entity, n) from P18 proper-noun runs."""
-    t = sides.select("wid", "side", F.explode(TX.proper_noun_runs("text")).alias("entity"))
-    return t.groupBy("wid", "side", "entity").agg(F.count("*").alias("n"))
+    t = sides.docs.select(*sides.keys, F.explode(TX.proper_noun_runs("text")).alias("entity"))
+    return sides.expand(t.groupBy(*sides.keys, "entity").agg(F.count("*").alias("n")))
 
 
 # ------------------------------------------------------------------ J9
@@ -110,34 +156,37 @@ def _topic_terms(df: DataFrame, stop: Sequence[str], ngrams: bool) -> DataFrame:
     return bi.withColumn("_terms", F.concat("_kept", "_bi"))
 
 
-def tfidf_rows(sides: DataFrame, keys: Sequence[str], max_features: int, ngrams: bool,
+def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
                stop: Sequence[str] | None = None) -> DataFrame:
-    """Row-normalised TF-IDF restricted to the ``max_features`` most frequent terms per group.
+    """Row-normalised TF-IDF restricted to the ``max_features`` most frequent
+    terms of each group ((wid, side) when ``by_side``, else wid).
 
-    Returns (keys..., doc_id, term, weight) for non-zero weights, plus the
-    per-group document count ``n_docs``.
+    Returns (group..., doc_id, term, weight) for non-zero weights.
     """
     stop = tuple(stop if stop is not None else stopwords.english())
-    keys = list(keys)
-    terms = _topic_terms(sides.select(*keys, "doc_id", "text"), stop, ngrams)
-    dt = (terms.select(*keys, "doc_id", F.explode("_terms").alias("term"))
-          .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
+    keys = ["wid", "side"] if by_side else ["wid"]
+    terms = _topic_terms(sides.docs.select(*sides.keys, "doc_id", "text"), stop, ngrams)
+    dt = (terms.select(*sides.keys, "doc_id", F.explode("_terms").alias("term"))
+          .groupBy(*sides.keys, "doc_id", "term").agg(F.count("*").alias("tf")))
+    dt = sides.expand(dt)
+    if not by_side:
+        dt = dt.drop("side")
     cf = dt.groupBy(*keys, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
     feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).drop("_r")
-    ndocs = sides.groupBy(*keys).agg(F.count("*").alias("n_docs"))
+    ndocs = sides.doc_counts().groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"))
     feats = feats.join(ndocs, keys).withColumn(
         "idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    x = dt.join(feats.select(*keys, "term", "idf", "n_docs"), [*keys, "term"])
+    x = dt.join(feats.select(*keys, "term", "idf"), [*keys, "term"])
     x = x.withColumn("v", F.col("tf") * F.col("idf"))
     nrm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys, "doc_id")))
-    return x.select(*keys, "doc_id", "term", (F.col("v") / nrm).alias("weight"), "n_docs")
+    return x.select(*keys, "doc_id", "term", (F.col("v") / nrm).alias("weight"))
 
 
-def keyword_topics(sides: DataFrame, max_features: int = 12, top: int = 6,
+def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
                    stop: Sequence[str] | None = None) -> DataFrame:
     """(wid, side, label, share): best ``top`` TF-IDF column sums, as shares."""
-    rows = tfidf_rows(sides, ["wid", "side"], max_features, True, stop)
+    rows = tfidf_rows(sides, True, max_features, True, stop)
     col = rows.groupBy("wid", "side", "term").agg(F.sum("weight").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("wid", "side").orderBy(F.desc("weight"), F.asc("term")))
     best = col.withColumn("_r", rank).filter(F.col("_r") <= top)
@@ -167,15 +216,15 @@ def topic_wasserstein(topics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A10
-def document_centroid_distance(sides: DataFrame, max_features: int = 128,
+def document_centroid_distance(sides: Sides, max_features: int = 128,
                                stop: Sequence[str] | None = None) -> DataFrame:
     """A10: joint unigram TF-IDF per window, mean row per side, 1 − cosine, clamped."""
-    rows = tfidf_rows(sides, ["wid"], max_features, False, stop)
-    side_of = sides.select("wid", "doc_id", "side")
-    n_side = sides.groupBy("wid").agg(
-        F.sum((F.col("side") == BASELINE).cast("long")).alias("nb"),
-        F.sum((F.col("side") == WINDOW).cast("long")).alias("nw"))
-    r = rows.drop("n_docs").join(side_of, ["wid", "doc_id"])
+    rows = tfidf_rows(sides, False, max_features, False, stop)
+    nd = sides.doc_counts()
+    n_side = nd.groupBy("wid").agg(
+        F.sum(F.when(F.col("side") == BASELINE, F.col("n_docs")).otherwise(0)).alias("nb"),
+        F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).alias("nw"))
+    r = rows.join(sides.doc_sides(), ["wid", "doc_id"])
     m = r.groupBy("wid", "term").agg(
         F.sum(F.when(F.col("side") == BASELINE, F.col("weight")).otherwise(0.0)).alias("sb"),
         F.sum(F.when(F.col("side") == WINDOW, F.col("weight")).otherwise(0.0)).alias("sw"))
@@ -227,7 +276,7 @@ def emerging_topics(topics: DataFrame, limit: int = 8, min_gain: float = 0.05) -
 
 
 # ------------------------------------------------------------------ L2 / L3
-def linguistic_report(sides: DataFrame, threshold: float = config.LINGUISTIC_THRESHOLD,
+def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHOLD,
                       weights: config.LinguisticWeights = config.LinguisticWeights(),
                       lists: bool = True) -> DataFrame:
     """L2: one report row per window id.
@@ -236,14 +285,17 @@ def linguistic_report(sides: DataFrame, threshold: float = config.LINGUISTIC_THR
     composite > threshold; scores rounded to 6 digits.  The topic distance
     falls back to A10 when neither side has keyword topics.
     """
-    s = non_blank(sides)
+    s = sides
     terms = align_counts(term_counts(s), "term")
     ents = align_counts(entity_counts(s), "entity")
     topics = keyword_topics(s)
-    wids = s.groupBy("wid").agg(F.sum((F.col("side") == WINDOW).cast("long")).alias("document_count"))
+    wids = s.doc_counts().groupBy("wid").agg(
+        F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).cast("long").alias("document_count"))
     ent = js_distance(ents)
     top = topic_wasserstein(topics)
-    fallback = document_centroid_distance(s)
+    # A10 only where neither side has keyword topics: restrict the documents first.
+    need = wids.select("wid").join(topics.select("wid").distinct(), "wid", "left_anti")
+    fallback = document_centroid_distance(_restrict(s, need))
     chi = vocab_chi2(terms)
     r = (wids.join(ent, "wid", "left").join(top, "wid", "left").join(fallback, "wid", "left")
              .join(chi.select("wid", "pvalue"), "wid", "left"))
@@ -271,25 +323,30 @@ def linguistic_report(sides: DataFrame, threshold: float = config.LINGUISTIC_THR
                             ["term", "baseline_count", "window_count", "score"]), "wid", "left"))
 
 
+def _restrict(s: Sides, wids: DataFrame) -> Sides:
+    """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising)."""
+    r = Sides.__new__(Sides)
+    r.mode, r.keys, r.valid = s.mode, s.keys, s.valid
+    if s.mode == "split":
+        r.docs = s.docs.join(wids, "wid", "left_semi")
+    else:
+        own = wids.unionByName(wids.select((F.col("wid") - 1).alias("wid"))).distinct()
+        r.docs = s.docs.join(own, "wid", "left_semi")
+        r.valid = wids if s.valid is None else s.valid.join(wids, "wid", "left_semi")
+    return r
+
+
 def window_sides(docs: DataFrame, width_minutes: int, ts_col: str = "occurred_at", id_col: str = "id",
-                 min_baseline: int = MIN_BASELINE_DOCUMENTS, min_window: int = MIN_WINDOW_DOCUMENTS) -> DataFrame:
+                 min_baseline: int = MIN_BASELINE_DOCUMENTS, min_window: int = MIN_WINDOW_DOCUMENTS) -> Sides:
     """L3 sides: every tumbling window against the window before it.
 
-    Each document appears twice (as window of its own slot, as baseline of the
-    next), so the input grows 2x, not with the number of windows.  Windows
-    short of the minimum document counts are left out, as the reference skips them.
+    Windows short of the minimum document counts are left out, as the
+    reference skips them.
     """
     width = width_minutes * 60
     wid = F.floor(F.unix_seconds(ts_col) / width).cast("long")
-    base = non_blank(docs).select(wid.alias("wid"), F.col(id_col).alias("doc_id"), "text")
-    sides = (base.select("wid", F.lit(WINDOW).alias("side"), "doc_id", "text")
-             .unionByName(base.select((F.col("wid") + 1).alias("wid"), F.lit(BASELINE).alias("side"),
-                                      "doc_id", "text")))
-    ok = sides.groupBy("wid").agg(
-        F.sum((F.col("side") == BASELINE).cast("long")).alias("nb"),
-        F.sum((F.col("side") == WINDOW).cast("long")).alias("nw")
-    ).filter((F.col("nb") >= min_baseline) & (F.col("nw") >= min_window)).select("wid")
-    return sides.join(ok, "wid", "left_semi")
+    base = docs.select(wid.alias("wid"), F.col(id_col).alias("doc_id"), "text")
+    return Sides(base, "prev", min_baseline, min_window)
 
 
 def linguistic_windows(docs: DataFrame, width_minutes: int = 60, threshold: float = config.LINGUISTIC_THRESHOLD,

@@ -211,7 +211,7 @@ def linguistic_report(t):
     d = FX.docs(t)
     now = d.agg(F.max("occurred_at") + F.expr("INTERVAL 1 MINUTE")).scalar()
     sides = L.resolve_window(d, now, duration_minutes=120)
-    rep = L.linguistic_report(sides)
+    rep = L.linguistic_report(L.Sides(sides, "split"))
     return rep.select(
         sides.select(F.min("window_start")).scalar().alias("window_start"),
         sides.select(F.min("window_end")).scalar().alias("window_end"),

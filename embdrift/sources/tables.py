@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from embdrift.session import ensure_utc
+from embdrift.session import ensure_utc, ship_package
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -44,6 +44,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
