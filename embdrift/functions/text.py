@@ -96,3 +96,14 @@ def align_floor(ts, step_seconds: int) -> Column:
     """Floor epoch seconds to a multiple of ``step_seconds``."""
     s = F.unix_seconds(_c(ts))
     return F.timestamp_seconds(s - F.pmod(s, F.lit(step_seconds)))
+
+
+def explode_tokens(arr, name: str):
+    """Explode a per-document token array into rows, evaluated once per document.
+
+    ``explode`` makes the optimizer infer ``size(arr) > 0`` and push it below
+    earlier operators, which evaluates the whole tokenizer twice; the outer
+    form plus a NULL filter keeps one evaluation.
+    Returns (generator column, filter condition).
+    """
+    return F.explode_outer(arr).alias(name), F.col(name).isNotNull()

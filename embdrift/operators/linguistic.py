@@ -84,13 +84,15 @@ class Sides:
 # ------------------------------------------------------------------ A5
 def term_counts(sides: Sides) -> DataFrame:
     """A5 vocabulary: (wid, side, term, n) from P17 tokens."""
-    t = sides.docs.select(*sides.keys, F.explode(TX.tokens("text")).alias("term"))
+    gen, ok = TX.explode_tokens(TX.tokens("text"), "term")
+    t = sides.docs.select(*sides.keys, gen).filter(ok)
     return sides.expand(t.groupBy(*sides.keys, "term").agg(F.count("*").alias("n")))
 
 
 def entity_counts(sides: Sides) -> DataFrame:
     """A5 entities: (wid, side, entity, n) from P18 proper-noun runs."""
-    t = sides.docs.select(*sides.keys, F.explode(TX.proper_noun_runs("text")).alias("entity"))
+    gen, ok = TX.explode_tokens(TX.proper_noun_runs("text"), "entity")
+    t = sides.docs.select(*sides.keys, gen).filter(ok)
     return sides.expand(t.groupBy(*sides.keys, "entity").agg(F.count("*").alias("n")))
 
 
@@ -161,37 +163,69 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     """Row-normalised TF-IDF restricted to the ``max_features`` most frequent
     terms of each group ((wid, side) when ``by_side``, else wid).
 
+    Two passes over the tokens: (1) corpus frequency per (group, term),
+    map-side combined, picks the features; (2) per-document counts only for
+    tokens of those features (a join with the small feature table), so the
+    full (document, term) table is never shuffled.
     Returns (group..., doc_id, term, weight) for non-zero weights.
     """
     stop = tuple(stop if stop is not None else stopwords.english())
     keys = ["wid", "side"] if by_side else ["wid"]
-    terms = _topic_terms(sides.docs.select(*sides.keys, "doc_id", "text"), stop, ngrams)
-    dt = (terms.select(*sides.keys, "doc_id", F.explode("_terms").alias("term"))
-          .groupBy(*sides.keys, "doc_id", "term").agg(F.count("*").alias("tf")))
-    dt = sides.expand(dt)
-    if not by_side:
-        dt = dt.drop("side")
-    cf = dt.groupBy(*keys, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    own = sides.keys
+    terms = _topic_terms(sides.docs.select(*own, "doc_id", "text"), stop, ngrams)
+    gen, ok = TX.explode_tokens(F.col("_terms"), "term")
+    ex = terms.select(*own, "doc_id", gen).filter(ok)
+    cf_own = ex.groupBy(*own, "term").agg(F.count("*").alias("cf"))
+    if by_side and sides.mode == "split":
+        cf = cf_own
+    else:
+        cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
-    feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).drop("_r")
+    feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).select(*keys, "term")
+    if by_side and sides.mode == "split":
+        dt = ex.join(feats, [*keys, "term"]).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
+    else:
+        # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
+        need = feats.select("wid", "term").unionByName(
+            feats.select((F.col("wid") - 1).alias("wid"), "term")).distinct()
+        dt_own = ex.join(need, ["wid", "term"]).groupBy("wid", "doc_id", "term").agg(F.count("*").alias("tf"))
+        dt = sides.expand(dt_own)
+        if not by_side:
+            dt = dt.drop("side")
+        dt = dt.join(feats, [*keys, "term"])
+    df_ = dt.groupBy(*keys, "term").agg(F.count("*").alias("df"))
     ndocs = sides.doc_counts().groupBy(*keys).agg(F.sum("n_docs").alias("n_docs"))
-    feats = feats.join(ndocs, keys).withColumn(
-        "idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    x = dt.join(feats.select(*keys, "term", "idf"), [*keys, "term"])
-    x = x.withColumn("v", F.col("tf") * F.col("idf"))
+    idf = df_.join(ndocs, keys).select(*keys, "term",
+                                       (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = dt.join(idf, [*keys, "term"]).withColumn("v", F.col("tf") * F.col("idf"))
     nrm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*keys, "doc_id")))
     return x.select(*keys, "doc_id", "term", (F.col("v") / nrm).alias("weight"))
 
 
 def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
                    stop: Sequence[str] | None = None) -> DataFrame:
-    """(wid, side, label, share): best ``top`` TF-IDF column sums, as shares."""
-    rows = tfidf_rows(sides, True, max_features, True, stop)
+    """(wid, side, label, share): best ``top`` TF-IDF column sums, as shares.
+
+    A topic distribution depends only on the documents of one side, so it is
+    computed once per own group (a document window in backfill mode) and only
+    the <= ``top`` result rows are copied to the comparisons that use it.
+    """
+    own = Sides.__new__(Sides)
+    own.docs, own.mode, own.keys, own.valid = sides.docs, "split", sides.keys, None
+    keys = sides.keys
+    if sides.mode == "prev":
+        own.docs = sides.docs.withColumn("side", F.lit(WINDOW))
+        own.keys = ["wid", "side"]
+    rows = tfidf_rows(own, True, max_features, True, stop)
     col = rows.groupBy("wid", "side", "term").agg(F.sum("weight").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("wid", "side").orderBy(F.desc("weight"), F.asc("term")))
     best = col.withColumn("_r", rank).filter(F.col("_r") <= top)
     total = F.sum("weight").over(Window.partitionBy("wid", "side"))
-    return best.select("wid", "side", F.col("term").alias("label"), (F.col("weight") / total).alias("share"))
+    out = best.select("wid", "side", F.col("term").alias("label"), (F.col("weight") / total).alias("share"))
+    if sides.mode == "prev":
+        return sides.expand(out.drop("side"))
+    del keys
+    return out
 
 
 # ------------------------------------------------------------------ A8

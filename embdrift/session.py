@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "embdrift",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+        # Local mode runs executors inside the driver JVM: its heap is the executor memory.
+        .config("spark.driver.memory", os.environ.get("EMBDRIFT_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -19,6 +19,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Per-row text work (regex, tokenising) is CPU-bound: when a scan yields
+    fewer input splits than task slots (a small file with one row group), deal
+    the rows round-robin over twice the slots.  Large inputs already have
+    enough splits and are left alone (no extra shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots * 2)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table.
 
@@ -35,7 +49,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
         for f in df.schema.fields
     ]
-    return df.select(*casts)
+    out = df.select(*casts)
+    return spread(out) if name in TEXT_TABLES else out
 
 
 class Tables:
