@@ -162,3 +162,37 @@ def linguistic_summary(windows: DataFrame) -> DataFrame:
         "window_count", F.col("latest.window_start").alias("latest_window_start"),
         F.col("latest.window_end").alias("latest_window_end"),
         F.col("latest.composite_score").alias("latest_composite_score"))
+
+
+# ------------------------------------------------------------------ E9
+def audit_decisions(models: DataFrame, jobs: DataFrame, windows: DataFrame, served: DataFrame | None = None,
+                    gate: float = config.ACTIVATION_MIN_IMPROVEMENT) -> DataFrame:
+    """Decision audit -> violations (entity, id, rule).
+
+    models: (version, status, improvement, baseline_quality, candidate_quality);
+    jobs: (job_id, status); windows: (window_id, document_count, composite_score);
+    served: one row (served_version).  Rules: promoted <=> improvement > gate,
+    all-zero metrics are "not evaluated", served version = registry ACTIVE,
+    empty windows are not "analysed", failed jobs are flagged.
+    """
+    zero = (F.col("baseline_quality") == 0) & (F.col("candidate_quality") == 0)
+    promoted = F.col("status").isin("PASSED", "ACTIVE")
+    m = models.select(F.lit("model").alias("entity"), F.col("version").cast("string").alias("id"), F.explode(F.array_compact(F.array(
+        F.when(promoted & zero, F.lit("promoted_not_evaluated")),
+        F.when(promoted & ~zero & ~(F.col("improvement") > gate), F.lit("promoted_without_gain")),
+        F.when((F.col("status") == "REJECTED") & ~zero & (F.col("improvement") > gate), F.lit("rejected_with_gain")),
+    ))).alias("rule"))
+    j = jobs.filter(F.col("status") == "FAILED").select(F.lit("job").alias("entity"),
+                                                        F.col("job_id").cast("string").alias("id"),
+                                                        F.lit("failed_job").alias("rule"))
+    w = windows.filter((F.col("document_count") == 0) & (F.coalesce("composite_score", F.lit(0.0)) > 0)).select(
+        F.lit("window").alias("entity"), F.col("window_id").cast("string").alias("id"),
+        F.lit("empty_window_analysed").alias("rule"))
+    out = m.unionByName(j).unionByName(w)
+    if served is not None:
+        active = models.filter(F.col("status") == "ACTIVE").select(F.col("version").cast("string").alias("active"))
+        s = served.select(F.col("served_version").cast("string").alias("id")).join(
+            active, F.col("id") == F.col("active"), "left_anti")
+        out = out.unionByName(s.select(F.lit("serving").alias("entity"), "id",
+                                       F.lit("served_version_not_active").alias("rule")))
+    return out

@@ -103,7 +103,7 @@ def start_archive_stream(stream: DataFrame, path: str, checkpoint: str, availabl
 def start_alert_stream(stream: DataFrame, baseline: DataFrame, jobs: DataFrame, ling: DataFrame,
                        out_path: str, checkpoint: str, width_seconds: int = config.DRIFT_WINDOW_SECONDS,
                        watermark: str = "0 seconds", threshold: float = config.DRIFT_THRESHOLD,
-                       available_now: bool = True):
+                       available_now: bool = True, policy: config.ThrottlePolicy = config.ThrottlePolicy()):
     """ST10: vectors -> windows -> score -> linguistic score (J6) -> throttle (ST8) -> S4 payloads.
 
     One ``foreachBatch`` over finalised windows with static joins to the job
@@ -119,7 +119,7 @@ def start_alert_stream(stream: DataFrame, baseline: DataFrame, jobs: DataFrame,
         enriched = latest_overlapping(scored, ling)
         alerts = enriched.select("window_id", F.col("window_end").alias("now"), "document_count",
                                  F.col("drift_score").alias("embedding_drift"), "linguistic_drift")
-        decided = throttle_alerts(alerts, jobs).filter("accepted")
+        decided = throttle_alerts(alerts, jobs, policy).filter("accepted")
         payload = drift_alert_payloads(decided.withColumnRenamed("embedding_drift", "drift_score"),
                                        threshold=threshold)
         payload.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
