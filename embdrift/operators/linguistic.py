@@ -21,6 +21,7 @@ from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
+from embdrift.sources.tables import spread
 
 BASELINE, WINDOW = "baseline", "window"
 MIN_BASELINE_DOCUMENTS = 10
@@ -47,7 +48,8 @@ class Sides:
     """
 
     def __init__(self, docs: DataFrame, mode: str = "split", min_baseline: int = 0, min_window: int = 0):
-        self.docs = non_blank(docs)
+        kept = [c for c in docs.columns if c in ("wid", "side", "doc_id", "text")]
+        self.docs = non_blank(spread(docs.select(*kept)))
         self.mode = mode
         self.keys = ["wid", "side"] if mode == "split" else ["wid"]
         self.valid = None
