@@ -42,8 +42,9 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     times: dict[str, float] = {}
     for name in names:
-        df = runner(reg[name])(spark, sf_dir)
+        # Timed from the DataFrame build: driver-side counts and checkpoints count too.
         t0 = time.perf_counter()
+        df = runner(reg[name])(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

@@ -21,6 +21,7 @@ from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
+from embdrift.session import broadcast_bounded, materialize
 from embdrift.sources.tables import spread
 
 BASELINE, WINDOW = "baseline", "window"
@@ -52,6 +53,8 @@ class Sides:
         self.docs = non_blank(spread(docs.select(*kept)))
         self.mode = mode
         self.keys = ["wid", "side"] if mode == "split" else ["wid"]
+        # Shared by derived sides: an id-only frame (a key-column scan, no text) and its count.
+        self._groups = {"ids": docs.select("wid"), "n": None}
         self.valid = None
         if mode == "prev":
             n = self.docs.groupBy("wid").agg(F.count("*").alias("n"))
@@ -60,6 +63,14 @@ class Sides:
                 F.sum(F.when(F.col("side") == WINDOW, F.col("n")).otherwise(0)).alias("nw"))
             self.valid = per.filter((F.col("nb") >= min_baseline) & (F.col("nw") >= min_window)).select("wid")
 
+    def group_bound(self) -> int:
+        """Upper bound on (wid, side) groups of any comparison: two sides of each
+        document window and of the window after it.  One count over key columns."""
+        g = self._groups
+        if g["n"] is None:
+            g["n"] = g["ids"].distinct().count()
+        return 2 * (g["n"] + 1)
+
     def expand_raw(self, df: DataFrame) -> DataFrame:
         if self.mode == "split":
             return df
@@ -184,12 +195,17 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
         cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
     feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).select(*keys, "term")
+    # At most max_features rows per group: broadcast behind that bound, so the
+    # token rows are filtered in place instead of shuffled for the join.
+    bound = sides.group_bound() * max_features
+    feats = broadcast_bounded(feats, bound)
     if by_side and sides.mode == "split":
         dt = ex.join(feats, [*keys, "term"]).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
     else:
         # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
         need = feats.select("wid", "term").unionByName(
             feats.select((F.col("wid") - 1).alias("wid"), "term")).distinct()
+        need = broadcast_bounded(need, 2 * bound)
         dt_own = ex.join(need, ["wid", "term"]).groupBy("wid", "doc_id", "term").agg(F.count("*").alias("tf"))
         dt = sides.expand(dt_own)
         if not by_side:
@@ -214,6 +230,7 @@ def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
     """
     own = Sides.__new__(Sides)
     own.docs, own.mode, own.keys, own.valid = sides.docs, "split", sides.keys, None
+    own._groups = sides._groups
     keys = sides.keys
     if sides.mode == "prev":
         own.docs = sides.docs.withColumn("side", F.lit(WINDOW))
@@ -322,11 +339,12 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
     falls back to A10 when neither side has keyword topics.
     """
     s = sides
-    terms = align_counts(term_counts(s), "term")
-    ents = align_counts(entity_counts(s), "entity")
-    topics = keyword_topics(s)
-    wids = s.doc_counts().groupBy("wid").agg(
-        F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).cast("long").alias("document_count"))
+    # Each of these feeds two or three outputs: written once to the checkpoint folder.
+    terms = materialize(align_counts(term_counts(s), "term"))
+    ents = materialize(align_counts(entity_counts(s), "entity"))
+    topics = materialize(keyword_topics(s))
+    wids = materialize(s.doc_counts().groupBy("wid").agg(
+        F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).cast("long").alias("document_count")))
     ent = js_distance(ents)
     top = topic_wasserstein(topics)
     # A10 only where neither side has keyword topics: restrict the documents first.
@@ -362,7 +380,7 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
 def _restrict(s: Sides, wids: DataFrame) -> Sides:
     """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising)."""
     r = Sides.__new__(Sides)
-    r.mode, r.keys, r.valid = s.mode, s.keys, s.valid
+    r.mode, r.keys, r.valid, r._groups = s.mode, s.keys, s.valid, s._groups
     if s.mode == "split":
         r.docs = s.docs.join(wids, "wid", "left_semi")
     else:

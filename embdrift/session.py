@@ -86,3 +86,35 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 = broadcasts off)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
+    units = {"tb": 1 << 40, "gb": 1 << 30, "mb": 1 << 20, "kb": 1 << 10, "t": 1 << 40, "g": 1 << 30,
+             "m": 1 << 20, "k": 1 << 10, "b": 1}
+    for suffix, mult in units.items():
+        if raw.endswith(suffix):
+            return int(float(raw[: -len(suffix)]) * mult)
+    return int(raw)
+
+
+def broadcast_bounded(df, max_rows: int, row_bytes: int = 96):
+    """Broadcast ``df`` only when a proven row bound fits the session's broadcast
+    threshold; beyond it the frame is returned as is and AQE plans the join."""
+    from pyspark.sql import functions as F
+    limit = broadcast_limit(df.sparkSession)
+    if 0 < max_rows * row_bytes <= limit:
+        return F.broadcast(df)
+    return df
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and read it back (lineage cut).
+
+    Used where one intermediate feeds several outputs of a large report: the
+    consumers plan against a small scan instead of re-planning (and, after a
+    lost executor, re-running) the whole tokenising pipeline beneath it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

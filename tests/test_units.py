@@ -291,3 +291,16 @@ def test_partition_invariance(spark):
     a = sorted((r.source, round(sum(r.centroid), 9)) for r in C.centroid(e.repartition(1), ["source"]).collect())
     b = sorted((r.source, round(sum(r.centroid), 9)) for r in C.centroid(e.repartition(16), ["source"]).collect())
     assert a == b
+
+
+def test_broadcast_only_within_proven_bound(spark):
+    from embdrift.session import broadcast_bounded, broadcast_limit
+    limit = broadcast_limit(spark)
+    assert limit > 0
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    hinted = big.join(broadcast_bounded(small, 10), "k")
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    unbounded = big.join(broadcast_bounded(small, limit), "k")
+    assert "broadcast" not in unbounded._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted.count() == unbounded.count() == 10
