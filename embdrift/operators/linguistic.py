@@ -50,7 +50,7 @@ class Sides:
 
     def __init__(self, docs: DataFrame, mode: str = "split", min_baseline: int = 0, min_window: int = 0):
         kept = [c for c in docs.columns if c in ("wid", "side", "doc_id", "text")]
-        self.docs = non_blank(spread(docs.select(*kept)))
+        self.docs = non_blank(spread(docs.select(*kept), ("wid", "doc_id")))
         self.mode = mode
         self.keys = ["wid", "side"] if mode == "split" else ["wid"]
         # Shared by derived sides: an id-only frame (a key-column scan, no text) and its count.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +21,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Per-row text work (regex, tokenising) is CPU-bound: when a scan yields
     fewer input splits than task slots (a small file with one row group), deal
-    the rows round-robin over twice the slots.  Large inputs already have
-    enough splits and are left alone (no extra shuffle)."""
+    the rows over twice the slots.  Large inputs already have enough splits and
+    are left alone (no extra shuffle).
+
+    With ``order`` the rows are range-partitioned instead of round-robin, so a
+    task holds contiguous groups and its map-side combine reduces well; a
+    unique trailing column keeps a hot group splittable.
+    """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots * 2)
+        return df.repartitionByRange(slots * 2, *order) if order else df.repartition(slots * 2)
     return df
 
 
