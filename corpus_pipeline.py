@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor.
+Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and, but for the last,
+returns the columns of documents, whatever they are named.
 """
 
 from __future__ import annotations
@@ -9,11 +10,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from embdrift.llm.common import read, stored
+from embdrift.llm import compression, mixing, packing, rules, simhash, tokens
+from embdrift.llm.common import packed, read, stored, unpacked
+from embdrift.llm.queries import quality_model, quality_rules
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that fail the base rule or the learned list go."""
+    learned = quality_rules(docs, read(spark, sf_dir, "labels"))
+    stats = rules.text_stats(packed(docs, "text"))
+    return unpacked(rules.apply_rules(stats, learned).where("kept"), docs)
+
+
+def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that score below 0.3 go."""
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    return unpacked(compression.score(spark, packed(docs, "text"), model).where("score >= 0.3"), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of each group of SimHash near-duplicates the smallest doc_id stays."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents repeat, or go, so that sources come near their target weights."""
+    return mixing.repeated(mixing.mix(docs, weights=(3, 1, 2), share=1.5, max_repeat=2, whole=True), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one row per piece, with its sequence and place."""
+    return packing.pack(packing.cut_pieces(docs, tokens.vocabulary(), capacity=2048, end_id=0), capacity=2048)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", apply_quality_rules),
+    ("quality_classifier", apply_quality_classifier),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack_best_fit", pack_sequences),
+]
 
 #: The learned rules, the classifier, XXH64 and the tokenizer have no SQL form: tested by brute force.
 ORACLE_SQL: str | None = None

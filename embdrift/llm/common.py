@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from embdrift.session import checkpoint_dir, ship_package
 from embdrift.sources.tables import table_path
@@ -81,10 +80,24 @@ def bounded_sample(rows: DataFrame, per_label: int, max_chars: int, seed: int =
     return out
 
 
-def passed_through(schema: T.StructType, add: str) -> T.StructType:
-    """``schema`` and further columns; a clash of names is an error of the caller, told early."""
-    extra = T._parse_datatype_string(add)
-    clash = {f.name.lower() for f in schema} & {f.name.lower() for f in extra}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    return T.StructType(schema.fields + extra.fields)
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed exactly once per row.
+
+    They pass through a one-element generator, through which the optimizer neither pushes filters
+    nor merges projections; else a filter on a column that builds on others would repeat them all.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with its columns renamed by place (``_in0``, ``_in1``, ..), so that no helper or result
+    column of an operator can clash with them, and the ``needed`` ones again by their names. A needed
+    column that is missing reads as null text."""
+    have = set(docs.columns)
+    return docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)],
+                       *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in needed])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, without: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` in ``packed`` rows under their own names, and further columns."""
+    return rows.select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns) if c not in without], *also)

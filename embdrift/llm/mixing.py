@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import SPACE
+from embdrift.llm.common import packed, stored, unpacked
 from embdrift.llm.sharding import hash_bucket
 
 
@@ -51,20 +51,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
         F.col("most"), F.coalesce(found * F.col("weight"), F.col("most"))).alias("target"))
 
 
+def repeated(mixed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` = ``mix(docs, whole=True)`` takes it."""
+    often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return unpacked(mixed.where("copies > 0").withColumn("_k", often), docs)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2,
-        buckets: int = 64, seed: int = 1) -> DataFrame:
+        buckets: int = 64, seed: int = 1, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of ``docs`` (doc_id, text, source).
 
+    ``whole``: the input columns travel along, renamed, for ``repeated``.
+
     copies: how often the mix takes the row, at most ceil(max_repeat). The order inside a source is
     (size class, bucket, size, doc_id, checksum), all from the row itself, and the offset comes from
     ``seed`` and the source, so reruns agree. Null sources form one source, null ids are rows like
     others, a source without words gets target 0 and no copies. ``buckets`` splits every size class
     of every source.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
+    inputs = [f"_in{k}" for k in range(len(docs.columns))] if whole else []
+    rows = packed(docs, "doc_id", "source", "text")
+    rows = rows.select(*inputs, "doc_id", "source", n_words(F.col("text")).alias("size"),
                        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
     rows = rows.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(-1).cast("int")) \
         .withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("crc")))
+    rows = stored(rows, "mix-sizes")  # the texts are read once, what follows needs their sizes only
     # At most sources * size classes * buckets rows, about 160 classes: pre-aggregated before any window.
     parts = rows.groupBy("source", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeat)
@@ -81,4 +92,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("rank0") + F.col("rank")
     copies = F.floor(at * expected + offset) - F.floor((at - 1) * expected + offset)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+    return ranked.select(*inputs, "doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"))

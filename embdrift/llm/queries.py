@@ -7,8 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embdrift.llm import mixing, sharding
-from embdrift.llm.common import read
+from embdrift.llm import compression, hnsw, lm, mixing, packing, rules, sharding, simhash, tokens, toxicity
+from embdrift.llm.common import bounded_sample, crc_class, labelled, read, stored
+
+#: Bounds of the samples on which classifiers are fitted: rows of either label, characters of a text.
+SAMPLE_ROWS = 3000
+SAMPLE_CHARS = 30_000
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on rows whose crc32(doc_id) mod 4 is not 2."""
+    rows = labelled(docs, labels, "toxic", crc_class("doc_id", 4) != 2)
+    return toxicity.fit(bounded_sample(rows, SAMPLE_ROWS, SAMPLE_CHARS))
+
+
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    scored = stored(toxicity.score(spark, docs, model).select(
+        "doc_id", "lang", (crc_class("doc_id", 4) == 2).alias("held_out"), "score"), "op1")
+    marks = read(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    limits = toxicity.language_thresholds(scored.where("not held_out").join(marks, "doc_id"))
+    limit = toxicity.threshold_column(limits)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         limit.alias("lang_threshold"), (F.col("score") >= limit).alias("flagged"))
+
+
+def op4_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=1)
+
+
+def op5_pack_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack(packing.cut_pieces(docs, tokens.vocabulary(), capacity=2048, end_id=0), capacity=2048)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame) -> list[rules.Rule]:
+    """Learned from every labelled document; the statistics of those are computed once."""
+    rows = labelled(docs, labels, "quality", F.lit(True))
+    return rules.learn_rules(stored(rules.text_stats(rows).drop("text"), "op6-labelled"))
+
+
+def op6_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = quality_rules(docs, read(spark, sf_dir, "labels"))
+    stats = rules.text_stats(docs)
+    return rules.apply_rules(stats, learned).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> compression.Model:
+    """Fitted on rows whose crc32(doc_id) mod 5 is not 0."""
+    rows = labelled(docs, labels, "quality", crc_class("doc_id", 5) != 0)
+    return compression.fit(bounded_sample(rows, SAMPLE_ROWS, SAMPLE_CHARS))
+
+
+def op7_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = compression.score(spark, docs, quality_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_class("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
+
+
+def op2_lm_eliasfano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), crc_class("doc_id", 7) == 2)
 
 
 def op3_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +78,15 @@ def op3_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, shingle=4, distance=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -23,7 +94,9 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_systematic, op10_shard_bytes)
+    f.__name__: f for f in (
+        op1_toxicity_cnn, op2_lm_eliasfano, op3_mix_systematic, op4_token_parquet, op5_pack_dominance, op6_rule_list, op7_quality_zstd,
+        op8_embedding_hnsw, op9_simhash_anchors, op10_shard_bytes)
 }
 
 ORACLES: dict[str, str] = {}
