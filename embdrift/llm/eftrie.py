@@ -88,10 +88,9 @@ class EliasFano:
         x = np.asarray(x, np.uint64)
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        h = (x >> np.uint64(self.bits)).astype(np.int64)
-        buckets = len(self.high) * 64 - self.n  # zeros there are, padding included
-        beyond = h >= buckets
-        h = np.where(beyond, 0, h)
+        h = x >> np.uint64(self.bits)
+        beyond = h >= np.uint64(len(self.high) * 64 - self.n)  # zeros there are, padding included
+        h = np.where(beyond, 0, h).astype(np.int64)
         lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
         end = self._select(h, False) - h
         lo, end = np.minimum(lo, self.n), np.minimum(end, self.n)
