@@ -36,7 +36,9 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     from embdrift.plans.catalog import registry, runner
     from embdrift.session import get_spark
+    os.environ.setdefault("EMBDRIFT_DRIVER_MEMORY", "16g")  # local mode: the driver's heap is the executors'
     spark = get_spark(f"local[{cpus}]", "embdrift-bench", shuffle_partitions=int(cpus) * 2)
+    spark.conf.set("embdrift.text.tasks", str(int(cpus) * 2))
     reg = registry()
     # JVM / Python worker warm-up outside the timed section.
     spark.range(1000).selectExpr("sum(id)").collect()

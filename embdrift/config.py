@@ -14,10 +14,8 @@ MIN_DOCUMENTS = 100                # drift_trigger_min_documents
 BOOTSTRAP_VECTORS = 100            # first N vectors form the bootstrap baseline
 LINGUISTIC_THRESHOLD = 0.65
 LINGUISTIC_WINDOW_MINUTES = 2
-LINGUISTIC_MAX_DOCUMENTS = 1000
 QUERY_WORDS = 15
 MIN_DOCUMENT_WORDS = 40
-MAX_EVALUATION_PAIRS = 300
 MIN_EVALUATION_PAIRS = 8
 ACTIVATION_MIN_IMPROVEMENT = 0.10
 RETRAIN_COOLDOWN_MINUTES = 10

@@ -11,7 +11,17 @@ from pyspark.sql import types as T
 
 _EPS = 1e-15
 _FPMIN = 1e-300
-_MAX_ITER = 1_000_000
+#: Far beyond what either expansion needs (about 10 * sqrt(a) terms); reaching it is an error.
+_MAX_ITER = 50_000_000
+
+
+def _log_prefactor(a: float, x: float) -> float:
+    """-x + a log x - lgamma(a), without the cancellation of its large terms."""
+    if a < 100:
+        return -x + a * math.log(x) - math.lgamma(a)
+    mu = (x - a) / a
+    stirling = 0.5 * math.log(a / (2 * math.pi)) - 1 / (12 * a) + 1 / (360 * a ** 3)
+    return -a * (mu - math.log1p(mu)) + stirling
 
 
 def gamma_q(a: float, x: float) -> float:
@@ -20,7 +30,7 @@ def gamma_q(a: float, x: float) -> float:
         return float("nan")
     if x <= 0:
         return 1.0
-    log_pref = -x + a * math.log(x) - math.lgamma(a)
+    log_pref = _log_prefactor(a, x)
     if x < a + 1.0:
         ap, term, total = a, 1.0 / a, 1.0 / a
         for _ in range(_MAX_ITER):
@@ -28,8 +38,8 @@ def gamma_q(a: float, x: float) -> float:
             term *= x / ap
             total += term
             if abs(term) < abs(total) * _EPS:
-                break
-        return max(0.0, 1.0 - total * math.exp(log_pref))
+                return max(0.0, 1.0 - total * math.exp(log_pref))
+        raise ArithmeticError(f"incomplete gamma series did not converge at a={a}, x={x}")
     b = x + 1.0 - a
     c = 1.0 / _FPMIN
     d = 1.0 / b
@@ -45,8 +55,8 @@ def gamma_q(a: float, x: float) -> float:
         delta = d * c
         h *= delta
         if abs(delta - 1.0) < _EPS:
-            break
-    return min(1.0, math.exp(log_pref) * h)
+            return min(1.0, math.exp(log_pref) * h)
+    raise ArithmeticError(f"incomplete gamma fraction did not converge at a={a}, x={x}")
 
 
 def chi2_sf_scalar(statistic: float, dof: float) -> float:

@@ -21,12 +21,16 @@ from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
-from embdrift.session import broadcast_bounded, materialize
-from embdrift.sources.tables import spread
+from embdrift.operators.ranking import global_rank
+from embdrift.session import materialize
+from embdrift.sources.tables import dealt
 
 BASELINE, WINDOW = "baseline", "window"
+# Fewest documents of either side, and the limits of the report lists and topics.
 MIN_BASELINE_DOCUMENTS = 10
 MIN_WINDOW_DOCUMENTS = 2
+TERM_GAIN, TERM_COUNT, TOPIC_GAIN = 1.5, 2, 0.05
+TOPIC_FEATURES, TOPICS, CENTROID_FEATURES = 12, 6, 128
 # Fixed value: scikit-style word token of the keyword topic model, Unicode letters/digits.
 TOPIC_TOKEN = r"[\p{L}\p{N}_]{2,}"
 G = ("wid",)
@@ -50,11 +54,9 @@ class Sides:
 
     def __init__(self, docs: DataFrame, mode: str = "split", min_baseline: int = 0, min_window: int = 0):
         kept = [c for c in docs.columns if c in ("wid", "side", "doc_id", "text")]
-        self.docs = non_blank(spread(docs.select(*kept), ("wid", "doc_id")))
+        self.docs = non_blank(dealt(docs.select(*kept)))
         self.mode = mode
         self.keys = ["wid", "side"] if mode == "split" else ["wid"]
-        # Shared by derived sides: an id-only frame (a key-column scan, no text) and its count.
-        self._groups = {"ids": docs.select("wid"), "n": None}
         self.valid = None
         if mode == "prev":
             n = self.docs.groupBy("wid").agg(F.count("*").alias("n"))
@@ -63,14 +65,6 @@ class Sides:
                 F.sum(F.when(F.col("side") == WINDOW, F.col("n")).otherwise(0)).alias("nw"))
             self.valid = per.filter((F.col("nb") >= min_baseline) & (F.col("nw") >= min_window)).select("wid")
 
-    def group_bound(self) -> int:
-        """Upper bound on (wid, side) groups of any comparison: two sides of each
-        document window and of the window after it.  One count over key columns."""
-        g = self._groups
-        if g["n"] is None:
-            g["n"] = g["ids"].distinct().count()
-        return 2 * (g["n"] + 1)
-
     def expand_raw(self, df: DataFrame) -> DataFrame:
         if self.mode == "split":
             return df
@@ -195,17 +189,12 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
         cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
     feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).select(*keys, "term")
-    # At most max_features rows per group: broadcast behind that bound, so the
-    # token rows are filtered in place instead of shuffled for the join.
-    bound = sides.group_bound() * max_features
-    feats = broadcast_bounded(feats, bound)
     if by_side and sides.mode == "split":
         dt = ex.join(feats, [*keys, "term"]).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
     else:
         # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
         need = feats.select("wid", "term").unionByName(
             feats.select((F.col("wid") - 1).alias("wid"), "term")).distinct()
-        need = broadcast_bounded(need, 2 * bound)
         dt_own = ex.join(need, ["wid", "term"]).groupBy("wid", "doc_id", "term").agg(F.count("*").alias("tf"))
         dt = sides.expand(dt_own)
         if not by_side:
@@ -220,7 +209,7 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     return x.select(*keys, "doc_id", "term", (F.col("v") / nrm).alias("weight"))
 
 
-def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
+def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int = TOPICS,
                    stop: Sequence[str] | None = None) -> DataFrame:
     """(wid, side, label, share): best ``top`` TF-IDF column sums, as shares.
 
@@ -230,8 +219,6 @@ def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
     """
     own = Sides.__new__(Sides)
     own.docs, own.mode, own.keys, own.valid = sides.docs, "split", sides.keys, None
-    own._groups = sides._groups
-    keys = sides.keys
     if sides.mode == "prev":
         own.docs = sides.docs.withColumn("side", F.lit(WINDOW))
         own.keys = ["wid", "side"]
@@ -243,7 +230,6 @@ def keyword_topics(sides: Sides, max_features: int = 12, top: int = 6,
     out = best.select("wid", "side", F.col("term").alias("label"), (F.col("weight") / total).alias("share"))
     if sides.mode == "prev":
         return sides.expand(out.drop("side"))
-    del keys
     return out
 
 
@@ -269,7 +255,7 @@ def topic_wasserstein(topics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A10
-def document_centroid_distance(sides: Sides, max_features: int = 128,
+def document_centroid_distance(sides: Sides, max_features: int = CENTROID_FEATURES,
                                stop: Sequence[str] | None = None) -> DataFrame:
     """A10: joint unigram TF-IDF per window, mean row per side, 1 − cosine, clamped."""
     rows = tfidf_rows(sides, False, max_features, False, stop)
@@ -301,7 +287,7 @@ def emerging_terms(aligned_terms: DataFrame, limit: int = 10) -> DataFrame:
         F.sum((F.col("w") > 0).cast("long")).alias("vw"))
     j = aligned_terms.filter(F.col("w") > 0).join(tot, "wid")
     score = (F.col("w") / F.col("tw")) / ((F.col("b") + 1) / (F.col("tb") + F.col("vw")))
-    s = j.withColumn("score", score).filter((F.col("w") >= 2) & (F.col("score") > 1.5))
+    s = j.withColumn("score", score).filter((F.col("w") >= TERM_COUNT) & (F.col("score") > TERM_GAIN))
     r = F.row_number().over(Window.partitionBy("wid").orderBy(
         F.desc("score"), F.desc("term"), F.desc("b"), F.desc("w")))
     return s.withColumn("rank", r).filter(F.col("rank") <= limit).select(
@@ -318,7 +304,7 @@ def new_entities(aligned_entities: DataFrame, limit: int = 10) -> DataFrame:
         "wid", "rank", text.alias("text"), label.alias("label"), F.col("w").alias("count"))
 
 
-def emerging_topics(topics: DataFrame, limit: int = 8, min_gain: float = 0.05) -> DataFrame:
+def emerging_topics(topics: DataFrame, limit: int = 8, min_gain: float = TOPIC_GAIN) -> DataFrame:
     """Window topics whose share gained more than ``min_gain``."""
     b = topics.filter(F.col("side") == BASELINE).select("wid", "label", F.col("share").alias("bs"))
     w = topics.filter(F.col("side") == WINDOW).select("wid", "label", "share")
@@ -380,7 +366,7 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
 def _restrict(s: Sides, wids: DataFrame) -> Sides:
     """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising)."""
     r = Sides.__new__(Sides)
-    r.mode, r.keys, r.valid, r._groups = s.mode, s.keys, s.valid, s._groups
+    r.mode, r.keys, r.valid = s.mode, s.keys, s.valid
     if s.mode == "split":
         r.docs = s.docs.join(wids, "wid", "left_semi")
     else:
@@ -412,24 +398,10 @@ def linguistic_windows(docs: DataFrame, width_minutes: int = 60, threshold: floa
                       F.timestamp_seconds((F.col("wid") + 1) * width).alias("window_end"), "*")
 
 
-def rank_desc(df: DataFrame, order: Sequence, name: str = "rank") -> DataFrame:
-    """Global 0-based position in a total order without a single-partition window.
-
-    A range-partitioned sort, per-partition counts (one small row per
-    partition, broadcast) and the position inside the partition.
-    """
-    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id())
-    counts = s.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = s.join(F.broadcast(offs.select("_pid", "_off", "_m0")), "_pid")
-    return j.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_off", "_m0")
-
-
 def resolve_window(docs: DataFrame, now, duration_minutes: int = config.LINGUISTIC_WINDOW_MINUTES,
                    baseline_limit: int | None = None, window_limit: int | None = None,
-                   ts_col: str = "occurred_at", id_col: str = "id") -> DataFrame | None:
+                   ts_col: str = "occurred_at", id_col: str = "id",
+                   rank_bucket_seconds: int = 3600) -> DataFrame | None:
     """L1: wall-clock window [floor_min(now) − d, floor_min(now)) against everything older.
 
     Falls back to the newest half by rank (W3) with event-time bounds when the
@@ -455,7 +427,8 @@ def resolve_window(docs: DataFrame, now, duration_minutes: int = config.LINGUIST
     if total < MIN_BASELINE_DOCUMENTS + MIN_WINDOW_DOCUMENTS:
         return None
     size = min(window_limit or total, total // 2)
-    ranked = rank_desc(d, [F.desc("occurred_at"), F.desc("doc_id")])
+    ranked = global_rank(d, [-F.floor(F.unix_seconds("occurred_at") / rank_bucket_seconds)],
+                         [F.desc("occurred_at"), F.desc("doc_id")])
     win = ranked.filter(F.col("rank") < size)
     base = ranked.filter(F.col("rank") >= size)
     if baseline_limit:

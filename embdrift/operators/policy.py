@@ -20,7 +20,7 @@ def _bucket(ts: Column, seconds: int) -> Column:
 
 def asof_last(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, right_ts: str,
               value: str, by: list[str] | None = None, inclusive: bool = True,
-              bucket_seconds: int = 86400, out: str = "asof_value", out_ts: str = "asof_ts") -> DataFrame:
+              bucket_seconds: int = 3600, out: str = "asof_value", out_ts: str = "asof_ts") -> DataFrame:
     """For each left row, the ``value`` of the latest right row with
     right_ts <= left_ts (``inclusive``) or < left_ts, optionally per ``by`` key.
 
@@ -62,19 +62,25 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, ri
 
 
 def count_since_midnight(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, right_ts: str,
-                         out: str = "since_midnight") -> DataFrame:
+                         out: str = "since_midnight", bucket_seconds: int = 3600) -> DataFrame:
     """Per left row, right rows with start_of_day(left_ts) <= right_ts < left_ts.
 
-    Partitioning by the UTC day is the semantics itself, so a running count
-    over the time-ordered union answers it (left rows first on ties: strict <).
+    A running count over the time-ordered union inside each (UTC day, time
+    bucket), left rows first on ties (strict <), plus the right rows of the
+    day's earlier buckets (a table with one row per day and bucket), so a busy
+    day is many tasks.
     """
     L = left.select(F.col(left_key).alias("_lk"), F.col(left_ts).alias("_ts"), F.lit(0).alias("_right"))
     R = right.select(F.lit(None).cast(left.schema[left_key].dataType).alias("_lk"),
                      F.col(right_ts).alias("_ts"), F.lit(1).alias("_right"))
-    U = L.unionByName(R).withColumn("_d", F.to_date("_ts"))
-    w = Window.partitionBy("_d").orderBy("_ts", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    c = U.withColumn("_n", F.sum("_right").over(w)).filter(F.col("_right") == 0)
-    return left.join(c.select(F.col("_lk").alias(left_key), F.col("_n").cast("long").alias(out)), left_key, "left")
+    U = L.unionByName(R).withColumn("_d", F.to_date("_ts")).withColumn("_b", _bucket(F.col("_ts"), bucket_seconds))
+    cells = U.groupBy("_d", "_b").agg(F.sum("_right").alias("_n"))
+    before = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select("_d", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    w = Window.partitionBy("_d", "_b").orderBy("_ts", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    c = U.withColumn("_in", F.sum("_right").over(w)).filter(F.col("_right") == 0).join(carry, ["_d", "_b"])
+    return left.join(c.select(F.col("_lk").alias(left_key), (F.col("_in") + F.col("_carry")).cast("long").alias(out)),
+                     left_key, "left")
 
 
 def throttle_alerts(alerts: DataFrame, jobs: DataFrame, policy: config.ThrottlePolicy = config.ThrottlePolicy()) -> DataFrame:
@@ -113,9 +119,14 @@ def rollback_decisions(metrics: DataFrame, activations: DataFrame,
     no_previous_model, error_rate_exceeded.
     """
     us = policy.window_seconds * 1_000_000
-    w = Window.partitionBy("model_version").orderBy(F.unix_micros("observed_at")).rangeBetween(-us, 0)
-    m = metrics.select("*", F.count("*").over(w).alias("request_count"),
-                       F.sum((F.col("status_code") >= 500).cast("long")).over(w).alias("errors"))
+    # Time buckets as wide as the frame: a row's frame lies in its own bucket and the one before,
+    # so every row is copied once into the next bucket, as context only.
+    b = F.floor(F.unix_micros("observed_at") / us).cast("long")
+    rows = metrics.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_b", b + F.col("_copy"))
+    w = Window.partitionBy("model_version", "_b").orderBy(F.unix_micros("observed_at")).rangeBetween(-us, 0)
+    m = rows.select("*", F.count("*").over(w).alias("request_count"),
+                    F.sum((F.col("status_code") >= 500).cast("long")).over(w).alias("errors"))
+    m = m.filter(F.col("_copy") == 0).drop("_copy", "_b")
     m = m.join(activations.select(F.col("version").alias("model_version"), "previous_version"), "model_version", "left")
     rate = F.col("errors") / F.col("request_count")
     reason = (F.when(F.col("model_version").isNull(), "no_active_model")
@@ -129,9 +140,13 @@ def rollback_decisions(metrics: DataFrame, activations: DataFrame,
                     (reason == "error_rate_exceeded").alias("should_rollback"))
 
 
-def latest_overlapping(windows: DataFrame, ling: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def latest_overlapping(windows: DataFrame, ling: DataFrame,
+                       bucket_seconds: int = config.LINGUISTIC_WINDOW_MINUTES * 60) -> DataFrame:
     """Per window, the composite score of the newest overlapping linguistic window
-    (closed ends: lw.end >= ws and lw.start <= we), via a bucketed equi-join."""
+    (closed ends: lw.end >= ws and lw.start <= we), via a bucketed equi-join.
+
+    Buckets should be about as wide as the wider kind of window: then a window
+    touches a few buckets and meets little else than what it overlaps."""
     def explode(df: DataFrame, s: str, e: str) -> DataFrame:
         return df.withColumn("_bk", F.explode(F.sequence(_bucket(F.col(s), bucket_seconds),
                                                          _bucket(F.col(e), bucket_seconds))))
@@ -166,11 +181,25 @@ def admit_training(alerts: DataFrame, jobs: DataFrame,
     return a.select(*alerts.columns, reason.alias("reason"), version.alias("model_version"))
 
 
-def link_signals(signals: DataFrame, jobs: DataFrame, key: str = "window_id", ts: str = "window_end") -> DataFrame:
-    """Link each linguistic signal to the newest QUEUED/RUNNING job queued by then, weight 1.0."""
+def link_signals(signals: DataFrame, jobs: DataFrame, drift_windows: DataFrame | None = None,
+                 stored: DataFrame | None = None, key: str = "window_id", ts: str = "window_end") -> DataFrame:
+    """(training_job_id, linguistic_window_id, drift_window_id, signal_weight 1.0), linking each
+    linguistic signal to the newest QUEUED/RUNNING job queued by then and to the latest breached
+    drift window (J13; NULL without ``drift_windows``).  ``stored`` links are upserted by
+    (job, window): weight and drift window are replaced, other links stay."""
     active = jobs.filter(F.col("status").isin("QUEUED", "RUNNING")).select("job_id", "queued_at")
     a = asof_last(signals, active, key, ts, "queued_at", "job_id", out="training_job_id", out_ts="job_queued_at")
-    return a.filter(F.col("training_job_id").isNotNull()).withColumn("signal_weight", F.lit(1.0))
+    a = a.filter(F.col("training_job_id").isNotNull())
+    if drift_windows is not None:
+        a = attach_latest_breach(a, drift_windows, key, ts)
+    else:
+        a = a.withColumn("drift_window_id", F.lit(None).cast("long"))
+    links = a.select("training_job_id", F.col(key).alias("linguistic_window_id"), "drift_window_id",
+                     F.lit(1.0).alias("signal_weight"))
+    if stored is None:
+        return links
+    from embdrift.operators.ingest import upsert
+    return upsert(stored.select(*links.columns), links, ["training_job_id", "linguistic_window_id"])
 
 
 def attach_latest_breach(signals: DataFrame, windows: DataFrame, key: str = "window_id",

@@ -7,13 +7,19 @@ query ever sorts its candidate list; only top-k rows are merged for NDCG.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embdrift import config
 from embdrift.functions.vectors import dot, l2_normalize
 from embdrift.operators.centroid import vector_sum
-from embdrift.operators.similarity import ScanSpec, merge_topk, scan
+from embdrift.operators.similarity import ScanSpec, scan
+from embdrift.session import materialize
+
+
+# Weights of the quality scores.
+PAIR_MRR, PAIR_RECALL = 0.7, 0.3
+SOURCE_MRR, SOURCE_RECALL, SOURCE_MARGIN = 0.65, 0.2, 0.15
 
 
 def _discounted_ideal(m: Column, k: int) -> Column:
@@ -28,21 +34,33 @@ def rank_queries(pairs: DataFrame, k: int = 10, id_col: str = "item_id", source_
                  qvec: str = "query_vector", dvec: str = "doc_vector") -> DataFrame:
     """E1 per query: query i must retrieve document i among all documents.
 
-    Output (qid, source, rank, rr, hit1, hit5, ndcg).  Ties: sim desc, doc id asc.
+    Output (qid, source, rank, rr, hit1, hit5, ndcg).  Ties: sim desc (after the
+    scan's rounding), doc id asc.  A row whose query vector is NULL is a
+    candidate only.
     """
-    q = pairs.select(F.col(id_col).alias("qid"), F.col(qvec).alias("qvec"),
-                     F.col(id_col).alias("gold_did"), F.col(source_col).alias("qlabel"),
-                     dot(l2_normalize(qvec), l2_normalize(dvec)).alias("gold_sim"))
-    d = pairs.select(F.col(id_col).alias("did"), F.col(dvec).alias("dvec"), F.col(source_col).alias("dlabel"))
-    rows = scan(q, d, ScanSpec(k=k, gold=True))
-    ahead = rows.filter(F.col("kind") == "ahead").groupBy("qid").agg(F.sum("cnt").alias("ahead"))
-    top = merge_topk(rows, k).join(q.select("qid", "gold_did", "qlabel"), "qid")
+    p = materialize(pairs.select(F.col(id_col).alias("id"), F.col(source_col).alias("label"),
+                                 F.col(qvec).alias("q"), F.col(dvec).alias("d")))
+    # E8 with sampled queries: only rows with a query vector ask, every row is a candidate.
+    asks = p.filter(F.col("q").isNotNull())
+    q = asks.select(F.col("id").alias("qid"), F.col("q").alias("qvec"),
+                    F.col("id").alias("gold_did"), F.col("label").alias("qlabel"),
+                    dot(l2_normalize("q"), l2_normalize("d")).alias("gold_sim"))
+    d = p.select(F.col("id").alias("did"), F.col("d").alias("dvec"), F.col("label").alias("dlabel"))
+    n = p.agg(F.count("q"), F.count("*")).first()
+    rows = scan(q, d, ScanSpec(k=k, gold=True), sizes=(n[0], n[1]))
+    # One pass over the kernel's rows: counts summed and tops ranked in one window per query.
+    rows = rows.join(q.select("qid", "gold_did", "qlabel"), "qid")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(
+        F.when(F.col("kind") == "top", 0).otherwise(1), F.desc("sim"), F.asc("did")))
+    rows = rows.withColumn("place", place)
     gain = (F.when(F.col("did") == F.col("gold_did"), config.GAIN_EXACT)
             .when(F.col("dlabel") == F.col("qlabel"), config.GAIN_RELATED).otherwise(0.0))
-    dcg = top.groupBy("qid").agg(F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
+    shown = (F.col("kind") == "top") & (F.col("place") <= k)
+    base = rows.groupBy("qid", "qlabel").agg(
+        F.sum(F.when(F.col("kind") == "ahead", F.col("cnt"))).alias("ahead"),
+        F.sum(F.when(shown, gain / F.log2(F.col("place") + 1))).alias("dcg"))
     sizes = d.groupBy(F.col("dlabel").alias("qlabel")).agg((F.count("*") - 1).alias("m"))
-    base = q.select("qid", "qlabel").join(sizes, "qlabel", "left")
-    out = base.join(ahead, "qid", "left").join(dcg, "qid", "left")
+    out = base.join(sizes, "qlabel", "left")
     rank = (F.coalesce("ahead", F.lit(0)) + 1).cast("long")
     idcg = _discounted_ideal(F.coalesce("m", F.lit(0)), k)
     return out.select("qid", F.col("qlabel").alias("source"), rank.alias("rank"),
@@ -59,6 +77,19 @@ def ranking_metrics(per_query: DataFrame, group: tuple[str, ...] = ()) -> DataFr
     return per_query.groupBy(*group).agg(*aggs) if group else per_query.agg(*aggs)
 
 
+def benchmark(pairs: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """Ranking metrics per domain over all candidates, and their plain means as ``overall``.
+
+    ``queries`` counts rows with a query vector, ``candidates`` all rows.
+    """
+    n = pairs.count()
+    dom = ranking_metrics(rank_queries(pairs, k, **kw), ("source",)).withColumnRenamed("source", "domain")
+    dom = materialize(dom)  # one row per domain; two readers
+    overall = dom.agg(F.lit("overall").alias("domain"), *[F.round(F.avg(c), 6).alias(c) for c in
+                      ("mrr", "recall_at_1", "recall_at_5", "ndcg_at_10")], F.sum("queries").alias("queries"))
+    return dom.unionByName(overall).withColumn("candidates", F.lit(n).cast("long"))
+
+
 def pair_quality(pairs: DataFrame, min_pairs: int = config.MIN_EVALUATION_PAIRS, **kw) -> DataFrame:
     """E1 on (query, document) pairs; quality = 0.7·mrr + 0.3·recall@5 (from rounded metrics).
 
@@ -68,7 +99,7 @@ def pair_quality(pairs: DataFrame, min_pairs: int = config.MIN_EVALUATION_PAIRS,
     ok = F.col("queries") >= min_pairs
     cols = ["mrr", "recall_at_1", "recall_at_5", "ndcg_at_10"]
     out = m.select(*[F.when(ok, F.col(c)).otherwise(0.0).alias(c) for c in cols], "queries")
-    return out.withColumn("quality", F.round(0.7 * F.col("mrr") + 0.3 * F.col("recall_at_5"), 6))
+    return out.withColumn("quality", F.round(PAIR_MRR * F.col("mrr") + PAIR_RECALL * F.col("recall_at_5"), 6))
 
 
 def score_retrieval(df: DataFrame, id_col: str = "document_id", source_col: str = "source",
@@ -80,14 +111,15 @@ def score_retrieval(df: DataFrame, id_col: str = "document_id", source_col: str
     no pair scan: q·(S_source − q)/(n−1) − q·(S_all − S_source)/(N − n) with
     S the sums of unit vectors (A1).
     """
-    u = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                  l2_normalize(vector_col).alias("v"))
+    u = materialize(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                              l2_normalize(vector_col).alias("v")))
+    n_rows = u.count()
     q = u.select(F.col("id").alias("qid"), F.col("v").alias("qvec"), F.col("source").alias("qlabel"))
     d = u.select(F.col("id").alias("did"), F.col("v").alias("dvec"), F.col("source").alias("dlabel"))
-    best = (scan(q, d, ScanSpec(exclude_self=True, same_max=True))
+    best = (scan(q, d, ScanSpec(exclude_self=True, same_max=True), sizes=(n_rows, n_rows))
             .filter(F.col("kind") == "same_max").groupBy("qid").agg(F.max("sim").alias("threshold")))
     q2 = q.join(best, "qid")
-    above = (scan(q2, d, ScanSpec(exclude_self=True, above=True))
+    above = (scan(q2, d, ScanSpec(exclude_self=True, above=True), sizes=(n_rows, n_rows))
              .filter(F.col("kind") == "above").groupBy("qid").agg(F.sum("cnt").alias("ahead")))
     sums = vector_sum(u, ["source"], "v").withColumnRenamed("vector_sum", "s_src").withColumnRenamed(
         "document_count", "n_src")
@@ -105,7 +137,7 @@ def score_retrieval(df: DataFrame, id_col: str = "document_id", source_col: str
                 F.avg("margin").alias("mm"), F.count("*").alias("queries"))
     guard = df.agg(F.count("*").alias("n"), F.count_distinct(source_col).alias("s"))
     ok = (guard.select("n").scalar() >= min_rows) & (guard.select("s").scalar() >= min_sources) & (F.col("queries") > 0)
-    quality = 0.65 * F.col("mrr") + 0.2 * F.col("r5") + 0.15 * ((F.col("mm") + 1.0) / 2.0)
+    quality = SOURCE_MRR * F.col("mrr") + SOURCE_RECALL * F.col("r5") + SOURCE_MARGIN * ((F.col("mm") + 1.0) / 2.0)
     return m.select(*[F.round(F.when(ok, c).otherwise(0.0), 6).alias(n) for c, n in
                       [(F.col("mrr"), "mrr"), (F.col("r5"), "recall_at_5"), (F.col("mm"), "mean_margin"),
                        (quality, "quality")]])

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embdrift.operators.centroid import centroid
+from embdrift.session import materialize
 
+_GRID_BLOCK = 4096
 WINDOW_LABELS = {40: "FIVE_MIN", 3600: "ONE_HOUR", 86400: "TWENTY_FOUR_HOURS"}
 
 
@@ -48,12 +50,21 @@ def drift_windows(df: DataFrame, width_seconds: int = 40, slide_seconds: int | N
 def densify_windows(windows: DataFrame, width_seconds: int, slide_seconds: int | None = None) -> DataFrame:
     """ST5: add the empty windows between the first and last one (count 0, NULL centroid).
 
-    The grid comes from one min/max aggregate exploded by ``sequence``; it is
-    (time span / step) rows, independent of the number of vectors.
+    The grid comes from one min/max aggregate, exploded in two steps: blocks of
+    ``_GRID_BLOCK`` windows, dealt over the tasks, then the windows of each
+    block.  No array holds the whole span.  The windows are written once for
+    their two readers.
     """
     step = slide_seconds or width_seconds
-    bounds = windows.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    grid = bounds.select(F.explode(F.sequence("lo", "hi", F.make_dt_interval(secs=F.lit(step)))).alias("window_start"))
+    windows = materialize(windows)
+    us = F.lit(step * 1_000_000).cast("long")
+    lo, hi = F.unix_micros(F.min("window_start")), F.unix_micros(F.max("window_start"))
+    bounds = windows.agg(lo.alias("lo"), F.floor((hi - lo) / us).cast("long").alias("last")).filter(F.col("lo").isNotNull())
+    blocks = bounds.select("lo", "last", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor(F.col("last") / _GRID_BLOCK).cast("long"))).alias("blk")).repartition("blk")
+    first = F.col("blk") * _GRID_BLOCK
+    grid = blocks.select("lo", F.explode(F.sequence(first, F.least(first + _GRID_BLOCK - 1, "last"))).alias("k")) \
+        .select(F.timestamp_micros(F.col("lo") + F.col("k") * us).alias("window_start"))
     label = _label(width_seconds)
     filled = grid.join(windows.drop("window_size", "width_seconds", "window_end"), "window_start", "left")
     return filled.select(

@@ -95,15 +95,14 @@ def drift_windows_daily(t):
 @register("baseline_selection", operators=("A3",), sql=FX.with_fixtures(f"""
 WITH {_EX.format(src="embedding_arrivals_shifted")},
 {_windows_sql(3600, 60)},
-cnt AS (SELECT ws, max(n) AS document_count, sum(c) AS centroid_sum FROM wdim GROUP BY ws)
-SELECT ws AS window_start, document_count, round(centroid_sum, 6) AS centroid_sum FROM cnt
-WHERE document_count >= 100 ORDER BY ws LIMIT 1""", "embedding_arrivals", "embedding_arrivals_shifted"))
+cnt AS (SELECT ws, max(n) AS document_count FROM wdim GROUP BY ws HAVING max(n) >= 100 ORDER BY ws LIMIT 1)
+SELECT ws AS window_start, document_count, CAST(i - 1 AS INTEGER) AS dim, round(c, 6) AS value FROM cnt JOIN wdim USING (ws)""", "embedding_arrivals", "embedding_arrivals_shifted"))
 def baseline_selection(t):
     w = W.drift_windows(FX.embedding_arrivals_shifted(t), 3600, 60)
     b = D.select_baseline(w, min_documents=100)
     return b.select(F.to_timestamp(F.substring_index("baseline_id", "@", -1)).alias("window_start"),
-                    "document_count",
-                    F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 6).alias("centroid_sum"))
+                    "document_count", F.posexplode("centroid").alias("dim", "value")).withColumn(
+        "value", F.round("value", 6))
 
 
 @register("source_centroids", operators=("A1",), sql=FX.with_fixtures("""

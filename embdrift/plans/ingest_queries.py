@@ -30,21 +30,28 @@ CATEGORIES = [f"src{i}" for i in range(10)]
 
 
 @register("validate_incoming", operators=("P1", "P4"), sql=FX.with_fixtures("""
-SELECT arrival,
-       len(reasons) = 0 AS valid,
-       array_to_string(reasons, ',') AS reasons
-FROM (SELECT arrival, list_filter([
+WITH m AS (SELECT *, arrival % 97 = 0 AS bad_time, arrival % 89 = 0 AS bad_meta FROM incoming_docs)
+SELECT arrival, len(reasons) = 0 AS valid, array_to_string(reasons, ',') AS reasons,
+       CASE WHEN len(reasons) = 0 THEN occurred_at END AS occurred_at
+FROM (SELECT arrival, occurred_at, list_filter([
         CASE WHEN external_id IS NULL OR length(external_id) = 0 THEN 'empty_document_id' END,
         CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty_text' END,
         CASE WHEN source IS NULL OR length(source) = 0 THEN 'empty_source' END,
-        CASE WHEN occurred_at IS NULL THEN 'bad_timestamp' END], lambda x: x IS NOT NULL) AS reasons
-      FROM incoming_docs)""", "incoming_docs"))
+        CASE WHEN bad_time THEN 'bad_timestamp' END,
+        CASE WHEN bad_meta THEN 'bad_metadata' END], lambda x: x IS NOT NULL) AS reasons
+      FROM m)""", "incoming_docs"))
 def validate_incoming(t):
+    """P1 / P4 on text timestamps (Z and +02:00 forms, some broken) and metadata (objects, some lists)."""
     inc = FX.incoming_docs(t)
-    valid, rejected = I.validate_documents(inc)
-    return (valid.select("arrival", F.lit(True).alias("valid"), F.lit("").alias("reasons"))
-            .unionByName(rejected.select("arrival", F.lit(False).alias("valid"),
-                                         F.array_join("reasons", ",").alias("reasons"))))
+    utc = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    east = F.date_format(F.col("occurred_at") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    text_ts = F.when(F.col("arrival") % 97 == 0, "yesterday").when(F.col("arrival") % 2 == 0, utc).otherwise(east)
+    meta = F.when(F.col("arrival") % 89 == 0, "[1, 2]").when(F.col("arrival") % 5 == 0, '{"k": 1}')
+    valid, rejected = I.validate_documents(inc.withColumn("occurred_at", text_ts).withColumn("metadata", meta),
+                                           metadata_col="metadata")
+    return (valid.select("arrival", F.lit(True).alias("valid"), F.lit("").alias("reasons"), "occurred_at")
+            .unionByName(rejected.select("arrival", F.lit(False).alias("valid"), F.array_join("reasons", ",").alias("reasons"),
+                                         F.lit(None).cast("timestamp").alias("occurred_at"))))
 
 
 @register("ingest_keys", operators=("P2", "P3", "P5"), sql=FX.with_fixtures(f"""
@@ -156,8 +163,8 @@ SELECT b.document_id,
        CASE WHEN u.document_id IS NOT NULL THEN u.model_version ELSE b.model_version END AS model_version,
        CASE WHEN u.document_id IS NOT NULL THEN u.created_at ELSE b.created_at END AS created_at,
        b.first_embedded_at,
-       round(list_sum(CASE WHEN u.document_id IS NOT NULL THEN u.vector ELSE b.vector END), 6) AS vector_sum
-FROM embedding_arrivals b LEFT JOIN upd u USING (document_id)""", "embedding_arrivals_shifted"))
+       d.dim, round((CASE WHEN u.document_id IS NOT NULL THEN u.vector ELSE b.vector END)[d.dim + 1], 6) AS value
+FROM embedding_arrivals b LEFT JOIN upd u USING (document_id) CROSS JOIN range(0, 64) d(dim)""", "embedding_arrivals_shifted"))
 def embedding_upsert(t):
     base = FX.embedding_arrivals(t)
     upd = (FX.embedding_arrivals_shifted(t)
@@ -166,6 +173,6 @@ def embedding_upsert(t):
                    F.lit("2024-01-02 00:00:00").cast("timestamp").alias("created_at"),
                    F.lit("2024-01-02 00:00:00").cast("timestamp").alias("first_embedded_at")))
     out = I.upsert(base, upd, ["document_id"], keep=["first_embedded_at"])
-    vsum = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return out.select("document_id", "model_version", "created_at", "first_embedded_at",
-                      F.round(vsum, 6).alias("vector_sum"))
+                      F.posexplode("vector").alias("dim", "value")).withColumn("dim", F.col("dim").cast("long")).withColumn(
+        "value", F.round("value", 6))

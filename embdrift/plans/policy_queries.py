@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from embdrift import config
-from embdrift.operators import drift as D
 from embdrift.operators import policy as P
 from embdrift.plans.catalog import register
 from embdrift.sources import fixtures as FX
@@ -113,7 +112,7 @@ SELECT hw.window_id,
         ORDER BY l.window_end DESC, l.window_start DESC, l.composite_score DESC LIMIT 1) AS linguistic_drift
 FROM hw""", "linguistic_windows"))
 def linguistic_overlap(t):
-    r = P.latest_overlapping(_hour_windows(t), FX.linguistic_windows(t))
+    r = P.latest_overlapping(_hour_windows(t), FX.linguistic_windows(t), bucket_seconds=86400)  # windows of 26 h
     return r.select("window_id", "linguistic_drift")
 
 
@@ -123,31 +122,90 @@ dj AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE trigger
 x AS (SELECT a.window_id, a.now, act.job_id AS active_job, dj.queued_at AS recent_ts,
              a.window_id IN (SELECT window_id FROM training_jobs WHERE trigger = 'DRIFT_ALERT') AS dup
       FROM alerts a ASOF LEFT JOIN act ON a.now >= act.queued_at ASOF LEFT JOIN dj ON a.now >= dj.queued_at)
-SELECT window_id,
-       CASE WHEN dup THEN 'window_has_job' WHEN active_job IS NOT NULL THEN 'training_in_progress'
+SELECT window_id, reason,
+       CASE WHEN reason = 'accepted' THEN strftime(now, '%Y.%m.%d') || '-' || substr(sha256(CAST(window_id AS VARCHAR)), 1, 8) END AS model_version
+FROM (SELECT *, CASE WHEN dup THEN 'window_has_job' WHEN active_job IS NOT NULL THEN 'training_in_progress'
             WHEN recent_ts IS NOT NULL AND recent_ts >= now - INTERVAL 10 MINUTE THEN 'cooldown_active'
-            ELSE 'accepted' END AS reason
-FROM x""", "alerts", "training_jobs"))
+            ELSE 'accepted' END AS reason FROM x)""", "alerts", "training_jobs"))
 def admit_training(t):
-    return P.admit_training(FX.alerts(t), FX.training_jobs(t)).select("window_id", "reason")
+    """G5; with the fixture's open jobs only the earliest alerts can be accepted."""
+    return P.admit_training(FX.alerts(t), FX.training_jobs(t)).select("window_id", "reason", "model_version")
 
 
-@register("link_signals", operators=("J14",), sql=FX.with_fixtures("""
-WITH act AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
-sig AS (SELECT epoch(window_start)::BIGINT AS window_id, window_end FROM linguistic_windows)
-SELECT s.window_id, act.job_id AS training_job_id, 1.0 AS signal_weight
-FROM sig s ASOF JOIN act ON s.window_end >= act.queued_at""", "linguistic_windows", "training_jobs"))
-def link_signals(t):
-    sig = FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
-    return P.link_signals(sig, FX.training_jobs(t)).select("window_id", "training_job_id", "signal_weight")
+# Drift windows of one hour over the events: breached where their mean value is high.
+_BREACH_SQL = """
+dwin AS (SELECT date_trunc('hour', ts) AS window_start, avg(value) > 60 AS breached FROM events GROUP BY 1),
+br AS (SELECT epoch(window_start)::BIGINT AS drift_window_id, window_start FROM dwin WHERE breached),
+sig AS (SELECT epoch(window_start)::BIGINT AS window_id, window_start, window_end, composite_score FROM linguistic_windows),
+lb AS (SELECT s.window_id, br.drift_window_id, br.window_start AS drift_window_start
+       FROM sig s ASOF LEFT JOIN br ON s.window_end >= br.window_start)"""
+
+
+def _drift_hours(t):
+    h = F.date_trunc("hour", "ts")
+    w = t.events.groupBy(h.alias("window_start")).agg((F.avg("value") > 60).alias("breached"))
+    return w.withColumn("window_id", F.unix_seconds("window_start"))
+
 
+def _signals(t):
+    return FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
 
-@register("attach_latest_breach", operators=("J13",), sql=None)
+
+@register("link_signals", operators=("J14", "J13", "S7"), sql=FX.with_fixtures("WITH " + _BREACH_SQL.strip() + """,
+act AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
+l AS (SELECT act.job_id AS training_job_id, s.window_id AS linguistic_window_id, lb.drift_window_id, 1.0 AS signal_weight
+      FROM sig s ASOF JOIN act ON s.window_end >= act.queued_at JOIN lb ON lb.window_id = s.window_id),
+st AS (SELECT training_job_id, linguistic_window_id FROM l WHERE linguistic_window_id % 172800 = 0
+       UNION ALL SELECT -1, window_id FROM sig)
+SELECT coalesce(l.training_job_id, st.training_job_id) AS training_job_id,
+       coalesce(l.linguistic_window_id, st.linguistic_window_id) AS linguistic_window_id,
+       CAST(l.drift_window_id AS VARCHAR) AS drift_window_id, coalesce(l.signal_weight, 0.5) AS signal_weight
+FROM l FULL JOIN st ON st.training_job_id = l.training_job_id AND st.linguistic_window_id = l.linguistic_window_id""",
+    "linguistic_windows", "training_jobs"))
+def link_signals(t):
+    """J14 upserted over links stored earlier: some of the same (job, window), some of other jobs."""
+    sig, jobs = _signals(t), FX.training_jobs(t)
+    first = P.link_signals(sig, jobs).filter(F.col("linguistic_window_id") % 172800 == 0)
+    other = sig.select(F.lit(-1).cast("long").alias("training_job_id"), F.col("window_id").alias("linguistic_window_id"))
+    stored = first.select("training_job_id", "linguistic_window_id").unionByName(other).select(
+        "*", F.lit(None).cast("long").alias("drift_window_id"), F.lit(0.5).alias("signal_weight"))
+    out = P.link_signals(sig, jobs, _drift_hours(t), stored)
+    return out.withColumn("drift_window_id", F.col("drift_window_id").cast("string"))
+
+
+@register("attach_latest_breach", operators=("J13",), sql=FX.with_fixtures(
+    "WITH " + _BREACH_SQL.strip() + " SELECT window_id, drift_window_id, drift_window_start FROM lb", "linguistic_windows"))
 def attach_latest_breach(t):
-    rep = D.drift_report(FX.embedding_arrivals_shifted(t)).withColumn(
-        "window_id", F.unix_seconds("window_start"))
-    sig = FX.linguistic_windows(t).withColumn("window_id", F.unix_seconds("window_start"))
-    return P.attach_latest_breach(sig, rep).select("window_id", "drift_window_id", "drift_window_start")
+    return P.attach_latest_breach(_signals(t), _drift_hours(t)).select("window_id", "drift_window_id", "drift_window_start")
+
+
+@register("linguistic_alert_payloads", operators=("S5", "J13", "J14"), sql=FX.with_fixtures("WITH " + _BREACH_SQL.strip() + """,
+act AS (SELECT queued_at, max(job_id) AS job_id FROM training_jobs WHERE status IN ('QUEUED', 'RUNNING') GROUP BY 1),
+top AS (SELECT day, arg_max(event_type, (n, event_type)) AS term, max(n) AS n FROM
+          (SELECT epoch(date_trunc('day', ts))::BIGINT AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY day)
+SELECT CAST(s.window_id AS VARCHAR) AS key,
+       '{"window_id":"' || CAST(s.window_id AS VARCHAR) || '","drift_window_id":' ||
+       coalesce('"' || CAST(lb.drift_window_id AS VARCHAR) || '"', 'null') || ',"training_job_id":' ||
+       coalesce('"' || CAST(act.job_id AS VARCHAR) || '"', 'null') || ',"composite_score":' || CAST(s.composite_score AS VARCHAR) ||
+       ',"threshold":0.05,"timestamp":"' || strftime(s.window_end, '%Y-%m-%dT%H:%M:%S') || '+00:00","new_entities":[],' ||
+       '"emerging_terms":[{"term":"' || top.term || '","window_count":' || CAST(top.n AS VARCHAR) || '}]}' AS value
+FROM sig s ASOF LEFT JOIN act ON s.window_end >= act.queued_at
+JOIN lb ON lb.window_id = s.window_id JOIN top ON top.day = s.window_id
+WHERE s.composite_score > 0.05""", "linguistic_windows", "training_jobs"))
+def linguistic_alert_payloads(t):
+    """S5 for breached linguistic windows, with the ids of J13 and J14 where there are any."""
+    from embdrift.sources.io import linguistic_alert_payloads as payloads
+    sig = _signals(t)
+    links = P.link_signals(sig, FX.training_jobs(t), _drift_hours(t))
+    jobs = links.select(F.col("linguistic_window_id").alias("window_id"), "training_job_id")
+    n = t.events.groupBy(F.unix_seconds(F.date_trunc("day", "ts")).alias("window_id"), "event_type").agg(F.count("*").alias("n"))
+    top = n.groupBy("window_id").agg(F.max(F.struct("n", "event_type")).alias("m"))
+    term = F.struct(F.col("m.event_type").alias("term"), F.col("m.n").alias("window_count"))
+    rep = (P.attach_latest_breach(sig, _drift_hours(t)).join(jobs, "window_id", "left").join(top, "window_id")
+           .select("window_id", "drift_window_id", "training_job_id", "composite_score", F.lit(0.05).alias("threshold"),
+                   F.col("window_end").alias("now"), (F.col("composite_score") > 0.05).alias("breached"),
+                   F.array().cast("array<struct<text:string>>").alias("new_entities"), F.array(term).alias("emerging_terms")))
+    return payloads(rep)
 
 
 @register("drift_alert_payloads", operators=("S4", "ST8", "P2"), sql=FX.with_fixtures(_ASOF + """,
@@ -162,7 +220,7 @@ y AS (SELECT *, embedding_drift >= 0.08 AS eh, ling >= 0.6 AS lh,
 SELECT 'FIVE_MIN' AS key,
        '{"window_id":"' || CAST(window_id AS VARCHAR) || '","window_size":"FIVE_MIN","drift_score":' ||
        CAST(embedding_drift AS VARCHAR) ||
-       CASE WHEN linguistic_drift IS NULL THEN '' ELSE ',"linguistic_drift_score":' || CAST(linguistic_drift AS VARCHAR) END ||
+       ',"linguistic_drift_score":' || coalesce(CAST(linguistic_drift AS VARCHAR), 'null') ||
        ',"threshold":0.08,"priority":"' ||
        CASE WHEN eh AND lh THEN 'dual_signal_high' WHEN eh THEN 'embedding_drift' ELSE 'linguistic_drift' END ||
        '","timestamp":"' || strftime(now, '%Y-%m-%dT%H:%M:%S') || '+00:00"}' AS value

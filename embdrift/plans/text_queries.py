@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.operators import linguistic as L
+from embdrift.operators.ranking import global_rank
 from embdrift.plans.catalog import register
 from embdrift.sources import fixtures as FX
 
 WIDTH_MIN = 60
 W = TX.PY_WHITESPACE
 STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stopwords.english()) + "]"
-ENTITY_RE2 = TX.ENTITY_PATTERN
 
 _SIDES = f"""
 base AS (SELECT CAST(floor(epoch(occurred_at) / {WIDTH_MIN * 60}) AS BIGINT) AS wid, id AS doc_id, text FROM docs
@@ -32,16 +32,6 @@ tc AS (SELECT wid, side, term, count(*) AS n FROM
 al AS (SELECT wid, term, CAST(sum(CASE WHEN side = 'baseline' THEN n ELSE 0 END) AS BIGINT) AS b,
               CAST(sum(CASE WHEN side = 'window' THEN n ELSE 0 END) AS BIGINT) AS w FROM tc GROUP BY wid, term)"""
 
-_ENTS = f"""
-ec AS (SELECT wid, side, entity, count(*) AS n FROM
-         (SELECT wid, side, 'PROPER:' || e AS entity FROM
-            (SELECT wid, side, lower(trim(unnest(regexp_extract_all(text, '{ENTITY_RE2}')))) AS e FROM sides)
-          WHERE e NOT IN ('the', 'and'))
-       GROUP BY ALL),
-ea AS (SELECT wid, entity, CAST(sum(CASE WHEN side = 'baseline' THEN n ELSE 0 END) AS BIGINT) AS b,
-              CAST(sum(CASE WHEN side = 'window' THEN n ELSE 0 END) AS BIGINT) AS w FROM ec GROUP BY wid, entity)"""
-
-
 def _tfidf(keys: str, nfeat: int, ngrams: bool, name: str) -> str:
     grams = ("toks || CASE WHEN len(toks) >= 2 THEN list_transform(range(1, len(toks)), "
              "lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END") if ngrams else "toks"
@@ -103,13 +93,20 @@ def vocab_chi2(t):
     return r.select("wid", F.round("statistic", 4).alias("statistic"), "dof", "vocabulary")
 
 
-@register("entity_js_distance", operators=("A7", "P12", "P13"), sql=None, oracle_unused=_q("""
+@register("term_js_distance", operators=("A7", "P12", "P13"), sql=_q("""
 SELECT wid, round(least(greatest(coalesce(sqrt(s / ln(2) / 2), 0), 0), 1), 6) AS entity_distance
 FROM (SELECT wid, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) AS s
       FROM (SELECT wid, (b + 1e-9) / (sum(b) OVER (PARTITION BY wid) + 1e-9 * count(*) OVER (PARTITION BY wid)) AS p,
                         (w + 1e-9) / (sum(w) OVER (PARTITION BY wid) + 1e-9 * count(*) OVER (PARTITION BY wid)) AS q
-            FROM ea)
-      GROUP BY wid)""", _ENTS))
+            FROM al)
+      GROUP BY wid)""", _TERMS))
+def term_js_distance(t):
+    """A7 over vocabulary terms, whose tokens SQL cuts alike."""
+    r = L.js_distance(L.align_counts(L.term_counts(_sides(t)), "term"))
+    return r.select("wid", F.round("entity_distance", 6).alias("entity_distance"))
+
+
+@register("entity_js_distance", operators=("A7", "P12", "P13"), sql=None)
 def entity_js_distance(t):
     r = L.js_distance(L.align_counts(L.entity_counts(_sides(t)), "entity"))
     return r.select("wid", F.round("entity_distance", 6).alias("entity_distance"))
@@ -172,11 +169,29 @@ def emerging_terms(t):
     return L.emerging_terms(L.align_counts(L.term_counts(_sides(t)), "term"))
 
 
-@register("new_entities", operators=("T6", "X3", "P14"), sql=None, oracle_unused=_q("""
-SELECT wid, rank, substr(entity, instr(entity, ':') + 1) AS text, substr(entity, 1, instr(entity, ':') - 1) AS label,
-       w AS count
-FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY w DESC, entity ASC) AS rank FROM ea WHERE w > 0 AND b = 0)
-WHERE rank <= 10""", _ENTS))
+@register("new_terms", operators=("T6", "X3", "P14"), sql=_q("""
+SELECT wid, rank, term AS text, 'TERM' AS label, w AS count
+FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY w DESC, term ASC) AS rank FROM al WHERE w > 0 AND b = 0)
+WHERE rank <= 10""", _TERMS))
+def new_terms(t):
+    """T6 / X3 over vocabulary terms as ``TERM:`` keys."""
+    al = L.align_counts(L.term_counts(_sides(t)), "term").withColumn("entity", F.concat(F.lit("TERM:"), "term"))
+    return L.new_entities(al)
+
+
+@register("rank_split", operators=("W3", "L1"), sql=FX.with_fixtures("""
+SELECT id, rank, CASE WHEN rank < (SELECT count(*) // 2 FROM docs) THEN 'window' ELSE 'baseline' END AS side
+FROM (SELECT id, row_number() OVER (ORDER BY occurred_at DESC, id DESC) - 1 AS rank FROM docs)""", "docs"))
+def rank_split(t):
+    """The newest half by global rank against the rest, the fallback of L1."""
+    d = FX.docs(t).select("id", "occurred_at")
+    r = global_rank(d, [-F.floor(F.unix_seconds("occurred_at") / 3600)], [F.desc("occurred_at"), F.desc("id")])
+    n = d.agg(F.count("*").alias("n")).select("n").scalar()
+    return r.select("id", "rank", n.alias("n")).select(
+        "id", "rank", F.when(F.col("rank") < F.floor(F.col("n") / 2), L.WINDOW).otherwise(L.BASELINE).alias("side"))
+
+
+@register("new_entities", operators=("T6", "X3", "P14"), sql=None)
 def new_entities(t):
     return L.new_entities(L.align_counts(L.entity_counts(_sides(t)), "entity"))
 
@@ -216,4 +231,5 @@ def linguistic_report(t):
         sides.select(F.min("window_start")).scalar().alias("window_start"),
         sides.select(F.min("window_end")).scalar().alias("window_end"),
         "document_count", "entity_kl_divergence", "topic_wasserstein", "vocab_chi2_pvalue",
-        "composite_score", "breached", F.to_json("emerging_terms").alias("emerging_terms"))
+        "composite_score", "breached", F.to_json("new_entities").alias("new_entities"),
+        F.to_json("emerging_topics").alias("emerging_topics"), F.to_json("emerging_terms").alias("emerging_terms"))

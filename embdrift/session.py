@@ -12,13 +12,18 @@ def get_spark(master: str | None = None, app: str = "embdrift",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings every operator assumes.
 
-    On a cluster the master, memory and shuffle width come from spark-submit;
-    here we only fill in what is unset.
+    On a cluster the master and all memory settings come from spark-submit: a
+    master is set only when the caller names one (or ``EMBDRIFT_MASTER`` does),
+    driver memory only when ``EMBDRIFT_DRIVER_MEMORY`` does.
     """
-    master = master or os.environ.get("EMBDRIFT_MASTER", "local[8]")
+    master = master or os.environ.get("EMBDRIFT_MASTER")
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+    if os.environ.get("EMBDRIFT_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", os.environ["EMBDRIFT_DRIVER_MEMORY"])
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -27,8 +32,6 @@ def get_spark(master: str | None = None, app: str = "embdrift",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-        # Local mode runs executors inside the driver JVM: its heap is the executor memory.
-        .config("spark.driver.memory", os.environ.get("EMBDRIFT_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -46,7 +49,8 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (tests, local runs) do we pick a fresh local folder.
+    Only when it is unset and the master is local (tests) do we pick a fresh
+    local folder; a cluster without a shared folder is a configuration error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -54,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="embdrift-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -88,27 +94,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 = broadcasts off)."""
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB")).strip().lower()
-    units = {"tb": 1 << 40, "gb": 1 << 30, "mb": 1 << 20, "kb": 1 << 10, "t": 1 << 40, "g": 1 << 30,
-             "m": 1 << 20, "k": 1 << 10, "b": 1}
-    for suffix, mult in units.items():
-        if raw.endswith(suffix):
-            return int(float(raw[: -len(suffix)]) * mult)
-    return int(raw)
-
-
-def broadcast_bounded(df, max_rows: int, row_bytes: int = 96):
-    """Broadcast ``df`` only when a proven row bound fits the session's broadcast
-    threshold; beyond it the frame is returned as is and AQE plans the join."""
-    from pyspark.sql import functions as F
-    limit = broadcast_limit(df.sparkSession)
-    if 0 < max_rows * row_bytes <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and read it back (lineage cut).
 

@@ -56,12 +56,15 @@ def archive_raw(df: DataFrame, path: str, mode: str = "append") -> None:
 
     One file per row (the reference's object layout) would be an anti-pattern
     at scale; rows go to partitioned JSON files and keep their ``object_key``.
+    A stream gives each batch a folder of its own and ``mode="overwrite"``, so
+    that a replay replaces what it wrote.
     """
     df.write.mode(mode).partitionBy("source").json(path)
 
 
 def drift_alert_payloads(accepted: DataFrame, window_size: str = "FIVE_MIN", threshold: float = 0.08) -> DataFrame:
-    """(key, value) rows: key = window size, value = the 7-field JSON alert."""
+    """(key, value) rows: key = window size, value = the 7-field JSON alert
+    (a missing linguistic score is ``null``, not left out)."""
     value = F.to_json(F.struct(
         F.col("window_id").cast("string").alias("window_id"),
         F.lit(window_size).alias("window_size"),
@@ -69,18 +72,21 @@ def drift_alert_payloads(accepted: DataFrame, window_size: str = "FIVE_MIN", thr
         F.col("linguistic_drift").alias("linguistic_drift_score"),
         F.lit(threshold).alias("threshold"),
         F.col("priority").alias("priority"),
-        iso_utc(F.col("now")).alias("timestamp")))
+        iso_utc(F.col("now")).alias("timestamp")), {"ignoreNullFields": "false"})
     return accepted.select(F.lit(window_size).alias("key"), value.alias("value"))
 
 
 def linguistic_alert_payloads(report: DataFrame) -> DataFrame:
-    """key = window id, value = JSON with scores, new entities and emerging terms."""
+    """Breached windows as (key, value): key = window id, value = JSON with the window, drift
+    window and job ids (J13, J14; ``null`` where there is none), scores, the time ``now`` of the
+    analysis, new entities and emerging terms."""
+    def text(c: str):
+        return F.col(c).cast("string").alias(c)
+
     value = F.to_json(F.struct(
-        F.col("window_id").cast("string").alias("window_id"),
-        iso_utc(F.col("window_start")).alias("window_start"),
-        iso_utc(F.col("window_end")).alias("window_end"),
-        F.col("composite_score"), F.col("threshold"),
-        F.col("new_entities"), F.col("emerging_terms")))
+        text("window_id"), text("drift_window_id"), text("training_job_id"),
+        F.col("composite_score"), F.col("threshold"), iso_utc(F.col("now")).alias("timestamp"),
+        F.col("new_entities"), F.col("emerging_terms")), {"ignoreNullFields": "false"})
     return report.filter(F.col("breached")).select(F.col("window_id").cast("string").alias("key"), value.alias("value"))
 
 

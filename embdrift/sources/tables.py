@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,20 +19,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Per-row text work (regex, tokenising) is CPU-bound: when a scan yields
-    fewer input splits than task slots (a small file with one row group), deal
-    the rows over twice the slots.  Large inputs already have enough splits and
-    are left alone (no extra shuffle).
+#: Session setting: number of tasks that per-row text work is dealt over (unset: the scan's own).
+TEXT_TASKS = "embdrift.text.tasks"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the number of tasks that the session setting ``embdrift.text.tasks`` names.
 
-    With ``order`` the rows are range-partitioned instead of round-robin, so a
-    task holds contiguous groups and its map-side combine reduces well; a
-    unique trailing column keeps a hot group splittable.
+    Tokenising is CPU-bound, and a small file with one row group is one task. The
+    setting is the caller's; nothing here looks at the data, and unset means no shuffle.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartitionByRange(slots * 2, *order) if order else df.repartition(slots * 2)
-    return df
+    tasks = df.sparkSession.conf.get(TEXT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

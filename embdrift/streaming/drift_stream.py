@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from embdrift import config
 from embdrift.operators.drift import score_windows
@@ -37,26 +38,41 @@ def drift_windows_stream(stream: DataFrame, width_seconds: int = config.DRIFT_WI
     return drift_windows(s, width_seconds, None, ts_col, vector_col)
 
 
-def idempotent_append(batch: DataFrame, path: str, keys: list[str]) -> int:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever file system it names; other errors are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def idempotent_append(batch: DataFrame, path: str, keys: list[str], day_of: str = "window_start") -> int:
     """ST6: append only rows whose key is not stored yet (a replayed batch adds nothing).
 
-    Returns the number of rows appended.  The anti join reads only the key
-    columns of the stored table.
+    Returns the number of rows appended.  The table is partitioned by the UTC
+    day of ``day_of``, one of the keys; the anti join reads the key columns of
+    the days between the batch's first and last, not of the whole table.
     """
     spark = batch.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(*keys)
-        new = batch.join(stored, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - first batch: no table yet
-        new = batch
-    new = new.persist()
-    n = new.count()
+    new = batch.withColumn("day", F.to_date(day_of)).persist()
+    days = new.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    if days.lo is not None and _exists(spark, path):
+        stored = spark.read.parquet(path).filter(F.col("day").between(F.lit(days.lo), F.lit(days.hi))).select(*keys)
+        rows = new.join(stored, keys, "left_anti").persist()
+    else:
+        rows = new
+    n = rows.count()
     if n:
-        new.write.mode("append").parquet(path)
+        rows.write.mode("append").partitionBy("day").parquet(path)
+    rows.unpersist()
     new.unpersist()
     return n
 
 
+def overwrite_batch(batch: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
+    """Rows of one micro-batch in a folder of its own (``batch_id=``): a replay replaces them.
+    Readers of ``path`` see batch_id as a partition column."""
+    batch.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
 def start_drift_stream(stream: DataFrame, baseline: DataFrame, out_path: str, checkpoint: str,
                        width_seconds: int = config.DRIFT_WINDOW_SECONDS, watermark: str = "0 seconds",
                        threshold: float = config.DRIFT_THRESHOLD, available_now: bool = True,
@@ -79,21 +95,38 @@ def start_drift_stream(stream: DataFrame, baseline: DataFrame, out_path: str, ch
     return w.start()
 
 
-def dropped_by_watermark(query) -> int:
-    """ST4: rows dropped as late by the stateful operator, summed over recent progress."""
-    total = 0
-    for p in query.recentProgress or []:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
-            total += int(op.get("numRowsDroppedByWatermark", 0))
-    return total
+class LateRows(StreamingQueryListener):
+    """ST4: rows dropped as late, summed over every progress event of every query.
+
+    Add it before the query starts: ``spark.streams.addListener(late)``.
+    ``dropped`` maps run id -> rows; Spark itself keeps only the recent events.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.dropped[str(p.runId)] = self.dropped.get(str(p.runId), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def start_archive_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True):
-    """S3 in a stream: raw payloads archived per micro-batch, partitioned by source."""
+    """S3 in a stream: raw payloads archived per micro-batch, partitioned by source; a replayed
+    batch replaces its own folder."""
     from embdrift.sources.io import archive_raw
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        archive_raw(batch.withColumn("batch_id", F.lit(batch_id)), path)
+        archive_raw(batch, f"{path.rstrip('/')}/batch_id={batch_id}", mode="overwrite")
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w
@@ -122,7 +155,7 @@ def start_alert_stream(stream: DataFrame, baseline: DataFrame, jobs: DataFrame,
         decided = throttle_alerts(alerts, jobs, policy).filter("accepted")
         payload = drift_alert_payloads(decided.withColumnRenamed("embedding_drift", "drift_score"),
                                        threshold=threshold)
-        payload.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        overwrite_batch(payload, out_path, batch_id)
 
     w = windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w

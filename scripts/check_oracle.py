@@ -53,7 +53,7 @@ def digest(df: pd.DataFrame) -> tuple[int, list[str], str]:
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark(shuffle_partitions=8)
+    spark = get_spark(os.environ.get("EMBDRIFT_MASTER", "local[8]"), shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_dir, t)}')")

@@ -10,33 +10,65 @@ from embdrift.operators import governance as G
 from embdrift.sources import io as IO
 
 
-def test_audit_decisions(spark):
-    models = spark.createDataFrame([("m1", "ACTIVE", 0.2, 0.5, 0.6), ("m2", "PASSED", 0.05, 0.5, 0.52),
-                                    ("m3", "REJECTED", 0.3, 0.4, 0.52), ("m4", "PASSED", 0.0, 0.0, 0.0)],
-                                   "version string, status string, improvement double, baseline_quality double, "
-                                   "candidate_quality double")
+MODEL = ("version string, status string, improvement double, baseline_quality double, candidate_quality double")
+
+
+def _audit(spark, models, served, docs=5):
     jobs = spark.createDataFrame([(1, "FAILED"), (2, "SUCCEEDED")], "job_id long, status string")
-    wins = spark.createDataFrame([(10, 0, 0.4), (11, 5, 0.4)], "window_id long, document_count long, composite_score double")
-    served = spark.createDataFrame([("m2",)], "served_version string")
-    got = {(r.entity, r.id, r.rule) for r in G.audit_decisions(models, jobs, wins, served).collect()}
-    assert got == {("model", "m2", "promoted_without_gain"), ("model", "m3", "rejected_with_gain"),
-                   ("model", "m4", "promoted_not_evaluated"), ("job", "1", "failed_job"),
-                   ("window", "10", "empty_window_analysed"), ("serving", "m2", "served_version_not_active")}
+    wins = spark.createDataFrame([(10, 0), (11, docs)], "window_id long, document_count long")
+    s = spark.createDataFrame([(served,)], "served_version string")
+    return {(r.entity, r.id, r.rule) for r in G.audit_decisions(spark.createDataFrame(models, MODEL), jobs, wins, s).collect()}
+
+
+def test_audit_decisions(spark):
+    models = [("baseline", "ACTIVE", None, None, None), ("m1", "ACTIVE", 0.2, 0.5, 0.6), ("m2", "PASSED", 0.05, 0.5, 0.52),
+              ("m3", "REJECTED", 0.3, 0.4, 0.52), ("m4", "PASSED", 0.0, 0.0, 0.0), ("m5", "REJECTED", None, None, None)]
+    wrong = {("model", "m2", "promoted_without_gain"), ("model", "m3", "rejected_with_gain"),
+             ("model", "m4", "decided_not_evaluated"), ("job", "1", "failed_job")}
+    assert _audit(spark, models, "m1") == wrong
+    assert _audit(spark, models, "m2") == wrong | {("serving", "m2", "served_without_gain")}
+    assert _audit(spark, models, "baseline", docs=0) == wrong | {("serving", "baseline", "promoted_not_served"),
+                                                                 ("window", "all", "no_window_analysed")}
+
+
+def test_audit_baseline_serves_when_nothing_was_promoted(spark):
+    models = [("baseline", "ACTIVE", None, None, None), ("m1", "REJECTED", 0.01, 0.5, 0.505)]
+    assert _audit(spark, models, "baseline") == {("job", "1", "failed_job")}
+    assert ("serving", "m1", "baseline_not_served") in _audit(spark, models, "m1")
 
 
 def test_audit_artifacts(spark, tmp):
-    d = os.path.join(tmp, "models", "m1")
-    os.makedirs(d)
-    with open(os.path.join(d, "adapter.onnx"), "wb") as f:
-        f.write(b"weights")
-    good = hashlib.sha256(b"weights").hexdigest()
-    reg = spark.createDataFrame([("m1", "s3://models/m1/adapter.onnx", good, 64, "adapter"),
-                                 ("m2", "s3://models/m2/adapter.onnx", good, 32, "weird")],
-                                "version string, artifact_uri string, sha256 string, width int, kind string")
-    files = spark.read.format("binaryFile").load(os.path.join(tmp, "models", "*", "*"))
-    got = {r.version: set(r.problems) for r in G.audit_artifacts(reg, files, 64).collect()}
-    assert got["m1"] == set()
-    assert got["m2"] == {"missing_object", "unknown_kind", "width_mismatch"}
+    def put(bucket, key, data):
+        p = os.path.join(tmp, bucket, key)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as f:
+            f.write(data)
+        return hashlib.sha256(data).hexdigest()
+
+    model = put("models", "m1/model.onnx", b"weights")
+
+    def manifest(bucket, name, dim=64, **onnx):
+        onnx = {"uri": "s3://models/m1/model.onnx", "sha256": model} | onnx
+        return put(bucket, f"{name}/manifest.json", json.dumps({"embedding_dim": dim, "onnx": onnx}).encode())
+
+    rows = [("m1", "s3://models/m1/manifest.json", manifest("models", "m1")),
+            ("m2", "s3://models/m2/manifest.json", manifest("models", "m2", 32, kind="adapter")),
+            ("m3", "s3://models/m3/manifest.json", manifest("other", "m3")),  # the object lies in another bucket
+            ("m4", "s3://models/m4/manifest.json", manifest("models", "m4", kind="projection", sha256="0" * 64)),
+            ("m5", "s3://models/m5/manifest.json", put("models", "m5/manifest.json", b"[1]"))]
+    reg = spark.createDataFrame(rows, "version string, artifact_uri string, sha256 string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tmp)
+    got = {r.version: set(r.problems) for r in G.audit_artifacts(reg, files, 64, f"file:{tmp}").collect()}
+    assert got == {"m1": set(), "m2": {"width_mismatch", "unknown_kind"}, "m3": {"missing_object"},
+                   "m4": {"model_digest_mismatch"}, "m5": {"manifest_not_an_object"}}
+
+
+def test_rollback_archives_and_restores(spark):
+    from datetime import datetime
+    t0 = datetime(2024, 1, 1)
+    d = spark.createDataFrame([("r", "v2", "v1", t0, True), ("r", "v3", None, t0, True), ("r", "v1", "v0", t0, False)],
+                              "registry string, model_version string, previous_version string, observed_at timestamp, should_rollback boolean")
+    assert {(r.version, r.status) for r in G.rollback_events(d).collect()} == {("v2", "ARCHIVED"), ("v1", "ACTIVE")}
 
 
 def test_read_corpus_and_report(spark, tmp):
