@@ -11,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from embdrift.llm import compression, mixing, packing, rules, simhash, tokens
-from embdrift.llm.common import packed, read, stored, unpacked
-from embdrift.llm.queries import quality_model, quality_rules
+from embdrift.llm.common import marks, packed, read, stored, unpacked
+from embdrift.llm.queries import quality_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that fail the base rule or the learned list go."""
-    learned = quality_rules(docs, read(spark, sf_dir, "labels"))
-    stats = rules.text_stats(packed(docs, "text"))
+    stats = stored(rules.text_stats(packed(docs, "doc_id", "text")).drop("text"), "rules")  # texts are in there once, as inputs
+    learned = rules.learn_rules(stats.join(marks(read(spark, sf_dir, "labels"), "quality"), "doc_id"))
     return unpacked(rules.apply_rules(stats, learned).where("kept"), docs)
 
 

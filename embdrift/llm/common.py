@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,20 +12,10 @@ from embdrift.sources.tables import table_path
 
 #: The white space between words, as a character class body (same in Java, Python and RE2).
 SPACE = r"\x20\x09-\x0D"
-#: ASCII lower-casing only: other letters keep their case.
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Every white-space character of SPACE becomes one blank, so ``split(' ')`` cuts words fast.
 BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
-#: Both at once.
-LOWER_BLANKS = LOWER | BLANKS
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def words(text: str | None) -> list[str]:
-    """Words of a text: maximal runs without SPACE. None has none."""
-    return _WORD.findall(text) if text else []
-
+#: The same lower-casing for UTF-8 bytes; ``bytes.split()`` then cuts at exactly the SPACE characters.
+LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as it is, with the package shipped to the Python workers."""
@@ -52,32 +41,36 @@ def crc_class(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> DataFrame:
-    """(doc_id, text, label as 0/1) of the documents that ``keep`` selects and ``labels`` marks.
-
-    One row per document id: labels that contradict each other drop out (no verdict), repeated
-    equal rows count once. The join is on the integer id; both sides are cut before it.
-    """
-    marks = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-             .groupBy("doc_id").agg(F.min(label).alias("lo"), F.max(label).alias("label"))
-             .where("lo = label").drop("lo"))
-    rows = docs.where(keep & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.join(marks, "doc_id")
+def marks(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) with label 0 or 1, one row per id: labels that contradict each other drop out
+    (no verdict), repeated equal ones count once, null and other values do not count."""
+    return (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+            .groupBy("doc_id").agg(F.min(label).alias("lo"), F.max(label).alias("label"))
+            .where("lo = label").drop("lo"))
 
 
-def bounded_sample(rows: DataFrame, per_label: int, max_chars: int, seed: int = 0) -> list[tuple[str, int]]:
-    """At most ``per_label`` (text, label) rows of each label, chosen by a hash of the id among
-    texts of at most ``max_chars`` characters; sorted, so that a model fitted on it is repeatable.
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_label: int, max_chars: int,
+                   seed: int = 0) -> list[tuple[str, int]]:
+    """At most ``per_label`` (text, label) rows of each label among the documents that ``keep`` selects.
 
-    The bound holds at every input size: 2 * per_label * max_chars characters reach the driver.
+    Ids are chosen first, by a hash, from documents of 1 to ``max_chars`` characters; their texts (the
+    least text of a repeated id) are fetched by a broadcast of at most 2 * per_label ids, so no text is
+    shuffled. The bound holds at every input size: 2 * per_label * max_chars characters reach the
+    driver. Sorted, so that a model fitted on it is repeatable.
     """
-    rows = rows.where(F.length("text").between(1, max_chars))
-    out: list[tuple[str, int]] = []
-    for value in (0, 1):
-        part = (rows.where(F.col("label") == value)
-                .orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id", F.xxhash64("text")).limit(per_label))
-        out += [(r.text, value) for r in part.select("text").collect()]
-    return out
+    short = keep & F.length("text").between(1, max_chars) & F.col("doc_id").isNotNull()
+    ids = docs.where(short).select("doc_id").distinct().join(marks(labels, label), "doc_id")
+    order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
+    chosen = [ids.where(F.col("label") == v).orderBy(*order).limit(per_label) for v in (0, 1)]
+    rows = docs.where(short).select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    got = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(got, key=lambda r: (r.label, r.doc_id))]
+
+
+def label_share(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> float | None:
+    """Share of label 1 among all labelled documents that ``keep`` selects (two counts reach the driver)."""
+    ids = docs.where(keep & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return ids.join(marks(labels, label), "doc_id").agg(F.avg("label").alias("s")).first().s
 
 
 def evaluated(df: DataFrame, **columns: Column) -> DataFrame:

@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,49 +35,63 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import LOWER_BLANKS, stored
+from embdrift.llm.common import LOWER_BYTES, stored
 from embdrift.llm.eftrie import Quantiser, Trie
 
 #: Hashes of the marks beside words; their strings hold white space, so no word has them.
 END = np.uint64(xxhash.xxh64_intdigest(" end"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(" begin"))
+#: Bits of a trigram's number beside a mark and the sign.
+MARKED_BITS = 62
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Config:
-    chunk_tokens: int = 1_500_000  # bounds a chunk's memory (one longer text is a chunk of its own)
+    chunk_tokens: int = 2_000_000  # bounds a chunk's memory (one longer text is a chunk of its own)
     shard_tokens: int = 2_000_000  # training and scored n-grams of a shard, about
     smoothing: tuple[tuple[float, float], tuple[float, float]] = ((1.5, 0.85), (2.0, 0.95))
     node_bits: int = 12            # of probabilities in the trie
-    answer_bits: int = 16          # of x and y
+    answer_bits: int = 14          # of x and y
 
 
 # ---- arrays over the wire -------------------------------------------------------------------
 
 def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays in the smallest unsigned type that holds them, compressed together."""
+    """Arrays of unsigned integers, compressed together.
+
+    Each is cut to the bytes that its largest value needs and stored byte plane by byte plane,
+    which zstandard packs better than whole numbers.
+    """
     head, body = [len(arrays)], []
     for a in arrays:
-        a = np.asarray(a)
-        if a.dtype.kind in "iu":
-            top = int(a.max()) if len(a) else 0
-            a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-        head += ["BHIQd".index(a.dtype.char if a.dtype.char != "L" else "Q"), len(a)]
-        body.append(a.tobytes())
-    raw = np.array(head, np.uint32).tobytes() + b"".join(body)
+        a = np.ascontiguousarray(a, "<u8")
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        head += [width, len(a)]
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = np.array(head, "<u8").tobytes() + b"".join(body)
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def load(raw: bytes) -> list[np.ndarray]:
+    """The arrays of ``dump``, as 64-bit unsigned integers."""
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    head = np.frombuffer(raw, np.uint32, 2 * n, 4).reshape(-1, 2)
-    at, out = 4 + 8 * n, []
-    for kind, size in head.tolist():
-        dtype = np.dtype("BHIQd"[kind])
-        out.append(np.frombuffer(raw, dtype, size, at))
-        at += size * dtype.itemsize
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    head = np.frombuffer(raw, "<u8", 2 * n, 8).reshape(-1, 2)
+    at, out = 8 + 16 * n, []
+    for width, size in head.tolist():
+        planes = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
+        a = np.zeros((size, 8), np.uint8)
+        a[:, :width] = planes.T
+        out.append(a.view("<u8").ravel())
+        at += width * size
+    return out
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, the first as it is; ``np.cumsum`` undoes it."""
+    out = ascending.copy()
+    out[1:] -= ascending[:-1]
     return out
 
 
@@ -103,12 +119,12 @@ class Chunk:
         return np.repeat(~self.held_out.astype(bool), self.lens)
 
     def dump(self) -> bytes:
-        return dump(self.words, self.seq, self.lens, self.doc_id.view(np.uint64), self.has_id, self.held_out)
+        return dump(steps(self.words), self.seq, self.lens, self.doc_id.view(np.uint64), self.has_id, self.held_out)
 
     @classmethod
     def load(cls, name: str, raw: bytes) -> Chunk:
         w, s, n, d, h, o = load(raw)
-        return cls(name, w.astype(np.uint64), s.astype(np.int64), n.astype(np.int64), d.astype(np.uint64).view(np.int64),
+        return cls(name, np.cumsum(w, dtype=np.uint64), s.astype(np.int32), n.astype(np.int64), d.view(np.int64),
                    h.astype(np.uint8), o.astype(np.uint8))
 
     # Word counts.
@@ -119,24 +135,44 @@ class Chunk:
         keep = np.delete(self.train_positions(), starts)
         return np.bincount(seq[keep], minlength=len(self.words))
 
-    # Trigrams.
-    def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(v, u, w, training count) of the different trigrams in order, each position's trigram, and
-        the positions (of the last word) in seq."""
-        n = len(self.words)
-        bits = max(1, int(n).bit_length())
-        place = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
+    # Trigrams, each as one number v | u | w; where three places do not fit 62 bits (over a million
+    # different words, so one huge text), pairs are numbered first and the number is pair | w.
+    def positions(self) -> np.ndarray:
+        """Places in seq of the last words of the trigrams."""
+        place = np.cumsum(self.lens) - self.lens
         inside = np.ones(len(self.seq), bool)
         inside[place] = inside[place + 1] = False
-        at = np.flatnonzero(inside)
-        u, v, w = self.seq[at - 2], self.seq[at - 1], self.seq[at]
-        # Two steps, so that keys fit 64 bits for any vocabulary of a chunk.
-        pair, p = np.unique(v << bits | u, return_inverse=True)
-        grams, back = np.unique(p << bits | w, return_inverse=True)
-        count = np.bincount(back, weights=self.train_positions()[at], minlength=len(grams)).astype(np.int64)
-        both = pair[grams >> bits]
+        return np.flatnonzero(inside)
+
+    def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """(number of the trigram at each place, pairs if they are numbered)."""
+        bits, pairs = len(self.words).bit_length(), None
+        key = self.seq[at - 1].astype(np.int64)
+        key <<= bits
+        key |= self.seq[at - 2]
+        if 3 * bits > MARKED_BITS:
+            pairs, key = np.unique(key, return_inverse=True)
+        key <<= bits
+        key |= self.seq[at]
+        return key, pairs
+
+    def split(self, key: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(v, u, w) of trigram numbers."""
+        bits = len(self.words).bit_length()
         low = (1 << bits) - 1
-        return both >> bits, both & low, grams & low, count, back, at
+        both = key >> bits if pairs is None else pairs[key >> bits]
+        return both >> bits, both & low, key & low
+
+    def counted(self, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """((v, u, w) of the different trigrams ascending, how often they occur in training documents)."""
+        key, pairs = self.keys(at)
+        key <<= 1
+        key |= self.train_positions()[at]
+        key.sort()
+        train = (key & 1).astype(np.int32)
+        key >>= 1
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        return self.split(key[first], pairs), np.add.reduceat(train, first) if len(first) else train
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chunk]:
@@ -145,44 +181,30 @@ def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chu
 
     context = TaskContext.get()
     part, number = context.partitionId() if context else 0, 0
-    fresh = lambda: ({}, [], [], [], [])
-    known, seqs, ids, held, missing = fresh()
-    size = 0
+    known, seqs, ids, held, missing, size = defaultdict(count(2).__next__), [], [], [], [], 0
 
     def finish() -> Chunk:
-        nonlocal known, seqs, ids, held, missing, size, number
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        hashes = np.concatenate([np.array([BEGIN, END], np.uint64), hashes])
-        words, to = np.unique(hashes, return_inverse=True)
-        seq = to[np.concatenate(seqs)]
-        lens = np.array([len(s) for s in seqs], np.int64)
-        c = Chunk("", words, seq, lens, np.array(ids, np.int64), 1 - np.array(missing, np.uint8), np.array(held, np.uint8))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        words, to = np.unique(np.concatenate([np.array([BEGIN, END], np.uint64), hashes]), return_inverse=True)
+        seq = to.astype(np.int32)[np.concatenate(seqs)]
+        c = Chunk("", words, seq, np.array([len(x) for x in seqs], np.int64), np.array(ids, np.int64),
+                  1 - np.array(missing, np.uint8), np.array(held, np.uint8))
         digest = xxhash.xxh64(words.tobytes())
         for a in (c.seq, c.lens, c.doc_id, c.held_out):
             digest.update(a.tobytes())
         c.name = f"{part}-{number}-{digest.hexdigest()}"
-        number += 1
-        known, seqs, ids, held, missing = fresh()
-        size = 0
         return c
 
     for b in batches:
-        for doc_id, text, out in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("held_out").to_pylist()):
-            ws = [w for w in text.translate(LOWER_BLANKS).split(" ") if w] if text else []
+        for doc_id, text, out in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("held_out").to_pylist()):
+            raw = text.as_buffer()
+            # Bytes: A-Z lower-cased by a table, cut at ASCII white space, both without looking at characters.
+            ws = raw.to_pybytes().translate(LOWER_BYTES).split() if raw else []
             if size and size + len(ws) > config.chunk_tokens:
                 yield finish()
-            seq = np.empty(len(ws) + 3, np.int64)
-            seq[:2], seq[-1] = 0, 1  # BEGIN, END
-            n = len(known)
-            get = known.setdefault
-            out_ids = []
-            for w in ws:
-                k = get(w, n)
-                if k == n:
-                    n += 1
-                out_ids.append(k)
-            seq[2:-1] = np.array(out_ids, np.int64) + 2
-            seqs.append(seq)
+                number += 1
+                known, seqs, ids, held, missing, size = defaultdict(count(2).__next__), [], [], [], [], 0
+            seqs.append(np.array([0, 0, *map(known.__getitem__, ws), 1], np.int32))
             ids.append(doc_id or 0)
             missing.append(doc_id is None)
             held.append(bool(out))
@@ -221,7 +243,7 @@ def _count_words(pdf: pd.DataFrame, hot_from: int) -> pd.DataFrame:
     """Reducer of step 1: one answer per message; totals ride on the first."""
     messages = [load(p) for p in pdf["payload"]]
     sizes = [len(m[0]) for m in messages]
-    words, back = np.unique(np.concatenate([m[0] for m in messages]).astype(np.uint64), return_inverse=True)
+    words, back = np.unique(np.concatenate([np.cumsum(m[0], dtype=np.uint64) for m in messages]), return_inverse=True)
     count = np.bincount(back, weights=np.concatenate([m[1] for m in messages]).astype(np.float64), minlength=len(words)).astype(np.int64)
     cut = np.split(back, np.cumsum(sizes)[:-1])
     token = words != BEGIN
@@ -231,7 +253,7 @@ def _count_words(pdf: pd.DataFrame, hot_from: int) -> pd.DataFrame:
         "chunk": pdf["chunk"], "shard": pdf["shard"], "payload": [dump(count[b]) for b in cut],
         "tokens": [int(count[token].sum())] + [0] * (n - 1), "kinds": [int((count[token] > 0).sum())] + [0] * (n - 1),
         "grams": [int(sum(sizes))] + [0] * (n - 1),
-        "hot": [dump(words[hot], count[hot])] + [None] * (n - 1)})
+        "hot": [dump(words[hot], count[hot]) if hot.any() else None] + [None] * (n - 1)})
 
 
 # ---- hot words ------------------------------------------------------------------------------
@@ -272,12 +294,14 @@ def _pair_key(v: np.ndarray, other: np.ndarray, kind: np.uint64) -> np.ndarray:
 
 def _hot_pairs(c: Chunk, layout: Layout, shards: int) -> list[tuple]:
     """Step 1b: training counts of pairs with a hot middle word, with the parts that need them."""
-    v, u, w, n, _, _ = c.trigrams()
-    hot = layout.find(c.words)[v]
-    at = np.flatnonzero(hot >= 0)
-    if not len(at):
+    place = c.positions()
+    hot = layout.find(c.words)
+    place = place[hot[c.seq[place - 1]] >= 0]
+    if not len(place):
         return []
-    v, u, w, n, hot = c.words[v[at]], c.words[u[at]], c.words[w[at]], n[at], hot[at]
+    (v, u, w), n = c.counted(place)
+    hot = hot[v]
+    v, u, w = c.words[v], c.words[u], c.words[w]
     target = layout.owner(u, v, w, hot)
     key = np.concatenate([_pair_key(v, u, _BEFORE), _pair_key(v, w, _AFTER)])
     rows = []
@@ -287,41 +311,45 @@ def _hot_pairs(c: Chunk, layout: Layout, shards: int) -> list[tuple]:
         order = np.lexsort((t, k))
         k, t, m = k[order], t[order], m[order]
         new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
-        rows.append((shard, c.name, dump(k[new], t[new], np.add.reduceat(m, new))))
+        rows.append((shard, c.name, dump(steps(k[new]), t[new], np.add.reduceat(m, new))))
     return rows
 
 
 def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Reducer of step 1b: the counts of pairs, sorted by the shard that they go to."""
     messages = [load(p) for p in pdf["payload"]]
-    k, t, m = (np.concatenate([x[j] for x in messages]) for j in range(3))
-    keys, back = np.unique(k.astype(np.uint64), return_inverse=True)
+    k = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in messages])
+    t, m = (np.concatenate([x[j] for x in messages]) for j in (1, 2))
+    keys, back = np.unique(k, return_inverse=True)
     total = np.bincount(back, weights=m.astype(np.float64)).astype(np.int64)
     width = np.int64(len(keys))
     need = np.unique(t.astype(np.int64) * width + back)
-    rows = [(s, dump(keys[need[p] % width], total[need[p] % width])) for s, p in _split((need // width).astype(np.int32))]
+    rows = [(s, dump(steps(keys[need[p] % width]), total[need[p] % width])) for s, p in _split((need // width).astype(np.int32))]
     return pd.DataFrame(rows, columns=["shard", "payload"])
 
 
 # ---- step 2: trigrams -----------------------------------------------------------------------
 
-def _gram_messages(c: Chunk, layout: Layout) -> tuple[list[tuple[int, np.ndarray]], tuple]:
-    """((shard, places) of the chunk's different trigrams, the trigrams): the same on the way out
-    and on the way back."""
-    grams = c.trigrams()
-    v, u, w = grams[:3]
-    owner = layout.owner(c.words[u], c.words[v], c.words[w], layout.find(c.words)[v])
-    return list(_split(owner)), grams
+def _by_owner(c: Chunk, layout: Layout, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, places) of the chunk's different trigrams: the same on the way out and on the way back."""
+    hot = layout.find(c.words)[v]
+    if (hot >= 0).any():
+        owner = layout.owner(c.words[u], c.words[v], c.words[w], hot)
+    else:
+        owner = layout.owner(c.words, c.words, c.words, np.full(len(c.words), -1))[v]
+    return list(_split(owner))
 
 
-def _gram_rows(c: Chunk, layout: Layout) -> list[tuple]:
-    parts, (v, u, w, n, _, _) = _gram_messages(c, layout)
-    rows = []
-    for shard, p in parts:
-        used, back = np.unique(np.concatenate([v[p], u[p], w[p]]), return_inverse=True)
-        bv, bu, bw = np.split(back, 3)
-        rows.append((shard, c.name, dump(c.words[used], np.diff(bv, prepend=0), bu, bw, n[p])))
-    return rows
+def _gram_rows(c: Chunk, layout: Layout) -> Iterator[tuple]:
+    (v, u, w), n = c.counted(c.positions())
+    number = np.zeros(len(c.words), np.int64)
+    for shard, p in _by_owner(c, layout, v, u, w):
+        pv, pu, pw = v[p], u[p], w[p]
+        seen = np.zeros(len(c.words), bool)
+        seen[pv] = seen[pu] = seen[pw] = True
+        used = np.flatnonzero(seen)
+        number[used] = np.arange(len(used))
+        yield shard, c.name, dump(steps(c.words[used]), steps(number[pv]), number[pu], number[pw], n[p])
 
 
 def shard_trie(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, config: Config,
@@ -359,27 +387,40 @@ def _answer_grams(pdf: pd.DataFrame, config: Config, layout: Layout) -> pd.DataF
     pdf = pdf[~given]
     if pdf.empty:
         return pd.DataFrame({"chunk": [], "shard": [], "payload": []})
-    keys = np.concatenate([e[0] for e in extra]).astype(np.uint64) if extra else np.empty(0, np.uint64)
+    keys = np.concatenate([np.cumsum(e[0], dtype=np.uint64) for e in extra]) if extra else np.empty(0, np.uint64)
     pair_counts = np.concatenate([e[1] for e in extra]).astype(np.int64) if extra else np.empty(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys, pair_counts = keys[order], pair_counts[order]
     messages = [load(p) for p in pdf["payload"]]
     sizes = [len(m[1]) for m in messages]
-    words = np.unique(np.concatenate([m[0] for m in messages]).astype(np.uint64))
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for m in messages:
-        to = np.searchsorted(words, m[0].astype(np.uint64))
-        for c, x in zip(cols, (to[np.cumsum(m[1].astype(np.int64))], to[m[2]], to[m[3]], m[4].astype(np.int64))):
-            c.append(x)
-    v, u, w, n = (np.concatenate(c) for c in cols)
-    del cols, messages
-    bits = max(1, int(len(words)).bit_length())
+    vocabularies = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
+    words = np.unique(np.concatenate(vocabularies))
+    bits = max(1, len(words).bit_length())
     low = np.int64((1 << bits) - 1)
-    context, p = np.unique(v << bits | u, return_inverse=True)
-    grams, back = np.unique(p << bits | w, return_inverse=True)
+    pairs, last, n = [], [], []
+    while messages:
+        _, dv, mu, mw, mn = messages.pop(0)
+        to = np.searchsorted(words, vocabularies.pop(0))
+        pairs.append(to[np.cumsum(dv.astype(np.int64))] << bits | to[mu.astype(np.int64)])
+        last.append(to[mw.astype(np.int64)])
+        n.append(mn.astype(np.float64))
+    pair, last, n = np.concatenate(pairs), np.concatenate(last), np.concatenate(n)
+    del pairs
+    if 3 * bits <= 63:
+        key = pair << bits | last
+        context = None
+    else:  # too many words of a shard for one number: contexts are numbered first
+        context, pair = np.unique(pair, return_inverse=True)
+        key = pair << bits | last
+    del pair, last
+    grams, back = np.unique(key, return_inverse=True)
+    del key
     n = np.bincount(back, weights=n, minlength=len(grams)).astype(np.int64)
-    v, u, w = context[grams >> bits] >> bits, context[grams >> bits] & low, grams & low
-    del p, grams
+    vu, w = grams >> bits, grams & low
+    if context is not None:
+        vu = context[vu]
+    v, u = vu >> bits, vu & low
+    del grams, vu
     raw = shard_trie(words, v, u, w, n, config, layout, keys, pair_counts)
     quant = Quantiser(config.answer_bits)
     handle, path = tempfile.mkstemp(prefix="trie-", suffix=".eft")  # the task's own, gone with it
@@ -409,12 +450,17 @@ def _score_chunk(pdf: pd.DataFrame, config: Config, layout: Layout, word_shard_c
         raise RuntimeError("the documents did not read the same twice; write them to a table first")
     c = Chunk.load(name, by["text", -1])
     count = np.empty(len(c.words), np.int64)
-    parts, (v, u, w, _, back, at) = _gram_messages(c, layout)
+    at = c.positions()
+    key, pairs = c.keys(at)
+    key, back = np.unique(key, return_inverse=True)
+    v, u, w = c.split(key, pairs)
+    parts = _by_owner(c, layout, v, u, w)
+    del key, u
     x, y = np.empty(len(v)), np.empty(len(v))
     quant = Quantiser(config.answer_bits)
     try:
         for s, p in _split(word_shards(c.words, word_shard_count)):
-            count[p] = load(by["word", s])[0]
+            count[p] = load(by["word", s])[0].astype(np.int64)
         for s, p in parts:
             cx, cy = load(by["gram", s])
             x[p], y[p] = quant.value(cx), quant.value(cy)
@@ -449,7 +495,7 @@ def score(docs: DataFrame, held_out: Column, config: Config = Config()) -> DataF
     def word_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_of(batches, config):
             n = c.word_counts()
-            yield _messages([(s, c.name, dump(c.words[p], n[p])) for s, p in _split(word_shards(c.words, shards))])
+            yield _messages([(s, c.name, dump(steps(c.words[p]), n[p])) for s, p in _split(word_shards(c.words, shards))])
 
     answer = "chunk string, shard int, payload binary"
     counted = rows.mapInArrow(word_messages, _MESSAGE).groupBy("shard").applyInPandas(
@@ -471,7 +517,8 @@ def score(docs: DataFrame, held_out: Column, config: Config = Config()) -> DataF
 
     def gram_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_of(batches, config):
-            yield _messages(_gram_rows(c, layout))
+            for row in _gram_rows(c, layout):
+                yield _messages([row])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_of(batches, config):

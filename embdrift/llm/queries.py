@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embdrift.llm import compression, hnsw, lm, mixing, packing, rules, sharding, simhash, tokens, toxicity
-from embdrift.llm.common import bounded_sample, crc_class, labelled, read, stored
+from embdrift.llm.common import bounded_sample, crc_class, label_share, marks, read, stored
 
 #: Bounds of the samples on which classifiers are fitted: rows of either label, characters of a text.
 SAMPLE_ROWS = 3000
@@ -17,8 +17,9 @@ SAMPLE_CHARS = 30_000
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on rows whose crc32(doc_id) mod 4 is not 2."""
-    rows = labelled(docs, labels, "toxic", crc_class("doc_id", 4) != 2)
-    return toxicity.fit(bounded_sample(rows, SAMPLE_ROWS, SAMPLE_CHARS))
+    keep = crc_class("doc_id", 4) != 2
+    sample = bounded_sample(docs, labels, "toxic", keep, SAMPLE_ROWS, SAMPLE_CHARS)
+    return toxicity.fit(sample, share=label_share(docs, labels, "toxic", keep))
 
 
 def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,7 @@ def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, read(spark, sf_dir, "labels"))
     scored = stored(toxicity.score(spark, docs, model).select(
         "doc_id", "lang", (crc_class("doc_id", 4) == 2).alias("held_out"), "score"), "op1")
-    marks = read(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
-    limits = toxicity.language_thresholds(scored.where("not held_out").join(marks, "doc_id"))
+    limits = toxicity.language_thresholds(scored.where("not held_out").join(marks(read(spark, sf_dir, "labels"), "toxic"), "doc_id"))
     limit = toxicity.threshold_column(limits)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
                          limit.alias("lang_threshold"), (F.col("score") >= limit).alias("flagged"))
@@ -42,24 +42,17 @@ def op5_pack_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(docs, tokens.vocabulary(), capacity=2048, end_id=0), capacity=2048)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> list[rules.Rule]:
-    """Learned from every labelled document; the statistics of those are computed once."""
-    rows = labelled(docs, labels, "quality", F.lit(True))
-    return rules.learn_rules(stored(rules.text_stats(rows).drop("text"), "op6-labelled"))
-
-
 def op6_rule_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    learned = quality_rules(docs, read(spark, sf_dir, "labels"))
-    stats = rules.text_stats(docs)
+    stats = stored(rules.text_stats(docs).drop("text"), "op6-stats")  # computed once, for learning and for the verdict
+    learned = rules.learn_rules(stats.join(marks(read(spark, sf_dir, "labels"), "quality"), "doc_id"))
     return rules.apply_rules(stats, learned).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> compression.Model:
     """Fitted on rows whose crc32(doc_id) mod 5 is not 0."""
-    rows = labelled(docs, labels, "quality", crc_class("doc_id", 5) != 0)
-    return compression.fit(bounded_sample(rows, SAMPLE_ROWS, SAMPLE_CHARS))
+    return compression.fit(bounded_sample(docs, labels, "quality", crc_class("doc_id", 5) != 0, SAMPLE_ROWS, SAMPLE_CHARS))
 
 
 def op7_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import SPACE, evaluated, packed, unpacked
+from embdrift.llm.common import SPACE, evaluated, packed, stored, unpacked
 
 SYMBOLS = "#*$%&|<>"
-_BLANKS = "\t\n\x0b\f\r"
 
 #: Statistics on which rules may test: name -> Spark SQL over the columns of ``text_stats``.
 FEATURES = {
@@ -50,7 +49,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
     """
     d = packed(docs, "text").withColumn("_body", F.coalesce(F.col("text"), F.lit(""))).drop("text")
     d = evaluated(
-        d, _words=F.expr(f"filter(split(translate(_body, '{_esc(_BLANKS)}', '     '), ' '), w -> w != '')"),
+        d, _words=F.expr(f"array_remove(split(_body, '[{_esc_class()}]+'), '')"),
         _lines=F.expr(f"transform(filter(split(_body, '\\\\n'), l -> l rlike '[^{_esc_class()}]'), l -> xxhash64(l))"))
     d = evaluated(d, _win=F.expr(
         "CASE WHEN size(_words) >= 3 THEN transform(sequence(1, size(_words) - 2), "
@@ -70,26 +69,18 @@ def text_stats(docs: DataFrame) -> DataFrame:
     def only(pattern: str) -> Column:
         return F.regexp_count(F.col("_body"), F.lit(pattern)).cast("bigint")
 
-    def without(chars: str) -> Column:
-        return F.length(F.translate(F.col("_body"), chars, ""))
-
     d = evaluated(
         d, n_words=F.size("_words").cast("bigint"),
-        word_chars=without(" " + _BLANKS).cast("bigint"),
-        n_symbols=(F.length("_body") - without(SYMBOLS)).cast("bigint"),
+        word_chars=F.length(F.array_join("_words", "")).cast("bigint"),
+        n_symbols=only(f"[{SYMBOLS}]"),
         n_lines=F.size("_lines").cast("bigint"),
         n_dup_lines=F.expr("cast(size(_lines) - size(array_distinct(_lines)) as bigint)"),
         n_repeat_words=repeat,
         n_upper=only(r"\p{Lu}"),
-        n_marks=(F.length("_body") - without("!?")).cast("bigint"),
-        n_digits=(F.length("_body") - without("0123456789")).cast("bigint"))
+        n_marks=only("[!?]"), n_digits=only("[0-9]"))
     return unpacked(d, docs, without=STATS, also=STATS)
 
 
-def _esc(chars: str) -> str:
-    return "".join(f"\\u{ord(c):04x}" for c in chars)
-
-
 def _esc_class() -> str:
     return SPACE.replace("\\", "\\\\")
 
@@ -191,7 +182,8 @@ def learn_rules(stats: DataFrame, cuts_per_feature: int = 24, max_rules: int = 8
     with the first that is not (or covers none). Without labels of both kinds there are no rules.
     """
     rows = stats.where(F.col("label").isin(0, 1)).select(
-        *[c for c in stats.columns if c not in ("text", *FEATURES)], *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+        "doc_id", "label", *STATS, *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+    rows = stored(rows, "rule-rows")  # every step reads these few numbers again
     probs = [k / (cuts_per_feature + 1) for k in range(1, cuts_per_feature + 1)]
     # Thresholds: quantiles of each label on its own, so that a rare kind has cuts of its own.
     q = rows.groupBy("label").agg(*[F.percentile_approx(f, probs, 10_000).alias(f) for f in FEATURES]).collect()

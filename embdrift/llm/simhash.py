@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import LOWER_BLANKS, packed, stored, unpacked
+from embdrift.llm.common import LOWER_BYTES, packed, stored, unpacked
 from embdrift.llm.components import components
 
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -129,10 +129,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     """
     if not text:
         return 0
-    ws = [w for w in text.translate(LOWER_BLANKS).split(" ") if w]
+    ws = text.encode("utf-8", "replace").translate(LOWER_BYTES).split()
     if not ws:
         return 0
-    raw = " ".join(ws).encode("utf-8", "replace")
+    raw = b" ".join(ws)
     at = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     starts = np.concatenate([[0], at + 1])
     ends = np.concatenate([at, [len(raw)]])

@@ -95,10 +95,11 @@ def logits(m: Model, words: Words, texts: Sequence[str | None], limit: int = 400
     return out
 
 
-def fit(sample: Sequence[tuple[str, int]], config: Config = Config()) -> Model:
+def fit(sample: Sequence[tuple[str, int]], config: Config = Config(), share: float | None = None) -> Model:
     """Train on (text, label) rows; a fifth of them, unseen, calibrates the logit (Platt).
 
-    Gradients flow through the maxima only: per text and feature, the words of one window.
+    ``share``: the share of label 1 among all labelled rows, where the sample has another one; the
+    calibrated logit is moved by the difference of the log odds. Gradients flow through the maxima only: per text and feature, the words of one window.
     Without rows of both labels the model is flat at the smoothed share.
     """
     rng = np.random.default_rng(config.seed)
@@ -118,8 +119,8 @@ def fit(sample: Sequence[tuple[str, int]], config: Config = Config()) -> Model:
     docs = [words.rows([t])[0] for t, _ in sample]
     parts = np.array(words.parts)
     label = np.array([y for _, y in sample], np.float32)
-    share = label[train].mean()
-    weight = np.where(label == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
+    part = label[train].mean()
+    weight = np.where(label == 1, 0.5 / max(part, 1e-3), 0.5 / max(1 - part, 1e-3)).astype(np.float32)
     params = [m.emb, *m.conv, m.bias, m.out]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step, ob = 0, np.zeros(2)
@@ -171,6 +172,9 @@ def fit(sample: Sequence[tuple[str, int]], config: Config = Config()) -> Model:
             m.out_bias -= rate * ob[0] / (np.sqrt(ob[1]) + 1e-8)
     z = logits(m, words, [sample[d][0] for d in held])
     m.scale = _platt(z, label[held])
+    if share is not None and 0 < share < 1:
+        odds = pos / (len(sample) - pos)
+        m.scale = (m.scale[0], m.scale[1] + float(np.log(share / (1 - share) / odds)))
     return m
 
 

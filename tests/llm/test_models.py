@@ -23,21 +23,22 @@ def held_out_accuracy(spark, score, label, mod, rest, share=0.8):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.read(spark, sf, "documents").select("doc_id", "text"), common.read(spark, sf, "labels")
     keep = F.pmod(common.crc_class("doc_id", mod), F.lit(mod))
-    sample = common.bounded_sample(common.labelled(docs, labels, label, keep != rest), 400, 20_000)
-    assert len(sample) <= 800
-    rows = common.labelled(docs, labels, label, keep == rest).orderBy(F.xxhash64("doc_id")).limit(400)
-    got = score(sample, rows).select("label", "score").collect()
+    sample = common.bounded_sample(docs, labels, label, keep != rest, 400, 20_000)
+    assert 0 < len(sample) <= 800 and all(0 < len(t) <= 20_000 for t, _ in sample)
+    rows = docs.where(keep == rest).join(common.marks(labels, label), "doc_id").orderBy(F.xxhash64("doc_id")).limit(400)
+    share = common.label_share(docs, labels, label, keep != rest)
+    got = score(sample, rows, share).select("label", "score").collect()
     hit = {v: [r.score >= 0.3 for r in got if r.label == v] for v in (0, 1)}
     return {v: sum(h == bool(v) for h in x) / max(1, len(x)) for v, x in hit.items()}
 
 
 def test_toxicity_learns(spark):
-    acc = held_out_accuracy(spark, lambda s, rows: toxicity.score(spark, rows, toxicity.fit(s)), "toxic", 4, 2)
+    acc = held_out_accuracy(spark, lambda s, rows, share: toxicity.score(spark, rows, toxicity.fit(s, share=share)), "toxic", 4, 2)
     assert acc[1] >= 0.7 and acc[0] >= 0.95, acc
 
 
 def test_compression_learns(spark):
-    acc = held_out_accuracy(spark, lambda s, rows: compression.score(spark, rows, compression.fit(s)), "quality", 5, 0)
+    acc = held_out_accuracy(spark, lambda s, rows, _: compression.score(spark, rows, compression.fit(s)), "quality", 5, 0)
     assert acc[1] >= 0.95 and acc[0] >= 0.8, acc
 
 
@@ -89,8 +90,11 @@ def test_language_thresholds(spark):
 def test_contradicting_labels_drop_out(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "d"), (4, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 1), (None, 1), (4, 7)], "doc_id long, quality int")
-    got = common.labelled(docs, labels, "quality", F.lit(True)).collect()
-    assert [(r.doc_id, r.label) for r in got] == [(2, 1)]
+    assert sorted(map(tuple, common.marks(labels, "quality").collect())) == [(2, 1), (3, 1)]
+    assert common.bounded_sample(docs, labels, "quality", F.lit(True), 5, 100) == [("b", 1)]
+    twice = docs.unionAll(docs).unionAll(spark.createDataFrame([(2, "zz")], docs.schema))
+    assert common.bounded_sample(twice, labels, "quality", F.lit(True), 5, 100) == [("b", 1)]
+    assert common.bounded_sample(docs, labels, "quality", F.lit(True), 5, 0) == []
 
 
 # ---- Elias-Fano -----------------------------------------------------------------------------
@@ -144,6 +148,20 @@ def plain_trigrams(docs, config):
     return out
 
 
+def test_numbered_pairs_give_the_same_trigrams(monkeypatch):
+    rng = np.random.default_rng(3)
+    c = lm.Chunk("", np.arange(50, dtype=np.uint64), rng.integers(0, 50, 400).astype(np.int32), np.array([150, 250]),
+                 np.zeros(2, np.int64), np.ones(2, np.uint8), np.array([0, 1], np.uint8))
+    at = c.positions()
+    grams, n = c.counted(at)
+    key, pairs = c.keys(at)
+    monkeypatch.setattr(lm, "MARKED_BITS", 4)
+    grams2, n2 = c.counted(at)
+    key2, pairs2 = c.keys(at)
+    assert pairs is None and pairs2 is not None and (n == n2).all() and all((a == b).all() for a, b in zip(grams, grams2))
+    assert all((a == b).all() for a, b in zip(c.split(key, pairs), c.split(key2, pairs2)))
+
+
 @pytest.mark.parametrize("chunk,shard", [(10**6, 10**6), (60, 40)])
 def test_scores_equal_plain_trigrams(spark, chunk, shard):
     """Small chunks and shards make frequent words, and the start mark, split over several shards."""

@@ -7,8 +7,8 @@ import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
 from embdrift.llm import packing, rules, simhash, tokens
-from embdrift.llm.common import read, stored
-from embdrift.llm.queries import QUERIES, quality_rules
+from embdrift.llm.common import marks, read, stored
+from embdrift.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,7 +25,8 @@ def test_stages_in_order(spark):
     for name, stage in cp.STAGES:
         out = stored(stage(spark, docs, SF), name)
         if name == "quality_rules":
-            want = rules.apply_rules(rules.text_stats(docs.select("doc_id", "text")), quality_rules(docs, read(spark, SF, "labels")))
+            stats = rules.text_stats(docs.select("doc_id", "text"))
+            want = rules.apply_rules(stats, rules.learn_rules(stats.join(marks(read(spark, SF, "labels"), "quality"), "doc_id")))
             assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in want.where("kept").collect())
         if name == "simhash_near_dedup":
             groups = simhash.near_duplicates(docs).select("component_id").distinct().count()
