@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     ``whole``: the input columns travel along, renamed, for ``repeated``.
 
     copies: how often the mix takes the row, at most ceil(max_repeat). The order inside a source is
-    (size class, bucket, size, doc_id, checksum), all from the row itself, and the offset comes from
+    (size class, bucket, size, doc_id, digest), all from the row itself, and the offset comes from
     ``seed`` and the source, so reruns agree. Null sources form one source, null ids are rows like
     others, a source without words gets target 0 and no copies. ``buckets`` splits every size class
     of every source.
@@ -72,9 +72,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     inputs = [f"_in{k}" for k in range(len(docs.columns))] if whole else []
     rows = packed(docs, "doc_id", "source", "text")
     rows = rows.select(*inputs, "doc_id", "source", n_words(F.col("text")).alias("size"),
-                       F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
-    rows = rows.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(-1).cast("int")) \
-        .withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("crc")))
+                       F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("mark"))
+    # Size class: the length in bits and the three bits after the first, eight classes per doubling.
+    rows = rows.withColumn("cls", F.expr(
+        "CASE WHEN size > 0 THEN length(bin(size)) * 8 + (size * 8) div shiftleft(1L, length(bin(size)) - 1) ELSE -1 END")) \
+        .withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("mark")))
     rows = stored(rows, "mix-sizes")  # the texts are read once, what follows needs their sizes only
     # At most sources * size classes * buckets rows, about 160 classes: pre-aggregated before any window.
     parts = rows.groupBy("source", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
                          F.coalesce(F.sum("n").over(run), F.lit(0)).alias("rank0"))
     parts = parts.join(targets, parts.p_source.eqNullSafe(targets.source)).drop("source")
     inside = Window.partitionBy("source", "cls", "bucket").orderBy(
-        "size", F.col("doc_id").asc_nulls_last(), "crc")
+        "size", F.col("doc_id").asc_nulls_last(), "mark")
     ranked = rows.withColumn("rank", F.row_number().over(inside))
     ranked = ranked.join(parts, ranked.source.eqNullSafe(parts.p_source) & (ranked.cls == parts.p_cls)
                          & (ranked.bucket == parts.p_bucket))

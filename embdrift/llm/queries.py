@@ -92,4 +92,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_hnsw, op9_simhash_anchors, op10_shard_bytes)
 }
 
-ORACLES: dict[str, str] = {}
+_OP3_SQL = r"""
+WITH r0 AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   md5(coalesce(text, '')) AS mark FROM documents),
+r AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) * 8 + (size * 8) // (1::BIGINT << (length(bin(size)) - 1)) ELSE -1 END AS cls,
+             ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || mark), 1, 8))::BIGINT % 64 AS bucket FROM r0),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+             source_size * 2.0::DOUBLE AS most FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(most) OVER o - most))
+                / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM w
+      WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT level FROM l WHERE level * weight <= most ORDER BY most / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM f) * weight, most)) AS target FROM l),
+k AS (SELECT r.*, t.source_size, t.target,
+             row_number() OVER (PARTITION BY r.source ORDER BY cls, bucket, size, doc_id NULLS LAST, mark) AS place,
+             CASE WHEN t.source_size > 0 THEN target / t.source_size ELSE 0.0::DOUBLE END AS e,
+             (('0x' || substr(md5('1|' || coalesce(r.source, '')), 1, 8))::BIGINT % 1000003) / 1000003.0::DOUBLE AS u
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(floor(place * e + u) - floor((place - 1) * e + u) AS BIGINT) * size AS taken FROM k"""
+
+# crc32 by the table that its polynomial makes, over the bytes of each text.
+_OP10_SQL = r"""
+WITH RECURSIVE crc(n, k, v) AS (
+  SELECT n, 0, n FROM range(256) t(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY n) AS t FROM crc WHERE k = 8),
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+      FROM b, tbl),
+o AS (SELECT *, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(crc AS VARCHAR)), 1, 8))::BIGINT % 1024 AS bucket FROM c),
+p AS (SELECT *, sum(size) OVER q - size AS start, sum(size) OVER () AS total FROM o
+      WINDOW q AS (ORDER BY bucket, doc_id NULLS LAST, crc, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST((start * 16) // total AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
+_OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, len(e) AS d FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.d = b.d AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
+FROM (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) m LEFT JOIN n USING (vec_id)"""
+
+#: Only what DuckDB can say: the other operators rest on trained models, XXH64 or the tokenizer.
+ORACLES: dict[str, str] = {"op3_mix_systematic": _OP3_SQL, "op8_embedding_hnsw": _OP8_SQL, "op10_shard_bytes": _OP10_SQL}

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from embdrift.llm.common import BLANKS, scratch
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _CACHE_WORD_CHARS = 64
 #: Per Python worker: vocabulary path -> (tokenizer, word -> ids). Workers are reused over tasks.
 _LOADED: dict[str, tuple[object, dict[str, tuple[int, ...]]]] = {}
@@ -94,7 +94,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     rows of a file; both are stored, so later readers need no order of file names. An empty table
     gives a data set without rows.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
@@ -122,7 +121,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
     for column in ("part", "seq", "doc_id", "n_tokens"):  # without a dictionary, version 2 pages hold deltas
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     writer.parquet(path)
-    del spark
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 import importlib.util
 import os
+import sys
 
 import corpus_pipeline as cp
+import pytest
 from pyspark.sql import functions as F
 
 from embdrift.llm import packing, rules, simhash, tokens
 from embdrift.llm.common import marks, read, stored
-from embdrift.llm.queries import QUERIES
+from embdrift.llm.queries import ORACLES, QUERIES
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "scripts"))
+from check_oracle import digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -50,6 +55,13 @@ def test_run_equals_its_stages(spark):
     assert {"sequence_id", "offset", "piece"} <= set(got.columns) and got.count() > 100
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    got = digest(QUERIES[name](spark, SF).toPandas())
+    want = digest(duck.sql(ORACLES[name]).df())
+    assert got[:3] == want[:3]
+
+
 def test_entry_registers_the_operators():
     spec = importlib.util.spec_from_file_location("entry_for_llm", os.path.join(ROOT, "__spark_entry__.py"))
     mod = importlib.util.module_from_spec(spec)
