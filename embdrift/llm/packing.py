@@ -209,7 +209,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = 64) -> DataFram
     rows) goes through the driver, the plan (bounded by capacity squared, in practice some
     thousand rows) goes to the tasks. Repeated rows are pieces of their own.
     """
-    pieces = stored(pieces.withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("ids_crc32"), F.col("piece"))), "pieces")
+    # The input partition lets copies of one row spread; being written, the buckets stay as they are.
+    spread = hash_bucket(buckets, F.col("doc_id"), F.col("ids_crc32"), F.col("piece"), F.spark_partition_id())
+    pieces = stored(pieces.withColumn("bucket", spread), "pieces")
     parts = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = intervals(plan(counts, capacity))

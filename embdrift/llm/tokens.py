@@ -89,13 +89,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
                  row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
     """Encode every row of ``docs`` (doc_id, text), append ``end_id`` to each, write the format.
 
-    Rows are range-partitioned by (doc_id, hash of the text), so repeated ids still spread and the
-    files are in ascending order (null ids first). part numbers the files in that order, seq the
+    Rows are range-partitioned by (doc_id, hash of the text, input partition), so that even copies of
+    one row spread, and the files are in ascending order (null ids first). part numbers the files in that order, seq the
     rows of a file; both are stored, so later readers need no order of file names. An empty table
     gives a data set without rows.
     """
-    rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = docs.select("doc_id", "text").withColumns({"h": F.xxhash64("text"), "p": F.spark_partition_id()})
+    rows = rows.repartitionByRange("doc_id", "h", "p").sortWithinPartitions("doc_id", "h")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
