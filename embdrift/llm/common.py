@@ -12,9 +12,7 @@ from embdrift.sources.tables import table_path
 
 #: The white space between words, as a character class body (same in Java, Python and RE2).
 SPACE = r"\x20\x09-\x0D"
-#: Every white-space character of SPACE becomes one blank, so ``split(' ')`` cuts words fast.
-BLANKS = {c: " " for c in (9, 10, 11, 12, 13)}
-#: The same lower-casing for UTF-8 bytes; ``bytes.split()`` then cuts at exactly the SPACE characters.
+#: Lower-casing of A-Z in UTF-8 bytes; ``bytes.split()`` then cuts at exactly the SPACE characters.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

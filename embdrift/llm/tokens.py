@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import BLANKS, scratch
+from embdrift.llm.common import scratch
 
-_CACHE_WORDS = 150_000
-_CACHE_WORD_CHARS = 64
-#: Per Python worker: vocabulary path -> (tokenizer, word -> ids). Workers are reused over tasks.
-_LOADED: dict[str, tuple[object, dict[str, tuple[int, ...]]]] = {}
+_CACHE_WORDS = 600_000
+_CACHE_WORD_BYTES = 64
+#: Per Python worker: vocabulary path -> (tokenizer, word -> its ids as bytes). Workers are reused over tasks.
+_LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -51,20 +51,18 @@ def encode(path: str, texts: Sequence[str | None], by_word: bool = True) -> list
         return [np.array(e.ids, np.uint32) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     if len(cache) > _CACHE_WORDS:
         cache.clear()
-    cut = [t.translate(BLANKS).split(" ") if t else [] for t in texts]
-    new = list({w for ws in cut for w in ws if w not in cache})
-    rare: dict[str, tuple[int, ...]] = {}
+    cut = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+    new = list(set().union(*cut) - cache.keys())
+    long = []
     for k in range(0, len(new), 20_000):
         part = new[k:k + 20_000]
-        for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-            (cache if len(w) <= _CACHE_WORD_CHARS and len(cache) < 2 * _CACHE_WORDS else rare)[w] = tuple(e.ids)
-    out = []
-    for ws in cut:
-        ids: list[int] = []
-        for w in ws:
-            got = cache.get(w)
-            ids += got if got is not None else rare[w]
-        out.append(np.array(ids, np.uint32))
+        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+            if len(w) > _CACHE_WORD_BYTES:
+                long.append(w)
+    out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in cut]
+    for w in long:  # long words would make the cache's memory unbounded
+        del cache[w]
     return out
 
 
