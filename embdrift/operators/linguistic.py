@@ -224,7 +224,8 @@ def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int =
         own.keys = ["wid", "side"]
     rows = tfidf_rows(own, True, max_features, True, stop)
     col = rows.groupBy("wid", "side", "term").agg(F.sum("weight").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("wid", "side").orderBy(F.desc("weight"), F.asc("term")))
+    # Equal weights tie whatever the order of their float sums: compared after rounding.
+    rank = F.row_number().over(Window.partitionBy("wid", "side").orderBy(F.desc(F.round("weight", 9)), F.asc("term")))
     best = col.withColumn("_r", rank).filter(F.col("_r") <= top)
     total = F.sum("weight").over(Window.partitionBy("wid", "side"))
     out = best.select("wid", "side", F.col("term").alias("label"), (F.col("weight") / total).alias("share"))
@@ -244,13 +245,14 @@ def topic_wasserstein(topics: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("side") == WINDOW, F.col("share")).otherwise(0.0)).alias("v"))
     w = Window.partitionBy("wid").orderBy("label")
     whole = Window.partitionBy("wid")
-    al = (al.withColumn("U", F.sum("u").over(whole)).withColumn("Vt", F.sum("v").over(whole))
-            .withColumn("cu", F.sum("u").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("cv", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Column names differ by more than case: Spark resolves them without it.
+    al = (al.withColumn("total_u", F.sum("u").over(whole)).withColumn("total_v", F.sum("v").over(whole))
+            .withColumn("cdf_u", F.try_divide(F.sum("u").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total_u"))
+            .withColumn("cdf_v", F.try_divide(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total_v"))
             .withColumn("_last", F.row_number().over(w.orderBy(F.desc("label"))) == 1))
-    diff = F.when(F.col("_last"), F.lit(0.0)).otherwise(F.abs(F.col("cu") / F.col("U") - F.col("cv") / F.col("Vt")))
-    agg = al.groupBy("wid").agg(F.sum(diff).alias("d"), F.min("U").alias("U"), F.min("Vt").alias("Vt"))
-    d = F.when((F.col("U") <= 0) | (F.col("Vt") <= 0), F.lit(1.0)).otherwise(F.col("d"))
+    diff = F.when(F.col("_last"), F.lit(0.0)).otherwise(F.abs(F.col("cdf_u") - F.col("cdf_v")))
+    agg = al.groupBy("wid").agg(F.sum(diff).alias("d"), F.min("total_u").alias("total_u"), F.min("total_v").alias("total_v"))
+    d = F.when((F.col("total_u") <= 0) | (F.col("total_v") <= 0), F.lit(1.0)).otherwise(F.col("d"))
     return agg.select("wid", clamp01(d).alias("topic_distance"))
 
 

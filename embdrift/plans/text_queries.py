@@ -50,7 +50,7 @@ def _tfidf(keys: str, nfeat: int, ngrams: bool, name: str) -> str:
 
 _TOPICS = _tfidf("wid, side", 12, True, "kw") + """,
 kcol AS (SELECT wid, side, term, sum(weight) AS weight FROM kw GROUP BY ALL),
-kbest AS (SELECT * FROM kcol QUALIFY row_number() OVER (PARTITION BY wid, side ORDER BY weight DESC, term ASC) <= 6),
+kbest AS (SELECT * FROM kcol QUALIFY row_number() OVER (PARTITION BY wid, side ORDER BY round(weight, 9) DESC, term ASC) <= 6),
 topics AS (SELECT wid, side, term AS label, weight / sum(weight) OVER (PARTITION BY wid, side) AS share FROM kbest)"""
 
 
@@ -120,13 +120,13 @@ def keyword_topics(t):
 
 
 @register("topic_wasserstein", operators=("A8",), sql=_q("""
-SELECT wid, round(least(greatest(CASE WHEN min(U) <= 0 OR min(Vt) <= 0 THEN 1.0 ELSE sum(d) END, 0), 1), 6)
+SELECT wid, round(least(greatest(CASE WHEN min(total_u) <= 0 OR min(total_v) <= 0 THEN 1.0 ELSE sum(d) END, 0), 1), 6)
          AS topic_distance
-FROM (SELECT wid, U, Vt,
+FROM (SELECT wid, total_u, total_v,
              CASE WHEN row_number() OVER (PARTITION BY wid ORDER BY label DESC) = 1 THEN 0.0
-                  ELSE abs(sum(u) OVER (PARTITION BY wid ORDER BY label ROWS UNBOUNDED PRECEDING) / U
-                         - sum(v) OVER (PARTITION BY wid ORDER BY label ROWS UNBOUNDED PRECEDING) / Vt) END AS d
-      FROM (SELECT *, sum(u) OVER (PARTITION BY wid) AS U, sum(v) OVER (PARTITION BY wid) AS Vt
+                  ELSE abs(sum(u) OVER (PARTITION BY wid ORDER BY label ROWS UNBOUNDED PRECEDING) / total_u
+                         - sum(v) OVER (PARTITION BY wid ORDER BY label ROWS UNBOUNDED PRECEDING) / total_v) END AS d
+      FROM (SELECT *, sum(u) OVER (PARTITION BY wid) AS total_u, sum(v) OVER (PARTITION BY wid) AS total_v
             FROM (SELECT wid, label, sum(CASE WHEN side = 'baseline' THEN share ELSE 0.0 END) AS u,
                          sum(CASE WHEN side = 'window' THEN share ELSE 0.0 END) AS v
                   FROM topics GROUP BY wid, label)))

@@ -286,6 +286,17 @@ def test_topic_wasserstein_one_side_empty(spark):
     assert L.topic_wasserstein(t).collect()[0].topic_distance == 1.0
 
 
+def test_topic_wasserstein_of_equal_and_moved_shares(spark):
+    def distance(rows):
+        t = spark.createDataFrame([(0, s, x, p) for s, x, p in rows], "wid long, side string, label string, share double")
+        return L.topic_wasserstein(t).collect()[0].topic_distance
+    same = [(s, x, p) for s in ("baseline", "window") for x, p in (("a", 0.5), ("b", 0.3), ("c", 0.2))]
+    assert distance(same) == pytest.approx(0.0, abs=1e-12)
+    # a quarter of the mass moves by two places
+    moved = [("baseline", "a", 0.5), ("baseline", "b", 0.5), ("window", "a", 0.25), ("window", "b", 0.5), ("window", "c", 0.25)]
+    assert distance(moved) == pytest.approx(0.5)
+
+
 def test_partition_invariance(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
         F.col("label").cast("string").alias("source"), F.col("embedding").cast("array<double>").alias("vector"))
