@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from embdrift.llm.common import scratch
 
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_000_000
 _CACHE_WORD_BYTES = 64
 #: Per Python worker: vocabulary path -> (tokenizer, word -> its ids as bytes). Workers are reused over tasks.
 _LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
