@@ -268,9 +268,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
 
     graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(graph, "dim int, shard bigint, graph binary"), "graphs")
 
+    def answer(a: list, b: list, n: list) -> pd.DataFrame:
+        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "n": pd.Series(n, dtype="int64")})
+
     def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "n": []})
+            return answer([], [], [])
         g, ids, copies, exact = unpack_graph(left["graph"].iloc[0])
         right = right.sort_values("node")
         q_exact = unit(right["v"])
@@ -281,8 +284,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
         n = np.bincount(r, weights=copies[c], minlength=len(own)).astype(np.int64)
         x, y = forest(own[r], ids[c])
         linked = np.flatnonzero(n)
-        return pd.DataFrame({"a": np.concatenate([x, own[linked]]).astype(str), "b": np.concatenate([y.astype(object).astype("S32"), np.full(len(linked), b"", "S32")]).astype(str),
-                             "n": np.concatenate([np.zeros(len(x), np.int64), n[linked]])})
+        a = [t.decode() for t in [*x.tolist(), *own[linked].tolist()]]
+        b = [t.decode() for t in y.tolist()] + [""] * len(linked)
+        return answer(a, b, [0] * len(x) + n[linked].tolist())
 
     each_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     each_shard = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
