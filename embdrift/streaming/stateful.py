@@ -23,7 +23,8 @@ ROLLBACK_STATE = "ts array<long>, err array<int>"
 
 
 def rollback_stream(metrics: DataFrame, previous: dict[str, str | None],
-                    policy: config.RollbackPolicy = config.RollbackPolicy(), idle_hours: float = 24) -> DataFrame:
+                    policy: config.RollbackPolicy = config.RollbackPolicy(), idle_hours: float = 24,
+                    watermark: str = "1 hour") -> DataFrame:
     """ST7 live: per model version a ring of (time, is_error) inside the trailing window.
 
     One decision per request (event time); on ``error_rate_exceeded`` the
@@ -31,7 +32,7 @@ def rollback_stream(metrics: DataFrame, previous: dict[str, str | None],
     rollback.  ``previous`` maps version -> previous active version (W4).
     All rows of a version in a micro-batch are ordered together before any
     decision.  State is bounded by the requests inside one window per version,
-    and goes after ``idle_hours`` without requests.
+    and goes once the watermark is ``idle_hours`` past its last request.
     """
     window_us = policy.window_seconds * 1_000_000
     idle_ms = int(idle_hours * 3_600_000)
@@ -68,13 +69,13 @@ def rollback_stream(metrics: DataFrame, previous: dict[str, str | None],
             if reason == "error_rate_exceeded":
                 ring, errors = deque(), 0
         ts, err = [t for t, _ in ring], [e for _, e in ring]
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(now // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         state.update((ts, err))
         yield pd.DataFrame(rows, columns=["model_version", "evaluated_at", "request_count", "error_rate",
                                           "reason", "should_rollback"])
 
-    return metrics.groupBy("model_version").applyInPandasWithState(
-        fn, ROLLBACK_OUT, ROLLBACK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return metrics.withWatermark("observed_at", watermark).groupBy("model_version").applyInPandasWithState(
+        fn, ROLLBACK_OUT, ROLLBACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 THROTTLE_OUT = "tenant string, window_id long, reason string, accepted boolean, priority string"
@@ -82,11 +83,12 @@ THROTTLE_STATE = "last_train long, day long, today long"
 
 
 def throttle_stream(alerts: DataFrame, policy: config.ThrottlePolicy = config.ThrottlePolicy(),
-                    tenant_col: str = "tenant", idle_hours: float | None = None) -> DataFrame:
+                    tenant_col: str = "tenant", idle_hours: float | None = None,
+                    watermark: str = "1 hour") -> DataFrame:
     """ST8 live: alerts in event-time order per tenant; an accepted alert is
     training history for the next one.  State: last train time, UTC day and
-    trains that day (three numbers per tenant), dropped after ``idle_hours``
-    (default: two days and the cooldown) without alerts."""
+    trains that day (three numbers per tenant), dropped once the watermark is
+    ``idle_hours`` (default: two days and the cooldown) past the last alert."""
     idle_ms = int((idle_hours if idle_hours is not None else 48 + policy.cooldown_hours) * 3_600_000)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -119,9 +121,9 @@ def throttle_stream(alerts: DataFrame, policy: config.ThrottlePolicy = config.Th
                 prio = "dual_signal_high" if emb_hi and ling_hi else ("embedding_drift" if emb_hi else "linguistic_drift")
                 last, today = now_us, today + 1
             rows.append((key[0], int(r.window_id), reason, reason == "accepted", prio))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(now_us // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         state.update((last, day, today))
         yield pd.DataFrame(rows, columns=["tenant", "window_id", "reason", "accepted", "priority"])
 
-    return alerts.groupBy(tenant_col).applyInPandasWithState(
-        fn, THROTTLE_OUT, THROTTLE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return alerts.withWatermark("now", watermark).groupBy(tenant_col).applyInPandasWithState(
+        fn, THROTTLE_OUT, THROTTLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
