@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents repeat, or go, so that sources come near their target weights."""
-    return mixing.repeated(mixing.mix(docs, weights=(3, 1, 2), share=1.5, max_repeat=2, whole=True), docs)
+    return mixing.repeated(docs, weights=(3, 1, 2), share=1.5, max_repeat=2)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

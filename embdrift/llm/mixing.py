@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import packed, stored, unpacked
+from embdrift.llm.common import evaluated, packed, stored, unpacked
 from embdrift.llm.sharding import hash_bucket
 
 
@@ -51,33 +51,48 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
         F.col("most"), F.coalesce(found * F.col("weight"), F.col("most"))).alias("target"))
 
 
-def repeated(mixed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` = ``mix(docs, whole=True)`` takes it."""
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix(docs, **how)`` takes it, with all their columns.
+
+    Rows are written once with a number; the mix works on numbers and sizes, and one join by number
+    brings the copies back, so texts cross a single shuffle.
+    """
+    rows = _measured(packed(docs, "doc_id", "source", "text")).drop("text")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    taken = _mixed(rows.select("row", "doc_id", "source", "size", "mark"), **how).where("copies > 0").select(
+        F.col("row").alias("taken_row"), "copies")
+    both = rows.join(taken, F.col("row") == F.col("taken_row"))
     often = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return unpacked(mixed.where("copies > 0").withColumn("_k", often), docs)
+    return unpacked(both.withColumn("_k", often), docs)
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2,
-        buckets: int = 64, seed: int = 1, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of ``docs`` (doc_id, text, source).
+def _measured(rows: DataFrame) -> DataFrame:
+    return evaluated(rows, size=n_words(F.col("text")), mark=F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
-    ``whole``: the input columns travel along, renamed, for ``repeated``.
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for every row of ``docs`` (doc_id, text, source).
 
     copies: how often the mix takes the row, at most ceil(max_repeat). The order inside a source is
     (size class, bucket, size, doc_id, digest), all from the row itself, and the offset comes from
     ``seed`` and the source, so reruns agree. Null sources form one source, null ids are rows like
-    others, a source without words gets target 0 and no copies. ``buckets`` splits every size class
-    of every source.
+    others, a source without words gets target 0 and no copies. ``how``: weights (3, 1, 2), share 1.5,
+    max_repeat 2, seed 1, and buckets 64, which splits every size class of every source.
     """
-    inputs = [f"_in{k}" for k in range(len(docs.columns))] if whole else []
-    rows = packed(docs, "doc_id", "source", "text")
-    rows = rows.select(*inputs, "doc_id", "source", n_words(F.col("text")).alias("size"),
-                       F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("mark"))
+    rows = _measured(packed(docs.select("doc_id", "source", "text"), "doc_id", "source", "text"))
+    # The texts are read once; what follows needs their sizes only.
+    rows = stored(rows.select("doc_id", "source", "size", "mark"), "mix-sizes")
+    return _mixed(rows, **how)
+
+
+def _mixed(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_repeat: float = 2,
+           buckets: int = 64, seed: int = 1) -> DataFrame:
+    """``rows`` (doc_id, source, size, mark and others) with source_size, target and copies."""
+    keep = [c for c in rows.columns if c != "mark"]
     # Size class: the length in bits and the three bits after the first, eight classes per doubling.
     rows = rows.withColumn("cls", F.expr(
         "CASE WHEN size > 0 THEN length(bin(size)) * 8 + (size * 8) div shiftleft(1L, length(bin(size)) - 1) ELSE -1 END")) \
         .withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("mark")))
-    rows = stored(rows, "mix-sizes")  # the texts are read once, what follows needs their sizes only
     # At most sources * size classes * buckets rows, about 160 classes: pre-aggregated before any window.
     parts = rows.groupBy("source", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeat)
@@ -94,4 +109,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("rank0") + F.col("rank")
     copies = F.floor(at * expected + offset) - F.floor((at - 1) * expected + offset)
-    return ranked.select(*inputs, "doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+    return ranked.select(*keep, "source_size", "target", copies.cast("bigint").alias("copies"))

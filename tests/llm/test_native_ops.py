@@ -133,7 +133,7 @@ def test_mix_is_systematic(spark, odd):
         assert words == source_size
         if s in ("a", "b"):
             assert taken == pytest.approx(target, rel=0.03)
-    whole = mixing.repeated(mixing.mix(df, whole=True), df)
+    whole = mixing.repeated(df.withColumn("size", F.lit("clash")), buckets=4).drop("size")
     assert whole.columns == df.columns and whole.count() == sum(r[5] for r in one)
     assert mixing.mix(df.limit(0)).count() == 0
 
