@@ -375,6 +375,24 @@ def test_ann_recall_floor(spark):
     assert got.recall_at_k >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_registered_ann_reaches_its_recall(spark, sf):
+    """The setting that the queries run; on the larger table the audit set is a sample."""
+    from embdrift.plans.catalog import registry, runner
+    got = runner(registry()["ann_recall"])(spark, f"/root/testdata/{sf}").first()
+    assert got.queries > 0 and got.recall_at_k >= 0.9
+
+
+def test_ann_of_all_cells_is_exact(spark):
+    from embdrift.operators import embedding as EM
+    from embdrift.operators import similarity as S
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    d = e.select(F.col("vec_id").alias("did"), F.col("embedding").cast("array<double>").alias("dvec"))
+    q = d.filter("did % 10 = 0").select(F.col("did").alias("qid"), F.col("dvec").alias("qvec"))
+    got = EM.ann(q, d, 10, nlist=5, recall=1.0)
+    assert EM.recall_at_k(got, S.knn(q, d, 10), 10).first().recall_at_k == 1.0
+
+
 def test_projection_is_centred_and_scaled(spark):
     from embdrift.operators import embedding as EM
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
