@@ -358,6 +358,24 @@ def test_window_members_fall_back(spark):
     assert [d for _, d in sorted(got[2, True])] == [8, 7, 6, 5, 4, 3, 2, 1, 0] and (2, False) not in got
 
 
+def test_registered_window_members_are_whole(spark):
+    """Every arrival is in each of the windows that hold it, also where a window has over 200."""
+    from embdrift.plans.catalog import registry, runner
+    from embdrift.plans.training_queries import _member_windows
+    from embdrift.sources import fixtures as FX
+    from embdrift.sources.tables import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    at = [r.first_embedded_at for r in FX.embedding_arrivals(t).select("first_embedded_at").collect()]
+    docs = FX.docs(t).count()
+    got = {(r.window_id, r.fallback): r["count"] for r in runner(registry()["window_members_all"])(spark, t.sf_dir)
+           .groupBy("window_id", "fallback").count().collect()}
+    want = {}
+    for w in _member_windows(t).collect():
+        n = sum(w.window_start <= x < w.window_end for x in at)
+        want[w.window_id, n < 2] = n if n >= 2 else docs
+    assert got == want and max(n for (_, fallback), n in got.items() if not fallback) > 200
+
+
 def test_contrastive_guards(spark):
     with pytest.raises(ValueError):
         TR.contrastive_dataset(spark.createDataFrame([(1, "one two")], "id long, text string"))
