@@ -67,6 +67,38 @@ def retrieval_benchmark(t):
     return R.benchmark(p.withColumn("query_vector", asks))
 
 
+_BY_DOMAIN = """,
+dom AS (SELECT source AS domain, round(avg(rr), 6) AS mrr, round(avg(hit1), 6) AS recall_at_1,
+               round(avg(hit5), 6) AS recall_at_5, round(avg(ndcg), 6) AS ndcg_at_10, count(*) AS queries
+        FROM per GROUP BY source),
+al AS (SELECT domain, mrr, recall_at_1, recall_at_5, ndcg_at_10, queries FROM dom
+       UNION ALL
+       SELECT 'overall', round(avg(mrr), 6), round(avg(recall_at_1), 6), round(avg(recall_at_5), 6),
+              round(avg(ndcg_at_10), 6), CAST(sum(queries) AS BIGINT) FROM dom)
+SELECT *, (SELECT count(*) FROM pair_vectors) AS candidates FROM al"""
+
+
+@register("retrieval_benchmark_all", operators=("E8", "A15", "E1"), sql=FX.with_fixtures(_PAIR_SIMS + _BY_DOMAIN, "pair_vectors"))
+def retrieval_benchmark_all(t):
+    """E8 over the whole corpus: every row asks."""
+    return R.benchmark(_pairs(t))
+
+
+SAMPLE_QUERIES, SAMPLE_SEED = 500, 42  # the reference's number of sampled queries
+
+_SEEDED = _PAIR_SIMS.replace("FROM pd q, pd d)", f"""FROM pd q, pd d WHERE q.item_id IN (
+  SELECT item_id FROM pair_vectors ORDER BY sha256('{SAMPLE_SEED}:' || CAST(item_id AS VARCHAR)), item_id LIMIT {SAMPLE_QUERIES}))""")
+
+
+@register("retrieval_benchmark_seeded", operators=("E8", "A15", "E1", "T8"), sql=FX.with_fixtures(_SEEDED + _BY_DOMAIN, "pair_vectors"))
+def retrieval_benchmark_seeded(t):
+    """E8 with the reference's form of sampling: the seeded sample asks, all rows are candidates."""
+    p = _pairs(t)
+    asks = TR.seeded_sample(p.select("item_id"), SAMPLE_QUERIES, SAMPLE_SEED, "item_id").select("item_id", F.lit(True).alias("asks"))
+    p = p.join(asks, "item_id", "left")
+    return R.benchmark(p.withColumn("query_vector", F.when(F.col("asks"), F.col("query_vector"))))
+
+
 @register("knn_top10", operators=("J11", "J10"), sql=FX.with_fixtures(_PAIR_SIMS + """
 SELECT qid, r AS rank, did, round(sim, 6) AS similarity FROM top""", "pair_vectors"))
 def knn_top10(t):

@@ -376,6 +376,15 @@ def test_registered_window_members_are_whole(spark):
     assert got == want and max(n for (_, fallback), n in got.items() if not fallback) > 200
 
 
+def test_registered_benchmark_asks_with_every_row(spark):
+    from embdrift.plans.catalog import registry, runner
+    rows = {r.domain: r for r in runner(registry()["retrieval_benchmark_all"])(spark, "/root/testdata/sf0.001").collect()}
+    assert rows["overall"].queries == rows["overall"].candidates == 500
+    assert sum(r.queries for d, r in rows.items() if d != "overall") == 500
+    some = runner(registry()["retrieval_benchmark_seeded"])(spark, "/root/testdata/sf0.1").filter("domain = 'overall'").first()
+    assert (some.queries, some.candidates) == (500, 2000)
+
+
 def test_contrastive_guards(spark):
     with pytest.raises(ValueError):
         TR.contrastive_dataset(spark.createDataFrame([(1, "one two")], "id long, text string"))
