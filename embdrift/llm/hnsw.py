@@ -3,15 +3,18 @@
 Equal vectors are one node with a multiplicity. The nodes are dealt over shards by hash; each shard
 gets a graph. Every part of the nodes then queries every shard: a beam descends the layers, widens
 for a query as long as its whole beam lies above the threshold, and widens for all queries of the
-part until an audit (exact search for evenly spaced queries) finds the recall it asks for. Hits are
-verified by cosine in double precision. A part passes on the number of links per query and a
-spanning forest of its hits, never all pairs; components unite the forests.
+part until an audit (exact search for evenly spaced queries) finds the recall it asks for. Past a
+fixed width matrix products with the whole shard take the beam's place. Hits are verified by cosine
+in double precision. They come in blocks of bounded size, each added to the number of links per
+query and to a spanning forest over node numbers, never held as all pairs; components unite the
+forests.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,8 @@ from embdrift.llm.sharding import hash_bucket
 
 _EXPAND = 4        # beam entries expanded at a time
 _QUERY_BLOCK = 256  # queries searched together: their visited marks are block * nodes bytes
+_WIDEST = 256      # widest beam; comparing a query with the whole shard costs less than wider ones
+_PAIR_BLOCK = 4_000_000  # products of queries and nodes held at a time
 _SLACK = 1e-4      # single precision may be off by less; double precision decides
 
 
@@ -159,55 +164,94 @@ def unpack_graph(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]
     return Graph(z["vec"], layers, int(z["entry"])), z["ids"], z["copies"], z["exact"]
 
 
-def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node) pairs of cosine >= threshold among what the beams found, and the best node of each.
+def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int,
+         best: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of cosine >= threshold among what the beams found, in blocks; ``best`` takes
+    the best node of each query.
 
-    A query whose beam is full of hits searches again with a beam twice as wide, up to all nodes.
+    A query whose beam is full of hits searches again with a beam twice as wide, up to all nodes;
+    past ``_WIDEST`` it is compared with all of them.
     """
-    rows, nodes, best = [], [], np.full(len(q), -1, np.int64)
     todo, start = np.arange(len(q)), descend(g, q, 0)
-    while len(todo):
+    while len(todo) and min(ef, len(g.vec)) <= _WIDEST:
         width = min(ef, len(g.vec))
         again = []
-        step = max(1, min(_QUERY_BLOCK, 4_000_000 // width))
-        for lo in range(0, len(todo), step):
-            part = todo[lo:lo + step]
+        for lo in range(0, len(todo), _QUERY_BLOCK):
+            part = todo[lo:lo + _QUERY_BLOCK]
             ids, sim = search(g, 0, q[part], start[part], width)
-            best[part] = ids[:, 0]
+            if best is not None:
+                best[part] = ids[:, 0]
             full = (sim[:, -1] >= threshold - _SLACK) & (width < len(g.vec))
             again.append(part[full])
             r, c = np.nonzero((sim >= threshold - _SLACK) & ~full[:, None])
             node, query = ids[r, c], part[r]
             sure = np.einsum("pd,pd->p", exact[node], q_exact[query]) >= threshold
-            rows.append(query[sure])
-            nodes.append(node[sure])
+            yield query[sure], node[sure]
         todo, ef = np.concatenate(again), ef * 2
-    return np.concatenate(rows), np.concatenate(nodes), best
+    yield from compared(exact, q_exact, todo, threshold)
 
 
-def audited_hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float,
-                 ef: int = 32, recall: float = 0.99, nearest: float = 0.9, audit: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def compared(exact: np.ndarray, q_exact: np.ndarray, todo: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of cosine >= threshold of the queries ``todo`` with all nodes, in blocks of
+    at most ``_PAIR_BLOCK`` products (or one query's)."""
+    step = max(1, _PAIR_BLOCK // len(exact))
+    for lo in range(0, len(todo), step):
+        part = todo[lo:lo + step]
+        r, c = np.nonzero(q_exact[part] @ exact.T >= threshold)
+        yield part[r], c
+
+
+def audited_blocks(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float,
+                   ef: int = 32, recall: float = 0.99, nearest: float = 0.9, audit: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``hits`` with a beam doubled until, for ``audit`` evenly spaced queries, at least ``recall`` of
-    the links and ``nearest`` of the nearest nodes that exact search finds are found. A beam as wide
-    as the shard ends the widening: it has seen all that the graph reaches."""
+    the links and ``nearest`` of the nearest nodes that exact search finds are found. Where no beam
+    up to ``_WIDEST`` or the shard's size does, all queries are compared with all nodes."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
     true = exact @ q_exact[pick].T  # nodes x audited queries
-    while True:
-        r, c, best = hits(g, exact, q[pick], q_exact[pick], threshold, ef)
-        want = (true >= threshold).sum()
+    want = (true >= threshold).sum()
+    while ef <= _WIDEST:
+        best = np.full(len(pick), -1, np.int64)
+        found = sum(len(r) for r, _ in hits(g, exact, q[pick], q_exact[pick], threshold, ef, best))
         near = (true[np.maximum(best, 0), np.arange(len(pick))] >= true.max(axis=0) - _SLACK).mean()
-        if (len(r) >= recall * want and near >= nearest) or ef >= len(g.vec):
+        if found >= recall * want and near >= nearest:
+            yield from hits(g, exact, q, q_exact, threshold, ef)
+            return
+        if ef >= len(g.vec):
             break
         ef *= 2
-    if len(r) < recall * want:  # unreachable nodes: the exact way for this shard
-        rows, nodes = [], []
-        for lo in range(0, len(q), 64):
-            a, b = np.nonzero(q_exact[lo:lo + 64] @ exact.T >= threshold)
-            rows.append(a + lo)
-            nodes.append(b)
-        return np.concatenate(rows), np.concatenate(nodes)
-    r, c, _ = hits(g, exact, q, q_exact, threshold, ef)
-    return r, c
+    yield from compared(exact, q_exact, np.arange(len(q)), threshold)
+
+
+def audited_hits(*args, **kw) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``audited_blocks`` at once, for small shards."""
+    rows, nodes = zip(*audited_blocks(*args, **kw))
+    return np.concatenate(rows), np.concatenate(nodes)
+
+
+class Links:
+    """Links of queries ``own`` with nodes ``ids`` (names), added block by block: how many each query
+    has, and what they connect. Its size is that of the names, whatever the number of links."""
+
+    def __init__(self, own: np.ndarray, ids: np.ndarray, copies: np.ndarray):
+        self.names, at = np.unique(np.concatenate([own, ids]), return_inverse=True)
+        self.own, self.ids, self.copies = at[: len(own)], at[len(own):], copies
+        self.n = np.zeros(len(own), np.int64)
+        self.label = np.arange(len(self.names))
+
+    def add(self, r: np.ndarray, c: np.ndarray) -> None:
+        other = self.own[r] != self.ids[c]
+        r, c = r[other], c[other]
+        self.n += np.bincount(r, weights=self.copies[c], minlength=len(self.n)).astype(np.int64)
+        a, b = self.label[self.own[r]], self.label[self.ids[c]]
+        if (a != b).any():
+            leaf, root = forest(a[a != b], b[a != b])
+            to = np.arange(len(self.names))
+            to[leaf] = root
+            self.label = to[self.label]
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        leaf = np.flatnonzero(self.label != np.arange(len(self.names)))
+        return self.names[leaf], self.names[self.label[leaf]]
 
 
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,11 +322,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
         right = right.sort_values("node")
         q_exact = unit(right["v"])
         own = right["node"].to_numpy().astype("S32")
-        r, c = audited_hits(g, exact, q_exact.astype(np.float32), q_exact, threshold)
-        other = own[r] != ids[c]
-        r, c = r[other], c[other]
-        n = np.bincount(r, weights=copies[c], minlength=len(own)).astype(np.int64)
-        x, y = forest(own[r], ids[c])
+        links = Links(own, ids, copies)
+        for r, c in audited_blocks(g, exact, q_exact.astype(np.float32), q_exact, threshold):
+            links.add(r, c)
+        n, (x, y) = links.n, links.forest()
         linked = np.flatnonzero(n)
         a = [t.decode() for t in [*x.tolist(), *own[linked].tolist()]]
         b = [t.decode() for t in y.tolist()] + [""] * len(linked)

@@ -184,3 +184,32 @@ def test_forest_spans():
     a, b = np.array(["x", "y", "p", "y"]), np.array(["y", "z", "q", "x"])
     u, v = hnsw.forest(a, b)
     assert len(u) == 3 and {frozenset(p) for p in zip(u.tolist(), v.tolist())} == {frozenset("xy"), frozenset("xz"), frozenset("pq")}
+
+
+def hot_and_pairs(hot, pairs, dim=24):
+    """Unit vectors: one group of ``hot`` near copies, then ``pairs`` pairs of near copies."""
+    rng = np.random.default_rng(6)
+    base = [rng.normal(size=dim)] * hot + [v for v in rng.normal(size=(pairs, dim)) for _ in range(2)]
+    x = np.array(base) + 0.01 * rng.normal(size=(len(base), dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_hot_group_keeps_beams_and_blocks_bounded(monkeypatch):
+    """A group larger than the widest beam: its counts are exact and it is one group, from small blocks."""
+    x = hot_and_pairs(700, 30)
+    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
+    names = np.array([f"n{k * 37 % 1009:04d}" for k in range(len(x))], "S5")
+    widths, plain = [], hnsw.search
+    monkeypatch.setattr(hnsw, "search", lambda g, layer, q, start, ef: widths.append(ef) or plain(g, layer, q, start, ef))
+    monkeypatch.setattr(hnsw, "_PAIR_BLOCK", 20_000, raising=False)
+    copies = np.arange(len(x)) % 3 + 1
+    links = hnsw.Links(names, names, copies)
+    for r, c in hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95):
+        assert len(r) <= max(20_000, hnsw._QUERY_BLOCK * hnsw._WIDEST)
+        links.add(r, c)
+    assert max(widths) <= hnsw._WIDEST
+    true = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    assert (links.n[:700] == (true @ copies)[:700]).all() and (links.n <= true @ copies).all()
+    u, v = links.forest()
+    hot = set(names[:700].tolist())
+    assert sum(a in hot for a in u.tolist()) == 699 and all((a in hot) == (b in hot) for a, b in zip(u.tolist(), v.tolist()))
