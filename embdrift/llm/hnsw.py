@@ -202,18 +202,27 @@ def compared(exact: np.ndarray, q_exact: np.ndarray, todo: np.ndarray, threshold
 
 
 def audited_blocks(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float,
-                   ef: int = 32, recall: float = 0.99, nearest: float = 0.9, audit: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``hits`` with a beam doubled until, for ``audit`` evenly spaced queries, at least ``recall`` of
-    the links and ``nearest`` of the nearest nodes that exact search finds are found. Where no beam
-    up to ``_WIDEST`` or the shard's size does, all queries are compared with all nodes."""
+                   ef: int = 32, recall: float = 0.99, nearest: float = 0.9, audit: int = 128,
+                   own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``hits`` with a beam doubled until, for ``audit`` evenly spaced queries, enough of what exact
+    search finds is found: a share ``recall`` of a query's links, as the mean over the queries that
+    have any, so that small groups count as much as large ones, and ``nearest`` of the nearest nodes.
+    ``own``: the node that is the query itself (-1: not in this shard); it is no link, and its query
+    has no say about nearest nodes. Where no beam up to ``_WIDEST`` or the shard's size does, all
+    queries are compared with all nodes."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
+    me = np.full(len(pick), -1) if own is None else own[pick]
     true = exact @ q_exact[pick].T  # nodes x audited queries
-    want = (true >= threshold).sum()
+    linked, away = true >= threshold, me < 0
+    linked[me[~away], np.flatnonzero(~away)] = False
+    want = linked.sum(axis=0)
     while ef <= _WIDEST:
-        best = np.full(len(pick), -1, np.int64)
-        found = sum(len(r) for r, _ in hits(g, exact, q[pick], q_exact[pick], threshold, ef, best))
-        near = (true[np.maximum(best, 0), np.arange(len(pick))] >= true.max(axis=0) - _SLACK).mean()
-        if found >= recall * want and near >= nearest:
+        best, found = np.full(len(pick), -1, np.int64), np.zeros(len(pick), np.int64)
+        for r, c in hits(g, exact, q[pick], q_exact[pick], threshold, ef, best):
+            found += np.bincount(r[c != me[r]], minlength=len(pick))
+        share = np.minimum(found, want)[want > 0] / want[want > 0]
+        near = (true[np.maximum(best, 0), np.arange(len(pick))] >= true.max(axis=0) - _SLACK)[away]
+        if (not len(share) or share.mean() >= recall) and (not len(near) or near.mean() >= nearest):
             yield from hits(g, exact, q, q_exact, threshold, ef)
             return
         if ef >= len(g.vec):
@@ -323,7 +332,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
         q_exact = unit(right["v"])
         own = right["node"].to_numpy().astype("S32")
         links = Links(own, ids, copies)
-        for r, c in audited_blocks(g, exact, q_exact.astype(np.float32), q_exact, threshold):
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids ascend
+        at = np.where(ids[at] == own, at, -1)
+        for r, c in audited_blocks(g, exact, q_exact.astype(np.float32), q_exact, threshold, own=at):
             links.add(r, c)
         n, (x, y) = links.n, links.forest()
         linked = np.flatnonzero(n)

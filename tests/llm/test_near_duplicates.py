@@ -213,3 +213,34 @@ def test_hot_group_keeps_beams_and_blocks_bounded(monkeypatch):
     u, v = links.forest()
     hot = set(names[:700].tolist())
     assert sum(a in hot for a in u.tolist()) == 699 and all((a in hot) == (b in hot) for a, b in zip(u.tolist(), v.tolist()))
+
+
+def test_audit_counts_small_groups():
+    """Pairs that no beam reaches beside a large group: their links are found all the same."""
+    x = hot_and_pairs(1000, 40)
+    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
+    for adj in g.layers:
+        adj[adj >= 1000] = -1
+    g.entry = 0
+    r, c = hnsw.audited_hits(g, x, x.astype(np.float32), x, 0.95)
+    assert len(r) == (x @ x.T >= 0.95).sum()
+
+
+def test_audit_leaves_out_the_query_itself():
+    """Each query finds itself and misses its copy: half of its hits, but none of its links."""
+    x = hot_and_pairs(0, 64)
+    n = len(x)
+    g = hnsw.Graph(x.astype(np.float32), [np.full((n, 1), -1, np.int64)], 0)
+    seen = []
+
+    def only_itself(g, exact, q, q_exact, threshold, ef, best=None):
+        seen.append(ef)
+        k = np.argmax(exact @ q_exact.T, axis=0)
+        if best is not None:
+            best[:] = k
+        yield np.arange(len(q)), k
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hnsw, "hits", only_itself)
+        blocks = list(hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95, recall=0.5, own=np.arange(n)))
+    assert seen == [32, 64, 128] and sum(len(r) for r, _ in blocks) == 2 * n
