@@ -52,10 +52,10 @@ class _Lengths:
         k = bisect.bisect_right(self.order, space)
         return self.order[k - 1] if k else None
 
-    def smallest(self, without: int, k: int) -> list[int]:
-        """The k smallest pieces besides one of length ``without`` (fewer if there are none)."""
+    def smallest(self, without: int, k: int, above: int = 0) -> list[int]:
+        """The k smallest pieces longer than ``above`` besides one of length ``without`` (fewer if there are none)."""
         out: list[int] = []
-        for length in self.order:
+        for length in self.order[bisect.bisect_right(self.order, above):]:
             have = self.n[length] - (length == without)
             out += [length] * min(have, k - len(out))
             if len(out) == k:
@@ -72,7 +72,8 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
     - {w, p}, p the longest piece that fits, if p = s (any other filling splits off p's space), or
       if no two other pieces fit beside w together, or if p is at least as long as the longest
       sum of two that fit while no three fit;
-    - {w, a, b} if no three fit beside w, a + b = s, and one of a, b is the longest that fits.
+    - {w, a, b} if no three fit beside w, a + b = s, a is the longest that fits, and no two pieces
+      longer than b fit beside w together: of any other pair one is at most b, the other at most a.
     A length that the criterion cannot decide stays in the instance, for later sets and best-fit.
     """
     left, fixed = _Lengths(counts), []
@@ -109,7 +110,10 @@ def _dominating(left: _Lengths, w: int, have: int, space: int) -> tuple[int, ...
             best, ends = a + b, (b, a) if enough else None
     if p >= best:
         return (w, p)
-    return (w, *ends) if ends and best == space and p in ends else None
+    if not ends or best != space or p not in ends:
+        return None
+    between = left.smallest(w, 2, min(ends))
+    return None if len(between) == 2 and sum(between) <= space else (w, *ends)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

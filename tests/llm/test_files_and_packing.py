@@ -120,6 +120,23 @@ def test_reduction_keeps_an_optimum():
     assert fixed_some > 200
 
 
+def test_reduction_leaves_pairs_between_undecided():
+    """A pair that fills the space does not dominate one whose shorter piece is longer; whole
+    sequences cut into two or three pieces make such pairs frequent."""
+    rng = random.Random(5)
+    cases = [(20, [11, 10, 7, 7, 6, 6, 5, 5, 3])]
+    for _ in range(400):
+        capacity, items = rng.choice([20, 30]), []
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(3, capacity - 2), rng.choice([1, 2, 2])))
+            items += [b - a for a, b in zip([0, *cuts], [*cuts, capacity])]
+        cases.append((capacity, items))
+    for capacity, items in cases:
+        fixed, rest = packing.reduce_dominated(dict(collections.Counter(items)), capacity)
+        left = list(collections.Counter(rest).elements())
+        assert sum(n for _, n in fixed) + (optimum(left, capacity) if left else 0) == optimum(items, capacity) == sum(items) / capacity
+
+
 def test_plan_fills_sequences():
     rng = random.Random(2)
     counts = collections.Counter(min(2048, max(1, int(rng.lognormvariate(6, 1.2)))) for _ in range(50_000))
