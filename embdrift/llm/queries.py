@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embdrift.llm import compression, hnsw, lm, mixing, packing, rules, sharding, simhash, tokens, toxicity
+from embdrift.llm import compression, filters, hnsw, lm, mixing, packing, rules, sharding, simhash, tokens, toxicity, vafile, whitening
 from embdrift.llm.common import bounded_sample, crc_class, label_share, marks, read, stored
+from embdrift.sources.tables import table_path
 
 #: Bounds of the samples on which classifiers are fitted: rows of either label, characters of a text.
 SAMPLE_ROWS = 3000
@@ -86,10 +87,22 @@ def op10_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(spark, table_path(sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_topk_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op13_whiten_qd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity_cnn, op2_lm_eliasfano, op3_mix_systematic, op4_token_parquet, op5_pack_dominance, op6_rule_list, op7_quality_zstd,
-        op8_embedding_hnsw, op9_simhash_anchors, op10_shard_bytes)
+        op8_embedding_hnsw, op9_simhash_anchors, op10_shard_bytes, op11_filter_audit, op12_topk_vafile, op13_whiten_qd)
 }
 
 _OP3_SQL = r"""
@@ -140,5 +153,43 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, m.vec_id = m.component_id AS kept
 FROM (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) m LEFT JOIN n USING (vec_id)"""
 
+_OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, min(quality) FILTER (quality IN (0, 1)) = 1 AS good, min(toxic) FILTER (toxic IN (0, 1)) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+      FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+p(filter_order, step, bit, before) AS (
+  SELECT '', 0, 0, 0
+  UNION ALL SELECT filter_order || f.letter, step + 1, f.b, before + bit
+  FROM p, (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, b) WHERE NOT contains(filter_order, f.letter)),
+whole AS (SELECT a.filter_order, s.step, s.bit, s.before FROM p a JOIN p s ON s.step > 0 AND a.filter_order[1:s.step] = s.filter_order WHERE a.step = 5),
+parts AS (SELECT DISTINCT part FROM c)
+SELECT parts.part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & bit <> 0), 0) AS BIGINT) AS shapley
+FROM parts CROSS JOIN whole JOIN c ON c.part = parts.part GROUP BY parts.part, filter_order, step"""
+
+_OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT vec_id, list_transform(e, lambda c: floor(256 * c)) AS x FROM v
+      WHERE len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM x q JOIN x c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
 #: Only what DuckDB can say: the other operators rest on trained models, XXH64 or the tokenizer.
-ORACLES: dict[str, str] = {"op3_mix_systematic": _OP3_SQL, "op8_embedding_hnsw": _OP8_SQL, "op10_shard_bytes": _OP10_SQL}
+ORACLES: dict[str, str] = {"op3_mix_systematic": _OP3_SQL, "op8_embedding_hnsw": _OP8_SQL, "op10_shard_bytes": _OP10_SQL,
+                           "op11_filter_audit": _OP11_SQL, "op12_topk_vafile": _OP12_SQL}

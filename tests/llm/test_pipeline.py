@@ -68,4 +68,4 @@ def test_entry_registers_the_operators():
     spec.loader.exec_module(mod)
     names = set(mod.queries())
     assert "pipeline" in names and set(QUERIES) <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
