@@ -1,13 +1,14 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node with a multiplicity. The nodes are dealt over shards by hash; each shard
-gets a graph. Every part of the nodes then queries every shard: a beam descends the layers, widens
-for a query as long as its whole beam lies above the threshold, and widens for all queries of the
-part until an audit (exact search for evenly spaced queries) finds the recall it asks for. Past a
-fixed width matrix products with the whole shard take the beam's place. Hits are verified by cosine
-in double precision. They come in blocks of bounded size, each added to the number of links per
-query and to a spanning forest over node numbers, never held as all pairs; components unite the
-forests.
+gets a graph. Every two shards meet once, and every shard meets itself: the nodes of one query the graph of the
+other, in parts. A beam descends the layers, widens for a query as long as half of its beam lies above
+the threshold, and widens for all queries of the part until an audit finds the recall it asks for:
+of the links that exact search finds for evenly spaced queries, and of planted probes, nodes turned away
+until they are hardly within the threshold. Past a fixed width matrix products with the whole shard
+take the beam's place. Hits are verified by cosine in double precision. They come in blocks of
+bounded size, each added to the number of links of both its ends and to a spanning forest over node
+numbers, never held as all pairs; components unite the forests.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from embdrift.llm.components import components
 from embdrift.llm.sharding import hash_bucket
 
 _EXPAND = 4        # beam entries expanded at a time
-_QUERY_BLOCK = 256  # queries searched together: their visited marks are block * nodes bytes
+_QUERY_BLOCK = 512  # queries searched together: their visited marks are block * nodes bytes
 _WIDEST = 256      # widest beam; comparing a query with the whole shard costs less than wider ones
 _PAIR_BLOCK = 4_000_000  # products of queries and nodes held at a time
 _SLACK = 1e-4      # single precision may be off by less; double precision decides
@@ -92,18 +93,37 @@ def descend(g: Graph, q: np.ndarray, to: int) -> np.ndarray:
 
 
 def _pick(vec: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int) -> np.ndarray:
-    """Neighbours of one node out of candidates (best first): a candidate nearer to a picked one than
-    to the node is passed over, unless places stay free."""
-    picked: list[int] = []
-    rest: list[int] = []
-    for c, s in zip(cand.tolist(), sim.tolist()):
-        if len(picked) == m:
-            break
-        if picked and (vec[picked] @ vec[c]).max() > s:
-            rest.append(c)
-        else:
-            picked.append(c)
-    return np.array(picked + rest[: m - len(picked)], np.int64)
+    """Up to ``m`` neighbours for each row of candidates (-1 / -2: none), -1 padded: a candidate nearer
+    to a picked one than to the node is passed over, unless places stay free."""
+    out = np.full((len(cand), m), -1, np.int64)
+    for lo in range(0, len(cand), _QUERY_BLOCK):
+        order = np.argsort(-sim[lo:lo + _QUERY_BLOCK], axis=1, kind="stable")
+        c = np.take_along_axis(cand[lo:lo + _QUERY_BLOCK], order, 1)
+        s = np.take_along_axis(sim[lo:lo + _QUERY_BLOCK], order, 1)
+        there = c >= 0
+        v = vec[np.maximum(c, 0)]
+        mutual = v @ v.transpose(0, 2, 1)
+        picked = np.zeros(c.shape, bool)
+        for k in range(int(there.sum(axis=1).max(initial=0))):
+            nearest = np.where(picked[:, :k], mutual[:, k, :k], -2).max(axis=1, initial=-2)
+            picked[:, k] = there[:, k] & (nearest <= s[:, k]) & (picked.sum(axis=1) < m)
+        first = np.argsort(np.where(picked, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :m]
+        got = np.where(np.take_along_axis(there, first, 1), np.take_along_axis(c, first, 1), -1)
+        out[lo:lo + len(got), : got.shape[1]] = got
+    return out
+
+
+def _reversed(source: np.ndarray, target: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links source -> target by target: the targets, and their up to ``most`` nearest sources with similarities, padded."""
+    order = np.lexsort((-sim, target))
+    source, target, sim = source[order], target[order], sim[order]
+    nodes, first, n = np.unique(target, return_index=True, return_counts=True)
+    place = np.arange(len(target)) - np.repeat(first, n)
+    keep = place < most
+    row = np.repeat(np.arange(len(nodes)), n)[keep]
+    cand, near = np.full((len(nodes), most), -1, np.int64), np.full((len(nodes), most), -2.0, np.float32)
+    cand[row, place[keep]], near[row, place[keep]] = source[keep], sim[keep]
+    return nodes, cand, near
 
 
 def build(vec: np.ndarray, m: int = 12, ef: int = 48, seed: int = 3) -> Graph:
@@ -118,59 +138,44 @@ def build(vec: np.ndarray, m: int = 12, ef: int = 48, seed: int = 3) -> Graph:
     done = 1
     while done < n:
         batch = order[done:done + min(done, _QUERY_BLOCK)]
-        q = vec[batch]
-        mutual = q @ q.T
-        np.fill_diagonal(mutual, -2)
         for layer in range(int(level[batch].max()), -1, -1):
-            here = np.flatnonzero(level[batch] >= layer)
-            start = descend(g, q[here], layer)
-            ids, sim = search(g, layer, q[here], start, ef)
-            cap = g.layers[layer].shape[1]
-            touched: dict[int, list[int]] = {}
-            for k, b in enumerate(here.tolist()):
-                peers = here[here != b]
-                peers = peers[np.argsort(-mutual[b, peers], kind="stable")[:m]]
-                cand = np.concatenate([ids[k][ids[k] >= 0], batch[peers]])
-                s = np.concatenate([sim[k][ids[k] >= 0], mutual[b, peers]])
-                o = np.argsort(-s, kind="stable")
-                near = _pick(vec, cand[o], s[o], m)
-                node = int(batch[b])
-                touched.setdefault(node, []).extend(near.tolist())
-                for x in near.tolist():
-                    touched.setdefault(x, []).append(node)
-            for node, more in touched.items():
-                have = g.layers[layer][node]
-                cand = np.unique(np.concatenate([have[have >= 0], np.array(more, np.int64)]))
-                cand = cand[cand != node]
-                if len(cand) > cap:
-                    s = vec[cand] @ vec[node]
-                    o = np.argsort(-s, kind="stable")
-                    cand = _pick(vec, cand[o], s[o], cap)
-                g.layers[layer][node] = -1
-                g.layers[layer][node, : len(cand)] = cand
+            new = batch[level[batch] >= layer]
+            q, adj = vec[new], g.layers[layer]
+            ids, sim = search(g, layer, q, descend(g, q, layer), ef)
+            mutual = q @ q.T
+            np.fill_diagonal(mutual, -2)
+            peers = np.argsort(-mutual, axis=1, kind="stable")[:, : min(m, len(new) - 1)]
+            near = _pick(vec, np.concatenate([ids, new[peers]], axis=1),
+                         np.concatenate([sim, np.take_along_axis(mutual, peers, 1)], axis=1), m)
+            adj[new, :m] = near
+            r, c = np.nonzero(near >= 0)
+            back = near[r, c]
+            nodes, cand, s = _reversed(new[r], back, np.einsum("pd,pd->p", vec[new[r]], vec[back]), adj.shape[1])
+            have = adj[nodes]
+            have = np.where((have[:, :, None] == cand[:, None, :]).any(axis=2), -1, have)  # each once
+            s_have = np.where(have >= 0, np.einsum("rcd,rd->rc", vec[np.maximum(have, 0)], vec[nodes]), -2)
+            adj[nodes] = _pick(vec, np.concatenate([have, cand], axis=1), np.concatenate([s_have, s], axis=1), adj.shape[1])
         done += len(batch)
     return g
 
 
 def pack_graph(g: Graph, ids: np.ndarray, copies: np.ndarray, exact: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, vec=g.vec, entry=g.entry, ids=ids, copies=copies, exact=exact, **{f"layer{k}": a.astype(np.int32) for k, a in enumerate(g.layers)})
+    np.savez(out, entry=g.entry, ids=ids, copies=copies, exact=exact, **{f"layer{k}": a.astype(np.int32) for k, a in enumerate(g.layers)})
     return out.getvalue()
 
 
 def unpack_graph(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     z = np.load(io.BytesIO(raw))
     layers = [z[f"layer{k}"].astype(np.int64) for k in range(sum(f.startswith("layer") for f in z.files))]
-    return Graph(z["vec"], layers, int(z["entry"])), z["ids"], z["copies"], z["exact"]
+    return Graph(z["exact"].astype(np.float32), layers, int(z["entry"])), z["ids"], z["copies"], z["exact"]
 
 
-def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int,
-         best: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, node) pairs of cosine >= threshold among what the beams found, in blocks; ``best`` takes
-    the best node of each query.
+def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of cosine >= threshold among what the beams found, in blocks.
 
-    A query whose beam is full of hits searches again with a beam twice as wide, up to all nodes;
-    past ``_WIDEST`` it is compared with all of them.
+    A query with hits in more than half of its beam searches again with a beam twice as wide, up to
+    all nodes; past ``_WIDEST`` it is compared with all of them.
     """
     todo, start = np.arange(len(q)), descend(g, q, 0)
     while len(todo) and min(ef, len(g.vec)) <= _WIDEST:
@@ -179,9 +184,7 @@ def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, thresh
         for lo in range(0, len(todo), _QUERY_BLOCK):
             part = todo[lo:lo + _QUERY_BLOCK]
             ids, sim = search(g, 0, q[part], start[part], width)
-            if best is not None:
-                best[part] = ids[:, 0]
-            full = (sim[:, -1] >= threshold - _SLACK) & (width < len(g.vec))
+            full = (sim[:, width // 2] >= threshold - _SLACK) & (width < len(g.vec))
             again.append(part[full])
             r, c = np.nonzero((sim >= threshold - _SLACK) & ~full[:, None])
             node, query = ids[r, c], part[r]
@@ -201,28 +204,41 @@ def compared(exact: np.ndarray, q_exact: np.ndarray, todo: np.ndarray, threshold
         yield part[r], c
 
 
+def probes(exact: np.ndarray, threshold: float, pick: np.ndarray, seed: int = 9) -> np.ndarray:
+    """The nodes ``pick`` turned in a random direction until their cosine with where they were is
+    a thousandth above the threshold."""
+    away = np.random.default_rng(seed).normal(size=exact[pick].shape)
+    away -= np.einsum("pd,pd->p", away, exact[pick])[:, None] * exact[pick]
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = min(1.0, threshold + 1e-3)
+    turned = cosine * exact[pick] + math.sqrt(1 - cosine ** 2) * away / np.where(size > 0, size, 1)
+    return turned / np.linalg.norm(turned, axis=1, keepdims=True)
+
+
 def audited_blocks(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float,
-                   ef: int = 32, recall: float = 0.99, nearest: float = 0.9, audit: int = 128,
+                   ef: int = 32, recall: float = 0.99, planted: float = 0.95, audit: int = 128,
                    own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``hits`` with a beam doubled until, for ``audit`` evenly spaced queries, enough of what exact
-    search finds is found: a share ``recall`` of a query's links, as the mean over the queries that
-    have any, so that small groups count as much as large ones, and ``nearest`` of the nearest nodes.
-    ``own``: the node that is the query itself (-1: not in this shard); it is no link, and its query
-    has no say about nearest nodes. Where no beam up to ``_WIDEST`` or the shard's size does, all
-    queries are compared with all nodes."""
+    """``hits`` with a beam doubled until the audit is content with what is found for ``audit`` evenly spaced
+    queries and nodes: a share ``recall`` of a query's links by exact search, as the mean over the
+    queries that have any, so that small groups count as much as large ones, and a share ``planted``
+    of the nodes by their probes. ``own``: the node that is the query itself (-1: not in this shard),
+    which is no link. Where no beam up to ``_WIDEST`` or the shard's size does, all queries are
+    compared with all nodes."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
     me = np.full(len(pick), -1) if own is None else own[pick]
-    true = exact @ q_exact[pick].T  # nodes x audited queries
-    linked, away = true >= threshold, me < 0
-    linked[me[~away], np.flatnonzero(~away)] = False
+    linked = exact @ q_exact[pick].T >= threshold  # nodes x audited queries
+    linked[me[me >= 0], np.flatnonzero(me >= 0)] = False
     want = linked.sum(axis=0)
+    at = np.unique(np.linspace(0, len(exact) - 1, min(audit, len(exact))).astype(int))
+    probe = probes(exact, threshold, at)
     while ef <= _WIDEST:
-        best, found = np.full(len(pick), -1, np.int64), np.zeros(len(pick), np.int64)
-        for r, c in hits(g, exact, q[pick], q_exact[pick], threshold, ef, best):
+        found, seen = np.zeros(len(pick), np.int64), np.zeros(len(at), bool)
+        for r, c in hits(g, exact, q[pick], q_exact[pick], threshold, ef):
             found += np.bincount(r[c != me[r]], minlength=len(pick))
+        for r, c in hits(g, exact, probe.astype(np.float32), probe, threshold, ef):
+            seen[r[c == at[r]]] = True
         share = np.minimum(found, want)[want > 0] / want[want > 0]
-        near = (true[np.maximum(best, 0), np.arange(len(pick))] >= true.max(axis=0) - _SLACK)[away]
-        if (not len(share) or share.mean() >= recall) and (not len(near) or near.mean() >= nearest):
+        if (not len(share) or share.mean() >= recall) and (exact.shape[1] < 2 or seen.mean() >= planted):
             yield from hits(g, exact, q, q_exact, threshold, ef)
             return
         if ef >= len(g.vec):
@@ -238,20 +254,25 @@ def audited_hits(*args, **kw) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Links:
-    """Links of queries ``own`` with nodes ``ids`` (names), added block by block: how many each query
-    has, and what they connect. Its size is that of the names, whatever the number of links."""
+    """Links of queries ``own`` with nodes ``ids`` (names), added block by block: how many each end
+    has, and what they connect. Its size is that of the names, whatever the number of links.
+    ``within``: queries and nodes are of one shard, where a pair is taken from its smaller name's query only."""
 
-    def __init__(self, own: np.ndarray, ids: np.ndarray, copies: np.ndarray):
+    def __init__(self, own: np.ndarray, own_copies: np.ndarray, ids: np.ndarray, copies: np.ndarray, within: bool):
         self.names, at = np.unique(np.concatenate([own, ids]), return_inverse=True)
-        self.own, self.ids, self.copies = at[: len(own)], at[len(own):], copies
-        self.n = np.zeros(len(own), np.int64)
+        self.own, self.ids, self.within = at[: len(own)], at[len(own):], within
+        self.own_copies, self.copies = own_copies, copies
+        self.n = np.zeros(len(self.names), np.int64)
         self.label = np.arange(len(self.names))
 
     def add(self, r: np.ndarray, c: np.ndarray) -> None:
-        other = self.own[r] != self.ids[c]
-        r, c = r[other], c[other]
-        self.n += np.bincount(r, weights=self.copies[c], minlength=len(self.n)).astype(np.int64)
-        a, b = self.label[self.own[r]], self.label[self.ids[c]]
+        if self.within:
+            once = self.own[r] < self.ids[c]
+            r, c = r[once], c[once]
+        left, right = self.own[r], self.ids[c]
+        self.n += np.bincount(left, weights=self.copies[c], minlength=len(self.n)).astype(np.int64)
+        self.n += np.bincount(right, weights=self.own_copies[r], minlength=len(self.n)).astype(np.int64)
+        a, b = self.label[left], self.label[right]
         if (a != b).any():
             leaf, root = forest(a[a != b], b[a != b])
             to = np.arange(len(self.names))
@@ -283,8 +304,8 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return names[leaf], names[label[leaf]]
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int = 100_000, least_shards: int = 8,
-                    part_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int = 100_000, least_shards: int = 4,
+                    part_rows: int = 50_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept for every row of ``rows``.
 
     n_links: other rows linked directly; component_id: the smallest id reachable, its own included;
@@ -292,7 +313,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     link with nothing and stand alone. Vectors of different lengths do not link. Rows with a null id
     link like others; a component of null ids only has a null id and is not kept. Repeated rows of
     one id count as rows of their own. ``shard_rows`` bounds a shard's memory, ``part_rows`` a query
-    part's; every part meets every shard, so the work grows with their product.
+    part's; every two shards meet, so the work grows with vectors x shards / 2.
     """
     vec = F.col(vec_col).cast("array<double>")
     base = rows.select(F.col(id_col).alias("id"), vec.alias("v"))
@@ -304,7 +325,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     nodes = good.groupBy("node").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     nodes = stored(nodes.withColumn("dim", F.size("v")), "nodes")
     count = nodes.count()
-    shards, parts = max(least_shards, math.ceil(count / shard_rows)), max(1, math.ceil(count / part_rows))
+    shards = max(least_shards, math.ceil(count / shard_rows))
+    parts = max(1, math.ceil(count / shards / part_rows))
     dealt = nodes.withColumn("shard", hash_bucket(shards, F.col("node"))).withColumn("part", hash_bucket(parts, F.lit("q"), F.col("node")))
 
     def unit(v: pd.Series) -> np.ndarray:
@@ -331,22 +353,23 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
         right = right.sort_values("node")
         q_exact = unit(right["v"])
         own = right["node"].to_numpy().astype("S32")
-        links = Links(own, ids, copies)
+        links = Links(own, right["copies"].to_numpy(), ids, copies, within=key[1] == key[2])
         at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids ascend
         at = np.where(ids[at] == own, at, -1)
         for r, c in audited_blocks(g, exact, q_exact.astype(np.float32), q_exact, threshold, own=at):
             links.add(r, c)
-        n, (x, y) = links.n, links.forest()
-        linked = np.flatnonzero(n)
-        a = [t.decode() for t in [*x.tolist(), *own[linked].tolist()]]
+        (x, y), linked = links.forest(), np.flatnonzero(links.n)
+        a = [t.decode() for t in [*x.tolist(), *links.names[linked].tolist()]]
         b = [t.decode() for t in y.tolist()] + [""] * len(linked)
-        return answer(a, b, [0] * len(x) + n[linked].tolist())
+        return answer(a, b, [0] * len(x) + links.n[linked].tolist())
+
+    def each(name: str, least, most: int):
+        return F.explode(F.sequence(least, F.lit(most).cast("bigint"))).alias(name)
 
-    each_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-    each_shard = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-    left = graphs.select("dim", "shard", "graph", each_part.alias("part"))
-    right = dealt.select("dim", "node", "v", "part", each_shard.alias("shard"))
-    keys = ["dim", "shard", "part"]
+    zero = F.lit(0).cast("bigint")
+    left = graphs.select("dim", "shard", "graph", F.explode(F.sequence(zero, F.col("shard"))).alias("home")).select("*", each("part", zero, parts - 1))
+    right = dealt.select("dim", "node", "v", "copies", "part", F.col("shard").alias("home"), each("shard", F.col("shard"), shards - 1))
+    keys = ["dim", "shard", "home", "part"]
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ask, "a string, b string, n bigint"), "found")
     degree = found.where("b = ''").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     group = components(found.where("b <> ''").select("a", "b"))

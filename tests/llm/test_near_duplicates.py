@@ -165,6 +165,7 @@ def test_hnsw_recall_and_links(spark):
     want = sorted(((str(i), int(n), least.get(c), i is not None and i == least.get(c)) for (i, _), n, c in zip(rows, links, label)), key=repr)
     found = sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got), key=repr)
     assert sum(n for _, n, _, _ in found) >= 0.9 * links.sum()
+    assert sum(n for _, n, _, _ in found) % 2 == 0  # both ends of every link count it
     assert found == want
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
     assert hnsw.near_duplicates(df.filter("vec_id in (20003, 20004)")).count() == 2
@@ -180,6 +181,27 @@ def test_audit_widens_until_recall():
     assert len(r) >= 0.9 * true and (np.einsum("pd,pd->p", x[r], x[c]) >= 0.7).all()
 
 
+def test_audit_widens_for_planted_probes():
+    """No two nodes are linked, but nodes that no beam reaches are missed by their probes."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    probe = hnsw.probes(x, 0.95, np.arange(50))
+    assert np.allclose(np.einsum("pd,pd->p", probe, x[:50]), 0.951)
+    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
+    whole = [a.copy() for a in g.layers]
+    asked = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hnsw, "compared", lambda exact, q, todo, threshold: asked.append(len(todo)) or iter(()))
+        list(hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95, own=np.arange(600)))
+        assert 600 not in asked
+        for a, b in zip(g.layers, whole):
+            a[:] = np.where(b >= 100, -1, b)  # 500 nodes lie apart
+        g.entry = 0
+        list(hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95, own=np.arange(600)))
+        assert 600 in asked
+
+
 def test_forest_spans():
     a, b = np.array(["x", "y", "p", "y"]), np.array(["y", "z", "q", "x"])
     u, v = hnsw.forest(a, b)
@@ -203,13 +225,19 @@ def test_hot_group_keeps_beams_and_blocks_bounded(monkeypatch):
     monkeypatch.setattr(hnsw, "search", lambda g, layer, q, start, ef: widths.append(ef) or plain(g, layer, q, start, ef))
     monkeypatch.setattr(hnsw, "_PAIR_BLOCK", 20_000, raising=False)
     copies = np.arange(len(x)) % 3 + 1
-    links = hnsw.Links(names, names, copies)
+    links = hnsw.Links(names, copies, names, copies, within=True)
     for r, c in hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95):
         assert len(r) <= max(20_000, hnsw._QUERY_BLOCK * hnsw._WIDEST)
         links.add(r, c)
     assert max(widths) <= hnsw._WIDEST
     true = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
-    assert (links.n[:700] == (true @ copies)[:700]).all() and (links.n <= true @ copies).all()
+    n = links.n[links.own]
+    assert (n[:700] == (true @ copies)[:700]).all() and (n <= true @ copies).all()
+    far = hnsw.Links(names[:500], copies[:500], names[500:], copies[500:], within=False)  # both ends get their due
+    for r, c in hnsw.compared(x[500:], x[:500], np.arange(500), 0.95):
+        far.add(r, c)
+    cross = true[:500, 500:]
+    assert far.n[far.own].tolist() == (cross @ copies[500:]).tolist() and far.n[far.ids].tolist() == (copies[:500] @ cross).tolist()
     u, v = links.forest()
     hot = set(names[:700].tolist())
     assert sum(a in hot for a in u.tolist()) == 699 and all((a in hot) == (b in hot) for a, b in zip(u.tolist(), v.tolist()))
@@ -233,14 +261,12 @@ def test_audit_leaves_out_the_query_itself():
     g = hnsw.Graph(x.astype(np.float32), [np.full((n, 1), -1, np.int64)], 0)
     seen = []
 
-    def only_itself(g, exact, q, q_exact, threshold, ef, best=None):
+    def only_itself(g, exact, q, q_exact, threshold, ef):
         seen.append(ef)
         k = np.argmax(exact @ q_exact.T, axis=0)
-        if best is not None:
-            best[:] = k
         yield np.arange(len(q)), k
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(hnsw, "hits", only_itself)
         blocks = list(hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95, recall=0.5, own=np.arange(n)))
-    assert seen == [32, 64, 128] and sum(len(r) for r, _ in blocks) == 2 * n
+    assert sorted(set(seen)) == [32, 64, 128] and sum(len(r) for r, _ in blocks) == 2 * n
