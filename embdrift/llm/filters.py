@@ -32,7 +32,10 @@ _BIT = {f: 1 << k for k, f in enumerate(LETTERS)}
 _CAPITALS = bytes(range(65, 91))
 _TEXTS_HELD = 10_000
 _SYMBOL = re.compile(rb"[#$%&*|]")
-_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk and in the checkpoint, not in the executors' memory; a partition's local files (some
+#: megabytes each, even if it is almost empty) go when its batch is committed.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 def own_failures(text: str) -> int:
@@ -155,15 +158,16 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4
         summed.write.mode("overwrite").parquet(f"{table}/batch={number}")
         done.append(number)
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(setting, None)
-    spark.conf.set(setting, _STATE_STORE)  # on local disk and the checkpoint, not in the executors' memory
+    old = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         run = (changes.writeStream.foreachBatch(add).outputMode("append").trigger(availableNow=True)
                .option("checkpointLocation", scratch(spark, "filter-stream")).start())
         run.awaitTermination()
     finally:
-        spark.conf.unset(setting) if old is None else spark.conf.set(setting, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema(change).parquet(*[f"{table}/batch={k}" for k in done]) if done else spark.createDataFrame([], change)
     return found.groupBy("part", "mask", "good", "toxic").agg(F.sum("change").alias("n")).where("n <> 0")
 
