@@ -12,6 +12,7 @@ up.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from embdrift.llm.common import stored
 from embdrift.llm.sharding import hash_bucket
-from embdrift.llm.tokens import _runs, crc, encode
+from embdrift.llm.tokens import closed, encode_flat, text_runs
 
 
 @dataclass(frozen=True)
@@ -190,17 +191,20 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in _runs(texts):
-                rows: list[tuple] = []
-                for doc_id, x in zip(ids[lo:hi], encode(vocabulary_path, texts[lo:hi])):
-                    x = np.append(x, np.uint32(end_id))
-                    rows += [(doc_id, k // capacity, k, min(capacity, len(x) - k), crc(x[k:k + capacity]))
-                             for k in range(0, len(x), capacity)]
-                cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, texts = b.column("doc_id"), b.column("text")
+            for lo, hi in text_runs(texts):
+                flat, edges = closed(*encode_flat(vocabulary_path, texts.slice(lo, hi - lo)), end_id)
+                size = np.diff(edges)
+                n = -(-size // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(hi - lo), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, size[doc] - start)
+                raw, at = memoryview(flat.astype("<u4")).cast("B"), 4 * (edges[doc] + start)
+                sums = [zlib.crc32(raw[x:x + y]) for x, y in zip(at.tolist(), (4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                     pa.array(length, pa.int32()), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint")
 

@@ -1,8 +1,11 @@
 """Token ids of whole texts, and their file format: Parquet list columns.
 
-``encode`` tokenizes word by word through a bounded cache: the pre-tokenizer of the vocabulary cuts
-at white space and drops it, so the ids of a text are those of its words in order. (A vocabulary
-for which that does not hold is encoded text by text: ``by_word=False``.)
+``encode_flat`` tokenizes each distinct word once: the pre-tokenizer of the vocabulary cuts at white
+space and drops it, cuts between letters and punctuation, and takes no notice of ASCII case, so the
+ids of a text are those of its words in order, and those of a word are its core's and its closing
+punctuation's. Arrow cuts and numbers the words of many texts at once; only words unseen so far reach the
+tokenizer, and numpy gathers the ids. (A vocabulary for which that does not hold is encoded text by
+text: ``by_word=False``.)
 
 File format of ``write_tokens``: one Parquet data set in ascending document order with the columns
 part, seq (int), doc_id (long), n_tokens (int) and tokens (list<int>). Ids are dictionary-encoded
@@ -13,20 +16,27 @@ ids, without touching the rest.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embdrift.llm.common import scratch
 
-_CACHE_WORDS = 1_000_000
-_CACHE_WORD_BYTES = 64
-#: Per Python worker: vocabulary path -> (tokenizer, word -> its ids as bytes). Workers are reused over tasks.
-_LOADED: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_CACHE_WORDS = 500_000
+_CACHE_WORD_CHARS = 64
+#: Closing ASCII punctuation (but for the apostrophe, which can open a suffix) behind a letter or digit.
+_PARTED = r"^(?P<core>.*[A-Za-z0-9])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
+#: Per Python worker: vocabulary path -> words it has met. Workers are reused over tasks.
+_LOADED: dict[str, _Words] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -36,44 +46,114 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _load(path: str):
-    if path not in _LOADED:
+class _Words:
+    """A tokenizer and the ids of the words met so far, in one flat array: ``number`` of a word (part)
+    gives its place in ``start`` and ``size``. Emptied when it holds too many; long words are not kept."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        of = json.loads(self.tokenizer.to_str())
+        rules = of["normalizer"] or {}
+        self.lowers = any(r["type"] == "Lowercase" for r in rules.get("normalizers", [rules] if rules else []))
+        self.added = [t["content"] for t in of["added_tokens"]]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.start, self.size, self.ids, self.long = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32), False
+
+    def make_room(self) -> None:
+        if len(self.number) > _CACHE_WORDS:
+            self.clear()
+
+    def forget_long(self) -> None:
+        if self.long:
+            self.clear()
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the (distinct) words; unseen ones are encoded."""
+        got = list(map(self.number.get, words))
+        new = [w for w, k in zip(words, got) if k is None]
+        if new:
+            first, ids, sizes = len(self.size), [self.ids], []
+            for k in range(0, len(new), 20_000):
+                part = [e.ids for e in self.tokenizer.encode_batch_fast(new[k:k + 20_000], add_special_tokens=False)]
+                sizes += map(len, part)
+                ids.append(np.fromiter(itertools.chain.from_iterable(part), np.uint32))
+            self.ids = np.concatenate(ids)
+            self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
+            self.start = np.cumsum(self.size) - self.size
+            self.number.update(zip(new, range(first, first + len(new))))
+            self.long |= any(len(w) > _CACHE_WORD_CHARS for w in new)
+            got = [self.number[w] if k is None else k for w, k in zip(words, got)]
+        return np.array(got, np.int64)
+
+
+def _load(path: str) -> _Words:
+    if path not in _LOADED:
+        _LOADED[path] = _Words(path)
     return _LOADED[path]
 
 
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ids[start:start + size] one after the other."""
+    before = np.cumsum(size) - size
+    return ids[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+def encode_flat(path: str, texts: pa.Array, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (uint32) of all whole texts one after the other, and where each text begins (one more
+    entry than texts); null and empty texts have none."""
+    known = _load(path)
+    texts = pc.fill_null(texts, "")
+    if not by_word:
+        each = [e.ids for e in known.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.cumsum([0, *map(len, each)])
+    cut = pc.ascii_split_whitespace(texts)
+    edges = np.asarray(cut.offsets, np.int64)
+    flat = cut.flatten().dictionary_encode()
+    words, at = flat.dictionary, np.asarray(flat.indices, np.int64)
+    # Each distinct word is a core and its closing punctuation, if the core ends in a letter or digit.
+    plain = ~functools.reduce(np.logical_or, [np.asarray(pc.match_substring(words, t, ignore_case=True)) for t in known.added],
+                              np.zeros(len(words), bool))  # special tokens are found by their exact spelling
+    low = pc.ascii_lower(words) if known.lowers else words
+    parts = pc.extract_regex(low, _PARTED)
+    parted = pa.array(plain & np.asarray(parts.is_valid()))
+    core = pc.if_else(parted, parts.field("core"), pc.if_else(pa.array(plain), low, words)).dictionary_encode()
+    tail = pc.if_else(parted, parts.field("tail"), "").dictionary_encode()
+    known.make_room()
+    numbers = [known.numbers(half.dictionary.to_pylist())[np.asarray(half.indices, np.int64)] for half in (core, tail)]
+    pieces = np.stack(numbers, axis=1).ravel()
+    # Ids of the distinct words in a row, then those of the texts' words.
+    size = known.size[pieces]
+    ids = _gather(known.ids, known.start[pieces], size)
+    size = size.reshape(-1, 2).sum(axis=1)
+    start = np.cumsum(size) - size
+    known.forget_long()
+    total = np.concatenate([[0], np.cumsum(size[at])])
+    return _gather(ids, start[at], size[at]), total[edges - edges[0]]
+
+
+def closed(ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``encode_flat``'s result with the end id behind each text."""
+    return np.insert(ids, edges[1:], np.uint32(end_id)), edges + np.arange(len(edges))
+
+
 def encode(path: str, texts: Sequence[str | None], by_word: bool = True) -> list[np.ndarray]:
     """Ids (uint32) of each whole text; null and empty texts have none."""
-    tok, cache = _load(path)
-    if not by_word:
-        return [np.array(e.ids, np.uint32) for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    if len(cache) > _CACHE_WORDS:
-        cache.clear()
-    cut = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-    new = list(set().union(*cut) - cache.keys())
-    long = []
-    for k in range(0, len(new), 20_000):
-        part = new[k:k + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-            if len(w) > _CACHE_WORD_BYTES:
-                long.append(w)
-    out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), "<u4") for ws in cut]
-    for w in long:  # long words would make the cache's memory unbounded
-        del cache[w]
-    return out
-
-
-def _runs(texts: list, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``chars`` characters (one row at least), which bound the memory."""
-    k = 0
-    while k < len(texts):
-        n, size = k, 0
-        while n < len(texts) and (n == k or size + len(texts[n] or "") <= chars):
-            size += len(texts[n] or "")
-            n += 1
+    ids, edges = encode_flat(path, pa.array(texts, pa.string()), by_word)
+    return [ids[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def text_runs(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes (one row at least), which bound the memory."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    total, k = np.cumsum(size), 0
+    while k < len(size):
+        n = max(k + 1, int(np.searchsorted(total, most + (total[k - 1] if k else 0), side="right")))
         yield k, n
         k = n
 
@@ -100,13 +180,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
 
         part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for lo, hi in _runs(texts):
-                got = [np.append(x, np.uint32(end_id)) for x in encode(vocabulary_path, texts[lo:hi], by_word)]
-                lens = np.array([len(x) for x in got], np.int32)
-                flat = np.concatenate(got).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
-                n = hi - lo
+            ids, texts = b.column("doc_id"), b.column("text")
+            for lo, hi in text_runs(texts):
+                flat, edges = closed(*encode_flat(vocabulary_path, texts.slice(lo, hi - lo), by_word), end_id)
+                lens, n = np.diff(edges).astype(np.int32), hi - lo
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n, dtype=np.int32)),
                      ids.slice(lo, n), pa.array(lens), lists], ["part", "seq", "doc_id", "n_tokens", "tokens"])
