@@ -27,13 +27,19 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, ri
     Within a bucket a running ``last`` over the time-ordered union answers
     it; rows whose bucket has no earlier right row take the latest right row
     of all earlier buckets from a per-bucket summary (bounded by the number
-    of buckets, joined back as a small table).
+    of buckets, joined back as a small table).  Left rows travel whole through
+    the union, so repeated or null keys keep a value of their own each; a row
+    without a time gets no value.  Columns of ``left`` named as ``out`` or
+    ``out_ts`` are replaced.
     """
     by = by or []
-    L = left.select(*by, F.col(left_key).alias("_lk"), F.col(left_ts).alias("_ts"),
+    kept = [c for c in left.columns if c not in (out, out_ts)]
+    whole = F.struct(*[F.col(c) for c in kept])
+    kind = left.select(whole.alias("_row")).schema["_row"].dataType
+    L = left.select(*by, whole.alias("_row"), F.col(left_ts).alias("_ts"),
                     F.lit(0).alias("_right"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    R = right.select(*by, F.lit(None).cast(left.schema[left_key].dataType).alias("_lk"),
-                     F.col(right_ts).alias("_ts"), F.lit(1).alias("_right"), F.col(value).alias("_v"))
+    R = right.filter(F.col(right_ts).isNotNull()).select(
+        *by, F.lit(None).cast(kind).alias("_row"), F.col(right_ts).alias("_ts"), F.lit(1).alias("_right"), F.col(value).alias("_v"))
     U = L.unionByName(R).withColumn("_b", _bucket(F.col("_ts"), bucket_seconds))
     tie = F.desc("_right") if inclusive else F.asc("_right")
     # equal right timestamps: the largest value is "last" (a total order)
@@ -57,8 +63,7 @@ def asof_last(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, ri
                 .withColumn("_prev", F.last("_carry", ignorenulls=True).over(wc))
                 .filter(F.col("_c") == 0).select(*by, "_b", "_prev"))
     res = scanned.join(filled, [*by, "_b"], "left").withColumn("_r", F.coalesce("_in", "_prev"))
-    return left.join(res.select(F.col("_lk").alias(left_key), F.col("_r.v").alias(out), F.col("_r.t").alias(out_ts)),
-                     left_key, "left")
+    return res.select("_row.*", F.col("_r.v").alias(out), F.col("_r.t").alias(out_ts))
 
 
 def count_since_midnight(left: DataFrame, right: DataFrame, left_key: str, left_ts: str, right_ts: str,
@@ -68,19 +73,21 @@ def count_since_midnight(left: DataFrame, right: DataFrame, left_key: str, left_
     A running count over the time-ordered union inside each (UTC day, time
     bucket), left rows first on ties (strict <), plus the right rows of the
     day's earlier buckets (a table with one row per day and bucket), so a busy
-    day is many tasks.
+    day is many tasks.  Left rows travel whole: repeated and null keys are rows
+    like others; a row without a time gets null.
     """
-    L = left.select(F.col(left_key).alias("_lk"), F.col(left_ts).alias("_ts"), F.lit(0).alias("_right"))
-    R = right.select(F.lit(None).cast(left.schema[left_key].dataType).alias("_lk"),
-                     F.col(right_ts).alias("_ts"), F.lit(1).alias("_right"))
+    whole = F.struct(*[F.col(c) for c in left.columns if c != out])
+    kind = left.select(whole.alias("_row")).schema["_row"].dataType
+    L = left.select(whole.alias("_row"), F.col(left_ts).alias("_ts"), F.lit(0).alias("_right"))
+    R = right.filter(F.col(right_ts).isNotNull()).select(
+        F.lit(None).cast(kind).alias("_row"), F.col(right_ts).alias("_ts"), F.lit(1).alias("_right"))
     U = L.unionByName(R).withColumn("_d", F.to_date("_ts")).withColumn("_b", _bucket(F.col("_ts"), bucket_seconds))
     cells = U.groupBy("_d", "_b").agg(F.sum("_right").alias("_n"))
     before = Window.partitionBy("_d").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = cells.select("_d", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
     w = Window.partitionBy("_d", "_b").orderBy("_ts", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    c = U.withColumn("_in", F.sum("_right").over(w)).filter(F.col("_right") == 0).join(carry, ["_d", "_b"])
-    return left.join(c.select(F.col("_lk").alias(left_key), (F.col("_in") + F.col("_carry")).cast("long").alias(out)),
-                     left_key, "left")
+    c = U.withColumn("_in", F.sum("_right").over(w)).filter(F.col("_right") == 0).join(carry, ["_d", "_b"], "left")
+    return c.select("_row.*", (F.col("_in") + F.col("_carry")).cast("long").alias(out))
 
 
 def throttle_alerts(alerts: DataFrame, jobs: DataFrame, policy: config.ThrottlePolicy = config.ThrottlePolicy()) -> DataFrame:
@@ -164,8 +171,7 @@ def admit_training(alerts: DataFrame, jobs: DataFrame,
     """Reject when the window already has a DRIFT_ALERT job, a job is
     QUEUED/RUNNING, or a DRIFT_ALERT job was queued within the cooldown."""
     dj = jobs.filter(F.col("trigger") == "DRIFT_ALERT")
-    has_job = alerts.select("window_id").join(dj.select("window_id").distinct(), "window_id", "left_semi") \
-        .withColumn("_dup", F.lit(True))
+    has_job = dj.select("window_id").filter("window_id IS NOT NULL").distinct().withColumn("_dup", F.lit(True))
     active = jobs.filter(F.col("status").isin("QUEUED", "RUNNING")).select("job_id", "queued_at")
     a = asof_last(alerts, active, "window_id", "now", "queued_at", "job_id", out="active_job", out_ts="active_ts")
     a = asof_last(a, dj.select("job_id", "queued_at"), "window_id", "now", "queued_at", "job_id",

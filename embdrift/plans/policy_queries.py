@@ -54,6 +54,29 @@ def throttle_alerts(t):
     return r.select("window_id", "reason", "accepted", "priority")
 
 
+# Every alert delivered again after 3, 5 and 11 hours: each delivery is judged by its own time.
+_AGAIN = """WITH again AS (SELECT a.* REPLACE (a.now + h * INTERVAL 1 HOUR AS now), h FROM alerts a, (VALUES (0), (3), (5), (11)) t(h)),"""
+
+
+@register("throttle_alerts_redelivered", operators=("ST8", "J7", "J8"), sql=FX.with_fixtures(
+    _AGAIN + _DJ + """,
+x AS (SELECT a.*, dj.queued_at AS last_train_time, coalesce(a.linguistic_drift, 0.0) AS ling,
+             (SELECT count(*) FROM training_jobs j WHERE j.trigger = 'DRIFT_ALERT' AND j.queued_at >= date_trunc('day', a.now)
+                                                     AND j.queued_at < a.now) AS trains_today
+      FROM again a ASOF LEFT JOIN dj ON a.now >= dj.queued_at)
+SELECT window_id, h AS delivery, trains_today, last_train_time,
+       CASE WHEN document_count < 100 THEN 'insufficient_documents'
+            WHEN NOT (embedding_drift >= 0.08) AND NOT (ling >= 0.6) THEN 'below_drift_thresholds'
+            WHEN last_train_time IS NOT NULL AND last_train_time >= now - INTERVAL 6 HOUR THEN 'cooldown_active'
+            WHEN trains_today >= 3 THEN 'daily_cap_reached' ELSE 'accepted' END AS reason
+FROM x""", "alerts", "training_jobs"))
+def throttle_alerts_redelivered(t):
+    again = FX.alerts(t).withColumn("delivery", F.explode(F.array(*[F.lit(h) for h in (0, 3, 5, 11)])))
+    again = again.withColumn("now", F.col("now") + F.make_dt_interval(hours=F.col("delivery")))
+    r = P.throttle_alerts(again, FX.training_jobs(t))
+    return r.select("window_id", "delivery", "trains_today", "last_train_time", "reason")
+
+
 # Test policy for the sparse request log (FIXTURES F5): 1 day frame, 5 requests, 20 %.
 ROLLBACK_TEST = config.RollbackPolicy(error_rate_threshold=0.2, window_seconds=86400, min_requests=5)
 
