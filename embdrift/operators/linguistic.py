@@ -21,6 +21,7 @@ from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
+from embdrift.operators.extractors import REGEX, Extractor, entities
 from embdrift.operators.ranking import global_rank
 from embdrift.session import materialize
 from embdrift.sources.tables import dealt
@@ -96,8 +97,14 @@ def term_counts(sides: Sides) -> DataFrame:
     return sides.expand(t.groupBy(*sides.keys, "term").agg(F.count("*").alias("n")))
 
 
-def entity_counts(sides: Sides) -> DataFrame:
-    """A5 entities: (wid, side, entity, n) from P18 proper-noun runs."""
+def entity_counts(sides: Sides, extractor: Extractor | None = None) -> DataFrame:
+    """A5 entities: (wid, side, entity, n) from P18 proper-noun runs; with an ``extractor`` (U2) from
+    its keys, and (.., backend, n) then: a row per backend that found the entity."""
+    if extractor is not None:
+        found = entities(sides.docs, extractor)
+        gen, ok = TX.explode_tokens(F.col("entities"), "entity")
+        t = found.select(*sides.keys, "backend", gen).filter(ok)
+        return sides.expand(t.groupBy(*sides.keys, "entity", "backend").agg(F.count("*").alias("n")))
     gen, ok = TX.explode_tokens(TX.proper_noun_runs("text"), "entity")
     t = sides.docs.select(*sides.keys, gen).filter(ok)
     return sides.expand(t.groupBy(*sides.keys, "entity").agg(F.count("*").alias("n")))
@@ -319,9 +326,14 @@ def emerging_topics(topics: DataFrame, limit: int = 8, min_gain: float = TOPIC_G
 # ------------------------------------------------------------------ L2 / L3
 def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHOLD,
                       weights: config.LinguisticWeights = config.LinguisticWeights(),
-                      lists: bool = True) -> DataFrame:
+                      lists: bool = True, extractor: Extractor | None = None, topic_model=None) -> DataFrame:
     """L2: one report row per window id.
 
+    ``extractor`` (U2) and ``topic_model`` (U3: sides -> topic rows, e.g.
+    ``topics.lda_topics``) replace the regex and the keyword topics;
+    entity_backend and topic_backend name what was used, joined by + where
+    both a plug-in and its fall-back were.
+
     composite = clamp(0.35·entity + 0.35·topic + 0.30·(1 − p)); breached if
     composite > threshold; scores rounded to 6 digits.  The topic distance
     falls back to A10 when neither side has keyword topics.
@@ -329,8 +341,13 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
     s = sides
     # Each of these feeds two or three outputs: written once to the checkpoint folder.
     terms = materialize(align_counts(term_counts(s), "term"))
-    ents = materialize(align_counts(entity_counts(s), "entity"))
-    topics = materialize(keyword_topics(s))
+    counted = materialize(entity_counts(s, extractor)) if extractor is not None else entity_counts(s)
+    ents = materialize(align_counts(counted, "entity"))
+    topics = materialize(keyword_topics(s) if topic_model is None else topic_model(s))
+
+    def backends(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("wid").agg(F.array_join(F.sort_array(F.collect_set("backend")), "+").alias(name))
+
     wids = materialize(s.doc_counts().groupBy("wid").agg(
         F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).cast("long").alias("document_count")))
     ent = js_distance(ents)
@@ -352,6 +369,10 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
                    F.round(comp, 6).alias("composite_score"),
                    F.lit(threshold).alias("threshold"),
                    (comp > threshold).alias("breached"))
+    out = (out.withColumn("entity_backend", F.lit(REGEX)) if extractor is None
+           else out.join(backends(counted, "entity_backend"), "wid", "left"))
+    out = (out.withColumn("topic_backend", F.lit("keyword")) if topic_model is None
+           else out.join(backends(topics, "topic_backend"), "wid", "left"))
     if not lists:
         return out
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from embdrift.functions import stopwords
 from embdrift.functions import text as TX
 from embdrift.operators import linguistic as L
+from embdrift.operators.extractors import learn_gazetteer
 from embdrift.operators.ranking import global_rank
+from embdrift.operators.topics import lda_topics
 from embdrift.plans.catalog import register
 from embdrift.sources import fixtures as FX
 
@@ -74,6 +76,36 @@ def entity_counts(t):
     return L.entity_counts(_sides(t))
 
 
+_GAZETTEER = r"""
+gwords AS (SELECT wid AS own, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws FROM base),
+gruns AS (SELECT DISTINCT own, doc_id, replace(trim(lower(unnest(regexp_extract_all(' ' || array_to_string(ws, '  ') || ' ',
+                 '(?: [A-Z][\p{L}\p{N}_]* )+')))), '  ', ' ') AS entry FROM gwords),
+gaz AS (SELECT entry, len(string_split(entry, ' ')) AS n FROM gruns WHERE length(entry) <= 80 AND len(string_split(entry, ' ')) <= 5
+        GROUP BY entry HAVING count(*) >= 5 ORDER BY count(*) DESC, entry LIMIT 20000),
+gpos AS (SELECT own, doc_id, list_transform(ws, lambda w: lower(w)) AS ws, unnest(range(1, len(ws) + 1)) AS i FROM gwords),
+ghit AS (SELECT p.own, p.doc_id, p.i, max(p.i + g.n - 1) AS e, max_by(g.entry, g.n) AS entry
+         FROM (SELECT *, unnest(range(1, 6)) AS n FROM gpos) p JOIN gaz g ON g.n = p.n AND g.entry = array_to_string(p.ws[p.i:p.i + p.n - 1], ' ')
+         WHERE p.i + p.n - 1 <= len(p.ws) GROUP BY ALL),
+gfree AS (SELECT own, 'GAZ:' || entry AS entity FROM (
+            SELECT *, max(e) OVER (PARTITION BY own, doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ghit)
+          WHERE reach IS NULL OR e > reach),
+gcount AS (SELECT own + d.k AS wid, d.side, entity, count(*) AS n FROM gfree, (VALUES (0, 'window'), (1, 'baseline')) d(k, side) GROUP BY ALL)"""
+
+
+@register("gazetteer_entity_counts", operators=("U2", "A5"), sql=_q(
+    "SELECT wid, side, entity, 'gazetteer' AS backend, n FROM gcount WHERE wid IN (SELECT wid FROM okw)", _GAZETTEER))
+def gazetteer_entity_counts(t):
+    """Entities of a gazetteer learned from the documents' own frequent capitalised runs."""
+    sides = _sides(t)
+    return L.entity_counts(sides, learn_gazetteer(sides.docs))
+
+
+@register("lda_topic_shares", operators=("U3",), sql=None)
+def lda_topic_shares(t):
+    """Topic shares of every window and its baseline by LDA, small windows by keywords."""
+    return lda_topics(_sides(t))
+
+
 @register("aligned_terms", operators=("J9", "X2"), sql=_q("SELECT wid, term, b, w FROM al", _TERMS))
 def aligned_terms(t):
     return L.align_counts(L.term_counts(_sides(t)), "term")
