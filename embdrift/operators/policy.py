@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embdrift import config
+from embdrift.session import materialize, ship_package
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -116,6 +117,63 @@ def throttle_alerts(alerts: DataFrame, jobs: DataFrame, policy: config.ThrottleP
     return a.select("*", reason.alias("reason"), (reason == "accepted").alias("accepted"), priority.alias("priority"))
 
 
+def alert_decision(last_us: int | None, today: int, now_us: int, count: int, emb: float, ling: float | None,
+                   policy: config.ThrottlePolicy) -> tuple[str, str | None]:
+    """ST8 for one alert: (reason, priority), given the last training and the trainings of the day."""
+    emb_hi, ling_hi = emb >= policy.min_embedding_drift, (ling or 0.0) >= policy.min_linguistic_drift
+    if count < policy.min_documents:
+        return "insufficient_documents", None
+    if not emb_hi and not ling_hi:
+        return "below_drift_thresholds", None
+    if last_us is not None and policy.cooldown_hours > 0 and last_us >= now_us - policy.cooldown_hours * 3_600_000_000:
+        return "cooldown_active", None
+    if today >= policy.max_daily_trains:
+        return "daily_cap_reached", None
+    return "accepted", "dual_signal_high" if emb_hi and ling_hi else "embedding_drift" if emb_hi else "linguistic_drift"
+
+
+def throttle_sequence(alerts: DataFrame, jobs: DataFrame, policy: config.ThrottlePolicy = config.ThrottlePolicy(),
+                      tenant_col: str | None = None) -> DataFrame:
+    """ST8 where an accepted alert is training history for the ones after it, beside the recorded ``jobs``.
+
+    Alerts count in the order (now, window_id).  What the records alone reject is decided by
+    ``throttle_alerts`` in parallel; only the others meet in order.  Decisions of one tenant follow
+    from each other, so its open alerts (small rows, no texts or vectors) are folded in one task.
+    """
+    ship_package(alerts.sparkSession)
+    judged = throttle_alerts(alerts, jobs, policy)
+    open_ = judged.filter("accepted")
+    tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit("")
+    kept = [c for c in judged.columns if c not in ("reason", "accepted", "priority")]
+    rows = open_.select(tenant.alias("_tenant"), F.struct(*kept).alias("_row"), "now", "window_id", "document_count",
+                        F.col("embedding_drift").cast("double").alias("_emb"), F.col("linguistic_drift").cast("double").alias("_ling"),
+                        F.unix_micros("now").alias("_us"), F.unix_micros("last_train_time").alias("_last"),
+                        F.coalesce("trains_today", F.lit(0)).alias("_today"), F.monotonically_increasing_id().alias("_id"))
+    rows = materialize(rows)  # the numbers of the rows must not change between the fold and the join
+
+    def fold(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["_us", "window_id", "_id"])
+        last, day, own, out = None, None, 0, []
+        for r in pdf.itertuples(index=False, name=None):
+            ident, us, _, count, emb, ling, recorded, today = r
+            if day != us // 86_400_000_000:
+                day, own = us // 86_400_000_000, 0
+            before = [int(x) for x in (last, recorded) if x is not None and not pd.isna(x)]
+            reason, priority = alert_decision(max(before, default=None), int(today) + own, us, count, emb,
+                                              None if pd.isna(ling) else ling, policy)
+            if reason == "accepted":
+                last, own = us, own + 1
+            out.append((ident, reason, priority))
+        return pd.DataFrame(out, columns=["_id", "reason", "priority"])
+
+    decided = rows.select("_tenant", "_id", "_us", "window_id", "document_count", "_emb", "_ling", "_last", "_today").groupBy("_tenant").applyInPandas(
+        lambda pdf: fold(pdf[["_id", "_us", "window_id", "document_count", "_emb", "_ling", "_last", "_today"]]), "_id long, reason string, priority string")
+    open_rows = rows.join(decided, "_id").select("_row.*", "reason", (F.col("reason") == "accepted").alias("accepted"), "priority")
+    return judged.filter("NOT accepted").select(*open_rows.columns).unionByName(open_rows)
+
+
 def rollback_decisions(metrics: DataFrame, activations: DataFrame,
                        policy: config.RollbackPolicy = config.RollbackPolicy()) -> DataFrame:
     """ST7 (batch, without clearing): a decision after every request of a version.

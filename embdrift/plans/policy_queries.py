@@ -77,6 +77,28 @@ def throttle_alerts_redelivered(t):
     return r.select("window_id", "delivery", "trains_today", "last_train_time", "reason")
 
 
+@register("throttle_alerts_sequence", operators=("ST8", "ST10"), sql=FX.with_fixtures("WITH RECURSIVE" + _ASOF.removeprefix("WITH") + """,
+a AS (SELECT a.window_id, a.now, a.document_count, a.embedding_drift >= 0.08 AS eh, coalesce(a.linguistic_drift, 0.0) >= 0.6 AS lh,
+             l.last_train_time, d.trains_today, row_number() OVER (ORDER BY a.now, a.window_id) AS k
+      FROM alerts a JOIN lastj l USING (window_id) JOIN today d USING (window_id)),
+seq AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS window_id, CAST(NULL AS TIMESTAMP) AS mine, CAST(NULL AS DATE) AS day, 0 AS own,
+               '' AS reason
+        UNION ALL
+        SELECT a.k, a.window_id, CASE WHEN r.reason = 'accepted' THEN a.now ELSE seq.mine END, CAST(a.now AS DATE),
+               CASE WHEN seq.day = CAST(a.now AS DATE) THEN seq.own ELSE 0 END + CASE WHEN r.reason = 'accepted' THEN 1 ELSE 0 END, r.reason
+        FROM seq JOIN a ON a.k = seq.k + 1, LATERAL (SELECT
+             CASE WHEN a.document_count < 100 THEN 'insufficient_documents'
+                  WHEN NOT a.eh AND NOT a.lh THEN 'below_drift_thresholds'
+                  WHEN greatest(coalesce(a.last_train_time, seq.mine), coalesce(seq.mine, a.last_train_time)) >= a.now - INTERVAL 6 HOUR
+                    THEN 'cooldown_active'
+                  WHEN a.trains_today + CASE WHEN seq.day = CAST(a.now AS DATE) THEN seq.own ELSE 0 END >= 3 THEN 'daily_cap_reached'
+                  ELSE 'accepted' END AS reason) r)
+SELECT window_id, reason, reason = 'accepted' AS accepted FROM seq WHERE k > 0""", "alerts", "training_jobs"))
+def throttle_alerts_sequence(t):
+    """Accepted alerts are training history for the ones after them."""
+    return P.throttle_sequence(FX.alerts(t), FX.training_jobs(t)).select("window_id", "reason", "accepted")
+
+
 # Test policy for the sparse request log (FIXTURES F5): 1 day frame, 5 requests, 20 %.
 ROLLBACK_TEST = config.RollbackPolicy(error_rate_threshold=0.2, window_seconds=86400, min_requests=5)
 

@@ -37,14 +37,19 @@ def read_document_stream(spark: SparkSession, fmt: str, path: str | None = None,
     """
     opts = dict(options or {})
     if fmt == "kafka":
-        raw = spark.readStream.format("kafka").options(**opts).load()
-        ev = F.from_json(F.col("value").cast("string"), DOCUMENT_EVENT)
-        return raw.select(F.col("key").cast("string").alias("key"), ev.alias("e")).select("key", "e.*")
+        return decode_messages(spark.readStream.format("kafka").options(**opts).load())
     reader = spark.readStream.format(fmt).schema(DOCUMENT_EVENT).options(**opts)
     df = reader.load(path) if path else reader.load()
     return df.withColumn("key", F.lit(None).cast("string"))
 
 
+def decode_messages(raw: DataFrame) -> DataFrame:
+    """Event columns and ``key`` of messages (key, value: binary or string).  A value that is no JSON
+    object gives null fields, which P1 rejects with reasons; ``metadata`` stays JSON text."""
+    ev = F.from_json(F.col("value").cast("string"), DOCUMENT_EVENT)
+    return raw.select(F.col("key").cast("string").alias("key"), ev.alias("e")).select("key", "e.*")
+
+
 def read_corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Several JSONL files read as one pool (text, label_text); bad lines are NULL rows."""
     return spark.read.schema(CORPUS_RECORD).option("mode", "PERMISSIVE").json(list(paths)) \

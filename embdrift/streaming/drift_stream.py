@@ -9,13 +9,16 @@ its end; rows later than that are dropped and counted (ST4).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from embdrift import config
+from embdrift.operators.centroid import centroid
 from embdrift.operators.drift import score_windows
-from embdrift.operators.windows import drift_windows
+from embdrift.operators.windows import _label, drift_windows
 
 
 def drift_windows_stream(stream: DataFrame, width_seconds: int = config.DRIFT_WINDOW_SECONDS,
@@ -23,15 +26,18 @@ def drift_windows_stream(stream: DataFrame, width_seconds: int = config.DRIFT_WI
                          ts_col: str = "first_embedded_at", vector_col: str = "vector") -> DataFrame:
     """ST1/ST2 on a stream: the same centroid aggregate, finalised by the watermark (append mode).
 
-    Sliding windows pre-aggregate by pane only in batch; on a stream they use
-    the plain sliding ``window`` (each row joins width/slide windows).
+    Sliding windows are two chained stateful aggregates: panes as wide as the
+    largest step that divides width and slide, then sums of panes per window,
+    by the event time that a finished pane carries.  Rows are counted
+    once, in their pane; only pane sums are copied width/slide times.
     """
     s = stream.withWatermark(ts_col, watermark)
     if slide_seconds and slide_seconds != width_seconds:
-        from embdrift.operators.centroid import centroid
-        w = F.window(ts_col, f"{width_seconds} seconds", f"{slide_seconds} seconds")
-        out = centroid(s, [w.alias("w")], vector_col)
-        from embdrift.operators.windows import _label
+        pane = math.gcd(width_seconds, slide_seconds)
+        panes = centroid(s, [F.window(ts_col, f"{pane} seconds").alias("pane")], vector_col)
+        w = F.window(F.window_time("pane"), f"{width_seconds} seconds", f"{slide_seconds} seconds")
+        out = centroid(panes.withColumnRenamed("centroid", "_pv"), [w.alias("w")], "_pv",
+                       weight_col="document_count", count_col="document_count")
         return out.select(F.lit(_label(width_seconds)).alias("window_size"), F.lit(width_seconds).alias("width_seconds"),
                           F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                           "centroid", "document_count")
@@ -139,23 +145,35 @@ def start_alert_stream(stream: DataFrame, baseline: DataFrame, jobs: DataFrame,
                        available_now: bool = True, policy: config.ThrottlePolicy = config.ThrottlePolicy()):
     """ST10: vectors -> windows -> score -> linguistic score (J6) -> throttle (ST8) -> S4 payloads.
 
-    One ``foreachBatch`` over finalised windows with static joins to the job
-    history and the linguistic windows.  ``now`` of an alert is the window end.
+    One ``foreachBatch`` over finalised windows.  Alerts accepted in this stream are training history
+    for the next ones, beside the recorded jobs: those of earlier batches are read from the folder
+    ``<out_path>_accepted``, those of the batch itself come in order (``throttle_sequence``).  ``now``
+    of an alert is the window end.  A replayed batch sees the same history and replaces its own folders.
     """
-    from embdrift.operators.policy import latest_overlapping, throttle_alerts
+    from embdrift.operators.ingest import table_exists
+    from embdrift.operators.policy import latest_overlapping, throttle_sequence
     from embdrift.sources.io import drift_alert_payloads
     windows = drift_windows_stream(stream, width_seconds, None, watermark)
+    history = f"{out_path.rstrip('/')}_accepted"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         scored = score_windows(batch, baseline, threshold).filter("breached").withColumn(
             "window_id", F.unix_seconds("window_start"))
         enriched = latest_overlapping(scored, ling)
         alerts = enriched.select("window_id", F.col("window_end").alias("now"), "document_count",
                                  F.col("drift_score").alias("embedding_drift"), "linguistic_drift")
-        decided = throttle_alerts(alerts, jobs, policy).filter("accepted")
+        known = jobs.select(F.col("job_id").cast("long").alias("job_id"), "trigger", "queued_at")
+        if table_exists(spark, history):
+            mine = spark.read.parquet(history).filter(F.col("batch_id") != batch_id)
+            known = known.unionByName(mine.select(F.col("window_id").alias("job_id"), F.lit("DRIFT_ALERT").alias("trigger"),
+                                                  F.col("now").alias("queued_at")))
+        decided = throttle_sequence(alerts, known, policy).filter("accepted").persist()
         payload = drift_alert_payloads(decided.withColumnRenamed("embedding_drift", "drift_score"),
                                        threshold=threshold)
         overwrite_batch(payload, out_path, batch_id)
+        overwrite_batch(decided.select("window_id", "now"), history, batch_id)
+        decided.unpersist()
 
     w = windows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w

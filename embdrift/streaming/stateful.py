@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from embdrift import config
+from embdrift.operators.policy import alert_decision
 
 ROLLBACK_OUT = ("model_version string, evaluated_at timestamp, request_count long, error_rate double, "
                 "reason string, should_rollback boolean")
@@ -104,21 +105,8 @@ def throttle_stream(alerts: DataFrame, policy: config.ThrottlePolicy = config.Th
             if day != d:
                 day, today = d, 0
             ling = 0.0 if pd.isna(r.linguistic_drift) else float(r.linguistic_drift)
-            emb_hi = r.embedding_drift >= policy.min_embedding_drift
-            ling_hi = ling >= policy.min_linguistic_drift
-            if r.document_count < policy.min_documents:
-                reason = "insufficient_documents"
-            elif not emb_hi and not ling_hi:
-                reason = "below_drift_thresholds"
-            elif last is not None and policy.cooldown_hours > 0 and last >= now_us - policy.cooldown_hours * 3_600_000_000:
-                reason = "cooldown_active"
-            elif today >= policy.max_daily_trains:
-                reason = "daily_cap_reached"
-            else:
-                reason = "accepted"
-            prio = None
+            reason, prio = alert_decision(last, today, now_us, r.document_count, r.embedding_drift, ling, policy)
             if reason == "accepted":
-                prio = "dual_signal_high" if emb_hi and ling_hi else ("embedding_drift" if emb_hi else "linguistic_drift")
                 last, today = now_us, today + 1
             rows.append((key[0], int(r.window_id), reason, reason == "accepted", prio))
         state.setTimeoutTimestamp(max(now_us // 1000, state.getCurrentWatermarkMs()) + idle_ms)
