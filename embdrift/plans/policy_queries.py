@@ -77,10 +77,12 @@ def throttle_alerts_redelivered(t):
     return r.select("window_id", "delivery", "trains_today", "last_train_time", "reason")
 
 
-@register("throttle_alerts_sequence", operators=("ST8", "ST10"), sql=FX.with_fixtures("WITH RECURSIVE" + _ASOF.removeprefix("WITH") + """,
-a AS (SELECT a.window_id, a.now, a.document_count, a.embedding_drift >= 0.08 AS eh, coalesce(a.linguistic_drift, 0.0) >= 0.6 AS lh,
-             l.last_train_time, d.trains_today, row_number() OVER (ORDER BY a.now, a.window_id) AS k
-      FROM alerts a JOIN lastj l USING (window_id) JOIN today d USING (window_id)),
+@register("throttle_alerts_sequence", operators=("ST8", "ST10"), sql="WITH RECURSIVE " + FX.with_fixtures("""WITH
+a AS MATERIALIZED (SELECT a.window_id, a.now, any_value(a.document_count) AS document_count, any_value(a.embedding_drift) >= 0.08 AS eh,
+             coalesce(any_value(a.linguistic_drift), 0.0) >= 0.6 AS lh, max(j.queued_at) AS last_train_time,
+             count(j.job_id) FILTER (j.queued_at >= date_trunc('day', a.now) AND j.queued_at < a.now) AS trains_today,
+             row_number() OVER (ORDER BY a.now, a.window_id) AS k
+      FROM alerts a LEFT JOIN training_jobs j ON j.trigger = 'DRIFT_ALERT' AND j.queued_at <= a.now GROUP BY a.window_id, a.now),
 seq AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS window_id, CAST(NULL AS TIMESTAMP) AS mine, CAST(NULL AS DATE) AS day, 0 AS own,
                '' AS reason
         UNION ALL
@@ -93,7 +95,7 @@ seq AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS window_id, CAST(N
                     THEN 'cooldown_active'
                   WHEN a.trains_today + CASE WHEN seq.day = CAST(a.now AS DATE) THEN seq.own ELSE 0 END >= 3 THEN 'daily_cap_reached'
                   ELSE 'accepted' END AS reason) r)
-SELECT window_id, reason, reason = 'accepted' AS accepted FROM seq WHERE k > 0""", "alerts", "training_jobs"))
+SELECT window_id, reason, reason = 'accepted' AS accepted FROM seq WHERE k > 0""", "alerts", "training_jobs").removeprefix("WITH "))
 def throttle_alerts_sequence(t):
     """Accepted alerts are training history for the ones after them."""
     return P.throttle_sequence(FX.alerts(t), FX.training_jobs(t)).select("window_id", "reason", "accepted")
