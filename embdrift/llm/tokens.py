@@ -59,6 +59,10 @@ class _Words:
         rules = of["normalizer"] or {}
         self.lowers = any(r["type"] == "Lowercase" for r in rules.get("normalizers", [rules] if rules else []))
         self.added = [t["content"] for t in of["added_tokens"]]
+        suffix, known = of["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values()) + 1, bool)  # ids that close a word
+        if suffix:
+            self.ends[[i for t, i in known.items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -78,13 +82,10 @@ class _Words:
         got = list(map(self.number.get, words))
         new = [w for w, k in zip(words, got) if k is None]
         if new:
-            first, ids, sizes = len(self.size), [self.ids], []
-            for k in range(0, len(new), 20_000):
-                part = [e.ids for e in self.tokenizer.encode_batch_fast(new[k:k + 20_000], add_special_tokens=False)]
-                sizes += map(len, part)
-                ids.append(np.fromiter(itertools.chain.from_iterable(part), np.uint32))
-            self.ids = np.concatenate(ids)
-            self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
+            first = len(self.size)
+            new, ids, sizes = self._encoded(new)
+            self.ids = np.concatenate([self.ids, ids])
+            self.size = np.concatenate([self.size, sizes])
             self.start = np.cumsum(self.size) - self.size
             self.number.update(zip(new, range(first, first + len(new))))
             self.long |= any(len(w) > _CACHE_WORD_CHARS for w in new)
@@ -92,6 +93,36 @@ class _Words:
         return np.array(got, np.int64)
 
 
+    def _encoded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words (in an order of its own), their ids one after the other and how many each has.
+
+        Words of letters alone go to the tokenizer many to a line: each ends with the one id that
+        closes a word. The words of a line whose closing ids do not tell as many go one by one, like the rest.
+        """
+        letters = np.asarray(pc.match_substring_regex(pa.array(words, pa.string()), r"^\pL+$")) if self.ends.any() else np.zeros(len(words), bool)
+        plain = [w for w, k in zip(words, letters) if k]
+        rest, ids, sizes = [w for w, k in zip(words, letters) if not k], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        if plain:
+            cut = [plain[k:k + 64] for k in range(0, len(plain), 64)]
+            lines, got = [" ".join(c) for c in cut], []
+            for k in range(0, len(lines), 400):
+                got += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines[k:k + 400], add_special_tokens=False)]
+            flat, n = np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+            closed = np.concatenate([[0], np.cumsum(self.ends[flat])])
+            at = np.concatenate([[0], np.cumsum(n)])
+            good = np.diff(closed[at]) == np.fromiter(map(len, cut), np.int64, len(cut))
+            flat = flat[np.repeat(good, n)]
+            ids.append(flat)
+            sizes.append(np.diff(np.flatnonzero(self.ends[flat]), prepend=-1))
+            rest += [w for c, k in zip(cut, good) if not k for w in c]
+            plain = [w for c, k in zip(cut, good) if k for w in c]
+        for k in range(0, len(rest), 20_000):
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(rest[k:k + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(part), np.uint32))
+        return plain + rest, np.concatenate(ids), np.concatenate(sizes)
+
+
 def _load(path: str) -> _Words:
     if path not in _LOADED:
         _LOADED[path] = _Words(path)

@@ -38,6 +38,7 @@ def test_words_encode_like_whole_texts(odd, whole):
     rng = random.Random(8)
     texts += ["".join(rng.choice("aBé1'.,!&$|<>-_\u0301 ") for _ in range(rng.randint(0, 40))) for _ in range(500)]
     texts += ["<|ENDOFTEXT|>", "x<|EndOfText|>.", "A.B,c!? don't. 'S, it's! 5. ÀB. K\u212a. \u0130. Σ. ΑΣ. e\u0301. =\u0338."]
+    texts += [" ".join(f"wort{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(700)), " ".join(["İstanbul", "Straße", "ŉ", "ǰ", "ﬁn"] + ["abc"] * 90)]
     for t, got in zip(texts, tokens.encode(tokens.vocabulary(), texts)):
         assert got.tolist() == whole(t).tolist(), repr(t)[:80]
     for t, got in zip(texts[:20], tokens.encode(tokens.vocabulary(), texts[:20], by_word=False)):
