@@ -95,11 +95,14 @@ class EliasFano:
         end = self._select(h, False) - h
         lo, end = np.minimum(lo, self.n), np.minimum(end, self.n)
         hi, want = end.copy(), x & self.mask
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = self._low(np.minimum(mid, self.n - 1)) < want
-            lo = np.where(open_ & less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):  # most ranges are short: each step looks at the open ones alone
+            a, b = lo[todo], hi[todo]
+            mid = (a + b) >> 1
+            less = self._low(mid) < want[todo]
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            lo[todo], hi[todo] = a, b
+            todo = todo[a < b]
         same = (lo < end) & (self._low(np.minimum(lo, self.n - 1)) == want) & ~beyond
         return np.where(beyond, self.n, lo), same
 
@@ -220,7 +223,13 @@ class Trie:
         return cls(arrays, head["bits"])
 
     def _within(self, level: str, first: str, rng: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, found) of value x in the range numbers ``rng`` of a lifted sequence."""
+        """(place, found) of value x in the range numbers ``rng`` of a lifted sequence; equal questions
+        in a row are asked once."""
+        new = np.flatnonzero(np.concatenate([[True], (rng[1:] != rng[:-1]) | (x[1:] != x[:-1])])) if len(rng) else np.empty(0, np.int64)
+        if len(new) < len(rng):
+            times = np.diff(np.append(new, len(rng)))
+            place, found = self._within(level, first, rng[new], x[new])
+            return np.repeat(place, times), np.repeat(found, times)
         seq, starts = self.seq[level], self.seq[first]
         kinds, back = np.unique(rng, return_inverse=True)  # the bounds once per range
         lo, hi = starts.get(kinds).astype(np.int64), starts.get(kinds + 1).astype(np.int64)
