@@ -188,9 +188,17 @@ def rollback_decisions(metrics: DataFrame, activations: DataFrame,
     # so every row is copied once into the next bucket, as context only.
     b = F.floor(F.unix_micros("observed_at") / us).cast("long")
     rows = metrics.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_b", b + F.col("_copy"))
-    w = Window.partitionBy("model_version", "_b").orderBy(F.unix_micros("observed_at")).rangeBetween(-us, 0)
-    m = rows.select("*", F.count("*").over(w).alias("request_count"),
-                    F.sum((F.col("status_code") >= 500).cast("long")).over(w).alias("errors"))
+    rows = rows.filter((F.col("_copy") == 0) | F.col("_b").isNotNull())  # no time: one bucket, one copy
+    # Two running sums and their difference: a frame that moves at both ends is added up anew for every row.
+    w = Window.partitionBy("model_version", "_b").orderBy(F.unix_micros("observed_at"))
+    first = Window.unboundedPreceding
+
+    def within(agg: Column) -> Column:
+        left = F.when(F.col("observed_at").isNotNull(), agg.over(w.rangeBetween(first, -us - 1)))
+        return agg.over(w.rangeBetween(first, 0)) - F.coalesce(left, F.lit(0))
+
+    failed = F.when(F.col("status_code") >= 500, 1).otherwise(0).cast("long")
+    m = rows.select("*", within(F.count("*")).alias("request_count"), within(F.sum(failed)).alias("errors"))
     m = m.filter(F.col("_copy") == 0).drop("_copy", "_b")
     m = m.join(activations.select(F.col("version").alias("model_version"), "previous_version"), "model_version", "left")
     rate = F.col("errors") / F.col("request_count")
