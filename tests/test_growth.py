@@ -35,3 +35,38 @@ def test_rollback_frames_are_running_sums(spark):
 
     want = {r[0]: (len(frame(r)), sum((x[2] or 0) >= 500 for x in frame(r))) for r in rows}
     assert {r.request_id: (r.request_count, r.errors) for r in got.collect()} == want
+
+
+def test_scan_copies_no_vectors_and_equals_brute_force(spark, monkeypatch):
+    from embdrift.operators import similarity as S
+    monkeypatch.setattr(S, "_TILE_QUERIES", 16)
+    monkeypatch.setattr(S, "_TILE_DOCS", 32)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(150, 6)), 2, axis=0)  # every vector twice: ties
+    y = x + 0.4 * np.repeat(rng.normal(size=(150, 6)), 2, axis=0)
+    x[5] = 0.0
+    lab = [None if i % 11 == 0 else f"s{i % 4}" for i in range(300)]
+    u, v = (m / np.where(np.linalg.norm(m, axis=1) == 0, 1, np.linalg.norm(m, axis=1))[:, None] for m in (y, x))
+    sim = np.round(u @ v.T, S.TIE_DECIMALS)
+    d = spark.createDataFrame([(i, [float(c) for c in x[i]], lab[i]) for i in range(300)], "did long, dvec array<double>, dlabel string")
+    q = spark.createDataFrame([(i, [float(c) for c in y[i]], lab[i], i, float(sim[i, i]), float(sim[i, i])) for i in range(0, 300, 2)],
+                              "qid long, qvec array<double>, qlabel string, gold_did long, gold_sim double, threshold double")
+    out = S.scan(q, d, S.ScanSpec(k=3, exclude_self=True, gold=True, above=True, same_max=True, below=True), block_rows=20, min_tasks=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Exchange" not in plan
+    rows = out.collect()
+    assert len([r for r in rows if r.kind == "above"]) > 150  # several partitions of documents
+    for i in range(0, 300, 2):
+        mine = [r for r in rows if r.qid == i]
+        other = [j for j in range(300) if j != i]
+        order = sorted(other, key=lambda j: (-sim[i, j], j))
+        for kind, want in (("top", order), ("below", [j for j in order if sim[i, j] < sim[i, i]])):
+            got = sorted(((-r.sim, r.did, r.dlabel) for r in mine if r.kind == kind))[:3]
+            assert got == [(-sim[i, j], j, lab[j] or "") for j in want[:3]]
+        assert sum(r.cnt for r in mine if r.kind == "above") == sum(sim[i, j] > sim[i, i] for j in other)
+        assert sum(r.cnt for r in mine if r.kind == "ahead") == sum(sim[i, j] > sim[i, i] or (sim[i, j] == sim[i, i] and j < i) for j in other)
+        same = [sim[i, j] for j in other if lab[j] == lab[i]]
+        assert max(r.sim for r in mine if r.kind == "same_max") == max(same)
+    assert S.scan(q.limit(0), d, S.ScanSpec(k=1)).count() == 0 and S.scan(q, d.limit(0), S.ScanSpec(k=1)).count() == 0
+    with pytest.raises(Exception, match="one length"):
+        S.knn(q, d.withColumn("dvec", F.when(F.col("did") != 7, F.col("dvec"))), 1).collect()
