@@ -2,8 +2,9 @@
 
 Coarse cells and, for the residuals to the cell centres, one small codebook per slice of the
 dimensions are fitted on a bounded sample; every row is assigned and kept as a cell number and one byte
-per slice.  A query meets the codes of the cells nearest to it: its distance tables (query slice x
-codebook entry) give approximate similarities, the best of which are ranked again by exact cosine.
+per slice.  A query meets the codes of the cells nearest to it: products of its slices with the codebooks'
+entries give approximate similarities, the best of which are ranked again by exact cosine.  Both steps are
+block scans (``similarity.over_blocks``): neither queries nor vectors are copied per cell or candidate.
 How many cells and candidates that takes is found on an audit set against exact search.
 """
 
@@ -15,14 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embdrift.functions.vectors import l2_normalize
-from embdrift.operators.similarity import TIE_DECIMALS, ScanSpec, knn, merge_topk, scan
+from embdrift.operators.similarity import (
+    DEFAULT_BLOCK_ROWS, TIE_DECIMALS, Best, ScanSpec, _same_ids, _unit, knn, merge_topk, offer_tile, over_blocks, scan)
 from embdrift.operators.training import seeded_sample
 from embdrift.session import materialize, ship_package
 
+_TILE = 512  # queries of a block that are searched together
+
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """k-means centres (at most as many as rows); an empty cell takes the row farthest from its centre."""
@@ -65,14 +70,10 @@ class Codebook:
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
     def similarity(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of queries with the coded rows of one cell, from the queries' tables."""
-        out = np.repeat((q @ self.centres[cell]).astype(np.float32)[:, None], len(codes), axis=1)
-        at = 0
-        for m, book in enumerate(self.slices):
-            table = (q[:, at:at + book.shape[1]] @ book.T).astype(np.float32)
-            out += table[:, codes[:, m]]
-            at += book.shape[1]
-        return out
+        """Approximate products of queries with the coded rows of one cell: the sum of the tables' entries,
+        taken as one product with the rows that the codes stand for."""
+        rows = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.slices)], axis=1) + self.centres[cell]
+        return q.astype(np.float32) @ rows.astype(np.float32).T
 
 
 def fit_codebook(docs: DataFrame, cells: int, width: int = 4, entries: int = 256, sample: int = 20_000, seed: int = 7) -> Codebook | None:
@@ -101,54 +102,96 @@ def coded(docs: DataFrame, book: Codebook) -> DataFrame:
     return docs.select("did", "dvec").mapInPandas(run, "did long, cell long, code binary")
 
 
-def candidates(probes: DataFrame, codes: DataFrame, book: Codebook, n: int, block_rows: int) -> DataFrame:
-    """(qid, did, place): the ``n`` rows of the greatest approximate similarity among the probed cells.
-
-    ``probes``: qid, qvec, cell.  Query blocks and row blocks of a cell meet once; a large cell is many blocks.
-    """
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "did": [], "near": []}).astype({"qid": "int64", "did": "int64"})
-        code = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
-        did, qid, out = right["did"].to_numpy(), left["qid"].to_numpy(), []
-        some = min(n, len(did))
-        for lo in range(0, len(left), 512):
-            s = book.similarity(np.vstack(left["qvec"].iloc[lo:lo + 512].to_list()), int(key[0]), code)
-            best = np.argpartition(-s, some - 1, axis=1)[:, :some]
-            out.append(pd.DataFrame({"qid": np.repeat(qid[lo:lo + 512], some), "did": did[best].ravel(),
-                                     "near": np.take_along_axis(s, best, 1).ravel().astype(float)}))
-        return pd.concat(out)
-
-    sizes = (probes.groupBy("cell").agg(F.count("*").alias("nq")).join(codes.groupBy("cell").agg(F.count("*").alias("nd")), "cell")
-             .select("cell", F.ceil(F.col("nq") / block_rows).alias("bq"), F.ceil(F.col("nd") / (4 * block_rows)).alias("bd")))
-    zero = F.lit(0).cast("long")
-    left = (probes.join(sizes, "cell").withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("bq")))
-            .withColumn("_db", F.explode(F.sequence(zero, F.col("bd") - 1))).select("cell", "_qb", "_db", "qid", "qvec"))
-    right = (codes.join(sizes, "cell").withColumn("_db", F.pmod(F.xxhash64("did"), F.col("bd")))
-             .withColumn("_qb", F.explode(F.sequence(zero, F.col("bq") - 1))).select("cell", "_qb", "_db", "did", "code"))
-    keys = ["cell", "_qb", "_db"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "qid long, did long, near double")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "did"))
-    return found.withColumn("place", place).filter(F.col("place") <= n).select("qid", "did", "place")
-
-
-def reranked(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, did, similarity) of the candidates by exact cosine."""
-    pairs = found.join(docs.select("did", "dvec"), "did").join(queries.select("qid", "qvec"), "qid")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                s = np.einsum("pd,pd->p", np.vstack(pdf["qvec"].to_list()), np.vstack(pdf["dvec"].to_list()))
-                yield pd.DataFrame({"qid": pdf["qid"], "did": pdf["did"], "similarity": np.round(s, TIE_DECIMALS)})
-
-    exact = pairs.select("qid", "did", "qvec", "dvec").mapInPandas(run, "qid long, did long, similarity double")
+class _Candidates:
+    """The ``n`` nearest codes of each query of a block, among its ``probed`` nearest cells."""
+
+    def __init__(self, book: Codebook, probed: int, n: int, q: dict):
+        self.book, self.qid, self.Q = book, np.asarray(q["qid"], np.int64), q["qvec"]
+        near = np.round(_unit(self.Q) @ _unit(book.centres).T, TIE_DECIMALS)
+        order = np.argsort(-near, axis=1, kind="stable")[:, :probed]
+        self.asks = np.zeros(near.shape, bool)
+        np.put_along_axis(self.asks, order, True, axis=1)
+        self.best = [Best(min(_TILE, len(self.qid) - lo), n) for lo in range(0, len(self.qid), _TILE)]
+
+    def add(self, d: dict) -> None:
+        did, cells = np.asarray(d["did"], np.int64), np.asarray(d["cell"], np.int64)
+        code = np.frombuffer(b"".join(d["code"]), np.uint8).reshape(len(did), -1)
+        order = np.argsort(cells, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            cell, tag = int(cells[some[0]]), np.zeros(len(some), np.int64)
+            for nth, best in enumerate(self.best):
+                rows = np.flatnonzero(self.asks[nth * _TILE:(nth + 1) * _TILE, cell])
+                for at in range(0, len(some) if len(rows) else 0, 4 * _TILE):
+                    part = some[at:at + 4 * _TILE]
+                    s = self.book.similarity(self.Q[rows + nth * _TILE], cell, code[part])
+                    offer_tile(best, rows, s.astype(np.float64), did[part], tag[at:at + 4 * _TILE], None)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for nth, best in enumerate(self.best):
+            row, s, did, _ = best.settle()
+            ends = np.searchsorted(row, np.arange(len(best.kth) + 1)).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array(-s), pa.array(did)], ["far", "did"])
+            qid = self.qid[nth * _TILE:nth * _TILE + len(best.kth)]
+            yield pa.record_batch([pa.array(qid), pa.ListArray.from_arrays(pa.array(ends), found)], ["qid", "found"])
+
+
+def candidates(queries: DataFrame, codes: DataFrame, book: Codebook, probed: int, n: int, block_rows: int,
+               sizes: tuple[int, int]) -> DataFrame:
+    """(qid, dids): the ``n`` rows of the greatest approximate similarity among the ``probed`` cells nearest to
+    the query, best first.  Blocks of queries meet blocks of codes, a byte per slice of a row."""
+    most = max(1, min(block_rows, (1 << 21) // n))
+    found = over_blocks(queries.select("qid", "qvec"), codes, lambda q: _Candidates(book, probed, n, q),
+                        "qid long, found array<struct<far double, did long>>", sizes, 8 * book.centres.shape[1], most,
+                        doc_width=32 + len(book.slices))
+    # A query has one list per partition of codes.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, n)
+    return found.groupBy("qid").agg(best.alias("found")).select("qid", F.col("found.did").alias("dids"))
+
+
+class _Exact:
+    """The ``k`` best by exact cosine of the rows that each query of a block names."""
+
+    def __init__(self, k: int, q: dict):
+        self.qid, self.Q, self.best = np.asarray(q["qid"], np.int64), q["qvec"], Best(len(q["qid"]), k)
+        row = np.repeat(np.arange(len(self.qid)), [len(x) for x in q["dids"]])
+        did = np.fromiter((y for x in q["dids"] for y in x), np.int64, len(row))
+        order = np.argsort(did, kind="stable")
+        self.row, self.did = row[order], did[order]
+
+    def add(self, d: dict) -> None:
+        did = np.asarray(d["did"], np.int64)
+        for at, one in zip(*_same_ids_sorted(self.did, did)):
+            s = np.einsum("pd,pd->p", self.Q[self.row[at]], d["dvec"][one])
+            self.best.offer(self.row[at], np.round(s, TIE_DECIMALS), did[one], np.zeros(len(at), np.int64))
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        row, s, did, _ = self.best.settle()
+        yield pd.DataFrame({"qid": self.qid[row], "did": did, "similarity": s})
+
+
+def _same_ids_sorted(named: np.ndarray, did: np.ndarray) -> tuple[list, list]:
+    """Equal pairs (place in ``named``, place in ``did``) in steps of bounded length."""
+    left, right = [], []
+    for lo in range(0, len(named), 1 << 16):
+        r, c = _same_ids(named[lo:lo + (1 << 16)], did)
+        if len(r):
+            left.append(r + lo)
+            right.append(c)
+    return left, right
+
+
+def reranked(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int, block_rows: int, sizes: tuple[int, int], width: int) -> DataFrame:
+    """(qid, rank, did, similarity) of the candidates by exact cosine: the blocks of queries, with the ids each
+    query names, meet the blocks of vectors, so no vector is copied per candidate."""
+    asks = queries.select("qid", "qvec").join(found, "qid")
+    exact = over_blocks(asks, docs.select("did", "dvec"), lambda q: _Exact(k, q), "qid long, did long, similarity double",
+                        sizes, width, min(block_rows, 4096))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "did"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "did", "similarity")
 
 
 def pq_search(queries: DataFrame, docs: DataFrame, k: int = 10, cells: int | None = None, recall: float = 0.9,
-              audit: int = 256, width: int = 4, sample: int = 20_000, seed: int = 7, block_rows: int = 2048) -> DataFrame:
+              audit: int = 256, width: int = 4, sample: int = 20_000, seed: int = 7, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """(qid, rank, did, similarity), the approximate top ``k`` of every query.
 
     ``queries``: qid, qvec; ``docs``: did, dvec, all of one length.  The number of cells to probe and of
@@ -170,8 +213,9 @@ def pq_search(queries: DataFrame, docs: DataFrame, k: int = 10, cells: int | Non
     if setting is None:
         return knn(queries, docs, k, block_rows=block_rows).select("qid", "rank", "did", "similarity")
     probed, some = setting
-    probes = _probes(queries, centres, probed, block_rows)
-    return reranked(candidates(probes, codes, book, some, block_rows), queries, docs, k)
+    sizes = queries.count(), n
+    found = candidates(queries, codes, book, probed, some, block_rows, sizes)
+    return reranked(found, queries, docs, k, block_rows, sizes, 8 * book.centres.shape[1])
 
 
 def _probes(queries: DataFrame, centres: DataFrame, n: int, block_rows: int) -> DataFrame:
@@ -187,7 +231,8 @@ def _settings(audited: DataFrame, docs: DataFrame, codes: DataFrame, centres: Da
     every = len(book.centres)
     probes = materialize(_probes(audited, centres, every, block_rows))
     most = 32 * k
-    place = candidates(probes.select("qid", "qvec", "cell"), codes, book, most, block_rows)
+    place = (candidates(audited, codes, book, every, most, block_rows, (audited.count(), codes.count()))
+             .select("qid", F.posexplode("dids").alias("place", "did")).withColumn("place", F.col("place") + 1))
     true = knn(audited, docs, k, block_rows=block_rows).select("qid", "did").join(codes.select("did", "cell"), "did")
     rows = (true.join(probes.select("qid", "cell", "nth"), ["qid", "cell"]).join(place, ["qid", "did"], "left")
             .groupBy("qid").agg(F.collect_list(F.struct("nth", F.coalesce("place", F.lit(most + 1)).alias("place"))).alias("found")).collect())

@@ -70,3 +70,14 @@ def test_scan_copies_no_vectors_and_equals_brute_force(spark, monkeypatch):
     assert S.scan(q.limit(0), d, S.ScanSpec(k=1)).count() == 0 and S.scan(q, d.limit(0), S.ScanSpec(k=1)).count() == 0
     with pytest.raises(Exception, match="one length"):
         S.knn(q, d.withColumn("dvec", F.when(F.col("did") != 7, F.col("dvec"))), 1).collect()
+
+
+def test_candidates_and_ranking_copy_no_vectors(spark):
+    from embdrift.operators import quantised as PQ
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "did long, dvec array<double>")
+    got = PQ.pq_search(d.selectExpr("did as qid", "dvec as qvec"), d, 5, cells=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "Generate" not in plan
+    assert got.count() == 2000
