@@ -57,6 +57,7 @@ class Sides:
         kept = [c for c in docs.columns if c in ("wid", "side", "doc_id", "text")]
         self.docs = non_blank(dealt(docs.select(*kept)))
         self.mode = mode
+        self.local = mode == "prev"  # many groups, none large: a group's texts may meet in one task
         self.keys = ["wid", "side"] if mode == "split" else ["wid"]
         self.valid = None
         if mode == "prev":
@@ -186,7 +187,10 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     stop = tuple(stop if stop is not None else stopwords.english())
     keys = ["wid", "side"] if by_side else ["wid"]
     own = sides.keys
-    terms = _topic_terms(sides.docs.select(*own, "doc_id", "text"), stop, ngrams)
+    docs = sides.docs.select(*own, "doc_id", "text")
+    # Windows: the texts are shuffled, once, and their tokens (several times as large) then counted where they are.
+    near = sides.local and by_side and sides.mode == "split"
+    terms = _topic_terms(docs.repartition("wid") if near else docs, stop, ngrams)
     gen, ok = TX.explode_tokens(F.col("_terms"), "term")
     ex = terms.select(*own, "doc_id", gen).filter(ok)
     cf_own = ex.groupBy(*own, "term").agg(F.count("*").alias("cf"))
@@ -196,7 +200,13 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
         cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
     feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).select(*keys, "term")
-    if by_side and sides.mode == "split":
+    if near:
+        lists = feats.groupBy(*keys).agg(F.collect_list("term").alias("_feats"))  # at most ``max_features`` terms
+        hits = F.filter("_terms", lambda t: F.array_contains("_feats", t))
+        gen, ok = TX.explode_tokens(hits, "term")
+        dt = (terms.join(lists, keys).select(*keys, "doc_id", gen).filter(ok)
+              .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
+    elif by_side and sides.mode == "split":
         dt = ex.join(feats, [*keys, "term"]).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
     else:
         # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
@@ -225,7 +235,7 @@ def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int =
     the <= ``top`` result rows are copied to the comparisons that use it.
     """
     own = Sides.__new__(Sides)
-    own.docs, own.mode, own.keys, own.valid = sides.docs, "split", sides.keys, None
+    own.docs, own.mode, own.keys, own.valid, own.local = sides.docs, "split", sides.keys, None, sides.local
     if sides.mode == "prev":
         own.docs = sides.docs.withColumn("side", F.lit(WINDOW))
         own.keys = ["wid", "side"]
@@ -389,7 +399,7 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
 def _restrict(s: Sides, wids: DataFrame) -> Sides:
     """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising)."""
     r = Sides.__new__(Sides)
-    r.mode, r.keys, r.valid = s.mode, s.keys, s.valid
+    r.mode, r.keys, r.valid, r.local = s.mode, s.keys, s.valid, s.local
     if s.mode == "split":
         r.docs = s.docs.join(wids, "wid", "left_semi")
     else:

@@ -81,3 +81,32 @@ def test_candidates_and_ranking_copy_no_vectors(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan and "Generate" not in plan
     assert got.count() == 2000
+
+
+def window_texts(spark, windows=6, docs=12):
+    rng = random.Random(3)
+    rows = [(w, w * docs + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{rng.randrange(40)}"]) for _ in range(30)))
+            for w in range(windows) for i in range(docs)]
+    return spark.createDataFrame(rows, "wid long, doc_id long, text string")
+
+
+def test_window_topics_shuffle_texts_not_tokens(spark):
+    from embdrift.operators import linguistic as L
+    rows = window_texts(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the features are many
+    try:
+        near = L.keyword_topics(L.Sides(rows, "prev"))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in near.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # Below every cut of the tokens the texts come by window; nothing above is dealt by (window, term) before it is counted.
+    lines = plan.splitlines()
+    for nth, line in enumerate(lines):
+        if "hashpartitioning" in line and "term#" in line.split("hashpartitioning")[1].split(")")[0]:
+            assert "Generate" not in lines[nth + 1] + lines[nth + 2] + lines[nth + 3]
+    assert "REPARTITION_BY_COL" in plan
+    split = rows.withColumn("side", F.lit("window")).unionByName(rows.withColumn("side", F.lit("baseline")).withColumn("wid", F.col("wid") + 1))
+    far = L.keyword_topics(L.Sides(split, "split"))
+    assert got == sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in far.collect())
