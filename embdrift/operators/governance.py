@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embdrift import config
+from embdrift.session import materialize
 from embdrift.operators.policy import asof_last
 
 
@@ -158,14 +159,16 @@ def activation_events(requests: DataFrame, events: DataFrame) -> DataFrame:
                             st.select("registry", "version", F.col("e.ts").alias("ets"), F.col("e.status").alias("status")),
                             "_rid", "ts", "ets", "status", by=["registry", "version"], out="status_then")
     valid = per_version.filter(F.col("status_then").isin(*VALID_FOR_ACTIVATION)).select("_rid", "registry", "version", "ts")
+    valid = materialize(valid)  # asks and answers below
     acts = events.filter(F.col("status") == "ACTIVE").select("registry", "version", F.col("ts").alias("ats")).unionByName(
         valid.select("registry", "version", F.col("ts").alias("ats")))
     prev = asof_last(valid, acts.withColumnRenamed("version", "prev_version"), "_rid", "ts", "ats", "prev_version",
                      by=["registry"], inclusive=False, out="previous_active")
-    on = prev.select("registry", "version", F.lit("ACTIVE").alias("status"), "ts", F.lit(2).alias("seq"))
-    off = prev.filter(F.col("previous_active").isNotNull() & (F.col("previous_active") != F.col("version"))).select(
-        "registry", F.col("previous_active").alias("version"), F.lit("PASSED").alias("status"), "ts", F.lit(2).alias("seq"))
-    return on.unionByName(off)
+    # Both events of a request from one pass over its row.
+    off = F.when(F.col("previous_active") != F.col("version"), F.struct(F.col("previous_active").alias("version"), F.lit("PASSED").alias("status")))
+    both = F.array(F.struct("version", F.lit("ACTIVE").alias("status")), off)
+    return (prev.select("registry", "ts", F.explode(both).alias("e")).filter(F.col("e").isNotNull())
+                .select("registry", "e.version", "e.status", "ts", F.lit(2).alias("seq")))
 
 
 def rollback_events(decisions: DataFrame) -> DataFrame:

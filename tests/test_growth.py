@@ -110,3 +110,15 @@ def test_window_topics_shuffle_texts_not_tokens(spark):
     split = rows.withColumn("side", F.lit("window")).unionByName(rows.withColumn("side", F.lit("baseline")).withColumn("wid", F.col("wid") + 1))
     far = L.keyword_topics(L.Sides(split, "split"))
     assert got == sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in far.collect())
+
+
+def test_activation_requests_are_judged_once(spark):
+    from embdrift.operators import governance as G
+    ev = spark.createDataFrame([(1, "m1", "ACTIVE", T0, 1), (1, "m2", "PASSED", T0, 1), (1, "m3", "REJECTED", T0, 1)],
+                               "registry long, version string, status string, ts timestamp, seq int")
+    later = T0 + timedelta(days=1)
+    req = spark.createDataFrame([(1, "m2", later), (1, "m3", later)], "registry long, version string, ts timestamp")
+    out = G.activation_events(req, ev)
+    plan = plan_of(out)
+    assert "from_json" not in plan and plan.count("to_json") == 0  # requests come written, not worked out again
+    assert sorted((r.version, r.status, r.seq) for r in out.collect()) == [("m1", "PASSED", 2), ("m2", "ACTIVE", 2)]
