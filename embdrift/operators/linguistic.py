@@ -22,6 +22,7 @@ from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
 from embdrift.operators.extractors import REGEX, Extractor, entities
+from embdrift.operators.packed import centroid_distances, packed_index
 from embdrift.operators.ranking import global_rank
 from embdrift.session import materialize
 from embdrift.sources.tables import dealt
@@ -276,7 +277,14 @@ def topic_wasserstein(topics: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ A10
 def document_centroid_distance(sides: Sides, max_features: int = CENTROID_FEATURES,
                                stop: Sequence[str] | None = None) -> DataFrame:
-    """A10: joint unigram TF-IDF per window, mean row per side, 1 − cosine, clamped."""
+    """A10: joint unigram TF-IDF per window, mean row per side, 1 − cosine, clamped.
+
+    Tumbling windows: the texts are cut once, each window's postings are packed and copied to its two
+    comparisons, which are scored one at a time (``packed``).
+    """
+    if sides.local:
+        terms = _topic_terms(sides.docs.select("wid", "doc_id", "text"), stop if stop is not None else stopwords.english(), False)
+        return _centroid_distance(centroid_distances(sides.expand(packed_index(terms, F.col("_terms"))), max_features))
     rows = tfidf_rows(sides, False, max_features, False, stop)
     nd = sides.doc_counts()
     n_side = nd.groupBy("wid").agg(
@@ -286,12 +294,14 @@ def document_centroid_distance(sides: Sides, max_features: int = CENTROID_FEATUR
     m = r.groupBy("wid", "term").agg(
         F.sum(F.when(F.col("side") == BASELINE, F.col("weight")).otherwise(0.0)).alias("sb"),
         F.sum(F.when(F.col("side") == WINDOW, F.col("weight")).otherwise(0.0)).alias("sw"))
-    m = m.join(n_side, "wid").select("wid", (F.col("sb") / F.col("nb")).alias("mb"),
-                                     (F.col("sw") / F.col("nw")).alias("mw"))
+    m = m.join(n_side, "wid").select("wid", F.try_divide("sb", "nb").alias("mb"), F.try_divide("sw", "nw").alias("mw"))
     agg = m.groupBy("wid").agg(F.sum(F.col("mb") * F.col("mw")).alias("dot"),
                                F.sqrt(F.sum(F.col("mb") * F.col("mb"))).alias("normb"),
                                F.sqrt(F.sum(F.col("mw") * F.col("mw"))).alias("normw"))
-    out = n_side.join(agg, "wid", "left")
+    return _centroid_distance(n_side.join(agg, "wid", "left"))
+
+
+def _centroid_distance(out: DataFrame) -> DataFrame:
     sim = F.when((F.col("normb") > 0) & (F.col("normw") > 0),
                  F.col("dot") / (F.col("normb") * F.col("normw"))).otherwise(0.0)
     empty_side = (F.col("nb") == 0) | (F.col("nw") == 0)

@@ -122,3 +122,24 @@ def test_activation_requests_are_judged_once(spark):
     plan = plan_of(out)
     assert "from_json" not in plan and plan.count("to_json") == 0  # requests come written, not worked out again
     assert sorted((r.version, r.status, r.seq) for r in out.collect()) == [("m1", "PASSED", 2), ("m2", "ACTIVE", 2)]
+
+
+def test_window_centroids_deal_no_tokens(spark):
+    from embdrift.operators import linguistic as L
+    rows = window_texts(spark)
+    odd = [(2, 24, "alpha late"), (2, None, "beta gamma"), (3, 900, "a ?"), (4, 901, " "), (None, 902, "alpha beta")]
+    rows = spark.createDataFrame([tuple(r) for r in rows.collect()] + odd, rows.schema)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # windows lie across batches
+    try:
+        near = L.document_centroid_distance(L.Sides(rows, "prev"), max_features=20)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.wid, round(r.centroid_distance, 9)) for r in near.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert plan.count("regexp_extract_all") == 1  # the texts are cut once
+    assert "term#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning")[1:])
+    known = rows.filter("wid IS NOT NULL")
+    split = known.withColumn("side", F.lit("window")).unionByName(known.withColumn("side", F.lit("baseline")).withColumn("wid", F.col("wid") + 1))
+    far = L.document_centroid_distance(L.Sides(split, "split"), max_features=20)
+    assert got == sorted((r.wid, round(r.centroid_distance, 9)) for r in far.collect()) and len(got) == 7
