@@ -182,7 +182,8 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     Two passes over the tokens: (1) corpus frequency per (group, term),
     map-side combined, picks the features; (2) per-document counts only for
     tokens of those features (a join with the small feature table), so the
-    full (document, term) table is never shuffled.
+    full (document, term) table is never shuffled.  Large groups
+    (``split``) count single words first and bigrams of frequent words only.
     Returns (group..., doc_id, term, weight) for non-zero weights.
     """
     stop = tuple(stop if stop is not None else stopwords.english())
@@ -191,11 +192,15 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     docs = sides.docs.select(*own, "doc_id", "text")
     # Windows: the texts are shuffled, once, and their tokens (several times as large) then counted where they are.
     near = sides.local and by_side and sides.mode == "split"
-    terms = _topic_terms(docs.repartition("wid") if near else docs, stop, ngrams)
+    far = by_side and sides.mode == "split" and not near
+    terms = _topic_terms(docs.repartition("wid") if near else docs, stop, ngrams and not far)
     gen, ok = TX.explode_tokens(F.col("_terms"), "term")
     ex = terms.select(*own, "doc_id", gen).filter(ok)
     cf_own = ex.groupBy(*own, "term").agg(F.count("*").alias("cf"))
-    if by_side and sides.mode == "split":
+    if far:
+        tf = _frequent_terms(terms, cf_own, keys, max_features, ngrams)
+        cf = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("cf"))
+    elif near:
         cf = cf_own
     else:
         cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
@@ -207,8 +212,8 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
         gen, ok = TX.explode_tokens(hits, "term")
         dt = (terms.join(lists, keys).select(*keys, "doc_id", gen).filter(ok)
               .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
-    elif by_side and sides.mode == "split":
-        dt = ex.join(feats, [*keys, "term"]).groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf"))
+    elif far:
+        dt = tf.join(F.broadcast(feats), [*keys, "term"])  # at most ``max_features`` terms a group
     else:
         # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
         need = feats.select("wid", "term").unionByName(
@@ -227,6 +232,29 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     return x.select(*keys, "doc_id", "term", (F.col("v") / nrm).alias("weight"))
 
 
+def _frequent_terms(terms: DataFrame, words: DataFrame, keys: list[str], max_features: int, ngrams: bool) -> DataFrame:
+    """(keys..., doc_id, term, tf) of every term that can be among the ``max_features`` most frequent of its group;
+    ``words`` are the groups' single words with their frequency ``cf``.
+
+    A bigram is no more frequent than either of its words, so only words as frequent as the word in place
+    ``max_features`` (ties included) and bigrams of two such words come into question: the other bigrams, most
+    of the corpus' different terms, are never made or counted.  Written once, as features and weights read it.
+    """
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("cf")))
+    lists = (words.withColumn("_r", place).filter(F.col("_r") <= max_features)
+             .groupBy(*keys).agg(F.collect_list("term").alias("_freq")))
+    # A row a group, its words few: the texts stay where they are.
+    marked = terms.join(F.broadcast(lists), keys).withColumn(
+        "_mark", F.transform("_terms", lambda t: F.when(F.array_contains("_freq", t), t)))
+    hits = F.col("_mark")
+    if ngrams:
+        after = F.slice("_mark", F.lit(2), F.size("_mark"))
+        hits = F.concat(hits, F.zip_with("_mark", after, lambda a, b: F.concat(a, F.lit(" "), b)))
+    gen, ok = TX.explode_tokens(F.filter(hits, lambda t: t.isNotNull()), "term")
+    return materialize(marked.select(*keys, "doc_id", gen).filter(ok)
+                       .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
+
+
 def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int = TOPICS,
                    stop: Sequence[str] | None = None) -> DataFrame:
     """(wid, side, label, share): best ``top`` TF-IDF column sums, as shares.

@@ -143,3 +143,29 @@ def test_window_centroids_deal_no_tokens(spark):
     split = known.withColumn("side", F.lit("window")).unionByName(known.withColumn("side", F.lit("baseline")).withColumn("wid", F.col("wid") + 1))
     far = L.document_centroid_distance(L.Sides(split, "split"), max_features=20)
     assert got == sorted((r.wid, round(r.centroid_distance, 9)) for r in far.collect()) and len(got) == 7
+
+
+def test_large_group_counts_frequent_bigrams_only(spark):
+    from collections import Counter
+    from embdrift.operators import linguistic as L
+    rng = random.Random(11)
+    rows = [(w, side, i, " ".join(rng.choice(["alpha beta", "the", "gamma", "beta delta", f"w{rng.randrange(9)}", "éa ok"]) for _ in range(rng.randrange(0, 9))) or "?")
+            for i, (w, side) in enumerate((w, side) for w in (0, 1) for side in ("baseline", "window") for _ in range(25))]
+    rows += [(2, "window", 900, "one two one two"), (2, "baseline", 901, "solo")]  # ties, and a side of one word
+    docs = spark.createDataFrame(rows, "wid long, side string, doc_id long, text string")
+    for features, ngrams in ((3, True), (12, True), (4, False)):
+        weights = L.tfidf_rows(L.Sides(docs, "split"), True, features, ngrams)
+        plan = weights._jdf.queryExecution().executedPlan().toString()
+        assert "NGram" not in plan and "regexp_extract_all" not in plan  # texts are not cut again where the weights are
+        got = {(r.wid, r.side, r.doc_id, r.term): round(r.weight, 9) for r in weights.collect()}
+        want = {}
+        for key in {r[:2] for r in rows}:
+            cut = {r[2]: [t for t in r[3].replace("?", "").split() if t != "the"] for r in rows if r[:2] == key}
+            tf = {i: Counter(t + ([f"{a} {b}" for a, b in zip(t, t[1:])] if ngrams else [])) for i, t in cut.items()}
+            cf = sum(tf.values(), Counter())
+            best = sorted(cf, key=lambda t: (-cf[t], t))[:features]
+            idf = {t: np.log((1 + len(cut)) / (1 + sum(t in c for c in tf.values()))) + 1 for t in best}
+            for i, c in tf.items():
+                norm = np.sqrt(sum((c[t] * idf[t]) ** 2 for t in best))
+                want.update({(*key, i, t): round(c[t] * idf[t] / norm, 9) for t in best if c[t]})
+        assert got == want
