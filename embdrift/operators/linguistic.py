@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import NGram, StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embdrift import config
@@ -22,7 +22,7 @@ from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
 from embdrift.operators.extractors import REGEX, Extractor, entities
-from embdrift.operators.packed import centroid_distances, packed_index
+from embdrift.operators.packed import aligned_counts, centroid_distances, packed_counts, packed_index
 from embdrift.operators.ranking import global_rank
 from embdrift.session import materialize
 from embdrift.sources.tables import dealt
@@ -92,29 +92,45 @@ class Sides:
 
 
 # ------------------------------------------------------------------ A5
-def term_counts(sides: Sides) -> DataFrame:
-    """A5 vocabulary: (wid, side, term, n) from P17 tokens."""
-    gen, ok = TX.explode_tokens(TX.tokens("text"), "term")
+def _token_counts(sides: Sides, tokens: Column, name: str, packed: bool) -> DataFrame:
+    """(wid, side, ``name``, n), or packed rows (wid, side, terms, n) where ``packed`` and the windows are tumbling.
+
+    Tumbling windows are counted in their Arrow batch and merged one window at a time; the counts of a
+    large group are map-side combined and dealt by term.
+    """
+    if sides.local:
+        own = packed_counts(sides.docs, tokens)
+        if packed:
+            return sides.expand(own)
+        merged = aligned_counts(own.withColumn("side", F.lit(WINDOW)), name)
+        return sides.expand(merged.select("wid", name, F.col("w").alias("n"))).select("wid", "side", name, "n")
+    gen, ok = TX.explode_tokens(tokens, name)
     t = sides.docs.select(*sides.keys, gen).filter(ok)
-    return sides.expand(t.groupBy(*sides.keys, "term").agg(F.count("*").alias("n")))
+    return sides.expand(t.groupBy(*sides.keys, name).agg(F.count("*").alias("n")))
 
 
-def entity_counts(sides: Sides, extractor: Extractor | None = None) -> DataFrame:
-    """A5 entities: (wid, side, entity, n) from P18 proper-noun runs; with an ``extractor`` (U2) from
-    its keys, and (.., backend, n) then: a row per backend that found the entity."""
+def term_counts(sides: Sides, packed: bool = False) -> DataFrame:
+    """A5 vocabulary: (wid, side, term, n) from P17 tokens; ``packed`` for ``align_counts``."""
+    return _token_counts(sides, TX.tokens("text"), "term", packed)
+
+
+def entity_counts(sides: Sides, extractor: Extractor | None = None, packed: bool = False) -> DataFrame:
+    """A5 entities: (wid, side, entity, n) from P18 proper-noun runs, ``packed`` for ``align_counts``; with
+    an ``extractor`` (U2) from its keys, and (.., backend, n) then: a row per backend that found the entity."""
     if extractor is not None:
         found = entities(sides.docs, extractor)
         gen, ok = TX.explode_tokens(F.col("entities"), "entity")
         t = found.select(*sides.keys, "backend", gen).filter(ok)
         return sides.expand(t.groupBy(*sides.keys, "entity", "backend").agg(F.count("*").alias("n")))
-    gen, ok = TX.explode_tokens(TX.proper_noun_runs("text"), "entity")
-    t = sides.docs.select(*sides.keys, gen).filter(ok)
-    return sides.expand(t.groupBy(*sides.keys, "entity").agg(F.count("*").alias("n")))
+    return _token_counts(sides, TX.proper_noun_runs("text"), "entity", packed)
 
 
 # ------------------------------------------------------------------ J9
 def align_counts(counts: DataFrame, key: str) -> DataFrame:
-    """Union of keys per window with 0 for a missing side (one groupBy, no full outer join)."""
+    """Union of keys per window with 0 for a missing side (one groupBy, no full outer join);
+    packed counts are merged a comparison at a time."""
+    if "terms" in counts.columns:
+        return aligned_counts(counts, key)
     return counts.groupBy("wid", key).agg(
         F.sum(F.when(F.col("side") == BASELINE, F.col("n")).otherwise(0)).alias("b"),
         F.sum(F.when(F.col("side") == WINDOW, F.col("n")).otherwise(0)).alias("w"))
@@ -388,8 +404,8 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
     """
     s = sides
     # Each of these feeds two or three outputs: written once to the checkpoint folder.
-    terms = materialize(align_counts(term_counts(s), "term"))
-    counted = materialize(entity_counts(s, extractor)) if extractor is not None else entity_counts(s)
+    terms = materialize(align_counts(term_counts(s, packed=True), "term"))
+    counted = materialize(entity_counts(s, extractor)) if extractor is not None else entity_counts(s, packed=True)
     ents = materialize(align_counts(counted, "entity"))
     topics = materialize(keyword_topics(s) if topic_model is None else topic_model(s))
 

@@ -135,3 +135,37 @@ def centroid_distances(index: DataFrame, max_features: int) -> DataFrame:
                          **{k: pa.array([x], pa.float64()) for k, x in (("dot", dot), ("normb", normb), ("normw", normw))}})
 
     return side.groupBy("wid").applyInArrow(distance, "wid long, nb long, nw long, dot double, normb double, normw double")
+
+
+def packed_counts(docs: DataFrame, terms: Column) -> DataFrame:
+    """``docs`` (wid, ..) as rows (wid, terms, n), one per slice and window: its terms and how often each occurs."""
+    ship_package(docs.sparkSession)
+
+    def count(batches):
+        for _, own, wids, lens, codes, terms in _tokens(batches, "_terms"):
+            n_terms = max(1, len(terms))
+            key, n = np.unique(np.repeat(own, lens) * n_terms + codes, return_counts=True)
+            starts = np.searchsorted(key // n_terms, np.arange(len(wids) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wids, pa.int64()), _lists(starts, terms.take(pa.array(key % n_terms))), _lists(starts, _ints(n))],
+                ["wid", "terms", "n"])
+
+    known = docs.filter(F.col("wid").isNotNull()).select(F.col("wid").cast("long"), terms.alias("_terms"))
+    return known.mapInArrow(count, "wid long, terms array<string>, n array<int>")
+
+
+def aligned_counts(counts: DataFrame, key: str) -> DataFrame:
+    """``packed_counts`` rows with their ``side`` -> (wid, key, b, w): each term's count in the baseline and in the window."""
+    ship_package(counts.sparkSession)
+
+    def align(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).combine_chunks() for c in table.column_names}
+        base = np.repeat(t["_base"].to_numpy(zero_copy_only=False), _lengths(t["terms"]))
+        n = _flat(t["n"]).to_numpy(zero_copy_only=False)
+        tokens = _flat(t["terms"]).dictionary_encode()
+        code, size = tokens.indices.to_numpy(zero_copy_only=False), len(tokens.dictionary)
+        both = {c: pa.array(np.bincount(code[m], weights=n[m], minlength=size).astype(np.int64)) for c, m in (("b", base), ("w", ~base))}
+        return pa.table({"wid": pa.repeat(pa.scalar(t["wid"][0].as_py(), pa.int64()), size), key: tokens.dictionary, **both})
+
+    side = counts.select("wid", (F.col("side") == "baseline").alias("_base"), "terms", "n")
+    return side.groupBy("wid").applyInArrow(align, f"wid long, {key} string, b long, w long")

@@ -108,7 +108,7 @@ def lda_topic_shares(t):
 
 @register("aligned_terms", operators=("J9", "X2"), sql=_q("SELECT wid, term, b, w FROM al", _TERMS))
 def aligned_terms(t):
-    return L.align_counts(L.term_counts(_sides(t)), "term")
+    return L.align_counts(L.term_counts(_sides(t), packed=True), "term")
 
 
 @register("vocab_chi2", operators=("A6",), sql=_q("""
@@ -121,7 +121,7 @@ FROM (SELECT wid, sum(b) AS B, sum(w) AS W, count(*) AS V,
                    sum(b + w) OVER (PARTITION BY wid) AS tt FROM al)
       GROUP BY wid)""", _TERMS), bench=True)
 def vocab_chi2(t):
-    r = L.vocab_chi2(L.align_counts(L.term_counts(_sides(t)), "term"), with_pvalue=False)
+    r = L.vocab_chi2(L.align_counts(L.term_counts(_sides(t), packed=True), "term"), with_pvalue=False)
     return r.select("wid", F.round("statistic", 4).alias("statistic"), "dof", "vocabulary")
 
 
@@ -134,13 +134,13 @@ FROM (SELECT wid, sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) AS
       GROUP BY wid)""", _TERMS))
 def term_js_distance(t):
     """A7 over vocabulary terms, whose tokens SQL cuts alike."""
-    r = L.js_distance(L.align_counts(L.term_counts(_sides(t)), "term"))
+    r = L.js_distance(L.align_counts(L.term_counts(_sides(t), packed=True), "term"))
     return r.select("wid", F.round("entity_distance", 6).alias("entity_distance"))
 
 
 @register("entity_js_distance", operators=("A7", "P12", "P13"), sql=None)
 def entity_js_distance(t):
-    r = L.js_distance(L.align_counts(L.entity_counts(_sides(t)), "entity"))
+    r = L.js_distance(L.align_counts(L.entity_counts(_sides(t), packed=True), "entity"))
     return r.select("wid", F.round("entity_distance", 6).alias("entity_distance"))
 
 
@@ -198,7 +198,7 @@ SELECT wid, rank, term, baseline_count, window_count, round(score, 4) AS score F
   WHERE window_count >= 2 AND score > 1.5)
 WHERE rank <= 10""", _TERMS))
 def emerging_terms(t):
-    return L.emerging_terms(L.align_counts(L.term_counts(_sides(t)), "term"))
+    return L.emerging_terms(L.align_counts(L.term_counts(_sides(t), packed=True), "term"))
 
 
 @register("new_terms", operators=("T6", "X3", "P14"), sql=_q("""
@@ -207,7 +207,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY w DESC, term ASC) A
 WHERE rank <= 10""", _TERMS))
 def new_terms(t):
     """T6 / X3 over vocabulary terms as ``TERM:`` keys."""
-    al = L.align_counts(L.term_counts(_sides(t)), "term").withColumn("entity", F.concat(F.lit("TERM:"), "term"))
+    al = L.align_counts(L.term_counts(_sides(t), packed=True), "term").withColumn("entity", F.concat(F.lit("TERM:"), "term"))
     return L.new_entities(al)
 
 
@@ -225,7 +225,7 @@ def rank_split(t):
 
 @register("new_entities", operators=("T6", "X3", "P14"), sql=None)
 def new_entities(t):
-    return L.new_entities(L.align_counts(L.entity_counts(_sides(t)), "entity"))
+    return L.new_entities(L.align_counts(L.entity_counts(_sides(t), packed=True), "entity"))
 
 
 @register("emerging_topics", operators=("T7", "P14"), sql=_q("""

@@ -169,3 +169,37 @@ def test_large_group_counts_frequent_bigrams_only(spark):
                 norm = np.sqrt(sum((c[t] * idf[t]) ** 2 for t in best))
                 want.update({(*key, i, t): round(c[t] * idf[t] / norm, 9) for t in best if c[t]})
         assert got == want
+
+
+def test_window_counts_are_packed(spark):
+    from collections import Counter
+    from embdrift.functions import text as TX
+    from embdrift.operators import linguistic as L
+    odd = [(2, 24, "alpha late"), (2, None, "Beta Gamma"), (3, 900, "a ?"), (4, 901, " "), (None, 902, "alpha beta"), (9, 903, "x")]
+    rows = [tuple(r) for r in window_texts(spark).collect()] + odd
+    docs = spark.createDataFrame(rows, "wid long, doc_id long, text string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # windows lie across batches
+    try:
+        for counts, tokens, key in ((L.term_counts, TX.tokens, "term"), (L.entity_counts, TX.proper_noun_runs, "entity")):
+            cut = [(r.wid, r.t) for r in docs.select("wid", tokens("text").alias("t")).collect() if r.wid is not None]
+            own = Counter((w, t) for w, ts in cut for t in ts)
+            long = counts(L.Sides(docs, "prev"))
+            assert {(r.wid, r.side, r[key]): r.n for r in long.collect()} == (
+                {(w, "window", t): n for (w, t), n in own.items()} | {(w + 1, "baseline", t): n for (w, t), n in own.items()})
+            aligned = L.align_counts(counts(L.Sides(docs, "prev"), packed=True), key)
+            for frame in (long, aligned):  # no table of all the windows' terms in a task
+                assert "HashAggregate(keys=[wid" not in "".join(
+                    x for x in frame._jdf.queryExecution().executedPlan().toString().splitlines() if f"{key}#" in x)
+            assert {(r.wid, r[key]): (r.b, r.w) for r in aligned.collect()} == {
+                (w, t): (own[w - 1, t], own[w, t]) for w, t in set(own) | {(w + 1, t) for w, t in own}}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_slices_hold_whole_rows(spark):
+    import pyarrow as pa
+    from embdrift.operators.packed import slices
+    batch = pa.RecordBatch.from_pydict({"x": list(range(6))})
+    parts = [(p.column("x").to_pylist(), n.tolist()) for p, n in slices(batch, np.array([3, 0, 9, 1, 2, 2]), 4)]
+    assert parts == [([0, 1], [3, 0]), ([2], [9]), ([3, 4], [1, 2]), ([5], [2])]
