@@ -203,3 +203,28 @@ def test_slices_hold_whole_rows(spark):
     batch = pa.RecordBatch.from_pydict({"x": list(range(6))})
     parts = [(p.column("x").to_pylist(), n.tolist()) for p, n in slices(batch, np.array([3, 0, 9, 1, 2, 2]), 4)]
     assert parts == [([0, 1], [3, 0]), ([2], [9]), ([3, 4], [1, 2]), ([5], [2])]
+
+
+def test_encoder_holds_a_slice_of_tokens(spark, monkeypatch):
+    import hashlib
+    from embdrift.operators import embedding as EM
+    monkeypatch.setattr(EM, "SLICE_TOKENS", 50)
+    texts = [" ".join(f"Wörd{(i * j) % 23}" for j in range(i % 40)) for i in range(200)] + [None, "? !", "x " + "yy " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    run = EM.slices
+
+    def seen(batch, lens, size):
+        for part, n in run(batch, lens, size):
+            assert n.sum() <= 50 or len(n) == 1  # in the worker: more than a slice at once fails the job
+            yield part, n
+
+    monkeypatch.setattr(EM, "slices", seen)
+    got = {r.id: r.vector for r in EM.embed(df, dim=16).collect()}
+    for i, text in enumerate(texts):
+        v = np.zeros(16)
+        for t in (text or "").lower().replace("?", "").replace("!", "").split():
+            h = hashlib.md5(t.encode()).hexdigest()
+            v[int(h[:8], 16) % 16] += (1 if int(h[8], 16) < 8 else -1) if len(t) > 1 else 0
+        if (text or "").lower().replace("?", "").replace("!", "").strip():
+            assert np.allclose(got.pop(i), v / (np.linalg.norm(v) or 1.0), rtol=0, atol=1e-15)
+    assert not got
