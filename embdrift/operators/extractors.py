@@ -1,27 +1,35 @@
 """Entity extractors (U2): a plug-in surface, a corpus gazetteer, and the regex they fall back to.
 
 An extractor has a ``name`` and turns a list of texts into a list of entity key lists
-(``LABEL:text``).  It runs in Arrow batches; a batch it fails on gets the built-in
+(``LABEL:text``).  It runs in slices of Arrow batches, so that a worker never holds the texts and
+answers of a whole batch as Python objects; a slice it fails on gets the built-in
 proper-noun runs instead, and every row says which backend made its entities.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embdrift.functions import text as TX
+from embdrift.operators.packed import slices
 from embdrift.session import ship_package
 
 REGEX = "regex"
 WORD = r"[\p{L}\p{N}_]+"
-#: A run of capitalised words in a text whose words have a blank on either side each.
-CAPITALISED_RUN = r"(?: [A-Z][\p{L}\p{N}_]* )+"
+#: A run of capitalised words in a text whose words have a blank on either side each.  Possessive, as nothing
+#: is ever given back: a greedy group takes Java's stack for every word of a run, and a long run overflowed it.
+CAPITALISED_RUN = r"(?: [A-Z][\p{L}\p{N}_]*+ )++"
+#: UTF-8 bytes of the texts that an extractor gets at once; a longer text comes alone.
+SLICE_BYTES = 1 << 20
+_KEYS = pa.list_(pa.string())
 
 
 class Extractor(Protocol):
@@ -40,15 +48,20 @@ def entities(df: DataFrame, extractor: Extractor | None = None, text_col: str =
     ship_package(df.sparkSession)
     name = extractor.name
 
-    @F.pandas_udf("keys array<string>, failed boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def answer(texts: pa.Array) -> pa.Array:
         try:
-            found = extractor.extract(texts.tolist())
+            found = extractor.extract(texts.to_pylist())
             if len(found) != len(texts):
                 raise ValueError("an extractor answers every text")
-            return pd.DataFrame({"keys": found, "failed": False})
-        except Exception:  # whatever a plug-in does, its batch is not lost, and the backend column tells
-            return pd.DataFrame({"keys": [[] for _ in range(len(texts))], "failed": True})
+            return pa.StructArray.from_arrays([pa.array(found, _KEYS), pa.array([False] * len(texts))], ["keys", "failed"])
+        except Exception:  # whatever a plug-in does, its texts are not lost, and the backend column tells
+            return pa.StructArray.from_arrays([pa.array([[]] * len(texts), _KEYS), pa.array([True] * len(texts), pa.bool_())], ["keys", "failed"])
+
+    @F.arrow_udf("keys array<string>, failed boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part, _ in slices(texts, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), SLICE_BYTES):
+                yield answer(part)
 
     # One element through a generator: the extractor runs once a row, whatever reads its columns.
     found = df.select("*", F.explode(F.array(run(text))).alias("_found"))
@@ -100,7 +113,7 @@ class Gazetteer:
             self._built = ahocorasick.Automaton()
             for e in self.entries:
                 phrase = " " + e.replace(" ", "  ") + " "
-                self._built.add_word(phrase, (len(phrase), e))
+                self._built.add_word(phrase, (len(phrase), "GAZ:" + e))
             self._built.make_automaton()
         return self._built
 
@@ -118,7 +131,7 @@ class Gazetteer:
             for start in sorted(longest):
                 end, entry = longest[start]
                 if end > reach:
-                    found.append("GAZ:" + entry)
+                    found.append(entry)
                     reach = end
             out.append(found)
         return out

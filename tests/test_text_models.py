@@ -116,3 +116,26 @@ def test_report_names_its_backends(spark):
     assert (plain_report.entity_backend, plain_report.topic_backend) == ("regex", "keyword")
     named = L.linguistic_report(sides, lists=False, extractor=Gazetteer(["court"]), topic_model=lambda s: lda_topics(s, topics=3)).first()
     assert (named.entity_backend, named.topic_backend) == ("gazetteer", "lda") and 0 < named.topic_wasserstein <= 1
+
+
+class Bounded:
+    name = "bounded"
+
+    def extract(self, texts):
+        assert len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 100  # else the backend column says failed
+        return [["X:" + w for w in t.split()] for t in texts]
+
+
+def test_an_extractor_gets_a_slice_of_the_texts(spark, monkeypatch):
+    from embdrift.operators import extractors
+    monkeypatch.setattr(extractors, "SLICE_BYTES", 100)
+    texts = [None, ""] + ["é" * (i % 30) + f" w{i}" for i in range(90)] + ["long " * 50, "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: (r.entities, r.backend) for r in entities(df, Bounded()).collect()}
+    assert got == {i: (["X:" + w for w in (t or "").split()], "bounded") for i, t in enumerate(texts)}
+
+
+def test_a_long_capitalised_run_is_learned_past(spark):
+    run = " ".join(["Word", "B"] * 20_000)  # a greedy group overflows the stack of a task's thread
+    docs = spark.createDataFrame([(run + " end. New York",)] * 2 + [("New York é Paris",)], "text string")
+    assert learn_gazetteer(docs, min_documents=2, max_words=2).entries == ("new york",)
