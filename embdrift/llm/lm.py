@@ -186,6 +186,9 @@ class Chunk:
         return self.split(key[first], pairs), np.add.reduceat(train, first) if len(first) else train
 
 
+_BEFORE_TEXT, _AFTER_TEXT = np.array([0, 0], np.int32), np.array([1], np.int32)
+
+
 def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chunk]:
     """Chunks of a task's rows (doc_id, text, held_out), in the order of the rows."""
     from pyspark import TaskContext
@@ -215,7 +218,8 @@ def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chu
                 yield finish()
                 number += 1
                 known, seqs, ids, held, missing, size = defaultdict(count(2).__next__), [], [], [], [], 0
-            seqs.append(np.array([0, 0, *map(known.__getitem__, ws), 1], np.int32))
+            seq = np.fromiter(map(known.__getitem__, ws), np.int32, len(ws))
+            seqs.append(np.concatenate([_BEFORE_TEXT, seq, _AFTER_TEXT]))
             ids.append(doc_id or 0)
             missing.append(doc_id is None)
             held.append(bool(out))
@@ -441,9 +445,10 @@ def _answer_grams(pdf: pd.DataFrame, config: Config, layout: Layout) -> pd.DataF
         del raw
         trie = Trie.open(path)
         x, y = np.empty(len(v), np.uint16), np.empty(len(v), np.uint16)
+        numbers = trie.numbers(words)
         for lo in range(0, len(v), 1 << 18):
             s = slice(lo, lo + (1 << 18))
-            px, py = trie.query(words[u[s]], words[v[s]], words[w[s]])
+            px, py = trie.ask(numbers, u[s], v[s], w[s])
             x[s], y[s] = quant.code(px), quant.code(py)
         del trie
     finally:

@@ -200,3 +200,40 @@ def test_crc_class(spark):
     df = spark.createDataFrame([(0,), (12345,), (-7,), (None,)], "doc_id long")
     got = [r.c for r in df.select(common.crc_class("doc_id", 7).alias("c")).collect()]
     assert got == [zlib.crc32(b"0") % 7, zlib.crc32(b"12345") % 7, zlib.crc32(b"-7") % 7, 0]
+
+
+def test_select_and_words_looked_up_once():
+    from embdrift.llm.eftrie import EliasFano, Trie, _select_in_word
+    rng = np.random.default_rng(5)
+    words = np.concatenate([rng.integers(0, 2**64, 300, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64), [~np.uint64(0)]])
+    for w in words:
+        ones = [i for i in range(64) if int(w) >> i & 1]
+        got = _select_in_word(np.full(len(ones), w), np.arange(len(ones), dtype=np.uint64))
+        assert got.tolist() == ones
+    for x in (np.sort(rng.integers(0, 50, 200)), rng.integers(0, 50, 200), np.empty(0, np.int64)):
+        kinds, back = eftrie._kinds(x)
+        assert np.array_equal(kinds, np.unique(x)) and np.array_equal(kinds[back], x)
+    # One search of the vocabulary for all questions on a shard, and answers as for hashes.
+    hashes = np.unique(rng.integers(0, 2**64, 40, np.uint64))
+    n = len(hashes) - 5  # the last words have no count
+    grams = np.unique(rng.integers(0, n, (400, 3)), axis=0)
+    v, u, w = grams.T.astype(np.int64)
+    c = np.ones(len(v), np.int64)
+
+    def pairs(a, b):
+        k, m = np.unique(a * 100 + b, return_counts=True)
+        return k // 100, k % 100, m
+
+    arrays = Trie.build(hashes, pairs(v, w), (v, u, w, c), {"v": np.bincount(v, minlength=len(hashes)), "context": pairs(v, u)}, ((1.5, .85), (2., .95)), 12)
+    trie = Trie(arrays, 12)
+    a, b, d = rng.integers(0, len(hashes), (3, 3000))
+    calls = []
+    trie.seq["words"].successor = lambda x, run=trie.seq["words"].successor: calls.append(len(x)) or run(x)
+    numbers = trie.numbers(hashes)
+    halves = [trie.ask(numbers, a[s], b[s], d[s]) for s in (slice(0, 1500), slice(1500, 3000))]
+    assert calls == [len(hashes)]
+    for got, want in zip(map(np.concatenate, zip(*halves)), trie.query(hashes[a], hashes[b], hashes[d])):
+        assert np.array_equal(got, want)
+    values = np.sort(rng.integers(0, 10**6, 500))
+    ef = EliasFano(EliasFano.build(values))
+    assert np.array_equal(ef.get(np.arange(500)), values)
