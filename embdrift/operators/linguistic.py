@@ -103,7 +103,7 @@ def _token_counts(sides: Sides, tokens: Column, name: str, packed: bool) -> Data
         if packed:
             return sides.expand(own)
         merged = aligned_counts(own.withColumn("side", F.lit(WINDOW)), name)
-        return sides.expand(merged.select("wid", name, F.col("w").alias("n"))).select("wid", "side", name, "n")
+        return sides.expand(merged.select("wid", name, F.col("w").alias("n")))
     gen, ok = TX.explode_tokens(tokens, name)
     t = sides.docs.select(*sides.keys, gen).filter(ok)
     return sides.expand(t.groupBy(*sides.keys, name).agg(F.count("*").alias("n")))
