@@ -65,6 +65,7 @@ class EliasFano:
         meta, self.low, self.high, self.ones = arrays
         self.n, self.bits = int(meta[0]), int(meta[1])
         self.mask = np.uint64((1 << self.bits) - 1)
+        self.zeros = np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64) - self.ones  # before each high word
 
     @staticmethod
     def build(values: np.ndarray) -> list[np.ndarray]:
@@ -94,14 +95,24 @@ class EliasFano:
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
-        at = i.astype(np.uint64) * np.uint64(self.bits)
-        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        upper = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return ((self.low[word] >> shift) | upper) & self.mask
+        return self._window(self.low, i * self.bits) & self.mask
+
+    @staticmethod
+    def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The 64 bits from each bit on."""
+        word, shift = at >> 6, (at & 63).view(np.uint64)
+        out = words[word]
+        out >>= shift
+        word += 1
+        upper = words[word]
+        upper <<= _ONE
+        upper <<= np.uint64(63) - shift
+        out |= upper
+        return out
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th one (zero) of the high bits."""
-        before = self.ones if one else np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64) - self.ones
+        before = self.ones if one else self.zeros
         word = np.searchsorted(before, k.astype(np.uint64), side="right") - 1
         bits = self.high[np.minimum(word, len(self.high) - 1)]
         return word * 64 + _select_in_word(bits if one else bits ^ _ALL, k.astype(np.uint64) - before[word])
@@ -119,9 +130,15 @@ class EliasFano:
         h = x >> np.uint64(self.bits)
         beyond = h >= np.uint64(len(self.high) * 64 - self.n)  # zeros there are, padding included
         h = np.where(beyond, 0, h).astype(np.int64)
-        lo = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        end = self._select(h, False) - h
-        lo, end = np.minimum(lo, self.n), np.minimum(end, self.n)
+        at = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        lo = at - h
+        # The values of the high part are the run of ones from there on; only one that fills a word is searched.
+        run = self._window(self.high, np.minimum(at, 64 * (len(self.high) - 1) - 1))
+        run = np.bitwise_count(run & ~(run + _ONE)).astype(np.int64)
+        long = np.flatnonzero(run == 64)
+        run[long] = self._select(h[long], False) - at[long]
+        end = np.minimum(lo + run, self.n)
+        lo = np.minimum(lo, self.n)
         hi, want = end.copy(), x & self.mask
         todo = np.flatnonzero(lo < hi)
         while len(todo):  # most ranges are short: each step looks at the open ones alone
@@ -206,23 +223,40 @@ class Trie:
         pv, pw, pc = pairs
         cv, cu, cc = counts["context"]
         tv, tu, tw, tc = triples
-        vs = np.unique(np.concatenate([pv, cv]))
+        seen = np.zeros(len(words), bool)
+        seen[pv] = seen[cv] = True
+        vs = np.flatnonzero(seen)
         n_v = counts["v"][vs].astype(np.float64)
         weight1 = back_off_weight(n_v, k2, b2)
-        first2 = np.searchsorted(pv, np.r_[vs, len(words) + 1])
-        iv = np.searchsorted(vs, pv)
-        part2 = (1 - weight1[iv]) * pc / np.maximum(n_v[iv], 1)
-        first_c = np.searchsorted(cv, np.r_[vs, len(words) + 1])
-        weight2 = back_off_weight(cc.astype(np.float64), k3, b3)
         width = np.int64(len(words) + 1)
+        out: dict[str, np.ndarray] = {}
+
+        def add(name: str, values: np.ndarray) -> None:  # one sequence after the other: few plain arrays at a time
+            out.update({f"{name}.{k}": a for k, a in enumerate(EliasFano.build(values))})
+
+        add("words", words)
+        add("level1", vs)
+        out["weight1"] = q.code(weight1)
+        first2 = np.searchsorted(pv, np.r_[vs, len(words) + 1].astype(pv.dtype))
+        add("first2", first2)
+        add("level2", ranged(first2, pw))
+        iv = np.repeat(np.arange(len(vs)), np.diff(first2))
+        out["part2"] = q.code((1 - weight1[iv]) * pc / np.maximum(n_v[iv], 1))
+        del iv
+        first_c = np.searchsorted(cv, np.r_[vs, len(words) + 1].astype(cv.dtype))
+        add("first_c", first_c)
+        add("contexts", ranged(first_c, cu))
+        weight2 = back_off_weight(cc.astype(np.float64), k3, b3)
+        out["weight2"] = q.code(weight2)
         ctx = np.searchsorted(cv * width + cu, tv * width + tu)
+        out["part3"] = q.code((1 - weight2[ctx]) * tc / cc[ctx])
         first3 = np.searchsorted(ctx, np.arange(len(cv) + 1))
-        rank = np.searchsorted(pv * width + pw, tv * width + tw) - first2[np.searchsorted(vs, tv)]
-        part3 = (1 - weight2[ctx]) * tc / cc[ctx]
-        seq = {"words": words, "level1": vs, "first2": first2, "level2": ranged(first2, pw), "first_c": first_c,
-               "contexts": ranged(first_c, cu), "first3": first3, "level3": ranged(first3, rank)}
-        out = {f"{s}.{k}": a for s in Trie.SEQUENCES for k, a in enumerate(EliasFano.build(seq[s]))}
-        return out | {"weight1": q.code(weight1), "part2": q.code(part2), "weight2": q.code(weight2), "part3": q.code(part3)}
+        del ctx
+        add("first3", first3)
+        rank = np.searchsorted(pv * width + pw, tv * width + tw)
+        rank -= first2[np.searchsorted(vs, tv)]
+        add("level3", ranged(first3, rank))
+        return out
 
     @staticmethod
     def save(arrays: dict[str, np.ndarray], bits: int) -> bytes:
@@ -260,7 +294,11 @@ class Trie:
             return np.repeat(place, times), np.repeat(found, times)
         seq, starts = self.seq[level], self.seq[first]
         kinds, back = _kinds(rng)  # the bounds once per range
-        lo, hi = starts.get(kinds).astype(np.int64), starts.get(kinds + 1).astype(np.int64)
+        if len(kinds) and (span := int(kinds[-1] - kinds[0]) + 2) <= 2 * len(kinds):  # close together: each bound once
+            bounds, at = starts.get(np.arange(kinds[0], kinds[0] + span)).astype(np.int64), kinds - kinds[0]
+            lo, hi = bounds[at], bounds[at + 1]
+        else:
+            lo, hi = starts.get(kinds).astype(np.int64), starts.get(kinds + 1).astype(np.int64)
         lift = np.zeros(len(kinds), np.uint64)
         if (some := lo > 0).any():
             lift[some] = seq.get(lo[some] - 1) + _ONE

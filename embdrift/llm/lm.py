@@ -1,8 +1,8 @@
 """Language-model scoring with sharded Elias-Fano n-gram tries.
 
-Texts are cut into chunks of documents inside the scan's tasks. A chunk sends each of its different
-n-grams once, with its count among training texts, to the shard that owns it, and gets numbers
-back in the same order:
+Texts are cut into chunks of documents inside the scan's tasks: once to count words, once into a
+shuffle by chunk that all further steps read. A chunk sends each of its different n-grams once, with
+its count among training texts, to the shard that owns it, and gets numbers back in the same order:
 
 1. word counts: shards by word; the answer is c(w) over all training texts. Totals N and V and the
    words above ``shard_tokens`` (at most N / shard_tokens of them) become known here.
@@ -22,21 +22,21 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embdrift.llm.common import LOWER_BYTES, stored
+from embdrift.llm.common import stored
 from embdrift.llm.eftrie import Quantiser, Trie
+from embdrift.llm.tokens import text_runs
 
 #: Hashes of the marks beside words; their strings hold white space, so no word has them.
 END = np.uint64(xxhash.xxh64_intdigest(" end"))
@@ -105,8 +105,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different numbers, ascending, and the place of each entry among them: ``np.unique`` with its
-    inverse by one stable sort, which gains from the ascending runs that messages are."""
-    order = np.argsort(key, kind="stable")
+    inverse. Ascending numbers need no sort."""
+    if not (key[1:] < key[:-1]).any():
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+        return key[first], np.cumsum(first) - 1
+    order = np.argsort(key)
     run = key[order]
     first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.empty(0, bool)
     back = np.empty(len(key), np.int64)
@@ -130,13 +133,20 @@ class Chunk:
         return np.repeat(~self.held_out.astype(bool), self.lens)
 
     def dump(self) -> bytes:
-        return dump(steps(self.words), self.seq, self.lens, self.doc_id.view(np.uint64), self.has_id, self.held_out)
+        """Words are numbered from the most frequent on, equally frequent ones ascending: small numbers pack well."""
+        order = np.argsort(-np.bincount(self.seq, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        return dump(steps(self.words[order]), rank[self.seq], self.lens, self.doc_id.view(np.uint64), self.has_id, self.held_out)
 
     @classmethod
     def load(cls, name: str, raw: bytes) -> Chunk:
         w, s, n, d, h, o = load(raw)
-        return cls(name, np.cumsum(w, dtype=np.uint64), s.astype(np.int32), n.astype(np.int64), d.view(np.int64),
-                   h.astype(np.uint8), o.astype(np.uint8))
+        w = np.cumsum(w, dtype=np.uint64)  # steps down came as numbers modulo 2 ** 64
+        order = np.argsort(w)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        return cls(name, w[order], place[s.view(np.int64)], n.astype(np.int64), d.view(np.int64), h.astype(np.uint8), o.astype(np.uint8))
 
     # Word counts.
     def word_counts(self) -> np.ndarray:
@@ -186,7 +196,49 @@ class Chunk:
         return self.split(key[first], pairs), np.add.reduceat(train, first) if len(first) else train
 
 
-_BEFORE_TEXT, _AFTER_TEXT = np.array([0, 0], np.int32), np.array([1], np.int32)
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words, place of each word of the texts among them, where each text's words
+    begin, and their end). Arrow lower-cases A-Z, cuts at ASCII white space and numbers the words."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    edges, flat = np.asarray(cut.offsets, np.int64), cut.flatten()
+    real = np.asarray(pc.binary_length(flat)) > 0  # white space around a text cuts off empty words
+    if not real.all():
+        edges, flat = np.concatenate([[0], np.cumsum(real)])[edges], flat.filter(pa.array(real))
+    coded = flat.dictionary_encode()
+    kinds = coded.dictionary
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds), " ")
+    words = line[0].as_buffer().to_pybytes().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(kinds)), np.asarray(coded.indices), edges
+
+
+def _chunk(name: str, parts: list[tuple], ids: list, held: list) -> Chunk:
+    """The chunk of some texts; parts: (hashes, places of the words, words of each text)."""
+    used = []
+    for hashes, at, _ in parts:
+        seen = np.zeros(len(hashes), bool)
+        seen[at] = True
+        used.append(np.flatnonzero(seen))
+    words, to = distinct(np.concatenate([np.array([BEGIN, END], np.uint64), *[p[0][u] for p, u in zip(parts, used)]]))
+    begin, end, to = to[0], to[1], to[2:].astype(np.int32)
+    lens = np.concatenate([n for _, _, n in parts]) + 3
+    seq = np.full(int(lens.sum()), begin, np.int32)
+    after = np.cumsum(lens)
+    inside = np.ones(len(seq), bool)
+    inside[after - lens] = inside[after - lens + 1] = inside[after - 1] = False
+    seq[after - 1] = end
+    place = []
+    for (hashes, at, _), u in zip(parts, used):
+        number = np.zeros(len(hashes), np.int32)
+        number[u], to = to[:len(u)], to[len(u):]
+        place.append(number[at])
+    seq[inside] = np.concatenate(place)
+    c = Chunk("", words, seq, lens, np.array([d or 0 for d in ids], np.int64),
+              np.array([d is not None for d in ids], np.uint8), np.array(held, np.uint8))
+    digest = xxhash.xxh64(words.tobytes())
+    for a in (c.seq, c.lens, c.doc_id, c.held_out):
+        digest.update(a.tobytes())
+    c.name = f"{name}-{digest.hexdigest()}"
+    return c
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chunk]:
@@ -195,37 +247,36 @@ def chunks_of(batches: Iterator[pa.RecordBatch], config: Config) -> Iterator[Chu
 
     context = TaskContext.get()
     part, number = context.partitionId() if context else 0, 0
-    known, seqs, ids, held, missing, size = defaultdict(count(2).__next__), [], [], [], [], 0
-
-    def finish() -> Chunk:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-        words, to = np.unique(np.concatenate([np.array([BEGIN, END], np.uint64), hashes]), return_inverse=True)
-        seq = to.astype(np.int32)[np.concatenate(seqs)]
-        c = Chunk("", words, seq, np.array([len(x) for x in seqs], np.int64), np.array(ids, np.int64),
-                  1 - np.array(missing, np.uint8), np.array(held, np.uint8))
-        digest = xxhash.xxh64(words.tobytes())
-        for a in (c.seq, c.lens, c.doc_id, c.held_out):
-            digest.update(a.tobytes())
-        c.name = f"{part}-{number}-{digest.hexdigest()}"
-        return c
-
+    parts, ids, held, size = [], [], [], 0
+    for b in batches:
+        texts, doc_id, out = b.column("text"), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
+        for lo, hi in text_runs(texts):
+            hashes, at, edges = _cut(texts.slice(lo, hi - lo))
+            lens, first = np.diff(edges), 0
+            for k, n in enumerate([*lens.tolist(), None]):
+                full = n is not None and size and size + n > config.chunk_tokens
+                if (full or n is None) and k > first:
+                    parts.append((hashes, at[edges[first]:edges[k]], lens[first:k]))
+                    ids += doc_id[lo + first:lo + k]
+                    held += out[lo + first:lo + k]
+                    first = k
+                if full:
+                    yield _chunk(f"{part}-{number}", parts, ids, held)
+                    number += 1
+                    parts, ids, held, size = [], [], [], 0
+                size += (n or 0) + 1
+            size -= 1  # no text was the last one
+    if parts:
+        yield _chunk(f"{part}-{number}", parts, ids, held)
+    parts = texts = hashes = at = None
+    pa.default_memory_pool().release_unused()  # the worker serves other steps' tasks next
+
+
+def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """The chunks of rows (chunk, payload)."""
     for b in batches:
-        for doc_id, text, out in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("held_out").to_pylist()):
-            raw = text.as_buffer()
-            # Bytes: A-Z lower-cased by a table, cut at ASCII white space, both without looking at characters.
-            ws = raw.to_pybytes().translate(LOWER_BYTES).split() if raw else []
-            if size and size + len(ws) > config.chunk_tokens:
-                yield finish()
-                number += 1
-                known, seqs, ids, held, missing, size = defaultdict(count(2).__next__), [], [], [], [], 0
-            seq = np.fromiter(map(known.__getitem__, ws), np.int32, len(ws))
-            seqs.append(np.concatenate([_BEFORE_TEXT, seq, _AFTER_TEXT]))
-            ids.append(doc_id or 0)
-            missing.append(doc_id is None)
-            held.append(bool(out))
-            size += len(ws) + 1
-    if seqs:
-        yield finish()
+        for name, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
+            yield Chunk.load(name, payload.as_buffer())
 
 
 # ---- step 1: word counts --------------------------------------------------------------------
@@ -244,7 +295,8 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
 
 def _split(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places) for every shard that occurs, the places in their order."""
-    order = np.argsort(shard, kind="stable")
+    small = len(shard) and shard.max() < 1 << 16
+    order = np.argsort(shard.astype(np.uint16) if small else shard, kind="stable")  # 16 bits: by counting, in one pass
     cut = np.flatnonzero(np.diff(shard[order])) + 1
     for at in np.split(order, cut) if len(order) else []:
         yield int(shard[at[0]]), at
@@ -376,8 +428,10 @@ def shard_trie(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, n
 
     def pairs(other: np.ndarray, kind: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys, back = distinct(v * width + other)
-        a, b = keys // width, keys % width
-        count = np.bincount(back, weights=n.astype(np.float64), minlength=len(keys)).astype(np.int64)
+        a, b = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
+        del keys
+        count = np.bincount(back, weights=n.astype(np.float64), minlength=len(a)).astype(np.int64)
+        del back
         at = np.flatnonzero(hot[a] >= 0)
         if len(at):
             k = np.searchsorted(pair_keys, key := _pair_key(words[a[at]], words[b[at]], kind))
@@ -406,36 +460,40 @@ def _answer_grams(pdf: pd.DataFrame, config: Config, layout: Layout) -> pd.DataF
     pair_counts = np.concatenate([e[1] for e in extra]).astype(np.int64) if extra else np.empty(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys, pair_counts = keys[order], pair_counts[order]
-    messages = [load(p) for p in pdf["payload"]]
-    sizes = [len(m[1]) for m in messages]
-    vocabularies = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
-    words = np.unique(np.concatenate(vocabularies))
+    sizes, vocabularies = [], []
+    for payload in pdf["payload"]:  # unpacked twice, as all messages' arrays would not be small
+        vocabulary, dv = load(payload)[:2]
+        sizes.append(len(dv))
+        vocabularies.append(np.cumsum(vocabulary, dtype=np.uint64))
+    edges = np.cumsum([0, *map(len, vocabularies)])
+    words, number = distinct(np.concatenate(vocabularies))
+    del vocabularies
     bits = max(1, len(words).bit_length())
     low = np.int64((1 << bits) - 1)
-    pairs, last, n = [], [], []
-    while messages:
-        _, dv, mu, mw, mn = messages.pop(0)
-        to = np.searchsorted(words, vocabularies.pop(0))
-        pairs.append(to[np.cumsum(dv.astype(np.int64))] << bits | to[mu.astype(np.int64)])
-        last.append(to[mw.astype(np.int64)])
-        n.append(mn.astype(np.float64))
-    pair, last, n = np.concatenate(pairs), np.concatenate(last), np.concatenate(n)
-    del pairs
-    if 3 * bits <= 63:
-        key = pair << bits | last
-        context = None
-    else:  # too many words of a shard for one number: contexts are numbered first
-        context, pair = np.unique(pair, return_inverse=True)
-        key = pair << bits | last
-    del pair, last
+    ends = np.cumsum([0, *sizes])
+    key, last, n = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float64)
+    for k, payload in enumerate(pdf["payload"]):
+        _, dv, mu, mw, mn = load(payload)
+        to, own = number[edges[k]:edges[k + 1]], slice(ends[k], ends[k + 1])
+        key[own] = to[np.cumsum(dv.view(np.int64))] << bits | to[mu.view(np.int64)]
+        last[own], n[own] = to[mw.view(np.int64)], mn
+    del number
+    context = None
+    if 3 * bits > 63:  # too many words of a shard for one number: contexts are numbered first
+        context, key = distinct(key)
+    key <<= bits
+    key |= last
+    del last
     grams, back = distinct(key)
     del key
+    back = back.astype(np.int32)
     n = np.bincount(back, weights=n, minlength=len(grams)).astype(np.int64)
-    vu, w = grams >> bits, grams & low
+    w = (grams & low).astype(np.int32)
+    grams >>= bits
     if context is not None:
-        vu = context[vu]
-    v, u = vu >> bits, vu & low
-    del grams, vu
+        grams = context[grams]
+    v, u = (grams >> bits).astype(np.int32), (grams & low).astype(np.int32)
+    del grams
     raw = shard_trie(words, v, u, w, n, config, layout, keys, pair_counts)
     quant = Quantiser(config.answer_bits)
     handle, path = tempfile.mkstemp(prefix="trie-", suffix=".eft")  # the task's own, gone with it
@@ -446,8 +504,8 @@ def _answer_grams(pdf: pd.DataFrame, config: Config, layout: Layout) -> pd.DataF
         trie = Trie.open(path)
         x, y = np.empty(len(v), np.uint16), np.empty(len(v), np.uint16)
         numbers = trie.numbers(words)
-        for lo in range(0, len(v), 1 << 18):
-            s = slice(lo, lo + (1 << 18))
+        for lo in range(0, len(v), 1 << 15):
+            s = slice(lo, lo + (1 << 15))
             px, py = trie.ask(numbers, u[s], v[s], w[s])
             x[s], y[s] = quant.code(px), quant.code(py)
         del trie
@@ -459,12 +517,12 @@ def _answer_grams(pdf: pd.DataFrame, config: Config, layout: Layout) -> pd.DataF
 
 # ---- step 3: sums ---------------------------------------------------------------------------
 
-def _score_chunk(pdf: pd.DataFrame, config: Config, layout: Layout, word_shard_count: int, total: int, kinds: int) -> pd.DataFrame:
-    name = pdf["chunk"].iloc[0]
-    by = {(k, int(s)): p for k, s, p in zip(pdf["kind"], pdf["shard"], pdf["payload"])}
-    if ("text", -1) not in by:
+def _score_chunk(cut: pd.DataFrame, answers: pd.DataFrame, config: Config, layout: Layout, word_shard_count: int, total: int,
+                 kinds: int) -> pd.DataFrame:
+    if len(cut) != 1:
         raise RuntimeError("the documents did not read the same twice; write them to a table first")
-    c = Chunk.load(name, by["text", -1])
+    c = Chunk.load(cut["chunk"].iloc[0], cut["payload"].iloc[0])
+    by = {(k, int(s)): p for k, s, p in zip(answers["kind"], answers["shard"], answers["payload"])}
     count = np.empty(len(c.words), np.int64)
     at = c.positions()
     key, pairs = c.keys(at)
@@ -527,28 +585,28 @@ def score(docs: DataFrame, held_out: Column, config: Config = Config()) -> DataF
     layout = Layout(max(shards, -(-total // config.shard_tokens)), config.shard_tokens, names[order], counts[order])
     pair_shards = layout.shards
 
-    def pair_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks_of(batches, config):
+            yield _batch([(c.name, c.dump())], ["chunk", "payload"], [pa.string(), pa.binary()])
+
+    def pair_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _loaded(batches):
             yield _messages(_hot_pairs(c, layout, pair_shards))
 
     def gram_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks_of(batches, config):
+        for c in _loaded(batches):
             for row in _gram_rows(c, layout):
                 yield _messages([row])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks_of(batches, config):
-            yield _batch([(c.name, "text", -1, c.dump())], ["chunk", "kind", "shard", "payload"],
-                         [pa.string(), pa.string(), pa.int32(), pa.binary()])
-
-    grams = rows.mapInArrow(gram_messages, _MESSAGE)
+    # Steps 1b, 2 and 3 read the cut texts from one shuffle: its plan is the same in all three.
+    cut = rows.mapInArrow(cut_texts, "chunk string, payload binary").repartition("chunk")
+    grams = cut.mapInArrow(gram_messages, _MESSAGE)
     if len(names):
-        pairs = rows.mapInArrow(pair_messages, _MESSAGE).groupBy("shard").applyInPandas(_count_pairs, "shard int, payload binary")
+        pairs = cut.mapInArrow(pair_messages, _MESSAGE).groupBy("shard").applyInPandas(_count_pairs, "shard int, payload binary")
         grams = grams.unionByName(pairs.select("shard", F.lit(None).cast("string").alias("chunk"), "payload"))
     answered = grams.groupBy("shard").applyInPandas(lambda pdf: _answer_grams(pdf, config, layout), answer)
     kind = lambda df, k: df.select("chunk", F.lit(k).alias("kind"), "shard", "payload")
-    together = (rows.mapInArrow(texts, "chunk string, kind string, shard int, payload binary")
-                .unionByName(kind(counted, "word")).unionByName(kind(answered, "gram")))
-    return together.groupBy("chunk").applyInPandas(
-        lambda pdf: _score_chunk(pdf, config, layout, shards, total, kinds),
+    answers = kind(counted, "word").unionByName(kind(answered, "gram"))
+    return cut.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda texts, given: _score_chunk(texts, given, config, layout, shards, total, kinds),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from embdrift.llm import common, compression, eftrie, lm, toxicity
@@ -237,3 +239,47 @@ def test_select_and_words_looked_up_once():
     values = np.sort(rng.integers(0, 10**6, 500))
     ef = EliasFano(EliasFano.build(values))
     assert np.array_equal(ef.get(np.arange(500)), values)
+
+
+def test_texts_are_cut_once_behind_the_word_counts(spark):
+    """Pairs of frequent words, trigrams and sums read the cut texts of one shuffle; texts are not cut anew for each."""
+    docs = [(i, "the of the a the " + "xyz"[i % 3], i % 5 == 0) for i in range(60)]
+    df = common.stored(spark.createDataFrame(docs, "doc_id long, text string, out boolean").repartition(3), "lm-once")
+    got = lm.score(df, F.col("out"), lm.Config(chunk_tokens=60, shard_tokens=40, node_bits=16))  # "the" is frequent
+    assert len(got.collect()) == 60
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[doc_id", plan)) == 1
+    assert plan.count("ReusedExchange") == 2
+
+
+@pytest.mark.parametrize("limit,run", [(10**6, 10**6), (10**6, 40), (30, 10**6), (7, 40), (1, 1)])
+def test_chunks_hold_the_words_of_every_text(monkeypatch, limit, run):
+    odd = ["", None, "  ", "a\x1cb \x1d c", " x y  z", "A\tB\x0bC\x0cD\r\nE ", "É é ÀB", "x" * 70 + " y", "the " * 50, "\x85q \x00 n\x00m", "ſ K"] * 3
+    ids, held = [None if i % 5 == 0 else i for i in range(len(odd))], [i % 3 == 0 for i in range(len(odd))]
+    b = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(odd, pa.string()), pa.array(held)], ["doc_id", "text", "held_out"])
+    whole = lm.text_runs
+    monkeypatch.setattr(lm, "text_runs", lambda texts: whole(texts, run))
+    chunks = list(lm.chunks_of(iter([b, b.slice(0, 0), b.slice(7, 9)]), lm.Config(chunk_tokens=limit)))
+    rows = [*zip(ids, odd, held), *list(zip(ids, odd, held))[7:16]]
+    want = [[int(lm.BEGIN)] * 2 + [xxhash.xxh64_intdigest(w.encode()) for w in WORD.findall(ascii_lower(t or ""))] + [int(lm.END)] for _, t, _ in rows]
+    got = [c.words[part].tolist() for c in chunks for part in np.split(c.seq, np.cumsum(c.lens)[:-1])]
+    assert got == want
+    assert [d if h else None for c in chunks for d, h in zip(c.doc_id.tolist(), c.has_id)] == [r[0] for r in rows]
+    assert [bool(x) for c in chunks for x in c.held_out] == [r[2] for r in rows]
+    for c in chunks:
+        assert np.array_equal(c.words, np.unique(c.words)) and (len(c.lens) == 1 or int((c.lens - 2).sum()) <= limit + 1)
+        again = lm.Chunk.load(c.name, c.dump())
+        assert np.array_equal(again.words, c.words) and np.array_equal(again.seq, c.seq)
+    assert list(lm.chunks_of(iter([b.slice(0, 0)]), lm.Config())) == []
+
+
+def test_successor_in_long_runs_of_one_high_part():
+    """Many values with the same high bits: their ones fill whole words."""
+    for values in (np.repeat([5, 7, 9, 11, 1000], [200, 64, 63, 65, 128]), np.r_[np.arange(300), 10**9], np.zeros(129, np.int64), np.arange(0, 64 * 70, 64)):
+        ef = eftrie.EliasFano(eftrie.EliasFano.build(values))
+        probe = np.unique(np.r_[values, values + 1, 0, 3, 500, 10**6, 10**10]).astype(np.uint64)
+        place, same = ef.successor(probe)
+        assert np.array_equal(place, np.searchsorted(values.astype(np.uint64), probe))
+        assert np.array_equal(same, np.isin(probe, values))
+    assert np.array_equal(lm.distinct(np.array([3, 1, 3, 2]))[0], [1, 2, 3]) and np.array_equal(lm.distinct(np.array([3, 1, 3, 2]))[1], [2, 0, 2, 1])
+    assert np.array_equal(lm.distinct(np.array([1, 1, 4]))[1], [0, 0, 1]) and len(lm.distinct(np.empty(0, np.int64))[0]) == 0
