@@ -206,7 +206,7 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges, flat = np.concatenate([[0], np.cumsum(real)])[edges], flat.filter(pa.array(real))
     coded = flat.dictionary_encode()
     kinds = coded.dictionary
-    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds), " ")
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), kinds), pa.scalar(" ", kinds.type))
     words = line[0].as_buffer().to_pybytes().split()
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(kinds)), np.asarray(coded.indices), edges
 
