@@ -22,7 +22,7 @@ from embdrift.functions import text as TX
 from embdrift.functions.stats import chi2_sf
 from embdrift.functions.vectors import clamp01
 from embdrift.operators.extractors import REGEX, Extractor, entities
-from embdrift.operators.packed import aligned_counts, centroid_distances, packed_counts, packed_index
+from embdrift.operators.packed import aligned_counts, centroid_distances, packed_counts, packed_index, topic_weights
 from embdrift.operators.ranking import global_rank
 from embdrift.session import materialize
 from embdrift.sources.tables import dealt
@@ -175,13 +175,17 @@ def js_distance(aligned: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A9
+def _topic_tokens() -> Column:
+    return F.regexp_extract_all(F.lower("text"), F.lit(TOPIC_TOKEN), 0)
+
+
 def _topic_terms(df: DataFrame, stop: Sequence[str], ngrams: bool) -> DataFrame:
     """Lower-cased word tokens, stop words removed, then bigrams of what is left.
 
     Spark ML's ``StopWordsRemover`` (hash-set lookup) and ``NGram`` run in the
     JVM over the token array; bigrams are formed after stop-word removal.
     """
-    toks = df.withColumn("_tok", F.regexp_extract_all(F.lower("text"), F.lit(TOPIC_TOKEN), 0))
+    toks = df.withColumn("_tok", _topic_tokens())
     kept = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=list(stop),
                             caseSensitive=True).transform(toks)
     if not ngrams:
@@ -206,29 +210,19 @@ def tfidf_rows(sides: Sides, by_side: bool, max_features: int, ngrams: bool,
     keys = ["wid", "side"] if by_side else ["wid"]
     own = sides.keys
     docs = sides.docs.select(*own, "doc_id", "text")
-    # Windows: the texts are shuffled, once, and their tokens (several times as large) then counted where they are.
-    near = sides.local and by_side and sides.mode == "split"
-    far = by_side and sides.mode == "split" and not near
-    terms = _topic_terms(docs.repartition("wid") if near else docs, stop, ngrams and not far)
+    far = by_side and sides.mode == "split"
+    terms = _topic_terms(docs, stop, ngrams and not far)
     gen, ok = TX.explode_tokens(F.col("_terms"), "term")
     ex = terms.select(*own, "doc_id", gen).filter(ok)
     cf_own = ex.groupBy(*own, "term").agg(F.count("*").alias("cf"))
     if far:
         tf = _frequent_terms(terms, cf_own, keys, max_features, ngrams)
         cf = tf.groupBy(*keys, "term").agg(F.sum("tf").alias("cf"))
-    elif near:
-        cf = cf_own
     else:
         cf = sides.expand(cf_own).groupBy(*keys, "term").agg(F.sum("cf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cf"), F.asc("term")))
     feats = cf.withColumn("_r", rank).filter(F.col("_r") <= max_features).select(*keys, "term")
-    if near:
-        lists = feats.groupBy(*keys).agg(F.collect_list("term").alias("_feats"))  # at most ``max_features`` terms
-        hits = F.filter("_terms", lambda t: F.array_contains("_feats", t))
-        gen, ok = TX.explode_tokens(hits, "term")
-        dt = (terms.join(lists, keys).select(*keys, "doc_id", gen).filter(ok)
-              .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
-    elif far:
+    if far:
         dt = tf.join(F.broadcast(feats), [*keys, "term"])  # at most ``max_features`` terms a group
     else:
         # features of comparison wid come from own windows wid (window) and wid-1 (baseline)
@@ -279,13 +273,12 @@ def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int =
     computed once per own group (a document window in backfill mode) and only
     the <= ``top`` result rows are copied to the comparisons that use it.
     """
-    own = Sides.__new__(Sides)
-    own.docs, own.mode, own.keys, own.valid, own.local = sides.docs, "split", sides.keys, None, sides.local
-    if sides.mode == "prev":
-        own.docs = sides.docs.withColumn("side", F.lit(WINDOW))
-        own.keys = ["wid", "side"]
-    rows = tfidf_rows(own, True, max_features, True, stop)
-    col = rows.groupBy("wid", "side", "term").agg(F.sum("weight").alias("weight"))
+    if sides.local:
+        stop = tuple(stop if stop is not None else stopwords.english())
+        col = topic_weights(sides.docs, _topic_tokens(), stop, max_features).withColumn("side", F.lit(WINDOW))
+    else:
+        rows = tfidf_rows(sides, True, max_features, True, stop)
+        col = rows.groupBy("wid", "side", "term").agg(F.sum("weight").alias("weight"))
     # Equal weights tie whatever the order of their float sums: compared after rounding.
     rank = F.row_number().over(Window.partitionBy("wid", "side").orderBy(F.desc(F.round("weight", 9)), F.asc("term")))
     best = col.withColumn("_r", rank).filter(F.col("_r") <= top)

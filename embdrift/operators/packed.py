@@ -3,12 +3,14 @@
 Tokens are cut in the JVM; an Arrow batch is counted where it is, with numpy, and leaves as arrays of
 terms and counts (``packed_counts``) or, where documents matter, of postings (``packed_index``).  The
 packed rows are shuffled by comparison and merged there, a comparison at a time: no task holds a table
-of all its windows' terms, and memory follows the largest window, not the input.
+of all its windows' terms, and memory follows the largest window, not the input.  Keyword topics need the
+order of a window's words: there the texts are shuffled and cut window by window (``topic_weights``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +156,92 @@ def packed_counts(docs: DataFrame, terms: Column) -> DataFrame:
     return known.mapInArrow(count, "wid long, terms array<string>, n array<int>")
 
 
+def topic_weights(docs: DataFrame, tokens: Column, stop: Sequence[str], max_features: int) -> DataFrame:
+    """``docs`` (wid, doc_id, text) -> (wid, term, weight): column sums of the row-normalised TF-IDF of each window's
+    ``max_features`` most frequent words and bigrams, as ``linguistic.tfidf_rows`` defines them.
+
+    The texts come by window, in order, and pass through the task: a window's words are held as codes until its last
+    text has been seen.  Stop words are dropped from its vocabulary, not word by word, and only bigrams of two
+    frequent words are made (a bigram is no more frequent than either).
+    """
+    ship_package(docs.sparkSession)
+    stops = pa.array(stop, pa.string())
+
+    def weights(pieces: list) -> tuple[list[str], np.ndarray]:
+        ids = pa.chunked_array([p[0] for p in pieces]).dictionary_encode("encode").combine_chunks()
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.chunk(0)
+        lens = np.concatenate([p[1] for p in pieces])
+        tokens = pa.chunked_array([p[2] for p in pieces]).unify_dictionaries()
+        words = tokens.chunk(0).dictionary
+        code = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in tokens.chunks]).astype(np.int64)
+        row = np.repeat(np.arange(len(lens)), lens)
+        kept = ~pc.is_in(words, value_set=stops).to_numpy(zero_copy_only=False)[code]
+        code, row = code[kept], row[kept]
+        n_words = max(1, len(words))
+        cf = np.bincount(code, minlength=n_words)
+        least = max(1, np.partition(cf, -max_features)[-max_features]) if n_words > max_features else 1
+        frequent = cf >= least
+        pair = np.flatnonzero(frequent[code[:-1]] & frequent[code[1:]] & (row[:-1] == row[1:]))
+        pairs, of_pair, n_pair = np.unique(code[pair] * n_words + code[pair + 1], return_inverse=True, return_counts=True)
+        single = np.flatnonzero(frequent)
+        count = np.concatenate([cf[single], n_pair])
+        if not len(count):
+            return [], np.zeros(0)
+        least = np.partition(count, -max_features)[-max_features] if len(count) > max_features else 0
+        likely = np.flatnonzero(count >= least)
+
+        def name(i: int) -> str:
+            if i < len(single):
+                return words[single[i]].as_py()
+            a, b = divmod(int(pairs[i - len(single)]), n_words)
+            return f"{words[a].as_py()} {words[b].as_py()}"
+
+        best = heapq.nsmallest(max_features, ((-int(count[i]), name(i), int(i)) for i in likely))
+        feature = np.full(len(count), -1)
+        feature[[i for _, _, i in best]] = np.arange(len(best))
+        of_word = np.full(n_words, -1)
+        of_word[single] = feature[: len(single)]
+        of = np.concatenate([of_word[code], feature[len(single):][of_pair]])
+        doc = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)[np.concatenate([row, row[pair]])]
+        # Rows of one id are one document.
+        key, tf = np.unique(doc[of >= 0] * len(best) + of[of >= 0], return_counts=True)
+        doc, of = key // len(best), key % len(best)
+        v = tf * (np.log((1 + len(lens)) / (1 + np.bincount(of, minlength=len(best)))) + 1)[of]
+        weight = v / np.sqrt(np.bincount(doc, weights=v * v))[doc]
+        return [term for _, term, _ in best], np.bincount(of, weights=weight, minlength=len(best))
+
+    def run(batches):
+        wid, held = None, []
+
+        def rows(done: list) -> pa.RecordBatch:
+            n = [len(terms) for _, (terms, _) in done]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([w for w, _ in done], n), pa.int64()), pa.array([t for _, (terms, _) in done for t in terms], pa.string()),
+                 pa.array(np.concatenate([x for _, (_, x) in done]), pa.float64())], ["wid", "term", "weight"])
+
+        for batch in batches:
+            done = []
+            for part, lens in slices(batch, lengths(batch.column("_tokens")), SLICE_TOKENS):
+                wids, ends = part.column("wid").to_numpy(zero_copy_only=False), np.cumsum(lens)
+                cuts = np.flatnonzero(np.diff(wids)) + 1
+                flat = _flat(part.column("_tokens"))
+                for lo, to in zip(np.append(0, cuts), np.append(cuts, len(wids))):
+                    if wids[lo] != wid and held:
+                        done.append((wid, weights(held)))
+                        held = []
+                    wid, first = wids[lo], ends[lo - 1] if lo else 0
+                    held.append((part.column("doc_id").slice(lo, to - lo), lens[lo:to], flat.slice(first, ends[to - 1] - first).dictionary_encode()))
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([(wid, weights(held))])
+
+    known = docs.filter(F.col("wid").isNotNull()).select(F.col("wid").cast("long").alias("wid"), "doc_id", "text")
+    by_window = known.repartition("wid").sortWithinPartitions("wid")
+    return by_window.select("wid", "doc_id", tokens.alias("_tokens")).mapInArrow(run, "wid long, term string, weight double")
+
+
 def aligned_counts(counts: DataFrame, key: str) -> DataFrame:
     """``packed_counts`` rows with their ``side`` -> (wid, key, b, w): each term's count in the baseline and in the window."""
     ship_package(counts.sparkSession)

@@ -112,6 +112,29 @@ def test_window_topics_shuffle_texts_not_tokens(spark):
     assert got == sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in far.collect())
 
 
+def test_window_topics_cut_texts_once(spark, monkeypatch):
+    from embdrift.operators import linguistic as L
+    from embdrift.operators import packed
+    monkeypatch.setattr(packed, "SLICE_TOKENS", 50)  # windows lie across slices, and across batches
+    odd = [(2, 24, "alpha late beta"), (2, None, "beta gamma"), (2, None, "gamma the beta gamma"), (3, 900, "a ?"), (4, 901, " "), (None, 902, "alpha beta"),
+           (9, 903, "one two one two"), (9, 904, "two one"), (11, 905, "x"), (12, 906, "the"), (13, 907, "Öl Öl éa")]
+    docs = spark.createDataFrame([tuple(r) for r in window_texts(spark).collect()] + odd, "wid long, doc_id long, text string").repartition(3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        near = L.keyword_topics(L.Sides(docs, "prev"))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in near.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert plan.count("regexp_extract_all") == 1  # the texts are cut once
+    known = docs.filter("wid IS NOT NULL")
+    split = known.withColumn("side", F.lit("window")).unionByName(known.withColumn("side", F.lit("baseline")).withColumn("wid", F.col("wid") + 1))
+    far = L.keyword_topics(L.Sides(split, "split"))
+    assert got == sorted((r.wid, r.side, r.label, round(r.share, 9)) for r in far.collect())
+    assert (13, "window", "öl öl") in {r[:3] for r in got} and not {11, 12} & {r[0] for r in got if r[1] == "window"}
+
+
 def test_activation_requests_are_judged_once(spark):
     from embdrift.operators import governance as G
     ev = spark.createDataFrame([(1, "m1", "ACTIVE", T0, 1), (1, "m2", "PASSED", T0, 1), (1, "m3", "REJECTED", T0, 1)],
