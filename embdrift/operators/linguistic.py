@@ -371,10 +371,15 @@ def new_entities(aligned_entities: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def emerging_topics(topics: DataFrame, limit: int = 8, min_gain: float = TOPIC_GAIN) -> DataFrame:
-    """Window topics whose share gained more than ``min_gain``."""
-    b = topics.filter(F.col("side") == BASELINE).select("wid", "label", F.col("share").alias("bs"))
-    w = topics.filter(F.col("side") == WINDOW).select("wid", "label", "share")
-    j = w.join(b, ["wid", "label"], "left").filter(F.col("share") - F.coalesce("bs", F.lit(0.0)) > min_gain)
+    """Window topics whose share gained more than ``min_gain``.
+
+    A side has a label once, so one aggregate brings the two shares together: a self-join would make the topics twice.
+    """
+    def of(side: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col("share")))
+
+    both = topics.groupBy("wid", "label").agg(of(BASELINE).alias("bs"), of(WINDOW).alias("share"))
+    j = both.filter(F.col("share") - F.coalesce("bs", F.lit(0.0)) > min_gain)
     r = F.row_number().over(Window.partitionBy("wid").orderBy(F.desc("share"), F.asc("label")))
     return j.withColumn("rank", r).filter(F.col("rank") <= limit).select(
         "wid", "rank", "label", F.round("share", 6).alias("share"), TX.topic_terms("label").alias("top_terms"))

@@ -135,6 +135,16 @@ def test_window_topics_cut_texts_once(spark, monkeypatch):
     assert (13, "window", "öl öl") in {r[:3] for r in got} and not {11, 12} & {r[0] for r in got if r[1] == "window"}
 
 
+def test_emerging_topics_make_the_topics_once(spark):
+    from embdrift.operators import linguistic as L
+    found = L.emerging_topics(L.keyword_topics(L.Sides(window_texts(spark), "prev")))
+    assert plan_of(found).count("regexp_extract_all") == 1
+    rows = [(1, "window", "a", 0.6), (1, "baseline", "a", 0.5), (1, "window", "b_c", 0.1), (1, "baseline", "d", 0.9), (1, "window", "e", 0.04),
+            (2, "window", "a", 0.5), (2, "baseline", "a", 0.45), (3, "baseline", "a", 1.0)]
+    got = L.emerging_topics(spark.createDataFrame(rows, "wid long, side string, label string, share double"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a", 0.6, ["a"]), (1, 2, "b_c", 0.1, ["b", "c"])]
+
+
 def test_activation_requests_are_judged_once(spark):
     from embdrift.operators import governance as G
     ev = spark.createDataFrame([(1, "m1", "ACTIVE", T0, 1), (1, "m2", "PASSED", T0, 1), (1, "m3", "REJECTED", T0, 1)],
