@@ -139,3 +139,24 @@ def test_a_long_capitalised_run_is_learned_past(spark):
     run = " ".join(["Word", "B"] * 20_000)  # a greedy group overflows the stack of a task's thread
     docs = spark.createDataFrame([(run + " end. New York",)] * 2 + [("New York é Paris",)], "text string")
     assert learn_gazetteer(docs, min_documents=2, max_words=2).entries == ("new york",)
+
+
+def test_a_long_run_of_names_is_one_entity(spark):
+    """A greedy group overflows the stack of a task's thread, which ends the executor."""
+    from embdrift.functions import text as TX
+    names = " ".join(["Word", "Other-x"] * 20_000)
+    docs = spark.createDataFrame([(names + " end. New York",), ("New Ab-- Carré Abc- Old-",)], "text string")
+    got = [r.k for r in docs.select(TX.proper_noun_runs("text").alias("k")).collect()]
+    assert got == [["PROPER:" + names.lower(), "PROPER:new york"], ["PROPER:new", "PROPER:abc- old"]]
+
+
+def test_runs_of_names_equal_the_pattern(spark):
+    from embdrift.functions import text as TX
+    rng = random.Random(4)
+    parts = ["A", "Bc", "b", "-", "--", "é", " ", " ", "\n", "\u2003", "1", "_", ".", "Abc", "Foo-", "Ab-", "The"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.k for r in docs.select("id", TX.proper_noun_runs("text").alias("k")).collect()}
+    for i, text in enumerate(texts):
+        runs = [m.strip(" ").lower() for m in re.findall(TX.ENTITY_PATTERN, text)]
+        assert got[i] == ["PROPER:" + r for r in runs if r not in TX.ENTITY_STOP], text
