@@ -24,7 +24,7 @@ from embdrift.functions.vectors import clamp01
 from embdrift.operators.extractors import REGEX, Extractor, entities
 from embdrift.operators.packed import aligned_counts, centroid_distances, packed_counts, packed_index, topic_weights
 from embdrift.operators.ranking import global_rank
-from embdrift.session import materialize
+from embdrift.session import written
 from embdrift.sources.tables import dealt
 
 BASELINE, WINDOW = "baseline", "window"
@@ -261,8 +261,8 @@ def _frequent_terms(terms: DataFrame, words: DataFrame, keys: list[str], max_fea
         after = F.slice("_mark", F.lit(2), F.size("_mark"))
         hits = F.concat(hits, F.zip_with("_mark", after, lambda a, b: F.concat(a, F.lit(" "), b)))
     gen, ok = TX.explode_tokens(F.filter(hits, lambda t: t.isNotNull()), "term")
-    return materialize(marked.select(*keys, "doc_id", gen).filter(ok)
-                       .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
+    return written(marked.select(*keys, "doc_id", gen).filter(ok)
+                   .groupBy(*keys, "doc_id", "term").agg(F.count("*").alias("tf")))
 
 
 def keyword_topics(sides: Sides, max_features: int = TOPIC_FEATURES, top: int = TOPICS,
@@ -401,21 +401,25 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
     falls back to A10 when neither side has keyword topics.
     """
     s = sides
+    if s.valid is not None:  # every part asks it: the texts are not read for it again
+        s = _restrict(s, None)
+        s.valid = written(sides.valid)
     # Each of these feeds two or three outputs: written once to the checkpoint folder.
-    terms = materialize(align_counts(term_counts(s, packed=True), "term"))
-    counted = materialize(entity_counts(s, extractor)) if extractor is not None else entity_counts(s, packed=True)
-    ents = materialize(align_counts(counted, "entity"))
-    topics = materialize(keyword_topics(s) if topic_model is None else topic_model(s))
+    terms = written(align_counts(term_counts(s, packed=True), "term"))
+    counted = written(entity_counts(s, extractor)) if extractor is not None else entity_counts(s, packed=True)
+    ents = written(align_counts(counted, "entity"))
+    topics = written(keyword_topics(s) if topic_model is None else topic_model(s))
 
     def backends(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("wid").agg(F.array_join(F.sort_array(F.collect_set("backend")), "+").alias(name))
 
-    wids = materialize(s.doc_counts().groupBy("wid").agg(
+    wids = written(s.doc_counts().groupBy("wid").agg(
         F.sum(F.when(F.col("side") == WINDOW, F.col("n_docs")).otherwise(0)).cast("long").alias("document_count")))
     ent = js_distance(ents)
     top = topic_wasserstein(topics)
-    # A10 only where neither side has keyword topics: restrict the documents first.
-    need = wids.select("wid").join(topics.select("wid").distinct(), "wid", "left_anti")
+    # A10 only where neither side has keyword topics: restrict the documents first.  Written, because these
+    # windows are few: the plan that knows it leaves the texts where they are.
+    need = written(wids.select("wid").join(topics.select("wid").distinct(), "wid", "left_anti"))
     fallback = document_centroid_distance(_restrict(s, need))
     chi = vocab_chi2(terms)
     r = (wids.join(ent, "wid", "left").join(top, "wid", "left").join(fallback, "wid", "left")
@@ -448,10 +452,12 @@ def linguistic_report(sides: Sides, threshold: float = config.LINGUISTIC_THRESHO
                             ["term", "baseline_count", "window_count", "score"]), "wid", "left"))
 
 
-def _restrict(s: Sides, wids: DataFrame) -> Sides:
-    """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising)."""
+def _restrict(s: Sides, wids: DataFrame | None) -> Sides:
+    """Sides limited to the comparisons in ``wids`` (documents filtered before tokenising); None: all."""
     r = Sides.__new__(Sides)
-    r.mode, r.keys, r.valid, r.local = s.mode, s.keys, s.valid, s.local
+    r.docs, r.mode, r.keys, r.valid, r.local = s.docs, s.mode, s.keys, s.valid, s.local
+    if wids is None:
+        return r
     if s.mode == "split":
         r.docs = s.docs.join(wids, "wid", "left_semi")
     else:

@@ -1,6 +1,6 @@
 """Counts of tumbling windows, packed: one row per batch and window instead of one per (window, term).
 
-Tokens are cut in the JVM; an Arrow batch is counted where it is, with numpy, and leaves as arrays of
+Tokens are cut in the JVM; an Arrow batch is counted where it is, with numpy, and leaves as compressed
 terms and counts (``packed_counts``) or, where documents matter, of postings (``packed_index``).  The
 packed rows are shuffled by comparison and merged there, a comparison at a time: no task holds a table
 of all its windows' terms, and memory follows the largest window, not the input.  Keyword topics need the
@@ -22,6 +22,7 @@ from embdrift.session import ship_package
 
 #: Tokens counted at once in a Python worker; a longer document is counted alone.
 SLICE_TOKENS = 1 << 18
+_CODEC = pa.Codec("zstd")
 INDEX = "rows array<int>, terms array<string>, df array<int>, docs array<int>, tf array<int>"
 
 
@@ -139,8 +140,25 @@ def centroid_distances(index: DataFrame, max_features: int) -> DataFrame:
     return side.groupBy("wid").applyInArrow(distance, "wid long, nb long, nw long, dot double, normb double, normw double")
 
 
+def _counts_blob(terms: pa.StringArray, n: np.ndarray) -> tuple[bytes, int]:
+    """Terms and their counts, compressed, and the size before."""
+    if not len(terms):
+        return b"", 0
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset: terms.offset + len(terms) + 1]
+    text = terms.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]) if offsets[-1] > offsets[0] else b""
+    raw = np.diff(offsets).tobytes() + n.astype(np.int32).tobytes() + memoryview(text)
+    return _CODEC.compress(raw, asbytes=True), len(raw)
+
+
+def _counts_of(blob: pa.Buffer, size: int, k: int) -> tuple[pa.StringArray, np.ndarray]:
+    raw = _CODEC.decompress(blob, size) if k else pa.py_buffer(b"")
+    lens, n = (np.frombuffer(raw, np.int32, k, at * k * 4) for at in (0, 1))
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.StringArray.from_buffers(k, pa.py_buffer(offsets), raw.slice(8 * k)), n
+
+
 def packed_counts(docs: DataFrame, terms: Column) -> DataFrame:
-    """``docs`` (wid, ..) as rows (wid, terms, n), one per slice and window: its terms and how often each occurs."""
+    """``docs`` (wid, ..) as rows (wid, k, size, terms), one per slice and window: its k terms and how often each occurs."""
     ship_package(docs.sparkSession)
 
     def count(batches):
@@ -148,12 +166,14 @@ def packed_counts(docs: DataFrame, terms: Column) -> DataFrame:
             n_terms = max(1, len(terms))
             key, n = np.unique(np.repeat(own, lens) * n_terms + codes, return_counts=True)
             starts = np.searchsorted(key // n_terms, np.arange(len(wids) + 1))
+            named = terms.take(pa.array(key % n_terms))
+            blobs, sizes = zip(*[_counts_blob(named.slice(lo, to - lo), n[lo:to]) for lo, to in zip(starts, starts[1:])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(wids, pa.int64()), _lists(starts, terms.take(pa.array(key % n_terms))), _lists(starts, _ints(n))],
-                ["wid", "terms", "n"])
+                [pa.array(wids, pa.int64()), _ints(np.diff(starts)), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
+                ["wid", "k", "size", "terms"])
 
     known = docs.filter(F.col("wid").isNotNull()).select(F.col("wid").cast("long"), terms.alias("_terms"))
-    return known.mapInArrow(count, "wid long, terms array<string>, n array<int>")
+    return known.mapInArrow(count, "wid long, k int, size long, terms binary")
 
 
 def topic_weights(docs: DataFrame, tokens: Column, stop: Sequence[str], max_features: int) -> DataFrame:
@@ -247,13 +267,14 @@ def aligned_counts(counts: DataFrame, key: str) -> DataFrame:
     ship_package(counts.sparkSession)
 
     def align(table: pa.Table) -> pa.Table:
-        t = {c: table.column(c).combine_chunks() for c in table.column_names}
-        base = np.repeat(t["_base"].to_numpy(zero_copy_only=False), lengths(t["terms"]))
-        n = _flat(t["n"]).to_numpy(zero_copy_only=False)
-        tokens = _flat(t["terms"]).dictionary_encode()
+        parts = [_counts_of(blob.as_buffer(), size, k) for blob, size, k in
+                 zip(table.column("terms"), table.column("size").to_pylist(), table.column("k").to_pylist())]
+        base = np.repeat(table.column("_base").to_numpy(), [len(n) for _, n in parts])
+        n = np.concatenate([n for _, n in parts])
+        tokens = pa.concat_arrays([t for t, _ in parts]).dictionary_encode()
         code, size = tokens.indices.to_numpy(zero_copy_only=False), len(tokens.dictionary)
         both = {c: pa.array(np.bincount(code[m], weights=n[m], minlength=size).astype(np.int64)) for c, m in (("b", base), ("w", ~base))}
-        return pa.table({"wid": pa.repeat(pa.scalar(t["wid"][0].as_py(), pa.int64()), size), key: tokens.dictionary, **both})
+        return pa.table({"wid": pa.repeat(pa.scalar(table.column("wid")[0].as_py(), pa.int64()), size), key: tokens.dictionary, **both})
 
-    side = counts.select("wid", (F.col("side") == "baseline").alias("_base"), "terms", "n")
+    side = counts.select("wid", (F.col("side") == "baseline").alias("_base"), "k", "size", "terms")
     return side.groupBy("wid").applyInArrow(align, f"wid long, {key} string, b long, w long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -103,3 +104,14 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """``materialize`` for large tables: written as compressed Parquet, read back by columns and with its size known.
+
+    A checkpoint holds serialised rows, several times as large, and is read whole by every reader; partitions are
+    those of the files here, so readers that rely on how the rows lie use ``materialize``.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -230,6 +230,25 @@ def test_window_counts_are_packed(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
+def test_report_tables_are_written_by_columns(spark):
+    from embdrift.operators import linguistic as L
+    docs = window_texts(spark)
+    report = L.linguistic_report(L.Sides(docs, "prev"))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert all("text#" in line for line in plan.splitlines() if "Scan ExistingRDD" in line)  # no serialised rows but the input's
+    assert report.count() == 7
+
+
+def test_packed_counts_are_small(spark):
+    from embdrift.operators import linguistic as L
+    text = " ".join(f"word{i % 3000}" for i in range(6000))
+    docs = spark.createDataFrame([(1, 1, text), (2, 2, "? 1 2"), (2, 3, "! 3")], "wid long, doc_id long, text string").coalesce(1)
+    rows = L.term_counts(L.Sides(docs, "prev"), packed=True).collect()
+    assert all(len(r.terms) < 12_000 for r in rows)  # 3,000 terms and their counts, a third of their text
+    got = L.align_counts(L.term_counts(L.Sides(docs, "prev"), packed=True), "term").collect()
+    assert {(r.wid, r.b, r.w) for r in got} == {(1, 0, 2), (2, 2, 0)} and len(got) == 6000
+
+
 def test_slices_hold_whole_rows(spark):
     import pyarrow as pa
     from embdrift.operators.packed import slices
