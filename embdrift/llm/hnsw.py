@@ -13,13 +13,13 @@ numbers, never held as all pairs; components unite the forests.
 
 from __future__ import annotations
 
-import io
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +87,10 @@ def search(g: Graph, layer: int, q: np.ndarray, start: np.ndarray, ef: int) -> t
 def descend(g: Graph, q: np.ndarray, to: int) -> np.ndarray:
     """Nearest node found by greedy steps from the top layer down to just above layer ``to``."""
     at = np.full(len(q), g.entry, np.int64)
-    for layer in range(len(g.layers) - 1, to, -1):
-        at = search(g, layer, q, at, 1)[0][:, 0]
+    for lo in range(0, len(q), _QUERY_BLOCK):
+        part = slice(lo, lo + _QUERY_BLOCK)
+        for layer in range(len(g.layers) - 1, to, -1):
+            at[part] = search(g, layer, q[part], at[part], 1)[0][:, 0]
     return at
 
 
@@ -134,7 +136,7 @@ def build(vec: np.ndarray, m: int = 12, ef: int = 48, seed: int = 3) -> Graph:
     level = np.minimum((-np.log(1 - rng.random(n)) / math.log(m)).astype(int), 8)
     top = int(level.max())
     order = np.argsort(-level, kind="stable")  # upper nodes first: every layer has its entry early
-    g = Graph(vec, [np.full((n, 2 * m if k == 0 else m), -1, np.int64) for k in range(top + 1)], int(order[0]))
+    g = Graph(vec, [np.full((n, 2 * m if k == 0 else m), -1, np.int32) for k in range(top + 1)], int(order[0]))
     done = 1
     while done < n:
         batch = order[done:done + min(done, _QUERY_BLOCK)]
@@ -160,15 +162,35 @@ def build(vec: np.ndarray, m: int = 12, ef: int = 48, seed: int = 3) -> Graph:
 
 
 def pack_graph(g: Graph, ids: np.ndarray, copies: np.ndarray, exact: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, entry=g.entry, ids=ids, copies=copies, exact=exact, **{f"layer{k}": a.astype(np.int32) for k, a in enumerate(g.layers)})
-    return out.getvalue()
-
-
-def unpack_graph(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    z = np.load(io.BytesIO(raw))
-    layers = [z[f"layer{k}"].astype(np.int64) for k in range(sum(f.startswith("layer") for f in z.files))]
-    return Graph(z["exact"].astype(np.float32), layers, int(z["entry"])), z["ids"], z["copies"], z["exact"]
+    """A header, then the arrays as they lie in memory; upper layers by the rows of their own nodes."""
+    arrays = [exact, ids, copies, g.layers[0].astype(np.int32)]
+    for a in g.layers[1:]:
+        own = np.flatnonzero((a >= 0).any(axis=1))
+        arrays += [own, a[own].astype(np.int32)]
+    head = json.dumps([g.entry, [[a.dtype.str, a.shape] for a in arrays]]).encode()
+    out = [len(head).to_bytes(8, "little") + head]
+    out.append(bytes(-len(out[0]) % 64))
+    for a in arrays:
+        out += [a.tobytes(), bytes(-a.nbytes % 64)]
+    return b"".join(out)
+
+
+def unpack_graph(raw: bytes | pa.Buffer) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """The graph, and the node names, copies and vectors, which are views of ``raw``."""
+    raw = memoryview(raw)
+    at = 8 + int.from_bytes(raw[:8], "little")
+    entry, kinds = json.loads(bytes(raw[8:at]))
+    arrays = []
+    for kind, shape in kinds:
+        at += -at % 64
+        arrays.append(np.frombuffer(raw, kind, math.prod(shape), at).reshape(shape))
+        at += arrays[-1].nbytes
+    exact, ids, copies, *layers = arrays
+    whole = [layers[0]]
+    for own, rows in zip(layers[1::2], layers[2::2]):
+        whole.append(np.full((len(ids), rows.shape[1]), -1, np.int32))
+        whole[-1][own] = rows
+    return Graph(exact.astype(np.float32), whole, entry), ids, copies, exact
 
 
 def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,7 +248,8 @@ def audited_blocks(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarr
     compared with all nodes."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
     me = np.full(len(pick), -1) if own is None else own[pick]
-    linked = exact @ q_exact[pick].T >= threshold  # nodes x audited queries
+    step = max(1, _PAIR_BLOCK // max(1, len(pick)))
+    linked = np.concatenate([exact[lo:lo + step] @ q_exact[pick].T >= threshold for lo in range(0, len(exact), step)])  # nodes x audited queries
     linked[me[me >= 0], np.flatnonzero(me >= 0)] = False
     want = linked.sum(axis=0)
     at = np.unique(np.linspace(0, len(exact) - 1, min(audit, len(exact))).astype(int))
@@ -329,31 +352,33 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     parts = max(1, math.ceil(count / shards / part_rows))
     dealt = nodes.withColumn("shard", hash_bucket(shards, F.col("node"))).withColumn("part", hash_bucket(parts, F.lit("q"), F.col("node")))
 
-    def unit(v: pd.Series) -> np.ndarray:
-        x = np.stack(v.to_numpy())
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of the squares
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def graph(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        exact = unit(pdf["v"])
-        ids = pdf["node"].to_numpy().astype("S32")
+    def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, copies and unit vectors by name."""
+        own = np.array(t["node"].to_pylist(), "S32")
+        order = np.argsort(own)
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["v"].chunks])
+        x = flat.reshape(len(own), -1)[order]
+        x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of the squares
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return own[order], t["copies"].to_numpy()[order], x
+
+    def graph(key, nodes):
+        ids, copies, exact = ordered(nodes)
         g = build(exact.astype(np.float32))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [pack_graph(g, ids, pdf["copies"].to_numpy(), exact)]})
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()),
+                         "graph": pa.array([pack_graph(g, ids, copies, exact)], pa.binary())})
 
-    graphs = stored(dealt.groupBy("dim", "shard").applyInPandas(graph, "dim int, shard bigint, graph binary"), "graphs")
+    graphs = stored(dealt.groupBy("dim", "shard").applyInArrow(graph, "dim int, shard bigint, graph binary"), "graphs")
 
-    def answer(a: list, b: list, n: list) -> pd.DataFrame:
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "n": pd.Series(n, dtype="int64")})
+    def answer(a: list, b: list, n: list) -> pa.Table:
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "n": pa.array(n, pa.int64())})
 
-    def ask(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+    def ask(key, left, right):
+        if not left.num_rows or not right.num_rows:
             return answer([], [], [])
-        g, ids, copies, exact = unpack_graph(left["graph"].iloc[0])
-        right = right.sort_values("node")
-        q_exact = unit(right["v"])
-        own = right["node"].to_numpy().astype("S32")
-        links = Links(own, right["copies"].to_numpy(), ids, copies, within=key[1] == key[2])
+        g, ids, copies, exact = unpack_graph(left["graph"][0].as_buffer())
+        own, own_copies, q_exact = ordered(right)
+        links = Links(own, own_copies, ids, copies, within=key[1].as_py() == key[2].as_py())
         at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids ascend
         at = np.where(ids[at] == own, at, -1)
         for r, c in audited_blocks(g, exact, q_exact.astype(np.float32), q_exact, threshold, own=at):
@@ -370,7 +395,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     left = graphs.select("dim", "shard", "graph", F.explode(F.sequence(zero, F.col("shard"))).alias("home")).select("*", each("part", zero, parts - 1))
     right = dealt.select("dim", "node", "v", "copies", "part", F.col("shard").alias("home"), each("shard", F.col("shard"), shards - 1))
     keys = ["dim", "shard", "home", "part"]
-    found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ask, "a string, b string, n bigint"), "found")
+    found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ask, "a string, b string, n bigint"), "found")
     degree = found.where("b = ''").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     group = components(found.where("b <> ''").select("a", "b"))
     member = (nodes.select("node", "copies", "least").join(degree, "node", "left").join(group, "node", "left")

@@ -270,3 +270,27 @@ def test_audit_leaves_out_the_query_itself():
         m.setattr(hnsw, "hits", only_itself)
         blocks = list(hnsw.audited_blocks(g, x, x.astype(np.float32), x, 0.95, recall=0.5, own=np.arange(n)))
     assert sorted(set(seen)) == [32, 64, 128] and sum(len(r) for r, _ in blocks) == 2 * n
+
+
+def test_visited_marks_are_those_of_a_block(monkeypatch):
+    """However many queries ask at once, a block's marks are held, and the audited products come in blocks."""
+    x = hot_and_pairs(0, 1500)
+    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
+    asked, plain = [], hnsw.search
+    monkeypatch.setattr(hnsw, "search", lambda g, layer, q, start, ef: asked.append(len(q)) or plain(g, layer, q, start, ef))
+    monkeypatch.setattr(hnsw, "_PAIR_BLOCK", 20_000)
+    r, c = hnsw.audited_hits(g, x, x.astype(np.float32), x, 0.95, own=np.arange(len(x)))
+    assert max(asked) <= hnsw._QUERY_BLOCK
+    assert len(r) >= 0.99 * (x @ x.T >= 0.95).sum()
+
+
+def test_an_unpacked_graph_is_a_view():
+    import pyarrow as pa
+    x = hot_and_pairs(20, 300)
+    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
+    names, copies = np.array([f"n{k:04d}" for k in range(len(x))], "S32"), np.arange(len(x)) % 3 + 1
+    raw = pa.py_buffer(hnsw.pack_graph(g, names, copies, x))
+    h, ids, n, exact = hnsw.unpack_graph(raw)
+    assert len(g.layers) > 1 and h.entry == g.entry and all((a == b).all() for a, b in zip(g.layers, h.layers, strict=True))
+    assert (ids == names).all() and (n == copies).all() and (exact == x).all() and (h.vec == g.vec).all()
+    assert not exact.flags.owndata and exact.ctypes.data - raw.address < raw.size  # not copied
