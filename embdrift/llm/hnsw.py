@@ -31,6 +31,7 @@ _EXPAND = 4        # beam entries expanded at a time
 _QUERY_BLOCK = 512  # queries searched together: their visited marks are block * nodes bytes
 _WIDEST = 256      # widest beam; comparing a query with the whole shard costs less than wider ones
 _PAIR_BLOCK = 4_000_000  # products of queries and nodes held at a time
+_PIECE = 1 << 16   # bytes of a graph in one row: the JVM's buffers follow the largest rows
 _SLACK = 1e-4      # single precision may be off by less; double precision decides
 
 
@@ -161,9 +162,20 @@ def build(vec: np.ndarray, m: int = 12, ef: int = 48, seed: int = 3) -> Graph:
     return g
 
 
-def pack_graph(g: Graph, ids: np.ndarray, copies: np.ndarray, exact: np.ndarray) -> bytes:
-    """A header, then the arrays as they lie in memory; upper layers by the rows of their own nodes."""
-    arrays = [exact, ids, copies, g.layers[0].astype(np.int32)]
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` in double precision and at unit length."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of the squares
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
+def pack_graph(g: Graph, ids: np.ndarray, copies: np.ndarray, plain: np.ndarray) -> bytes:
+    """A header, then the arrays as they lie in memory; upper layers by the rows of their own nodes.  ``plain``: the
+    vectors as they were given, in single precision where that holds them."""
+    with np.errstate(over="ignore"):
+        single = plain.astype(np.float32)
+    arrays = [single if (single == plain).all() else plain, ids, copies, g.layers[0].astype(np.int32)]
     for a in g.layers[1:]:
         own = np.flatnonzero((a >= 0).any(axis=1))
         arrays += [own, a[own].astype(np.int32)]
@@ -176,7 +188,7 @@ def pack_graph(g: Graph, ids: np.ndarray, copies: np.ndarray, exact: np.ndarray)
 
 
 def unpack_graph(raw: bytes | pa.Buffer) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """The graph, and the node names, copies and vectors, which are views of ``raw``."""
+    """The graph, and the node names and copies (views of ``raw``) and unit vectors."""
     raw = memoryview(raw)
     at = 8 + int.from_bytes(raw[:8], "little")
     entry, kinds = json.loads(bytes(raw[8:at]))
@@ -185,14 +197,30 @@ def unpack_graph(raw: bytes | pa.Buffer) -> tuple[Graph, np.ndarray, np.ndarray,
         at += -at % 64
         arrays.append(np.frombuffer(raw, kind, math.prod(shape), at).reshape(shape))
         at += arrays[-1].nbytes
-    exact, ids, copies, *layers = arrays
+    plain, ids, copies, *layers = arrays
     whole = [layers[0]]
     for own, rows in zip(layers[1::2], layers[2::2]):
         whole.append(np.full((len(ids), rows.shape[1]), -1, np.int32))
         whole[-1][own] = rows
+    exact = unit(plain)
     return Graph(exact.astype(np.float32), whole, entry), ids, copies, exact
 
 
+def in_pieces(raw: bytes) -> pa.BinaryArray:
+    """``raw`` cut into values of ``_PIECE`` bytes."""
+    ends = np.minimum(np.arange(0, len(raw) + _PIECE, _PIECE), len(raw)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
+def of_pieces(pieces: pa.ChunkedArray, place: np.ndarray) -> pa.Buffer:
+    """The bytes that ``in_pieces`` cut; where they lie in order, they are not copied."""
+    if pieces.num_chunks == 1 and (np.diff(place) > 0).all():
+        flat = pieces.chunk(0)
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset: flat.offset + len(flat) + 1]
+        return flat.buffers()[2].slice(ends[0], ends[-1] - ends[0])
+    return pa.py_buffer(b"".join(memoryview(pieces[int(k)].as_buffer()) for k in np.argsort(place)))
+
+
 def hits(g: Graph, exact: np.ndarray, q: np.ndarray, q_exact: np.ndarray, threshold: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, node) pairs of cosine >= threshold among what the beams found, in blocks.
 
@@ -353,22 +381,20 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     dealt = nodes.withColumn("shard", hash_bucket(shards, F.col("node"))).withColumn("part", hash_bucket(parts, F.lit("q"), F.col("node")))
 
     def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names, copies and unit vectors by name."""
+        """Names, copies and vectors by name."""
         own = np.array(t["node"].to_pylist(), "S32")
         order = np.argsort(own)
         flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["v"].chunks])
-        x = flat.reshape(len(own), -1)[order]
-        x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of the squares
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return own[order], t["copies"].to_numpy()[order], x
+        return own[order], t["copies"].to_numpy()[order], flat.reshape(len(own), -1)[order]
 
     def graph(key, nodes):
-        ids, copies, exact = ordered(nodes)
-        g = build(exact.astype(np.float32))
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()),
-                         "graph": pa.array([pack_graph(g, ids, copies, exact)], pa.binary())})
+        ids, copies, plain = ordered(nodes)
+        pieces = in_pieces(pack_graph(build(unit(plain).astype(np.float32)), ids, copies, plain))
+        n = len(pieces)
+        return pa.table({"dim": pa.array(np.full(n, key[0].as_py()), pa.int32()), "shard": pa.array(np.full(n, key[1].as_py()), pa.int64()),
+                         "piece": pa.array(np.arange(n), pa.int32()), "graph": pieces})
 
-    graphs = stored(dealt.groupBy("dim", "shard").applyInArrow(graph, "dim int, shard bigint, graph binary"), "graphs")
+    graphs = stored(dealt.groupBy("dim", "shard").applyInArrow(graph, "dim int, shard bigint, piece int, graph binary"), "graphs")
 
     def answer(a: list, b: list, n: list) -> pa.Table:
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "n": pa.array(n, pa.int64())})
@@ -376,8 +402,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
     def ask(key, left, right):
         if not left.num_rows or not right.num_rows:
             return answer([], [], [])
-        g, ids, copies, exact = unpack_graph(left["graph"][0].as_buffer())
+        g, ids, copies, exact = unpack_graph(of_pieces(left["graph"], left["piece"].to_numpy()))
         own, own_copies, q_exact = ordered(right)
+        q_exact = unit(q_exact)
         links = Links(own, own_copies, ids, copies, within=key[1].as_py() == key[2].as_py())
         at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # ids ascend
         at = np.where(ids[at] == own, at, -1)
@@ -392,7 +419,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, shard_rows: int =
         return F.explode(F.sequence(least, F.lit(most).cast("bigint"))).alias(name)
 
     zero = F.lit(0).cast("bigint")
-    left = graphs.select("dim", "shard", "graph", F.explode(F.sequence(zero, F.col("shard"))).alias("home")).select("*", each("part", zero, parts - 1))
+    left = graphs.select("dim", "shard", "piece", "graph", F.explode(F.sequence(zero, F.col("shard"))).alias("home")).select("*", each("part", zero, parts - 1))
     right = dealt.select("dim", "node", "v", "copies", "part", F.col("shard").alias("home"), each("shard", F.col("shard"), shards - 1))
     keys = ["dim", "shard", "home", "part"]
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(ask, "a string, b string, n bigint"), "found")

@@ -284,13 +284,21 @@ def test_visited_marks_are_those_of_a_block(monkeypatch):
     assert len(r) >= 0.99 * (x @ x.T >= 0.95).sum()
 
 
-def test_an_unpacked_graph_is_a_view():
+def test_a_graph_travels_in_pieces():
     import pyarrow as pa
-    x = hot_and_pairs(20, 300)
-    g = hnsw.build(x.astype(np.float32), m=6, ef=16)
-    names, copies = np.array([f"n{k:04d}" for k in range(len(x))], "S32"), np.arange(len(x)) % 3 + 1
-    raw = pa.py_buffer(hnsw.pack_graph(g, names, copies, x))
-    h, ids, n, exact = hnsw.unpack_graph(raw)
-    assert len(g.layers) > 1 and h.entry == g.entry and all((a == b).all() for a, b in zip(g.layers, h.layers, strict=True))
-    assert (ids == names).all() and (n == copies).all() and (exact == x).all() and (h.vec == g.vec).all()
-    assert not exact.flags.owndata and exact.ctypes.data - raw.address < raw.size  # not copied
+    x = hot_and_pairs(20, 600)
+    plain = np.concatenate([x.astype(np.float32).astype(np.float64), 3 * x[:1]])  # not all hold in single precision
+    for v in (plain, plain[:-1]):
+        g = hnsw.build(hnsw.unit(v).astype(np.float32), m=6, ef=16)
+        names, copies = np.array([f"n{k:04d}" for k in range(len(v))], "S32"), np.arange(len(v)) % 3 + 1
+        raw = hnsw.pack_graph(g, names, copies, v)
+        pieces = hnsw.in_pieces(raw)
+        assert len(pieces) > 3 and all(len(p.as_buffer()) <= 1 << 16 for p in pieces)
+        place = np.arange(len(pieces))
+        mixed = place[::-1]
+        whole = hnsw.of_pieces(pa.chunked_array([pieces]), place)
+        assert whole.to_pybytes() == hnsw.of_pieces(pa.chunked_array([pieces.take(pa.array(mixed))]), mixed).to_pybytes() == raw
+        h, ids, n, exact = hnsw.unpack_graph(whole)
+        assert len(g.layers) > 1 and h.entry == g.entry and all((a == b).all() for a, b in zip(g.layers, h.layers, strict=True))
+        assert (ids == names).all() and (n == copies).all() and (exact == hnsw.unit(v)).all() and (h.vec == g.vec).all()
+    assert len(raw) < 225 * len(v)  # 24 numbers of 4 bytes to a vector, not 8
